@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, decontaminate, exact_dedup, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_simhash": simhash.op8_simhash,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
