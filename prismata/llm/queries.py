@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, langid, quality, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_langid": langid.op6_langid,
     "op8_simhash": simhash.op8_simhash,
+    "op9_quality": quality.op9_quality,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
