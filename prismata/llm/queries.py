@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, langid, quality, simhash
+from . import bpe, decontaminate, exact_dedup, langid, quality, simhash, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_warc": warc.op2_warc,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_langid": langid.op6_langid,
@@ -13,5 +14,6 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
 }
 SQL = {
+    "op2_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
