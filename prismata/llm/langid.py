@@ -145,6 +145,47 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCH
     return model
 
 
+class Predictor:
+    """A worker's model, with the summed rows of the words that it has met."""
+
+    def __init__(self, model: Model):
+        import regex
+
+        self.model, self.letter = model, regex.compile(r"\p{L}").search
+        self.forget()
+
+    def forget(self):
+        import numpy as np
+
+        self.place: dict[bytes, int] = {}
+        self.rows = np.zeros((0, self.model.logits.shape[1]))
+
+    def __call__(self, texts: list[bytes]):
+        """The language, the score, and whether it is rejected, for each text."""
+        import numpy as np
+
+        model, place = self.model, self.place
+        if len(place) > CACHE:
+            self.forget()
+            place = self.place
+        lines = [t.translate(TO_WORDS).split() for t in texts]
+        new = list({w for line in lines for w in line if w not in place})
+        for k in range(0, len(new), 20_000):
+            own = new[k : k + 20_000]
+            bucket, start = subwords(own)
+            place.update(zip(own, range(len(place), len(place) + len(own))))
+            self.rows = np.vstack([self.rows, np.add.reduceat(model.logits[bucket], start, axis=0)])
+        sums = np.zeros((len(texts), self.rows.shape[1]))
+        for i, line in enumerate(lines):
+            if line:
+                sums[i] = self.rows[np.fromiter(map(place.__getitem__, line), np.int64, len(line))].sum(axis=0)
+        known = np.array([bool(model.languages) and self.letter(t.decode("utf-8", "replace")) is not None for t in texts], bool)
+        p = model.probabilities(sums) if model.languages else np.zeros((len(texts), 1))
+        score = np.where(known, p.max(axis=1), 0.0)
+        names = [model.languages[b] if k else "und" for b, k in zip(p.argmax(axis=1).tolist(), known.tolist())]
+        return names, score, ~known | (score < model.threshold)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, lang_pred, score, rejected.
 
@@ -153,54 +194,42 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     length are read whole. Equal texts get equal results; an empty table gives no rows. With no
     labelled rows at all every text is `und`.
     """
-    spark = prepare(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(model)
+    sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        import regex
 
-        model = sent.value
-        letter = regex.compile(r"\p{L}").search
-        width = model.logits.shape[1]
-        place: dict[bytes, int] = {}
-        rows = np.zeros((0, width))
+        predict = Predictor(sent.value)
         for batch in batches:
             for part in pieces(batch, "text"):
-                if len(place) > CACHE:
-                    place, rows = {}, np.zeros((0, width))
-                texts = as_bytes(part, "text")
-                lines = [t.translate(TO_WORDS).split() for t in texts]
-                new = list({w for line in lines for w in line if w not in place})
-                for k in range(0, len(new), 20_000):
-                    own = new[k : k + 20_000]
-                    bucket, start = subwords(own)
-                    place.update(zip(own, range(len(place), len(place) + len(own))))
-                    rows = np.vstack([rows, np.add.reduceat(model.logits[bucket], start, axis=0)])
-                sums = np.zeros((len(texts), width))
-                for i, line in enumerate(lines):
-                    if line:
-                        sums[i] = rows[np.fromiter(map(place.__getitem__, line), np.int64, len(line))].sum(axis=0)
-                known = np.array([bool(model.languages) and letter(t.decode("utf-8", "replace")) is not None for t in texts], bool)
-                p = model.probabilities(sums) if model.languages else np.zeros((len(texts), 1))
-                best = p.argmax(axis=1)
-                score = np.where(known, p.max(axis=1), 0.0)
-                names = [model.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < model.threshold))], names=["doc_id", "lang_pred", "score", "rejected"])
+                names, score, rejected = predict(as_bytes(part, "text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return quoted(docs, ["doc_id", "text"]).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all columns, whose text is not rejected; without a shuffle."""
+    sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        predict = Predictor(sent.value)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                yield part.filter(pa.array(~predict(as_bytes(part, "text"))[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int, remainder: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """docs without the texts that a model taught on them (rows not held out) rejects, all columns kept."""
-    model = train(docs.where(~held_out(5, 0)))
-    bad = identify(docs, model).where("rejected").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return accepted(docs, train(docs.where(~held_out(5, 0))))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, langid, quality, simhash, warc
+from . import bpe, decontaminate, exact_dedup, langid, linededup, quality, simhash, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,8 +12,10 @@ QUERIES = {
     "op6_langid": langid.op6_langid,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
+    "op10_linededup": linededup.op10_linededup,
 }
 SQL = {
     "op2_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op10_linededup": linededup.SQL,
 }
