@@ -77,16 +77,9 @@ def _runs(late):
     return out
 
 
-def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """docs with repeated runs deleted from text, plus n_lines, n_removed, n_runs (named so even if docs had such columns).
-
-    A document that loses all its lines keeps its row with an empty text; null stays null. Lines are compared
-    without white space around them; blank lines never count, but go with a run that spans them. Rows that
-    repeat a doc_id count as one document and are treated alike; rows without doc_id are left as they are.
-    """
-    taken = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    runs = written(repeats(docs, width), "line-runs")
-    joined = quoted(docs, taken).join(runs.select(F.col("doc_id").alias("_run_doc"), F.col("runs").alias("_runs_found")), F.col("doc_id") == F.col("_run_doc"), "left")
+def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """docs, with the lines of runs (doc_id, runs: first, last, first, last, ...) cut out of text, and _runs_found."""
+    joined = docs.join(runs.select(F.col("doc_id").alias("_run_doc"), F.col("runs").alias("_runs_found")), F.col("doc_id") == F.col("_run_doc"), "left")
 
     @F.pandas_udf("string")
     def cut(text, runs):
@@ -103,10 +96,21 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             out.append(x)
         return pd.Series(out, dtype=object)
 
+    return joined.select(*[cut("text", "_runs_found").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_runs_found", F.col("text").alias("_text_before"))
+
+
+def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """docs with repeated runs deleted from text, plus n_lines, n_removed, n_runs (which replace columns of these names).
+
+    A document that loses all its lines keeps its row with an empty text; null stays null. Lines are compared
+    without white space around them; blank lines never count, but go with a run that spans them. Rows that
+    repeat a doc_id count as one document and are treated alike; rows without doc_id are left as they are.
+    """
+    taken = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
+    out = without_runs(quoted(docs, taken), written(repeats(docs, width), "line-runs"))
     lost = F.expr("coalesce(aggregate(sequence(0, size(_runs_found) - 1), 0L, (s, i) -> s + if(i % 2 = 0, 1 - _runs_found[i], _runs_found[i])), 0L)")
-    shown = [cut("text", "_runs_found").alias("text") if c == "text" else F.col(f"`{c}`") for c in taken]
-    lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
-    return joined.select(*shown, lines.alias("n_lines"), lost.alias("n_removed"), F.coalesce(F.size("_runs_found") / 2, F.lit(0)).cast("bigint").alias("n_runs"))
+    lines = F.coalesce(F.length("_text_before") - F.length(F.replace("_text_before", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
+    return out.select(*[F.col(f"`{c}`") for c in taken], lines.alias("n_lines"), lost.alias("n_removed"), F.coalesce(F.size("_runs_found") / 2, F.lit(0)).cast("bigint").alias("n_runs"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

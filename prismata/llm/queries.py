@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, langid, linededup, quality, simhash, warc
+from . import bpe, decontaminate, exact_dedup, langid, linededup, paragraphs, quality, simhash, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_warc": warc.op2_warc,
+    "op3_paragraphs": paragraphs.op3_paragraphs,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_langid": langid.op6_langid,
