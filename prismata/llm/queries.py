@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, langid, linededup, paragraphs, quality, simhash, warc
+from . import bpe, decontaminate, exact_dedup, langid, linededup, paragraphs, quality, simhash, suffix, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_langid": langid.op6_langid,
+    "op7_suffix": suffix.op7_suffix,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_linededup": linededup.op10_linededup,
