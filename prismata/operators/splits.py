@@ -102,9 +102,9 @@ def shingle_edges(docs: DataFrame, similar: float, most: int = 50, width: int =
     count as common, as the definition of this similarity has it (a text's size counts them).
     """
     words = F.split("text", " ")
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1))))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))
-    rows = docs.select("doc_id", F.array_distinct(grams).alias("g")).where("g is not null")
+    shifted = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - width + 1, F.lit(0))).alias(f"w{k}") for k in range(width)])
+    grams = F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(width)]))
+    rows = docs.select("doc_id", F.array_distinct(grams).alias("g")).where("size(g) > 0")
     rows = written(rows.select("doc_id", F.size("g").alias("n"), F.explode("g").alias("s")).select("doc_id", "n", F.xxhash64("s").alias("h")), "shingles")
     rare = rows.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).select("h")
     kept = written(rows.join(written(rare, "rare-shingles"), "h"), "kept-shingles")

@@ -1 +1,154 @@
-from .registry import query  # noqa: F401
+"""Queries on episodes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import episodes
+from ..session import written
+from ..sources.fixtures import sql, view
+from .registry import query
+from .scoring import PROTO, UNIT, V
+
+SEED, N, M, K, Q = 7, 20, 4, 3, 5
+LONG = {"mem": "SELECT DISTINCT ec, accession FROM vec_labels WHERE split = 'test'"}
+CL = {"cl": "SELECT accession, CASE WHEN vec_id % 4 <> 1 THEN concat('K', vec_id % 35) END AS cluster_id FROM vectors"}
+
+
+def members(spark, d):
+    return view(spark, d, "vec_labels").where("split = 'test'").select("ec", "accession").distinct()
+
+
+def clusters(spark, d):
+    return view(spark, d, "vectors").where("vec_id % 4 <> 1").select("accession", F.concat(F.lit("K"), F.col("vec_id") % 35).alias("cluster_id"))
+
+
+def tick(*keys):
+    return f"md5(concat_ws('|', '{SEED}', {', '.join(keys)}))"
+
+
+def uni(*keys):
+    return f"(('0x' || substr({tick(*keys)}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+CHOSEN = LONG | {
+    "sz": "SELECT ec, count(DISTINCT accession) AS n FROM mem GROUP BY 1",
+    "ch": f"SELECT episode, ec, slot, n FROM (SELECT *, count(*) OVER (PARTITION BY episode) AS c FROM (SELECT *, (row_number() OVER (PARTITION BY episode ORDER BY tier, round(-ln(1 - {uni(chr(39) + 'class' + chr(39), 'episode', 'ec')}) * ln(1 + n), 9), ec) - 1)::INT AS slot"
+    f" FROM (SELECT *, CASE WHEN n >= {K + Q} THEN 0 ELSE 1 END AS tier FROM (SELECT unnest(range({N})) AS episode) CROSS JOIN sz WHERE n >= {K})) WHERE slot < {M}) WHERE c = {M}",
+}
+
+
+def chosen(spark, d):
+    return written(episodes.pick_classes(members(spark, d), N, M, K, Q, SEED), "episode-classes")
+
+
+@query(sql("SELECT * FROM ch", *V, **CHOSEN))
+def episode_classes(spark, d):
+    return episodes.pick_classes(members(spark, d), N, M, K, Q, SEED)
+
+
+MEMBER = "'member'"
+STANDARD = CHOSEN | {"sm": f"SELECT episode, ec, slot, CASE WHEN r <= {K} THEN 'support' ELSE 'query' END AS role, accession FROM (SELECT ch.*, accession, row_number() OVER (PARTITION BY episode, ec ORDER BY {tick(MEMBER, 'episode', 'ec', 'accession')}, accession) AS r FROM ch JOIN mem USING (ec)) WHERE r <= {K + Q}"}
+
+
+def samples(spark, d):
+    return written(episodes.standard(chosen(spark, d), members(spark, d), K, Q, SEED), "episode-samples")
+
+
+@query(sql("SELECT * FROM sm", *V, **STANDARD))
+def episode_samples(spark, d):
+    return samples(spark, d)
+
+
+@query(
+    sql(
+        f"SELECT episode, ec, slot, CASE WHEN r <= 2 THEN 'support' ELSE 'query' END AS role, accession, cluster_id FROM (SELECT *, count(*) OVER (PARTITION BY episode, ec) AS c, row_number() OVER (PARTITION BY episode, ec ORDER BY {tick(chr(39) + 'cluster' + chr(39), 'episode', 'ec', 'cluster_id')}, cluster_id) AS r FROM"
+        f" (SELECT ch.*, accession, cluster_id, row_number() OVER (PARTITION BY episode, ec, cluster_id ORDER BY {tick(MEMBER, 'episode', 'ec', 'accession')}, accession) AS i FROM ch JOIN pl USING (ec)) WHERE i = 1) WHERE c >= 5 AND r <= 5",
+        *V,
+        **CHOSEN,
+        **CL,
+        pl="SELECT ec, accession, coalesce(cluster_id, concat('_na_', accession)) AS cluster_id FROM mem JOIN cl USING (accession)",
+    )
+)
+def episode_disjoint(spark, d):
+    return episodes.disjoint(chosen(spark, d), members(spark, d), clusters(spark, d), 2, 3, SEED)
+
+
+REPEATS = CHOSEN | {
+    "pool": f"SELECT * FROM (SELECT ch.episode, ch.ec, accession, row_number() OVER (PARTITION BY episode, ec ORDER BY {tick(MEMBER, 'episode', 'ec', 'accession')}, accession) - 1 AS i FROM ch JOIN mem USING (ec)) WHERE i < 24",
+    "dr": f"SELECT ch.*, draw, CASE WHEN draw < n THEN draw ELSE floor({uni(chr(39) + 'repeat' + chr(39), 'episode', 'ec', 'draw')} * least(n, 24))::INT END AS i FROM ch CROSS JOIN (SELECT unnest(range(24))::INT AS draw)",
+    "wr": "SELECT episode, ec, slot, draw, CASE WHEN draw < 12 THEN 'support' ELSE 'query' END AS role, accession, row_number() OVER (PARTITION BY episode, accession ORDER BY slot, draw)::INT AS occurrence FROM dr JOIN pool USING (episode, ec, i)",
+}
+
+
+@query(sql("SELECT * FROM wr", *V, **REPEATS))
+def episode_fallback(spark, d):
+    return episodes.with_repeats(chosen(spark, d), members(spark, d), 12, 12, SEED)
+
+
+@query(sql("SELECT q.episode, q.accession, c.slot, c.ec, (mem.ec IS NOT NULL)::INT AS label FROM (SELECT DISTINCT episode, accession FROM sm WHERE role = 'query') q JOIN (SELECT DISTINCT episode, slot, ec FROM sm) c USING (episode) LEFT JOIN mem ON mem.ec = c.ec AND mem.accession = q.accession", *V, **STANDARD))
+def episode_multihot(spark, d):
+    return episodes.multi_hot(samples(spark, d), members(spark, d))
+
+
+@query(sql("SELECT count(*) AS total, count(*) FILTER (c >= 2 AND n >= 10) AS full, count(*) FILTER (c >= 2 AND n BETWEEN 5 AND 9) AS tail, count(*) FILTER (c < 2 OR n < 5) AS excluded FROM (SELECT ec, count(DISTINCT accession) AS n, count(DISTINCT coalesce(cluster_id, concat('_na_', accession))) AS c FROM mem JOIN cl USING (accession) GROUP BY 1)", *V, **LONG, **CL))
+def class_coverage(spark, d):
+    return episodes.coverage(members(spark, d), 5, 5, clusters(spark, d))
+
+
+@query(
+    sql(
+        "SELECT m.ec, coalesce(s, 0) AS support_count, coalesce(q, 0) AS query_count, coalesce(f, 0) AS fallback_episodes FROM (SELECT DISTINCT ec FROM vec_labels) m"
+        " LEFT JOIN (SELECT ec, count(*) FILTER (role = 'support') AS s, count(*) FILTER (role = 'query') AS q FROM wr GROUP BY 1) USING (ec)"
+        " LEFT JOIN (SELECT ec, count(*) AS f FROM (SELECT ec, episode, count(DISTINCT accession) AS d FROM wr GROUP BY 1, 2) WHERE d < 24 GROUP BY 1) USING (ec)",
+        *V,
+        **REPEATS,
+    )
+)
+def sampler_usage(spark, d):
+    return episodes.usage(view(spark, d, "vec_labels"), episode_fallback(spark, d), 12, 12)
+
+
+@query(sql("SELECT episode, count(*) FILTER (a.role = 'support' AND b.role = 'query') AS shared FROM sm a JOIN sm b USING (episode, ec, accession) GROUP BY 1", *V, **STANDARD))
+def support_query_overlap(spark, d):
+    s = samples(spark, d)
+    both = s.where("role = 'support'").select("episode", "ec", "accession").intersect(s.where("role = 'query'").select("episode", "ec", "accession"))
+    return s.select("episode").distinct().join(both, "episode", "left").groupBy("episode").agg(F.count("accession").alias("shared"))
+
+
+SCORES = STANDARD | {
+    "u": f"SELECT accession, {UNIT.format(v='vec')} AS v FROM vectors",
+    "pm": "SELECT episode, slot, ec, pos, avg(v[pos]) AS x FROM (SELECT sm.*, u.v, unnest(range(1, 65)) AS pos FROM sm JOIN u USING (accession) WHERE role = 'support') GROUP BY ALL",
+    "pr": f"SELECT episode, slot, ec, {UNIT.format(v='w')} AS p FROM (SELECT episode, slot, ec, list(x ORDER BY pos) AS w FROM pm GROUP BY 1, 2, 3)",
+    "es": "SELECT q.episode, q.accession, q.slot AS own, pr.slot, pr.ec, list_sum(list_transform(list_zip(u.v, pr.p), lambda z: z[1] * z[2])) / 0.1 AS logit, (mem.ec IS NOT NULL)::INT AS label FROM (SELECT * FROM sm WHERE role = 'query') q JOIN u USING (accession) JOIN pr ON pr.episode = q.episode LEFT JOIN mem ON mem.ec = pr.ec AND mem.accession = q.accession",
+}
+
+
+def scores(spark, d):
+    return episodes.episode_scores(samples(spark, d), view(spark, d, "vectors"), members(spark, d), 0.1)
+
+
+@query(
+    sql(
+        "SELECT count(*) AS queries, round(avg(ok), 6) AS accuracy, round(avg(ce), 6) AS cross_entropy, round(avg(bce), 6) AS bce FROM (SELECT episode, accession, own, max((r = 1 AND slot = own)::INT)::DOUBLE AS ok,"
+        " ln(sum(exp(logit))) - max(logit) FILTER (slot = own) AS ce, avg(-CASE WHEN label = 1 THEN ln(1 / (1 + exp(-logit))) ELSE ln(1 - 1 / (1 + exp(-logit))) END) AS bce"
+        " FROM (SELECT *, row_number() OVER (PARTITION BY episode, accession, own ORDER BY logit DESC, slot) AS r FROM es) GROUP BY 1, 2, 3)",
+        *V,
+        **SCORES,
+    )
+)
+def episodic_metrics(spark, d):
+    return episodes.episode_metrics(scores(spark, d))
+
+
+@query(
+    sql(
+        "SELECT count(*) AS queries, round(0.5 * avg(ce), 6) AS loss FROM (SELECT episode, accession, own, count(*) AS parts, ln(sum(exp(z))) - max(z) FILTER (mine) AS ce FROM"
+        " (SELECT episode, accession, own, substr(ec, 2)::INT % 3 AS parent, avg(logit) AS z, bool_or(slot = own) AS mine FROM es GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) WHERE parts >= 2",
+        *V,
+        **SCORES,
+    )
+)
+def hierarchy_loss(spark, d):
+    parents = members(spark, d).select("ec", F.concat(F.lit("P"), F.substring("ec", 2, 9).cast("int") % 3).alias("parent")).distinct()
+    return episodes.hierarchy_loss(scores(spark, d), parents)
