@@ -1 +1,178 @@
-from .registry import query  # noqa: F401
+"""Queries on sources and sinks, folds, logs, caches, views and training."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import augment
+from ..functions import vectors as vec
+from ..operators import reports, training
+from ..session import shared_dir
+from ..sources import readers, writers
+from ..sources.fixtures import sql, view
+from ..streaming import counters
+from .registry import query
+from .sampling import episode_fallback, samples
+
+
+def place(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+SEQ = "SELECT accession, sequence FROM sequences WHERE length(sequence) > 0"
+
+
+@query(sql("SELECT accession, sequence FROM q", "sequences", q=SEQ))
+def fasta_roundtrip(spark, d):
+    path = place(spark, "fasta")
+    writers.fasta(view(spark, d, "sequences").where("length(sequence) > 0"), path)
+    return readers.fasta(spark, path)
+
+
+@query(sql("SELECT accession, regexp_replace(sequence, '(.{80})', '\\1' || chr(10), 'g') AS w0, length(sequence)::BIGINT AS n FROM q WHERE length(sequence) % 80 <> 0", "sequences", q=SEQ))
+def wrap80(spark, d):
+    s = view(spark, d, "sequences").where("length(sequence) > 0 and length(sequence) % 80 != 0")
+    return s.select("accession", writers.wrapped(F.col("sequence")).alias("w0"), F.length("sequence").cast("bigint").alias("n"))
+
+
+@query(sql("SELECT accession, ec, source FROM entries WHERE length(trim(ec)) > 0", "labels_long", "entries"))
+def tsv_roundtrip(spark, d):
+    path = place(spark, "entries")
+    writers.tsv(view(spark, d, "entries").where("length(trim(ec)) > 0").select("accession", "ec", "source"), path)
+    return readers.tsv(spark, path)
+
+
+@query(sql("SELECT ec_full AS ec, accession FROM labels_long", "labels_long"))
+def split_list_roundtrip(spark, d):
+    path = place(spark, "split")
+    writers.split_lists(view(spark, d, "labels_long").select("accession", F.col("ec_full").alias("ec")), path)
+    return readers.split_lists(spark, path)
+
+
+@query(sql("SELECT concat('D', doc_id) AS accession, concat('K', doc_id % 9) AS cluster_id FROM documents"))
+def cluster_map_roundtrip(spark, d):
+    path = place(spark, "clusters")
+    writers.cluster_map(view(spark, d, "documents").select(F.concat(F.lit("D"), "doc_id").alias("accession"), F.concat(F.lit("K"), F.col("doc_id") % 9).alias("cluster_id")), path)
+    return readers.cluster_map(spark, path)
+
+
+@query(sql("SELECT accession, round(list_sum(list_transform(vec, lambda x: x::DOUBLE)), 5) AS total, len(vec)::INT AS width FROM vectors", "vectors"))
+def vector_roundtrip(spark, d):
+    path = place(spark, "vectors")
+    writers.vectors(view(spark, d, "vectors"), path)
+    v = spark.read.parquet(path)
+    width = readers.vector_width(v)
+    return v.select("accession", F.round(F.aggregate(vec.doubles(F.col("vec")), F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.lit(width).alias("width"))
+
+
+@query(sql("SELECT cutoff, fold, metric, value FROM fold_metrics", "fold_metrics"))
+def json_roundtrip(spark, d):
+    path = place(spark, "metrics")
+    writers.documents(view(spark, d, "fold_metrics"), path)
+    return spark.read.schema("cutoff int, fold int, metric string, value double").json(path)
+
+
+@query(sql("SELECT * FROM (VALUES ('sp|P1|X_Y a', 'P1'), ('plain text', 'plain'), ('a||b', 'a||b'), ('x|y', 'y')) t(header, id)"))
+def header_ids(spark, d):
+    rows = spark.createDataFrame([("sp|P1|X_Y a",), ("plain text",), ("a||b",), ("x|y",)], "header string")
+    return rows.select("header", readers.header_id(F.col("header")).alias("id"))
+
+
+@query(sql("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS next_url FROM pages"))
+def link_headers(spark, d):
+    p = view(spark, d, "pages")
+    header = F.concat(F.lit("<"), "url", F.when(F.col("page_id") % 2 == 0, '>; rel="next"').otherwise('>; rel="last"'))
+    return p.select("page_id", readers.next_link(header).alias("next_url"))
+
+
+FOLDS = {"f": "SELECT cutoff, metric, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(1.96 * coalesce(stddev_samp(value), 0) / sqrt(count(*)), 6) AS ci95 FROM fold_metrics GROUP BY 1, 2"}
+
+
+@query(sql("SELECT * FROM f", "fold_metrics", **FOLDS))
+def fold_ci(spark, d):
+    return reports.over_folds(view(spark, d, "fold_metrics"))
+
+
+@query(sql("SELECT metric, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high FROM fold_metrics GROUP BY 1", "fold_metrics"))
+def summary_by_metric(spark, d):
+    return reports.described(view(spark, d, "fold_metrics"))
+
+
+@query(sql("SELECT c.cutoff, coalesce(mean, 'nan'::DOUBLE) AS mean, coalesce(ci95, 'nan'::DOUBLE) AS ci95 FROM (SELECT DISTINCT cutoff FROM f) c LEFT JOIN f ON f.cutoff = c.cutoff AND metric = 'f1'", "fold_metrics", **FOLDS))
+def metric_series(spark, d):
+    return reports.series(reports.over_folds(view(spark, d, "fold_metrics")), "f1")
+
+
+@query(sql("SELECT metric, CASE WHEN up AND down THEN 'varies' WHEN up THEN 'increases' WHEN down THEN 'decreases' ELSE 'stable' END AS trend FROM (SELECT metric, coalesce(bool_or(s > 1e-9), false) AS up, coalesce(bool_or(s < -1e-9), false) AS down FROM (SELECT metric, mean - lag(mean) OVER (PARTITION BY metric ORDER BY cutoff) AS s FROM f) GROUP BY 1)", "fold_metrics", **FOLDS))
+def monotonic_trend(spark, d):
+    return reports.trend(reports.over_folds(view(spark, d, "fold_metrics")), "metric", "cutoff", "mean")
+
+
+@query(
+    sql(
+        "SELECT l_returnflag, round(any_value(q1), 6) AS q1, round(any_value(q2), 6) AS median, round(any_value(q3), 6) AS q3, round(min(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS low, round(max(x) FILTER (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS high"
+        " FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem) JOIN (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS q2, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1) USING (l_returnflag) GROUP BY 1"
+    )
+)
+def boxplot_stats(spark, d):
+    return reports.box_stats(view(spark, d, "lineitem").select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice")
+
+
+@query(sql("SELECT line_no, event_type AS phase, user_id % 4 AS cutoff, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'finish' END AS event FROM (SELECT line_no, line_no AS event_id, user_id, event_type FROM status_lines)", "status_lines"))
+def status_log_parse(spark, d):
+    f = readers.status(view(spark, d, "status_lines"))
+    return f.select("line_no", F.col("fields")["phase"].alias("phase"), F.col("fields")["cutoff"].cast("bigint").alias("cutoff"), F.col("fields")["event"].alias("event"))
+
+
+@query(sql("SELECT user_id, event_type, line_no, round(epoch_us(ts) / 1e6 - epoch_us(t0) / 1e6, 3) AS seconds FROM (SELECT *, lag(line_no % 2) OVER w AS b, lag(ts) OVER w AS t0 FROM status_lines WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, line_no)) WHERE line_no % 2 = 1 AND b = 0", "status_lines"))
+def phase_durations(spark, d):
+    s = view(spark, d, "status_lines").withColumn("event", F.when(F.col("line_no") % 2 == 0, "start").otherwise("finish"))
+    return reports.durations(s, ["user_id", "event_type"]).withColumn("seconds", F.round("seconds", 3))
+
+
+@query(sql("SELECT user_id, line_no, event_type AS line FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY line_no) AS b FROM status_lines) WHERE b IS NULL OR b <> event_type", "status_lines"))
+def duplicate_line_removal(spark, d):
+    lines = view(spark, d, "status_lines").select("user_id", "line_no", F.concat(F.lit("\x1b[31m"), "event_type", F.lit("\r")).alias("line"))
+    return reports.without_repeats(lines, ["user_id"])
+
+
+@query(sql("SELECT user_id, line_no, (s - strlen(line) - 1)::BIGINT AS start, s::BIGINT AS stop FROM (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY user_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS s FROM status_lines)", "status_lines"))
+def byte_offsets(spark, d):
+    return reports.byte_offsets(view(spark, d, "status_lines"), "user_id")
+
+
+@query(sql("SELECT event_type AS ec, event_id, fetched_at FROM events JOIN (SELECT event_type, CASE WHEN length(event_type) % 2 = 0 THEN max(ts) ELSE min(ts) END AS fetched_at FROM events GROUP BY 1) USING (event_type) WHERE fetched_at >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"))
+def cache_ttl(spark, d):
+    e = view(spark, d, "events").withColumnRenamed("event_type", "ec")
+    meta = e.groupBy("ec").agg(F.when(F.length("ec") % 2 == 0, F.max("ts")).otherwise(F.min("ts")).alias("fetched_at"))
+    now = e.agg(F.max("ts")).first()[0]
+    return readers.cached(e.select("ec", "event_id"), meta, F.lit(now), 1).select("ec", "event_id", "fetched_at")
+
+
+@query(sql("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"))
+def streaming_usage(spark, d):
+    rows = spark.readStream.schema(view(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").format("parquet").load(f"{d}/events.parquet*")
+    return counters.run_once(counters.usage(rows), f"usage_{uuid.uuid4().hex}", place(spark, "stream"))
+
+
+@query()
+def augment_views(spark, d):
+    s = view(spark, d, "sequences")
+    return s.select("accession", augment.sequence_views(3)("accession", "sequence").alias("v")).select("accession", "v.a", "v.b")
+
+
+@query()
+def vector_views(spark, d):
+    v = view(spark, d, "vectors").select("accession", "vec")
+    rows = episode_fallback(spark, d).join(v, "accession").withColumn("vec", vec.doubles(F.col("vec")))
+    seen = rows.withColumn("view", augment.vector_views(3)("accession", "occurrence", "vec"))
+    return seen.select("episode", "slot", "draw", "accession", "occurrence", F.round(vec.norm(F.col("view")), 6).alias("norm"), F.round(vec.dot(F.col("view"), F.col("vec")), 6).alias("likeness"))
+
+
+@query()
+def train_projection(spark, d):
+    w, losses = training.train(samples(spark, d), view(spark, d, "vectors"), width=16)
+    best, stop = training.early_stop([-x for x in losses], 5, 1e-3)
+    return spark.createDataFrame([(i, float(x), i == best, i == stop) for i, x in enumerate(losses)], "step int, loss double, best boolean, stop boolean")
