@@ -1,38 +1,3 @@
-"""Connected components of an edge table, by repeated contraction.
+"""Connected components of edges (a, b), as the engine's graph operator finds them."""
 
-In each round every node picks the neighbour (or itself) of least hashed rank, edges are carried
-over to the picked nodes, and edges inside one node vanish. Ranks are hashed anew in each round, so
-that a chain shrinks by a constant factor whatever its ids. Each round is written to the shared
-folder; nothing but a row count reaches the driver, and no node's neighbours are gathered:
-the pick is an aggregate that combines on the map side.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root of each node with an edge (a bigint, b bigint). Nodes of one component share a root,
-    which is one of them. Edges may repeat, stand in either direction, or lead from a node to itself."""
-    edges = written(edges.select("a", "b").where("a is not null and b is not null and a != b").distinct(), "edges")
-    maps, left, turn = [], edges.count(), 0
-    while left:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ranked = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        picked = both.groupBy("a").agg(F.min(ranked("b")).alias("low")).select(F.col("a").alias("node"), F.least("low", ranked("a"))["id"].alias("root"))
-        picked = written(picked, "picked")
-        maps.append(picked)
-        at = edges.join(picked.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(picked.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-        edges = written(at.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        left, turn = edges.count(), turn + 1
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps.pop()
-    while maps:
-        last = maps.pop()
-        out = last.join(out.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
-    return out
+from ..operators.graph import components  # noqa: F401
