@@ -129,3 +129,18 @@ def hierarchy_loss(scores: DataFrame, parents: DataFrame, weight: float = 0.5) -
     coarse = coarse.withColumn("parts", F.count("*").over(query)).withColumn("top", F.max("z").over(query))
     each = coarse.where("parts >= 2").groupBy("episode", "accession", "own").agg((F.max("top") + F.ln(F.sum(F.exp(F.col("z") - F.col("top")))) - F.max(F.when(F.col("mine") == 1, F.col("z")))).alias("ce"))
     return each.agg(F.count("*").alias("queries"), F.round(F.lit(weight) * F.avg("ce"), 6).alias("loss"))
+
+
+def disjoint_with_repeats(chosen: DataFrame, members: DataFrame, clusters: DataFrame, k: int, q: int, seed: int) -> DataFrame:
+    """Draws for classes of fewer than K+Q clusters: a class's clusters, in a seeded order, are parted between support and query in
+    proportion (at least one each), and each side goes round its clusters, taking a seeded member each time. A class of one cluster is not given."""
+    placed = members.join(clusters, "accession", "left").select("ec", "accession", F.coalesce("cluster_id", F.concat(F.lit("_na_"), "accession")).alias("cluster_id")).distinct()
+    order = Window.partitionBy("episode", "ec").orderBy(ticket(seed, F.lit("cluster"), F.col("episode"), F.col("ec"), F.col("cluster_id")), "cluster_id")
+    each = chosen.join(placed.groupBy("ec", "cluster_id").agg(F.count("*").alias("size")), "ec").withColumn("j", F.row_number().over(order) - 1).withColumn("c", F.count("*").over(Window.partitionBy("episode", "ec"))).where("c >= 2")
+    each = each.withColumn("cut", F.least(F.greatest(F.bround(F.col("c") * k / (k + q)), F.lit(1)), F.col("c") - 1).cast("int"))
+    draws = chosen.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k + q - 1)))).join(each.select("episode", "ec", "c", "cut").distinct(), ["episode", "ec"])
+    draws = draws.withColumn("j", F.when(F.col("draw") < k, F.col("draw") % F.col("cut")).otherwise(F.col("cut") + (F.col("draw") - k) % (F.col("c") - F.col("cut"))).cast("int"))
+    rows = draws.join(each.select("episode", "ec", "j", "cluster_id", "size"), ["episode", "ec", "j"])
+    rows = rows.withColumn("i", F.floor(uniform(seed, F.lit("repeat"), F.col("episode"), F.col("ec"), F.col("draw")) * F.col("size")).cast("int"))
+    numbered = placed.withColumn("i", F.row_number().over(Window.partitionBy("ec", "cluster_id").orderBy("accession")) - 1)
+    return rows.join(numbered, ["ec", "cluster_id", "i"]).select("episode", "ec", "slot", "draw", F.when(F.col("draw") < k, "support").otherwise("query").alias("role"), "accession", "cluster_id")

@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import labels, reports, sampling, scoring  # noqa: E402, F401
+from . import labels, more, reports, sampling, scoring  # noqa: E402, F401
