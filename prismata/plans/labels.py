@@ -82,12 +82,12 @@ def key_sanitizer(spark, d):
     return exploded(spark, d).select("ec").distinct().select("ec", codes.sanitized(F.col("ec")).alias("key"))
 
 
-WANTED = "SELECT accession FROM sequences WHERE doc_id % 3 <> 1 UNION ALL SELECT concat('X', doc_id) FROM sequences WHERE doc_id % 50 = 0"
+WANTED = "SELECT accession FROM sequences WHERE lang <> 'fr' UNION ALL SELECT concat('X', doc_id) FROM sequences WHERE source = 'src1'"
 
 
 def wanted(spark, d):
     s = view(spark, d, "sequences")
-    return s.where("doc_id % 3 <> 1").select("accession").unionAll(s.where("doc_id % 50 = 0").select(F.concat(F.lit("X"), "doc_id").alias("accession")))
+    return s.where("lang != 'fr'").select("accession").unionAll(s.where("source = 'src1'").select(F.concat(F.lit("X"), "doc_id").alias("accession")))
 
 
 @query(sql("SELECT count(*) AS wanted, count(*) FILTER (s.accession IS NULL) AS missing, count(*) FILTER (length(sequence) > 1022) AS over_limit, count(*) FILTER (length(sequence) <= 1022) AS left_over FROM (SELECT DISTINCT accession FROM w) w LEFT JOIN sequences s USING (accession)", "sequences", w=WANTED))
@@ -241,13 +241,13 @@ def class_split_90_10(spark, d):
 @query(
     sql(
         "SELECT ec, CASE WHEN i < round_even(0.8 * n, 0) THEN 'train' WHEN i < round_even(0.8 * n, 0) + greatest(1, round_even(0.1 * n, 0)) THEN 'val' ELSE 'test' END AS split FROM r"
-        " UNION ALL SELECT ec_full, 'test' FROM labels_long GROUP BY 1 HAVING count(*) < 3",
+        " UNION ALL SELECT ec_full, 'test' FROM labels_long GROUP BY 1 HAVING count(*) < 15",
         "labels_long",
-        r=RANKED.format(where="WHERE ec_full IN (SELECT ec_full FROM labels_long GROUP BY 1 HAVING count(*) >= 3)"),
+        r=RANKED.format(where="WHERE ec_full IN (SELECT ec_full FROM labels_long GROUP BY 1 HAVING count(*) >= 15)"),
     )
 )
 def small_class_holdout(spark, d):
-    return splits.holdout_split(members(spark, d), 3, SEED)
+    return splits.holdout_split(members(spark, d), 15, SEED)
 
 
 def top_up_input(spark, d):
@@ -260,7 +260,7 @@ def top_up_input(spark, d):
 @query()
 def topup_selection(spark, d):
     own, pool, counts = top_up_input(spark, d)
-    return splits.top_up(counts, pool, own.select("accession"), target=4, cap=2)
+    return splits.top_up(counts, pool, own.select("accession"), target=20, cap=5)
 
 
 TOP_UP = {
@@ -269,15 +269,15 @@ TOP_UP = {
 }
 
 
-@query(sql("SELECT count(*) AS classes, count(*) FILTER (n < 4) AS below, coalesce(sum(greatest(4 - n, 0)), 0)::BIGINT AS missing FROM c", "labels_long", "entries", **TOP_UP))
+@query(sql("SELECT count(*) AS classes, count(*) FILTER (n < 20) AS below, coalesce(sum(greatest(20 - n, 0)), 0)::BIGINT AS missing FROM c", "labels_long", "entries", **TOP_UP))
 def topup_summary(spark, d):
-    return splits.deficits(top_up_input(spark, d)[2], 4)
+    return splits.deficits(top_up_input(spark, d)[2], 20)
 
 
 @query(
     sql(
         "SELECT ec, accession, false AS added FROM a WHERE source = 'SwissProt' UNION ALL SELECT ec, accession, true FROM"
-        " (SELECT a.ec, a.accession, c.n, row_number() OVER (PARTITION BY a.ec ORDER BY a.accession) AS r FROM a JOIN c USING (ec) WHERE source = 'TrEMBL') WHERE r <= 4 - n",
+        " (SELECT a.ec, a.accession, c.n, row_number() OVER (PARTITION BY a.ec ORDER BY a.accession) AS r FROM a JOIN c USING (ec) WHERE source = 'TrEMBL') WHERE r <= 20 - n",
         "labels_long",
         "entries",
         **TOP_UP,
@@ -285,7 +285,7 @@ def topup_summary(spark, d):
 )
 def augment_train(spark, d):
     own, pool, _ = top_up_input(spark, d)
-    return splits.fill_train(own.select("ec", "accession"), pool, 4)
+    return splits.fill_train(own.select("ec", "accession"), pool, 20)
 
 
 SHINGLES = {

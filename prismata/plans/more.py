@@ -52,9 +52,9 @@ def tagged_union(spark, d):
     return e.where("key % 2 = 0").select(F.lit("SwissProt").alias("source"), "accession").unionByName(e.where("key % 3 = 0").select(F.lit("TrEMBL").alias("source"), "accession"))
 
 
-@query(sql("SELECT ec_full AS ec, count(*) AS n FROM labels_long GROUP BY 1 HAVING count(*) < 4 ORDER BY n, ec LIMIT 20", "labels_long"))
+@query(sql("SELECT ec_full AS ec, count(*) AS n FROM labels_long GROUP BY 1 HAVING count(*) < 15 ORDER BY n, ec LIMIT 20", "labels_long"))
 def largest_deficits(spark, d):
-    return view(spark, d, "labels_long").groupBy(F.col("ec_full").alias("ec")).agg(F.count("*").alias("n")).where("n < 4").orderBy("n", "ec").limit(20)
+    return view(spark, d, "labels_long").groupBy(F.col("ec_full").alias("ec")).agg(F.count("*").alias("n")).where("n < 15").orderBy("n", "ec").limit(20)
 
 
 @query(sql("SELECT accession, length(sequence)::INT AS n, row_number() OVER (ORDER BY length(sequence), accession) - 1 AS idx FROM sequences", "sequences"))
@@ -84,14 +84,14 @@ STOP = """aggregate(v, struct(cast(double('-inf') as double) AS best, -1 AS at,
 @query(
     sql(
         "SELECT user_id, best_at, CASE WHEN stop < 0 THEN n - 1 ELSE stop END AS stop FROM (SELECT * FROM run WHERE i = n)",
-        r="SELECT user_id, list(value ORDER BY event_id) AS v, count(*)::INT AS n FROM events WHERE user_id < 12 GROUP BY 1",
+        r="SELECT user_id, list(value ORDER BY event_id) AS v, count(*)::INT AS n FROM events GROUP BY 1",
         run="SELECT user_id, v, n, 0 AS i, '-inf'::DOUBLE AS best, -1 AS best_at, 0 AS wait, -1 AS stop FROM r UNION ALL SELECT user_id, v, n, i + 1, CASE WHEN stop < 0 AND v[i + 1] > best + 0.001 THEN v[i + 1] ELSE best END, CASE WHEN stop < 0 AND v[i + 1] > best + 0.001 THEN i ELSE best_at END,"
         " CASE WHEN stop >= 0 THEN wait WHEN v[i + 1] > best + 0.001 THEN 0 ELSE wait + 1 END, CASE WHEN stop >= 0 THEN stop WHEN NOT v[i + 1] > best + 0.001 AND wait + 1 >= 4 THEN i ELSE -1 END FROM run WHERE i < n",
     )
 )
 def early_stopping(spark, d):
     """The best check of each run and the one at which patience ends; a run's checks are few and are folded in order."""
-    e = view(spark, d, "events").where("user_id < 12")  # twelve runs are the feature: each user stands for a training run
+    e = view(spark, d, "events")  # each user stands for a training run
     runs = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda z: z["value"]).alias("v"))
     s = runs.select("user_id", F.size("v").alias("n"), F.expr(STOP).alias("s"))
     return s.select("user_id", F.col("s.at").alias("best_at"), F.when(F.col("s.stop") < 0, F.col("n") - 1).otherwise(F.col("s.stop")).alias("stop"))

@@ -20,8 +20,7 @@ VIEWS: dict[str, str] = {
                concat(n_regionkey + 1, '.', n_nationkey, '.',
                       CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'MACHINERY' THEN 4 ELSE 5 END,
                       '.', substr(o_orderpriority, 1, 1)) AS ec_full
-        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
-        WHERE o_orderkey % 4 = 0""",
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey""",
     # joined entity table with partial, blank and missing codes and two sources
     "entries": """
         SELECT accession, CASE WHEN key % 17 = 0 THEN '' WHEN key % 19 = 0 THEN '  ' WHEN key % 23 = 0 THEN NULL
@@ -35,9 +34,9 @@ VIEWS: dict[str, str] = {
                      UNION ALL SELECT accession, concat('L', (label + 3) % 10) AS ec, split FROM vectors WHERE vec_id % 7 = 0""",
     # per (cutoff, fold) metrics
     "fold_metrics": """
-        SELECT l_linenumber * 10 AS cutoff, cast(l_suppkey % 3 AS int) AS fold, 'acc' AS metric, round(avg(l_discount) * 10, 6) AS value FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2
+        SELECT l_linenumber * 10 AS cutoff, cast(l_suppkey % 3 AS int) AS fold, 'acc' AS metric, round(avg(l_discount) * 10, 6) AS value FROM lineitem GROUP BY 1, 2
         UNION ALL
-        SELECT l_linenumber * 10 AS cutoff, cast(l_suppkey % 3 AS int) AS fold, 'f1' AS metric, round(avg(l_tax) * 10, 6) AS value FROM lineitem WHERE l_linenumber <= 4 AND l_linenumber <> 3 GROUP BY 1, 2""",
+        SELECT l_linenumber * 10 AS cutoff, cast(l_suppkey % 3 AS int) AS fold, 'f1' AS metric, round(avg(l_tax) * 10, 6) AS value FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1, 2""",
     # a status log: alternating start and finish lines per user
     "status_lines": """
         SELECT concat(cast(event_id AS {text}), ' phase=', event_type, ' cutoff=', user_id % 4, ' event=',
