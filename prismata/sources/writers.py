@@ -37,7 +37,5 @@ def vectors(df: DataFrame, path: str) -> None:
 
 def cache(rows: DataFrame, path: str, fetched_at: Column) -> None:
     """Rows by class, and when they were fetched; only classes among the rows are replaced."""
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    rows.write.mode("overwrite").partitionBy("ec").parquet(f"{path}/rows")
-    rows.groupBy("ec").agg(F.count("*").alias("row_count")).withColumn("fetched_at", fetched_at).write.mode("overwrite").partitionBy("ec").parquet(f"{path}/meta")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ec").parquet(f"{path}/rows")
+    rows.groupBy("ec").agg(F.count("*").alias("row_count")).withColumn("fetched_at", fetched_at).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ec").parquet(f"{path}/meta")
