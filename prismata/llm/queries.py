@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op2_warc": warc.SQL,
+    "op4_decontaminate": decontaminate.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op10_linededup": linededup.SQL,
 }

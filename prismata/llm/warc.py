@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_or_empty, written
+from .common import prepare, shared_dir, table, text_or_empty, written
 
 #: Payloads of at least so many bytes are written once; later ones with the same digest are revisits.
 LEAST_BYTES = 0
@@ -212,6 +212,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     write_archives(pages, path)
     records = written(read_archives(spark, path, payloads=False).drop("payload"), "records")
+    prepare(spark)  # later plans have batches of more than one row again
     found = captures(records)
     page = F.regexp_extract(F.col("metadata.block"), "(?m)^page-id: *(-?[0-9]*)", 1)
     found = found.select("record_id", F.nullif(page, F.lit("")).cast(pages.schema["page_id"].dataType).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").alias("first"))
