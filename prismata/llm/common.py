@@ -54,3 +54,16 @@ def as_bytes(batch, column: str) -> list[bytes]:
 
     got = batch.column(column)
     return pc.fill_null(got.cast(pa.large_binary()), b"").to_pylist()
+
+
+def frequent(df: DataFrame, value: str, tracked: int, most: int) -> DataFrame:
+    """One row: n, the number of rows of df, and top, at most `most` of the most frequent values with upper bounds of
+    their counts, from a frequent-items sketch of `tracked` counters. Sketches of tasks are merged in two steps, the first
+    in as many groups as the root of the number of tasks, so that no task reads the sketches of all."""
+    groups = max(1, round(df.rdd.getNumPartitions() ** 0.5))
+    rows = df.select(F.expr(value).alias("v"))
+    spare = df.sparkSession.range(1).select(F.lit("0").cast(rows.schema["v"].dataType).alias("v"))  # sketches of nothing can't be merged
+    first = rows.unionAll(spare).groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g")).agg(F.count("*").alias("n"), F.expr(f"approx_top_k_accumulate(v, {tracked})").alias("s"))
+    # Grouped by a constant: empty partitions then give no sketch, which could not be merged either.
+    both = first.groupBy((F.col("g") * 0).alias("g")).agg((F.sum("n") - 1).alias("n"), F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+    return both.select("n", F.expr(f"approx_top_k_estimate(s, {most})").alias("top"))

@@ -28,13 +28,13 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, prepare, quoted, table, written
+from .common import as_bytes, frequent, pieces, prepare, quoted, table, written
 
 LENGTH, GRAM = 100, 24
 #: Anchors with more than this share of all anchors, and at least so many, are hot; the sketch's error is 3.5 / TRACKED.
-HOT, LEAST_HOT, TRACKED, MOST_HOT = 2e-4, 1000, 65536, 8192
-#: Records of a bucket, and bytes of contexts that are sorted at a time.
-BUCKET, SORTED = 400_000, 1 << 19
+HOT, LEAST_HOT, TRACKED, MOST_HOT = 5e-4, 1000, 16384, 4096
+#: Records of a bucket, buckets of a task (several small ones even out), and bytes of contexts that are sorted at a time.
+BUCKET, TOGETHER, SORTED = 50_000, 8, 1 << 19
 PART = 2 << 20
 RECORD = [("h", "<u8"), ("d", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4")]
 
@@ -91,7 +91,7 @@ def hot_anchors(docs: DataFrame, length: int, gram: int) -> tuple[int, list[int]
                 h = anchors(as_bytes(part, "text"), length, gram)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    found = docs.select("text").mapInArrow(run, "h bigint").agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {MOST_HOT}, {TRACKED})").alias("top")).first()
+    found = frequent(docs.select("text").mapInArrow(run, "h bigint"), "h", TRACKED, MOST_HOT).first()
     return found.n, [x.item for x in found.top or [] if x["count"] > max(LEAST_HOT, HOT * found.n)]
 
 
@@ -201,7 +201,8 @@ def compared(sent: DataFrame, buckets: int, length: int) -> DataFrame:
                     yield batch_of(s[:, 0], s[:, 1], s[:, 2], None)
         yield from out(blobs)
 
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // TOGETHER)
+    return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
 
 def suffix_array(text, depth: int = LENGTH):
