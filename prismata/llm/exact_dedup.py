@@ -1,7 +1,7 @@
 """Exact deduplication with a heavy-hitter split, in DataFrame functions only.
 
 1. Each text is hashed once; (doc_id, digest) is written to the shared folder.
-2. A Misra-Gries summary (Spark's built-in frequent-items sketch, merged by partial aggregation)
+2. A Misra-Gries summary (Spark's built-in frequent-items sketch, merged in two steps)
    names the digests that may exceed a share of the rows. Its error is at most 3.5 / tracked of
    the rows, so no digest above the share is missed.
 3. One more aggregation counts those candidates exactly. The verified winners number 1 / share at
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, table, text_or_empty, written
+from .common import frequent, quoted, table, text_or_empty, written
 
 #: A digest with more than this share of the rows is hot: at most 1000 digests can be.
 SHARE = 0.001
@@ -30,7 +30,7 @@ def exact_dedup(docs: DataFrame, share: float = SHARE) -> DataFrame:
     in a group that has none. An empty table gives no rows. Other columns are ignored.
     """
     digests = written(quoted(docs, ["doc_id", "text"]).select("doc_id", F.unhex(F.sha2(text_or_empty(), 256)).alias("digest")), "digests")
-    summary = digests.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(hex(digest), {CANDIDATES}, {TRACKED})").alias("top"))
+    summary = frequent(digests, "hex(digest)", TRACKED, CANDIDATES)
     candidates = summary.select(F.explode("top").alias("t"), "n").select(F.unhex(F.col("t.item")).alias("digest"), (F.col("n") * share).alias("limit")).where(F.col("t.count") > F.col("limit"))
     winners = (
         digests.join(F.broadcast(candidates), "digest")
