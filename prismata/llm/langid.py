@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, pieces, prepare, quoted, table
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (1, 2, 3, 4, 5)
-#: Bound of the training sample: about so many labelled rows of each of at most MOST_LANGUAGES languages (the most frequent).
-PER_LANGUAGE, MOST_LANGUAGES = 500, 200
+#: Bound of the training sample: about so many labelled rows of each of at most MOST_LANGUAGES languages (the most frequent),
+#: and about MOST_ROWS in all.
+PER_LANGUAGE, MOST_LANGUAGES, MOST_ROWS = 500, 200, 4000
 EPOCHS, RATE = 8, 4.0
 #: Share of rightly named texts that may be rejected, and the confidence above which none is.
 REJECTED, CERTAIN = 0.002, 0.5
@@ -104,13 +105,20 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCH
     if not count:
         return Model([], np.zeros((BUCKETS, 1)), np.zeros(0), 1.0, 2.0)
     top = 1 << 30
+    per_language = min(per_language, MOST_ROWS / len(count))
     share = F.create_map(*[x for k, n in count.items() for x in (F.lit(k), F.lit(int(top * min(1.0, per_language / n))))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(top)) < share[F.col("lang")])
-    got = bags(sample).toPandas()
-    got = got[[len(x) > 0 for x in got["buckets"]]].sort_values(["doc_id", "lang"], kind="stable")
     languages = sorted(count)
-    y = np.array([languages.index(x) for x in got["lang"]], np.int64)
-    xs = [(np.asarray(b, np.int64), np.asarray(c, np.float64) / sum(c)) for b, c in zip(got["buckets"], got["counts"])]
+    got = bags(sample).toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    y, xs = [], []
+    for lang, at, n in zip(got.column("lang").to_pylist(), got.column("buckets"), got.column("counts")):
+        at, n = at.values.to_numpy(), n.values.to_numpy()
+        if len(at):
+            y.append(languages.index(lang))
+            xs.append((at.copy(), (n / n.sum()).astype(np.float32)))
+    del got
+    y = np.array(y, np.int64)
     turn = np.random.default_rng(seed)
     order = turn.permutation(len(xs))
     held, taught = order[: len(xs) // 5], order[len(xs) // 5 :]
