@@ -7,6 +7,10 @@ extended to the windows that chose them; a window whose lines (by a 128-bit hash
 earlier, in a document of smaller doc_id or higher up in the same one, is a repeat. Overlapping repeats
 join to maximal runs in both directions, and all lines of such runs are deleted.
 
+Where a number of words is given (long_words), shorter runs of so many words or more count as well: windows of
+one line up to WINDOW - 1 are chosen and compared in the same way. op10_linededup and the pipeline go without, as
+the SQL and the tests of both have it; op10_linededup_long goes with LONG_WORDS.
+
 Groups are only ever reduced by aggregates that combine on the map side (the first position of
 each window), and joins meet tables that are written, so that skewed keys can be split at run time.
 """
@@ -20,9 +24,11 @@ from .common import as_bytes, pieces, prepare, quoted, table, written
 
 #: Lines of the shortest run that counts as a repeat.
 WINDOW = 3
+#: Words that make a shorter run count, for callers who ask for it.
+LONG_WORDS = 50
 
 
-def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def windows(docs: DataFrame, width: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """doc_id, fp, at: fingerprints, each with the windows that chose it (high, low: digest; top, bottom: line numbers)."""
     prepare(docs.sparkSession)
 
@@ -37,15 +43,18 @@ def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
                 ids, prints, at = [], [], []
                 for doc, text in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), as_bytes(part, "text")):
                     line = [(i, x) for i, x in enumerate(map(bytes.strip, text.split(b"\n"))) if x]
-                    if doc is None or len(line) < width:
+                    if doc is None or len(line) < (width if long_words is None else 1):
                         continue
                     h = np.array([xxhash.xxh64_intdigest(x) for _, x in line], np.uint64)
-                    view = np.lib.stride_tricks.sliding_window_view(h, width)[:, ::-1]
-                    chosen = np.arange(len(view)) + width - 1 - view.argmin(axis=1)
+                    total = None if long_words is None else np.cumsum([0] + [len(x.split()) for _, x in line])
                     own: dict[int, list] = {}
-                    for s, c in enumerate(chosen.tolist()):
-                        d = xxhash.xxh3_128_digest(b"\n".join(x for _, x in line[s : s + width]))
-                        own.setdefault(c, []).append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), line[s][0], line[s + width - 1][0]))
+                    for k in range(width if long_words is None else 1, min(width, len(line)) + 1):
+                        view = np.lib.stride_tricks.sliding_window_view(h, k)[:, ::-1]
+                        chosen = np.arange(len(view)) + k - 1 - view.argmin(axis=1)
+                        starts = range(len(view)) if k == width else np.flatnonzero(total[k:] - total[:-k] >= long_words).tolist()
+                        for s in starts:
+                            d = xxhash.xxh3_128_digest(b"\n".join(x for _, x in line[s : s + k]))
+                            own.setdefault(int(chosen[s]), []).append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), line[s][0], line[s + k - 1][0]))
                     ids += [doc] * len(own)
                     prints += h[list(own)].view(np.int64).tolist()
                     at += [[dict(zip(("high", "low", "top", "bottom"), w)) for w in x] for x in own.values()]
@@ -54,9 +63,9 @@ def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return quoted(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id bigint, fp bigint, at array<struct<high:bigint,low:bigint,top:int,bottom:int>>")
 
 
-def repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """doc_id, runs: the line numbers (first, last, first, last, ...) of the maximal repeated runs of each document that has any."""
-    found = written(windows(docs, width), "line-fingerprints")
+    found = written(windows(docs, width, long_words), "line-fingerprints")
     shared = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared-lines")
     near = found.join(shared, "fp").select("doc_id", F.explode("at").alias("w")).select("doc_id", "w.*")
     near = written(near, "line-windows")
@@ -99,31 +108,37 @@ def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return joined.select(*[cut("text", "_runs_found").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_runs_found", F.col("text").alias("_text_before"))
 
 
-def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """docs with repeated runs deleted from text, plus n_lines, n_removed, n_runs (which replace columns of these names).
 
     A document that loses all its lines keeps its row with an empty text; null stays null. Lines are compared
     without white space around them; blank lines never count, but go with a run that spans them. Rows that
     repeat a doc_id count as one document and are treated alike; rows without doc_id are left as they are.
+    Repeats of fewer lines than `width` stay, unless they have `long_words` words (split at ASCII white space) or more.
     """
     taken = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    out = without_runs(quoted(docs, taken), written(repeats(docs, width), "line-runs"))
+    out = without_runs(quoted(docs, taken), written(repeats(docs, width, long_words), "line-runs"))
     lost = F.expr("coalesce(aggregate(sequence(0, size(_runs_found) - 1), 0L, (s, i) -> s + if(i % 2 = 0, 1 - _runs_found[i], _runs_found[i])), 0L)")
     lines = F.coalesce(F.length("_text_before") - F.length(F.replace("_text_before", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
     return out.select(*[F.col(f"`{c}`") for c in taken], lines.alias("n_lines"), lost.alias("n_removed"), F.coalesce(F.size("_runs_found") / 2, F.lit(0)).cast("bigint").alias("n_runs"))
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     """docs with repeated runs deleted from text, all columns kept; n_chars follows the text where docs has it."""
-    out = dedup_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = dedup_lines(docs, long_words=long_words).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op10_linededup(spark: SparkSession, sf_dir: str, long_words: int | None = None) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), long_words=long_words)
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_linededup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_linededup, with repeats of one or two lines deleted too where they have LONG_WORDS words or more."""
+    return op10_linededup(spark, sf_dir, LONG_WORDS)
+
+
 SQL = """
 WITH raw AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
 line AS (SELECT doc_id, unnest(range(len(lines))) AS no, trim(unnest(lines), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM raw),
@@ -141,3 +156,13 @@ SELECT r.doc_id, len(r.lines) AS n_lines, coalesce(lost.n, 0) AS n_removed, coal
        sha256(coalesce(kept.body, '')) AS kept_sha256
 FROM raw r LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
+
+#: SQL, with the shorter runs among the windows.
+LONG_SQL = SQL.replace(
+    "win AS (",
+    f"""counted AS (SELECT *, len(list_filter(string_split_regex(line, '[ ' || chr(9) || chr(11) || chr(12) || chr(13) || ']+'), lambda x: x <> '')) AS words FROM full_line),
+win AS (SELECT doc_id, no AS top, no AS bottom, line AS body FROM counted WHERE words >= {LONG_WORDS}
+        UNION ALL SELECT a.doc_id, a.no, b.no, a.line || chr(10) || b.line
+        FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.words + b.words >= {LONG_WORDS}
+        UNION ALL """,
+)

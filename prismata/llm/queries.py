@@ -15,10 +15,12 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_linededup": linededup.op10_linededup,
+    "op10_linededup_long": linededup.op10_linededup_long,
 }
 SQL = {
     "op2_warc": warc.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op10_linededup": linededup.SQL,
+    "op10_linededup_long": linededup.LONG_SQL,
 }
