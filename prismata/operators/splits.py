@@ -99,7 +99,7 @@ def shingle_edges(docs: DataFrame, similar: float, most: int = 50, width: int =
     """src < dst: pairs of texts (doc_id, text) with word-shingle Jaccard of `similar` or more.
 
     Shingles that more than `most` texts have are too common to tell texts apart: they neither make candidates nor
-    count as common, as the definition of this similarity has it (a text's size counts them).
+    count as common, as the SQL of this similarity has it (a text's size counts them). exact_edges has no such bound.
     """
     words = F.split("text", " ")
     shifted = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - width + 1, F.lit(0))).alias(f"w{k}") for k in range(width)])
@@ -113,6 +113,66 @@ def shingle_edges(docs: DataFrame, similar: float, most: int = 50, width: int =
     return both.where(F.col("both") >= similar * (F.col("na") + F.col("nb") - F.col("both"))).select("src", "dst", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity"))
 
 
+#: Classes that meet in one bucket of a shingle are those of two chunks of about this size.
+CHUNK = 1024
+
+
+def shingle_classes(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFrame]:
+    """members (doc_id, class) of texts with a shingle, and classes (class, n, g) of texts with equal sets of shingles:
+    class is the smallest doc_id, g the shingles as an array of struct<df, h> from the rarest on, df counting classes."""
+    words = F.split("text", " ")
+    shifted = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - width + 1, F.lit(0))).alias(f"w{k}") for k in range(width)])
+    grams = F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(width)])))
+    rows = docs.where("doc_id is not null").select("doc_id", grams.alias("g")).where("size(g) > 0")
+    # Each shingle has as many spaces as any other, so that the joined text tells where each ends.
+    rows = written(rows.select("doc_id", F.sha2(F.concat_ws(" ", F.array_sort("g")), 256).alias("key"), F.transform("g", lambda x: F.xxhash64(x)).alias("g")), "shingle-sets")
+    least = written(rows.groupBy("key").agg(F.min("doc_id").alias("class")), "shingle-classes")
+    members = written(rows.select("doc_id", "key").join(least, "key").select("doc_id", "class").distinct(), "class-members")
+    sets = rows.join(least, "key").where("doc_id = class").select("class", F.size("g").alias("n"), F.explode("g").alias("h")).distinct()
+    sets = written(sets, "class-shingles")
+    df = written(sets.groupBy("h").agg(F.count("*").cast("int").alias("df")), "shingle-counts")
+    classes = sets.join(df, "h").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("g"))
+    return members, written(classes, "classes")
+
+
+def class_edges(classes: DataFrame, similar: float, chunk: int = CHUNK) -> DataFrame:
+    """a < b, both, na, nb: all pairs of classes with Jaccard of `similar` or more.
+
+    Sets this similar share one of their rarest shingles, of which n - similar * n + 1 of each are looked up. A
+    shingle that many classes look up is dealt to pairs of chunks. Candidates are compared by all their shingles.
+    """
+    looked = F.size("g") - F.ceil(similar * F.col("n") - 1e-6).cast("int") + 1
+    rare = written(classes.select("class", "n", F.explode(F.slice("g", 1, F.greatest(looked, F.lit(1)))).alias("s")).where("s.df > 1").select("class", "n", "s.h"), "rarest-shingles")
+    size = written(rare.groupBy("h").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"), "frequent-shingles")
+    dealt = rare.join(size, "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(F.lit("chunk"), "class"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = written(dealt.select("h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "n"), "dealt-shingles")
+    left, right = (dealt.select("h", "low", "high", F.col("own").alias(f"own_{x}"), F.col("class").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    # Two of one chunk meet in the chunk's own bucket only.
+    met = left.join(right, ["h", "low", "high"]).where("a < b and (own_a != own_b or low = high)")
+    pairs = written(met.where(F.least("na", "nb") >= similar * F.greatest("na", "nb")).select("a", "b").distinct(), "candidates")
+    sets = classes.select("class", "n", F.transform("g", lambda x: x["h"]).alias("g"))
+    first, second = (sets.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), "na", "nb")
+    return written(both.where(F.col("both") >= similar * (F.col("na") + F.col("nb") - F.col("both"))), "class-edges")
+
+
+def exact_edges(docs: DataFrame, similar: float, width: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """src < dst, similarity: all pairs of texts (doc_id, text) with word-shingle Jaccard of `similar` or more, however
+    many texts have a shingle. Texts with fewer words than a shingle have none. As many rows as there are such pairs."""
+    members, classes = shingle_classes(docs, width)
+    found = class_edges(classes, similar, chunk).select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity"))
+    left, right = members.select(F.col("doc_id").alias("x"), F.col("class").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("class").alias("b"))
+    across = found.join(left, "a").join(right, "b").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "similarity")
+    return across.unionByName(left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit(1.0).alias("similarity")))
+
+
+def exact_links(docs: DataFrame, similar: float, width: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """src, dst: edges with the components of exact_edges; texts of equal shingles link to the first of them only."""
+    members, classes = shingle_classes(docs, width)
+    return class_edges(classes, similar, chunk).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(members.where("doc_id != class").select(F.col("class").alias("src"), F.col("doc_id").alias("dst")))
+
+
 def cluster_labels(clusters: DataFrame, labels: DataFrame) -> DataFrame:
     """cluster_id, label, n: how often clusters (node, cluster_id) hold each label (node, label)."""
     return clusters.join(labels, "node").groupBy("cluster_id", "label").agg(F.count("*").alias("n"))

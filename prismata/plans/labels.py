@@ -337,8 +337,37 @@ def cluster_histogram(spark, d):
     return splits.cluster_labels(doc_clusters(spark, d), doc_labels(spark, d))
 
 
+#: The same without the bound on a shingle's texts.
+EXACT = COMPONENTS | {"k": "SELECT doc_id, s FROM g"}
+
+
+def exact_doc_clusters(spark, d):
+    docs = view(spark, d, "documents")
+    return written(graph.clusters(docs.select(F.col("doc_id").alias("node")), splits.exact_links(docs, 0.5)), "clusters")
+
+
+@query(sql("SELECT src, dst, similarity FROM e", **{k: EXACT[k] for k in SHINGLES}))
+def exact_identity_edges(spark, d):
+    return splits.exact_edges(view(spark, d, "documents"), 0.5)
+
+
+@query(sql("SELECT node, cluster_id FROM cl", **EXACT))
+def exact_identity_components(spark, d):
+    return exact_doc_clusters(spark, d)
+
+
+@query(sql("SELECT size, count(*) AS n_clusters FROM (SELECT cluster_id, count(*) AS size FROM cl GROUP BY 1) GROUP BY 1", **EXACT))
+def exact_cluster_sizes(spark, d):
+    return exact_doc_clusters(spark, d).groupBy("cluster_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_clusters"))
+
+
+@query(sql("SELECT cluster_id, lang AS label, count(*) AS n FROM cl JOIN documents ON doc_id = node GROUP BY 1, 2", **EXACT))
+def exact_cluster_histogram(spark, d):
+    return splits.cluster_labels(exact_doc_clusters(spark, d), doc_labels(spark, d))
+
+
 def doc_folds(spark, d, n=3):
-    clusters = doc_clusters(spark, d)
+    clusters = exact_doc_clusters(spark, d)
     return clusters, written(splits.assign_folds(splits.cluster_labels(clusters, doc_labels(spark, d)), n), "folds")
 
 
