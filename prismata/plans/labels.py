@@ -380,7 +380,8 @@ def fold_assignment(spark, d):
 def fold_splits(spark, d):
     clusters, folds = doc_folds(spark, d)
     m = view(spark, d, "documents").select(F.col("doc_id").alias("accession"), F.concat_ws(".", "lang", "source").alias("ec"))
-    return splits.fold_members(m, clusters, folds, fold=0, n_folds=3, least=3, seed=SEED)
+    each = [splits.fold_members(m, clusters, folds, fold=i, n_folds=3, least=3, seed=SEED).select(F.lit(i).alias("fold"), "split", "ec", "accession") for i in range(3)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query()
