@@ -17,12 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches, so that a Python worker holds a few MB of text at a time."""
+    """Bound the Arrow batches, so that a Python worker holds a few MB of text at a time. The two settings are read when
+    a plan runs, which may be after its function has returned, so they stay; all operators take the same ones."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
+def sent(spark: SparkSession, thing):
+    """A broadcast of an object of this package, pickled by value: executors need not have the package."""
+    from pyspark import cloudpickle
+
+    return spark.sparkContext.broadcast([cloudpickle.dumps(thing)])
+
+
+def received(broadcast):
+    """What `sent` sent; unpickled once by each worker, and freed with the broadcast."""
+    import pickle
+
+    box = broadcast.value
+    if isinstance(box[0], bytes):
+        box[0] = pickle.loads(box[0])
+    return box[0]
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -32,6 +50,26 @@ def quoted(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def merged_runs(column: str, gap: int = 0) -> str:
+    """SQL: a sorted array of struct<top, bottom> as one flat array top, bottom, top, bottom, ... of runs; those that
+    overlap or are at most `gap` apart are one run."""
+    kind = "cast(array() as array<int>)"
+    joined = "concat(slice(s, 1, size(s) - 1), array(greatest(element_at(s, -1), x.bottom)))"
+    return f"aggregate({column}, {kind}, (s, x) -> if(size(s) > 0 and x.top <= get(s, size(s) - 1) + {gap}, {joined}, concat(s, array(x.top, x.bottom))))"
+
+
 def pieces(batch, column: str, limit: int = BATCH_BYTES):
     """Slices of an Arrow batch whose text column holds about `limit` bytes at most."""
     import pyarrow.compute as pc
