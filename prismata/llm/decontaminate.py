@@ -1,18 +1,18 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index is split by documents: each shard is one row that holds, for some hundreds of
-documents, the postings (positions in the shard) of each term, sorted by term. Terms are the
-words of the benchmark block in hand; other training words get no postings, as no query can
-ask for them. A shard never holds more than about SHARD_BYTES of text, or one longer document.
-Shards are written to the shared folder and can be searched again and again without a shuffle.
+The index is built once, for all terms of the training documents, and is split by documents: each shard is one row that
+holds, for some hundreds of documents, the postings (positions in the shard) of each term, sorted by the term's
+64-bit hash. A shard never holds more than about SHARD_BYTES of text, or one longer document. Shards are written to the
+shared folder and can be searched again and again without a shuffle and without the texts.
 
 A phrase is found by taking the postings of its rarest term in the shard, less the term's offset,
 and intersecting them with the offset-adjusted postings of the next rarest terms, for all
 phrases at once. Documents in a shard are one position apart, where no term stands, so no
-phrase reaches from one document into the next.
+phrase reaches from one document into the next. Proximity matches take the rarest term's postings in the same
+way and keep those that have postings of all other terms nearby.
 
 The benchmark is the query set: it is taken in blocks of at most BLOCK_BYTES of text, which
-bounds what is broadcast; each block has its own index, and matches of all blocks meet by document.
+bounds what is broadcast; every block searches the same index, and matches meet by the document's row in it.
 """
 
 from __future__ import annotations
@@ -22,41 +22,59 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, prepare, quoted, table, written
+from .common import as_bytes, merged_runs, pieces, prepare, quoted, received, sent, table, written
 
 #: Words of a window.
 WINDOW = 13
-SHARD_BYTES, BLOCK_BYTES = 2 << 20, 32 << 20
+#: Words of a span that holds all words of a window in any order, for a proximity match.
+NEAR = 26
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
 #: Bytes that are part of words after lower-casing A-Z; all others separate words.
 WORD_BYTES = bytes(b for b in range(256) if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 TO_WORDS = bytes(b if b in WORD_BYTES else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
-INDEX = "ids array<bigint>, first array<int>, n_words array<int>, terms array<int>, starts array<int>, positions array<int>"
-MATCHES = "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, spans array<int>"
+#: shard: the first 31 bits are the task that made it; row i of the shard is document shard << 24 | i of the index.
+INDEX = "shard bigint, ids array<bigint>, first array<int>, n_words array<int>, terms array<bigint>, starts array<int>, positions array<int>"
+MATCHES = "row bigint, items array<bigint>, spans array<int>"
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(TO_WORDS).split()
 
 
+def term_hash(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word)
+
+
 class Phrases:
-    """Windows of benchmark items over numbered terms; -1 fills up short windows."""
+    """The distinct windows of benchmark items over numbered terms; -1 fills up short windows.
+
+    hashes: of each term; terms: a row of term numbers for each window; items[bound[k] : bound[k + 1]]: the items of window k.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
         import numpy as np
 
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple, set] = {}
-        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        number: dict[bytes, int] = {}
+        rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for item, text in items:
-            line = [number(w) for w in words(text)]
-            for i in range(max(1, len(line) - window + 1) if line else 0):
-                found.setdefault(tuple(line[i : i + window]), set()).add(item)
-        self.terms = np.full((len(found), window), -1, np.int64)
-        self.length = np.zeros(len(found), np.int64)
-        for k, w in enumerate(found):
-            self.terms[k, : len(w)], self.length[k] = w, len(w)
-        self.items = [sorted(x) for x in found.values()]
+            line = np.array([number.setdefault(w, len(number)) for w in words(text)], np.int32)
+            if not len(line):
+                continue
+            line = np.append(line, np.full(max(0, window - len(line)), -1, np.int32))
+            rows.append(np.lib.stride_tricks.sliding_window_view(line, window))
+            owner.append(np.full(len(rows[-1]), item, np.int64))
+        self.hashes = np.fromiter(map(term_hash, number), np.uint64, len(number))
+        rows, owner = np.concatenate(rows), np.concatenate(owner)
+        self.terms, place = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        place = place.ravel()
+        order = np.lexsort((owner, place))
+        new = np.append(len(order) > 0, (place[order][1:] != place[order][:-1]) | (owner[order][1:] != owner[order][:-1]))[: len(order)]
+        order = order[new]
+        self.items, self.bound = owner[order], np.searchsorted(place[order], np.arange(len(self.terms) + 1))
+        self.length = (self.terms >= 0).sum(axis=1)
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
@@ -72,162 +90,193 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES):
     yield block
 
 
-def build_index(docs: DataFrame, phrases_in) -> DataFrame:
-    """The shards of docs (doc_id, text) for the terms of a broadcast Phrases."""
+def build_index(docs: DataFrame) -> DataFrame:
+    """The shards of docs (doc_id, text), with the postings of all their terms."""
+    prepare(docs.sparkSession)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        get = phrases_in.value.vocabulary.get
+        shard = TaskContext.get().partitionId() << 20
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
         for batch in batches:
             for part in pieces(batch, "text", SHARD_BYTES):
-                line: list[int] = []
-                first, count = [], []
-                for text in as_bytes(part, "text"):
-                    own = words(text)
-                    first.append(len(line))
-                    count.append(len(own))
-                    line += [get(w, 0) for w in own]
-                    line.append(0)
-                term = np.array(line, np.int32)
-                at = np.flatnonzero(term)
-                order = at[np.argsort(term[at], kind="stable")].astype(np.int32)
-                terms, starts = np.unique(term[order], return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], t) for x, t in ((part.column("doc_id").cast(pa.int64()).to_pylist(), pa.list_(pa.int64())), (first, pa.list_(pa.int32())), (count, pa.list_(pa.int32())), (terms, pa.list_(pa.int32())), (starts.astype(np.int32), pa.list_(pa.int32())), (order, pa.list_(pa.int32())))],
-                    names=["ids", "first", "n_words", "terms", "starts", "positions"],
-                )
+                lines = [words(t) for t in as_bytes(part, "text")]
+                count = np.fromiter(map(len, lines), np.int64, len(lines))
+                first = np.cumsum(count + 1) - count - 1
+                number: dict[bytes, int] = {}
+                term = np.fromiter((number.setdefault(w, len(number)) for line in lines for w in line), np.int32, int(count.sum()))
+                at = np.arange(len(term)) + np.repeat(np.arange(len(lines)), count)
+                hashes = np.fromiter(map(term_hash, number), np.uint64, len(number))
+                order = np.argsort(hashes)
+                rank = np.empty(len(number), np.int32)
+                rank[order] = np.arange(len(number), dtype=np.int32)
+                by = np.argsort(rank[term], kind="stable")
+                starts = np.cumsum(np.bincount(term, minlength=len(number))[order]) if len(number) else np.zeros(0, np.int64)
+                starts = np.append(0, starts)[:-1] if len(number) else starts
+                row = ((shard, pa.int64()), (part.column("doc_id").cast(pa.int64()).to_pylist(), longs), (first, ints), (count, ints), (hashes[order].view(np.int64), longs), (starts, ints), (at[by], ints))
+                yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, (int, list)) else x.astype(np.int64 if t == longs else np.int32)], t) for x, t in row], names=["shard", "ids", "first", "n_words", "terms", "starts", "positions"])
+                shard += 1
 
     return quoted(docs, ["doc_id", "text"]).mapInArrow(run, INDEX)
 
 
 class Shard:
-    """One row of the index."""
+    """The part of a row of the index that has postings of some terms, given by their hashes."""
 
-    def __init__(self, row, i: int):
+    def __init__(self, row, i: int, hashes):
         import numpy as np
 
         take = lambda name: row.column(name)[i].values.to_numpy(zero_copy_only=False)
-        self.ids = row.column("ids")[i].as_py()
+        self.shard = row.column("shard")[i].as_py()
         self.first, self.n_words = take("first").astype(np.int64), take("n_words").astype(np.int64)
-        self.terms, self.positions = take("terms"), take("positions").astype(np.int64)
-        self.starts = np.append(take("starts"), len(self.positions)).astype(np.int64)
         self.size = int(self.first[-1] + self.n_words[-1] + 1) if len(self.first) else 0
-        self.keys = np.repeat(self.terms.astype(np.int64), np.diff(self.starts)) * self.size + self.positions
-
-    def counts(self, top: int):
-        """How often each term up to `top` stands in the shard, and where its postings start."""
+        terms, positions = take("terms").view(np.uint64), take("positions")
+        starts = np.append(take("starts"), len(positions)).astype(np.int64)
+        at = np.minimum(np.searchsorted(terms, hashes), max(0, len(terms) - 1))
+        there = terms[at] == hashes if len(terms) else np.zeros(len(hashes), bool)
+        self.count = np.where(there, starts[at + 1] - starts[at], 0) if len(terms) else np.zeros(len(hashes), np.int64)
+        self.place = np.cumsum(self.count) - self.count  # where a term's postings begin
+        inner = np.arange(int(self.count.sum())) - np.repeat(self.place, self.count)
+        self.positions = positions[np.repeat(starts[at] if len(terms) else self.place, self.count) + inner].astype(np.int64)
+        self.keys = np.repeat(np.arange(len(hashes)), self.count) * self.size + self.positions
+
+    def rarest(self, terms):
+        """(window, offset): the windows whose terms all stand here, and their offsets from the rarest term on; and their candidates
+        as (row of these, position) of each posting of the rarest."""
         import numpy as np
 
-        n, at = np.zeros(top + 1, np.int64), np.zeros(top + 1, np.int64)
-        n[self.terms], at[self.terms] = np.diff(self.starts), self.starts[:-1]
-        return n, at
-
-    def has(self, term, position):
-        """Whether the term's postings contain the position."""
-        import numpy as np
-
-        if not len(self.keys):
-            return np.zeros(len(term), bool)
-        key = term * self.size + position
-        return (self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key) & (position >= 0) & (position < self.size)
+        if not len(terms):
+            return np.zeros(0, np.int64), terms, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        often = np.where(terms < 0, np.iinfo(np.int64).max, self.count[np.maximum(terms, 0)])
+        live = np.flatnonzero(often.min(axis=1) > 0)
+        order = np.argsort(often[live], axis=1, kind="stable")
+        lead = terms[live, order[:, 0]]
+        row = np.repeat(np.arange(len(live)), self.count[lead])
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(self.count[lead]) - self.count[lead], self.count[lead])
+        return live, order, row, self.positions[self.place[lead[row]] + inner]
 
     def phrases(self, phrases: Phrases):
         """(window, start) of every exact occurrence."""
         import numpy as np
 
-        n, at = self.counts(len(phrases.vocabulary))
         terms = phrases.terms
-        often = np.where(terms < 0, np.iinfo(np.int64).max, n[np.maximum(terms, 0)])
-        live = np.flatnonzero((often.min(axis=1, initial=1) > 0) & (phrases.length > 0)) if len(terms) else np.zeros(0, np.int64)
-        rarest = np.argsort(often[live], axis=1, kind="stable")
-        window = np.repeat(live, n[terms[live, rarest[:, 0]]]) if len(live) else live
-        if not len(window):
-            return window, window
-        row = np.repeat(np.arange(len(live)), n[terms[live, rarest[:, 0]]])
-        before = np.cumsum(n[terms[live, rarest[:, 0]]]) - n[terms[live, rarest[:, 0]]]
-        start = self.positions[at[terms[window, rarest[row, 0]]] + np.arange(len(window)) - before[row]] - rarest[row, 0]
-        for k in range(1, terms.shape[1]):
-            offset = rarest[row, k]
-            term = terms[live[row], offset]
-            keep = (term < 0) | self.has(np.maximum(term, 0), start + offset)
-            row, start = row[keep], start[keep]
+        live, order, row, start = self.rarest(terms)
+        if len(row):
+            start = start - order[row, 0]
+            for k in range(1, terms.shape[1]):
+                offset = order[row, k]
+                term = terms[live[row], offset].astype(np.int64)
+                at = start + offset
+                key = np.maximum(term, 0) * self.size + at
+                found = (self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key) & (at >= 0) & (at < self.size)
+                keep = (term < 0) | found
+                row, start = row[keep], start[keep]
         return live[row], start
 
-    def near(self, terms: list[int], width: int):
-        """Starts of spans of at most `width` words that hold all the terms, in any order: for each posting
-        of the rarest term and each span that contains it, the others' postings are searched in the span."""
+    def near(self, phrases: Phrases, width: int):
+        """(window, document) where a span of at most `width` words of the document holds all terms of the window, in any order."""
         import numpy as np
 
-        n, at = self.counts(max([0, *terms, *self.terms.tolist()]))
-        if not terms or any(not n[t] for t in terms):
-            return np.zeros(0, np.int64)
-        terms = sorted(set(terms), key=lambda t: (n[t], t))
-        start = np.unique((self.positions[at[terms[0]] :][: n[terms[0]]][:, None] - np.arange(width)).ravel())
-        start = start[start >= 0]
-        doc = np.searchsorted(self.first, start, "right") - 1
-        end = np.minimum(start + width, self.first[doc] + self.n_words[doc])
-        for t in terms:
-            post = self.positions[at[t] :][: n[t]]
-            keep = np.searchsorted(post, start) < np.searchsorted(post, end)
-            start, end = start[keep], end[keep]
-        return start
+        terms = phrases.terms
+        live, order, row, at = self.rarest(terms)
+        if not len(row):
+            return live, live
+        doc = np.searchsorted(self.first, at, "right") - 1
+        low, high = np.maximum(at - width + 1, self.first[doc]), np.minimum(at + width, self.first[doc] + self.n_words[doc])
+        for k in range(1, terms.shape[1]):  # all other terms must have a posting within reach
+            term = terms[live[row], order[row, k]].astype(np.int64)
+            base = np.maximum(term, 0) * self.size
+            keep = (term < 0) | (np.searchsorted(self.keys, base + low) < np.searchsorted(self.keys, base + high))
+            row, at, doc, low, high = row[keep], at[keep], doc[keep], low[keep], high[keep]
+        found = []
+        for r, d, a, b in zip(row.tolist(), doc.tolist(), low.tolist(), high.tolist()):
+            own = [int(t) for t in set(terms[live[r]].tolist()) if t >= 0]
+            post = [self.positions[self.place[t] : self.place[t] + self.count[t]] for t in own]
+            post = [x[np.searchsorted(x, a) : np.searchsorted(x, b)] for x in post]
+            start = np.concatenate(post)  # a shortest span starts at a posting
+            last = np.max([np.append(x, 1 << 40)[np.searchsorted(x, start)] for x in post], axis=0)
+            if (last < start + width).any():
+                found.append((int(live[r]), d))
+        return tuple(np.array(x, np.int64) for x in zip(*sorted(set(found)))) if found else (live[:0], live[:0])
+
+
+def _per_document(phrases: Phrases, window, doc) -> dict[int, set]:
+    """The items of the windows found in each document of a shard."""
+    items: dict[int, set] = {}
+    for d, w in zip(doc.tolist(), window.tolist()):
+        items.setdefault(d, set()).update(phrases.items[phrases.bound[w] : phrases.bound[w + 1]].tolist())
+    return items
 
 
 def search(index: DataFrame, phrases_in) -> DataFrame:
-    """Per document: n_words, n_hit, items with occurring windows, and the hit spans as start, end, start, end, ..."""
+    """Per document with an exact match: row, items with occurring windows, and the hit spans as start, end, start, end, ..."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        phrases = phrases_in.value
+        phrases = received(phrases_in)
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard(batch, i)
+                shard = Shard(batch, i, phrases.hashes)
                 window, start = shard.phrases(phrases)
+                if not len(window):
+                    continue
                 edge = np.zeros(shard.size + 1, np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + phrases.length[window], -1)
                 hit = np.cumsum(edge)[: shard.size] > 0
-                total = np.append(0, np.cumsum(hit))
-                n_hit = total[shard.first + shard.n_words] - total[shard.first]
-                items: list[set] = [set() for _ in shard.ids]
-                for d, w in zip((np.searchsorted(shard.first, start, "right") - 1).tolist(), window.tolist()):
-                    items[d].update(phrases.items[w])
+                items = _per_document(phrases, window, np.searchsorted(shard.first, start, "right") - 1)
                 turn = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
                 ends = np.stack([np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)], axis=1)
-                own = np.searchsorted(shard.first, ends[:, 0], "right") - 1 if len(ends) else np.zeros(0, np.int64)
-                spans: list[list] = [[] for _ in shard.ids]
-                for d, (a, b) in zip(own.tolist(), ends.tolist()):
-                    spans[d] += [a - int(shard.first[d]), b - int(shard.first[d])]
+                spans: dict[int, list] = {}
+                for d, (a, b) in zip((np.searchsorted(shard.first, ends[:, 0], "right") - 1).tolist(), ends.tolist()):
+                    spans.setdefault(d, []).extend((a - int(shard.first[d]), b - int(shard.first[d])))
+                docs = sorted(items)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.ids, pa.int64()), pa.array(shard.n_words), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                    [pa.array([shard.shard << 24 | d for d in docs], pa.int64()), pa.array([sorted(items[d]) for d in docs], pa.list_(pa.int64())), pa.array([spans[d] for d in docs], pa.list_(pa.int32()))],
+                    names=["row", "items", "spans"],
                 )
 
-    return index.mapInArrow(run, MATCHES)
+    return index.select(*[x.split()[0] for x in INDEX.split(", ") if x != "ids array<bigint>"]).mapInArrow(run, MATCHES)
 
 
-def near_matches(index: DataFrame, phrases_in, queries: list[tuple[list[bytes], int]]) -> DataFrame:
-    """(query, doc_id, start) of each span of at most so many words that holds all words of a query in any order."""
+def near_search(index: DataFrame, phrases_in, width: int = NEAR) -> DataFrame:
+    """Per document with a proximity match: row, items with a window whose words all stand in `width` words, in any order."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        vocabulary = phrases_in.value.vocabulary
-        asked = [([vocabulary.get(w, 0) for w in line], width) for line, width in queries]
+        phrases = received(phrases_in)
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard(batch, i)
-                for q, (line, width) in enumerate(asked):
-                    start = shard.near(line, width) if line and min(line) else np.zeros(0, np.int64)
-                    doc = np.searchsorted(shard.first, start, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(start), pa.int32()), pa.array([shard.ids[d] for d in doc.tolist()], pa.int64()), pa.array((start - shard.first[doc]).astype(np.int32))], names=["query", "doc_id", "start"])
+                shard = Shard(batch, i, phrases.hashes)
+                items = _per_document(phrases, *shard.near(phrases, width))
+                docs = sorted(items)
+                yield pa.RecordBatch.from_arrays([pa.array([shard.shard << 24 | d for d in docs], pa.int64()), pa.array([sorted(items[d]) for d in docs], pa.list_(pa.int64()))], names=["row", "items"])
+
+    return index.select(*[x.split()[0] for x in INDEX.split(", ") if x != "ids array<bigint>"]).mapInArrow(run, "row bigint, items array<bigint>")
+
 
-    return index.mapInArrow(run, "query int, doc_id bigint, start int")
+def indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written index, and its documents (row, doc_id, n_words), one for each row of docs."""
+    index = written(build_index(docs), "postings")
+    rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "n_words")).alias("i", "d"))
+    return index, rows.select((F.shiftleft("shard", 24) + F.col("i")).alias("row"), F.col("d.ids").alias("doc_id"), F.col("d.n_words").cast("bigint").alias("n_words"))
+
+
+def matched(index: DataFrame, benchmark: DataFrame, find, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What find(index, broadcast Phrases) gives for all blocks of the benchmark, each written as soon as it is found."""
+    spark, out = index.sparkSession, None
+    for block in blocks(benchmark, block_bytes):
+        phrases = sent(spark, Phrases(block, window))
+        part = written(find(index, phrases), "matches")
+        phrases.destroy()
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -237,38 +286,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     `window` consecutive words of an item, or a shorter item as a whole; a word inside an occurrence
     is hit. A document is contaminated if at least one of 20 words is hit. Null or empty texts have
     no words and are clean; items without words or without item_id match nothing. Items with equal
-    texts all count. With several blocks of items, rows that repeat a doc_id are counted as one
-    document if their texts have as many words. Empty tables give no rows, or no hits.
+    texts all count. Rows that repeat a doc_id, or have none, are judged each by its own text. Empty tables give
+    no rows, or no hits. However many blocks the benchmark makes, the rows are the same.
     """
-    spark = prepare(docs.sparkSession)
-    parts = []
-    for block in blocks(benchmark, block_bytes):
-        phrases = spark.sparkContext.broadcast(Phrases(block, window))
-        parts.append(search(written(build_index(docs, phrases), "postings"), phrases))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        out = out.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("spans").alias("all_spans"))
-        out = out.select("doc_id", "n_words", "items", F.udf(_merged, "array<int>")("all_spans").alias("spans"))
-        out = out.withColumn("n_hit", F.expr("aggregate(sequence(0, size(spans) div 2), 0L, (s, i) -> s + coalesce(get(spans, 2 * i + 1) - get(spans, 2 * i), 0))"))
-    return out.select("doc_id", "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
-
-
-def _merged(lists):
-    out: list[int] = []
-    for a, b in sorted((x[i], x[i + 1]) for x in lists for i in range(0, len(x), 2)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+    index, rows = indexed(docs)
+    hits = matched(index, benchmark, search, window, block_bytes).groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("s"))
+    ends = "array_sort(transform(sequence(0, size(s) div 2 - 1), i -> struct(s[2 * i] as top, s[2 * i + 1] as bottom)))"
+    hits = hits.select("row", "items", F.expr(ends).alias("ends")).select("row", "items", F.expr(merged_runs("ends")).alias("spans"))
+    out = rows.join(hits, "row", "left").withColumn("n_hit", F.expr("coalesce(aggregate(spans, 0L, (s, x) -> x - s), 0L)"))  # end - (start - (end - ...))
+    items, spans = F.coalesce("items", F.array().cast("array<bigint>")), F.coalesce("spans", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_words", "n_hit", items.alias("items"), spans.alias("spans"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = NEAR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, items (sorted array of item_id) with a window whose words all stand in `width`
+    consecutive words of the document, in any order. Words, windows, nulls and repeated rows as in `contamination`."""
+    index, rows = indexed(docs)
+    found = matched(index, benchmark, lambda i, p: near_search(i, p, width), window, block_bytes)
+    hits = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.join(hits, "row", "left").select("doc_id", "n_words", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated documents, all columns kept."""
+    """docs without the contaminated documents, all columns kept. A doc_id goes with all its rows; rows without one stay."""
     bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return quoted(docs.join(bad, "doc_id", "left_anti"), docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,6 +319,27 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the items that have a window whose words all stand in NEAR consecutive words of it, in any order."""
+    found = proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", F.size("items").cast("long").alias("n_items"), "items")
+
+
+def brute_near(texts: list[bytes], items: list[tuple[int, bytes]], window: int = WINDOW, width: int = NEAR) -> list[list[int]]:
+    """The items of `proximity` for each text; for tests."""
+    out = []
+    for text in texts:
+        own, found = words(text), set()
+        spans = [set(own[s : s + width]) for s in range(max(1, len(own) - width + 1))]
+        for i, t in items:
+            line = words(t)
+            for k in range(max(1, len(line) - window + 1) if line else 0):
+                if any(set(line[k : k + window]) <= s for s in spans):
+                    found.add(i)
+        out.append(sorted(found))
+    return out
+
+
 def brute_force(texts: list[bytes], items: list[tuple[int, bytes]], window: int = WINDOW) -> list[tuple]:
     """The definition, word by word; for tests."""
     out = []

@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_linededup": linededup.op10_linededup,
     "op10_linededup_long": linededup.op10_linededup_long,
+    "op4_proximity": decontaminate.op4_proximity,
 }
 SQL = {
     "op2_warc": warc.SQL,

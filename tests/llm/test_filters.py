@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 
 from prismata.llm import decontaminate, langid, quality
+from prismata.llm.common import quoted
 from pyspark.sql import functions as F
 
 
@@ -10,23 +11,38 @@ def test_contamination(spark, ugly, named, empty):
     items = [(1, named[20]), (2, "x"), (3, ""), (4, None), (None, "x"), (10, " ".join(named[25].split()[5:30])), (11, "signal nowhere")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     known = [(i, (t or "").encode()) for i, t in items if i is not None]
-    ids = sorted(k for k in named if len(named[k]) < 6000)
-    want = dict(zip(ids, decontaminate.brute_force([named[i].encode() for i in ids], known)))
+    two = spark.createDataFrame([(20, "x y"), (20, "y x x")], "doc_id bigint, text string")  # a doc_id with other texts
+    docs = quoted(ugly, ["doc_id", "text"]).unionByName(two)
+    rows = docs.collect()
+    want = sorted((str(r.doc_id), *w) for r, w in zip(rows, decontaminate.brute_force([(r.text or "").encode() for r in rows], known)))
     for block in (1 << 20, 100):
-        got = decontaminate.contamination(ugly.where(F.col("doc_id").isin(ids)), bench, block_bytes=block).collect()
-        for r in got:
-            names = hashlib.sha256(",".join(sorted(map(str, r["items"]))).encode()).hexdigest()
-            assert (r.n_words, r.n_hit, len(r["items"]), names, r.contaminated) == want[r.doc_id]
+        got = decontaminate.contamination(docs, bench, block_bytes=block).collect()
+        names = lambda r: hashlib.sha256(",".join(sorted(map(str, r["items"]))).encode()).hexdigest()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, len(r["items"]), names(r), r.contaminated) for r in got) == want
+        assert all(r.n_hit == sum(r.spans[1::2]) - sum(r.spans[::2]) for r in got)
     assert decontaminate.contamination(empty, bench).count() == 0
     assert not decontaminate.contamination(ugly, bench.limit(0)).where("contaminated").count()
     assert decontaminate.decontaminate(ugly, bench).columns == ugly.columns
 
 
-def test_near_matches(spark):
-    docs = spark.createDataFrame([(1, "red green blue one two red x blue"), (2, "blue red"), (3, None)], "doc_id bigint, text string")
-    phrases = spark.sparkContext.broadcast(decontaminate.Phrases([(1, b"red blue")]))
-    found = decontaminate.near_matches(decontaminate.build_index(docs, phrases), phrases, [([b"red", b"blue"], 3), ([b"red", b"none"], 3)])
-    assert sorted((r["query"], r.doc_id, r.start) for r in found.collect()) == [(0, 1, 0), (0, 1, 5), (0, 2, 0)]
+def test_proximity(spark, ugly, named, empty, tmp_path):
+    docs = spark.createDataFrame([(1, "red green blue one two red x blue"), (2, "blue red"), (3, None), (4, "red a b c d blue"), (5, "red"), (6, "blue x red")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "red blue"), (2, "red none"), (3, None), (4, "red")], "item_id bigint, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.proximity(docs, bench, width=3).collect()}
+    assert got == {1: [1, 4], 2: [1, 4], 3: [], 4: [4], 5: [4], 6: [1, 4]}
+    turned = named[25].split()
+    items = [(1, named[20]), (2, "x"), (3, ""), (10, " ".join(turned[5:30])), (12, " ".join(turned[20:8:-1])), (13, "stone river lantern quiet market")]
+    ids = sorted(k for k in named if len(named[k]) < 6000)
+    want = dict(zip(ids, decontaminate.brute_near([named[i].encode() for i in ids], [(i, t.encode()) for i, t in items])))
+    assert any(12 in x for x in want.values()) and any(13 in x for x in want.values())
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (1 << 20, 100):
+        got = {r.doc_id: r["items"] for r in decontaminate.proximity(ugly.where(F.col("doc_id").isin(ids)), bench, block_bytes=block).collect()}
+        assert got == want
+    assert decontaminate.proximity(empty, bench).count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id: r["items"] for r in decontaminate.op4_proximity(spark, str(tmp_path)).collect()} == {r.doc_id: r["items"] for r in decontaminate.proximity(docs, bench).collect()}
 
 
 def sentences(n):
