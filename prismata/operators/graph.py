@@ -42,6 +42,7 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, cluster_id of every row of nodes (node): the smallest node of its component, itself where it has no edge.
     edges: src, dst, whose nodes may be of any type that can be ordered."""
     roots = written(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "roots")
-    least = roots.groupBy("root").agg(F.min("node").alias("cluster_id"))
+    # Written first: a join with an aggregate of its own stage can't be split where many nodes share a root.
+    least = written(roots.groupBy("root").agg(F.min("node").alias("cluster_id")), "least")
     named = written(roots.join(least, "root").select("node", "cluster_id"), "named")
     return nodes.select("node").distinct().join(named, "node", "left").select("node", F.coalesce("cluster_id", "node").alias("cluster_id"))
