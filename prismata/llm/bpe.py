@@ -2,11 +2,12 @@
 
 The automaton reads tokens and accepts exactly the token strings that BPE produces. It starts as
 one state with an arc to itself for each byte. Each merge (u, v) -> w, in order of rank, adds a
-gadget: the state behind u is copied without its arc v (after u, v can no longer follow), and
-every state that has an arc u gets an arc w to where v led. The state behind a token depends on
-that token alone, so a state is named by its token, and an arc exists unless a gadget cut it:
-for the states on the right spine of the last token and the arcs on the left spine of the next
-one, a cut counts if it came before the spine's next node was built.
+gadget: w gets a state of its own, a copy of the state behind v as it is by then, and the arc v of the state behind u
+is cut (after u, v can no longer follow). The state behind a token depends on that token alone, so a
+state is named by its token. A cut also closes the arcs of the tokens that begin with v and are built from it later,
+as they stand for the same path; so a state's row lists its cuts (token, rank), and an arc t is there unless
+a token on t's left edge was cut before the next one on that edge was built. The rows are compiled once,
+on the driver, into two flat tables (some 940,000 entries for a vocabulary of 50,000).
 
 A word is encoded by table-driven transitions from left to right: each prefix of a word has one
 accepted tokenization, so one state, whose arcs that match the following bytes lead to the next
@@ -15,14 +16,14 @@ prefixes. Decoding emits the bytes that label the arcs.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import as_bytes, pieces, prepare, quoted, table
+from .common import as_bytes, pieces, prepare, quoted, received, sent, table
 
 #: The pattern that splits text into words before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,9 +33,9 @@ PLAIN = (
     "| ?[^\t-\r \u0085\u00a00-9A-Za-z\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+"
     "|[\t-\r \u0085\u00a0]+(?![^\t-\r \u0085\u00a0])|[\t-\r \u0085\u00a0]+"
 )
-NEVER = 1 << 62
-#: About how many bytes each of the two generations of words takes that a worker remembers, and how many arcs it does.
-CACHE_BYTES, CACHE_ARCS = 64 << 20, 1_000_000
+NEVER = 1 << 30
+#: About how many bytes each of the two generations of words takes that a worker remembers.
+CACHE_BYTES = 32 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,21 +46,49 @@ def byte_letters() -> dict[str, int]:
 
 
 class Automaton:
-    """Tables of the compiled automaton; small (bounded by the vocabulary) and sent to executors once."""
+    """Tables of the compiled automaton; small (bounded by the vocabulary) and sent to executors once.
+
+    first[p] to first[p + 1] are the places of state p's row in symbol (sorted) and rank; left[t] is the
+    left part of token t (-1: a byte, -2: no arc) and built[t] the rank of the merge that built it.
+    Nothing refers back to the tables, so a worker frees them as soon as no task of theirs is left.
+    """
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], special: dict[str, int]):
-        self.label = {i: t for t, i in vocabulary.items()} | {i: s.encode() for s, i in special.items()}
+        from array import array
+
+        top = max([*vocabulary.values(), *special.values()]) + 1
         self.special = special
-        self.cut: dict[tuple[int, int], int] = {}
-        self.spine: dict[int, tuple[int, int, int]] = {}  # token: left part, right part, when it was built
+        self.label = [b""] * top
+        for t, i in [*vocabulary.items(), *((s.encode(), i) for s, i in special.items())]:
+            self.label[i] = t
+        self.left, self.built = array("i", [-2]) * top, array("i", [NEVER]) * top
+        rows: dict[int, dict[int, int]] = {}
+        for t, i in vocabulary.items():
+            if len(t) == 1:
+                self.left[i], rows[i] = -1, {}
         for rank, (a, b) in enumerate(merges):
             u, v, w = vocabulary[a], vocabulary[b], vocabulary[a + b]
-            if w in self.spine:
+            if w in rows:
                 raise ValueError("two merges build the same token")
-            if self.arc(u, v):  # else v never follows u, and the merge never happens
-                self.cut[u, v] = rank
-                self.spine[w] = (u, v, rank)
-        self.arcs = {t: i for t, i in vocabulary.items() if len(t) == 1 or i in self.spine}
+            if u in rows and v in rows and self._open(rows[u], v):  # else v never follows u, and the merge never happens
+                rows[w] = dict(rows[v])
+                rows[u][v] = rank
+                self.left[w], self.built[w] = u, rank
+        self.first, self.symbol, self.rank = array("i", [0]), array("i"), array("i")
+        for p in range(top):
+            row = rows.get(p, {})
+            for v in sorted(row):
+                self.symbol.append(v)
+                self.rank.append(row[v])
+            self.first.append(len(self.symbol))
+
+    def _open(self, row: dict[int, int], t: int) -> bool:
+        until = NEVER
+        while t >= 0:
+            if row.get(t, NEVER + 1) <= until:
+                return False
+            until, t = self.built[t], self.left[t]
+        return True
 
     @classmethod
     def from_file(cls, path: str) -> Automaton:
@@ -74,55 +103,47 @@ class Automaton:
 
     def arc(self, p: int, t: int) -> bool:
         """Whether the state behind token p has an arc for token t."""
-        cut, spine = self.cut, self.spine
-        a, until = p, NEVER
-        while True:
-            b, since = t, NEVER
-            while True:
-                at = cut.get((a, b))
-                if at is not None and at < until and at <= since:
-                    return False
-                if b not in spine:
-                    break
-                b, _, since = spine[b]
-            if a not in spine:
-                return True
-            _, a, until = spine[a]
+        low, high, symbol, left = self.first[p], self.first[p + 1], self.symbol, self.left
+        until = NEVER
+        while t >= 0:
+            i = bisect_left(symbol, t, low, high)
+            if i < high and symbol[i] == t and self.rank[i] <= until:
+                return False
+            until, t = self.built[t], left[t]
+        return True
 
     def ready(self) -> Automaton:
         """Tables that are quick to build again and needn't be sent."""
-        if "step" not in self.__dict__:
+        if "arcs" not in self.__dict__:
             import numpy as np
             import regex
 
+            self.arcs = {t: i for i, t in enumerate(self.label) if self.left[i] > -2}
             self.step: dict = {}  # arcs by their bytes, one at a time; -1: an arc ends here
             for t, i in self.arcs.items():
                 node = self.step
                 for c in t:
                     node = node.setdefault(c, {})
                 node[-1] = i
-            self.known: dict[int, bool] = {}
             self.plain, self.other = re.compile(PLAIN).findall, regex.compile(PATTERN).findall
             self.beyond = re.compile("[^\\x00-\u02af]").search
-            ids = sorted(self.label)
-            self.flat = np.frombuffer(b"".join(map(self.label.__getitem__, ids)), np.uint8)
-            self.length = np.zeros(ids[-1] + 1, np.int64)
-            self.length[ids] = [len(self.label[i]) for i in ids]
+            self.flat = np.frombuffer(b"".join(self.label), np.uint8)
+            self.length = np.fromiter(map(len, self.label), np.int64, len(self.label))
             self.start = np.cumsum(self.length) - self.length
             self.breaks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-            self.cache = Cache(self)
-            gc.freeze()  # the tables hold many small objects, which the collector needn't visit again and again
-            gc.set_threshold(200_000, 50, 100)
+            self.young: dict[str, bytes] = {}
+            self.old: dict[str, bytes] = {}
+            self.size = 0
         return self
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k in ("label", "special", "cut", "spine", "arcs")}
+        return {k: v for k, v in self.__dict__.items() if k in ("label", "special", "left", "built", "first", "symbol", "rank")}
 
     def word(self, data: bytes) -> list[int]:
         """The tokens of one word."""
         if (whole := self.arcs.get(data)) is not None:
             return [whole]
-        n, root, known = len(data), self.step, self.known
+        n, root, arc = len(data), self.step, self.arc
         # Longest arcs first. A position has one state, however it is reached, so none is tried twice.
         behind, before, tried = {0: -1}, {}, []
         i = 0
@@ -132,18 +153,11 @@ class Automaton:
                 node = node.get(data[j])
                 if node is None:
                     break
-                if (t := node.get(-1)) is not None:
-                    tried.append((i, j + 1, t))
+                if -1 in node:
+                    tried.append((i, j + 1, node[-1]))
             while True:
                 i, j, t = tried.pop()
-                if j in before:
-                    continue
-                if not i:
-                    break
-                key = behind[i] << 32 | t
-                if (ok := known.get(key)) is None:
-                    ok = known[key] = self.arc(behind[i], t)
-                if ok:
+                if j not in before and (not i or arc(behind[i], t)):
                     break
             behind[j], before[j] = t, i
             i = j
@@ -153,13 +167,31 @@ class Automaton:
             j = before[j]
         return out[::-1]
 
+    def known(self, words: list[str]) -> bytes:
+        """The tokens of words, which are remembered in two generations: when the young one is full, it becomes the old one."""
+        young, out = self.young, []
+        for word in words:
+            ids = young.get(word)
+            if ids is None:
+                ids = self.old.get(word)
+                if ids is None:
+                    data = word.encode()
+                    ids = b"".join([i.to_bytes(4, "little") for i in self.word(data)])
+                if len(word) <= 256:  # long words seldom come again
+                    self.size += 5 * len(word) + 200
+                    if self.size > CACHE_BYTES:
+                        self.old, self.young, self.size = young, {}, 0
+                        young = self.young
+                    young[word] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def ids(self, text: str) -> bytes:
         """The tokens of a text as little-endian unsigned 32-bit integers."""
-        cache = self.cache
         if self.breaks is None or not any(s in text for s in self.special):
-            return b"".join(map(cache.__getitem__, self.words(text)))
+            return self.known(self.words(text))
         parts = self.breaks.split(text)
-        return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else b"".join(map(cache.__getitem__, self.words(p))) for k, p in enumerate(parts))
+        return b"".join(self.special[p].to_bytes(4, "little") if k % 2 else self.known(self.words(p)) for k, p in enumerate(parts))
 
     def words(self, text: str) -> list[str]:
         return (self.other if self.beyond(text) else self.plain)(text)
@@ -176,30 +208,6 @@ class Automaton:
         return self.flat[at].tobytes().decode("utf-8", "replace")
 
 
-class Cache(dict):
-    """Words met lately, in two generations: when the young one is full, it becomes the old one."""
-
-    def __init__(self, automaton: Automaton):
-        self.automaton, self.old, self.size = automaton, {}, 0
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            data = word.encode()
-            ids = b"".join(i.to_bytes(4, "little") for i in self.automaton.word(data))
-            if len(data) > 256:  # long words seldom come again
-                return ids
-        self.size += 5 * len(word) + 200
-        if self.size > CACHE_BYTES:
-            self.old = dict(self)
-            self.clear()
-            self.size = 0
-            if len(self.automaton.known) > CACHE_ARCS:
-                self.automaton.known.clear()
-        self[word] = ids
-        return ids
-
-
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -208,12 +216,12 @@ def vocabulary_path() -> str:
 
 def _mapped(docs: DataFrame, column: str, path: str | None, schema: str, rows) -> DataFrame:
     spark = prepare(docs.sparkSession)
-    tables = spark.sparkContext.broadcast(Automaton.from_file(path or vocabulary_path()))
+    tables = sent(spark, Automaton.from_file(path or vocabulary_path()))
 
     def run(batches):
         import pyarrow as pa
 
-        automaton = tables.value.ready()
+        automaton = received(tables).ready()
         for batch in batches:
             for part in pieces(batch, column):
                 made = [rows(automaton, x) for x in as_bytes(part, column)]
@@ -244,13 +252,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     from pyspark.sql import functions as F
 
     spark = prepare(encoded.sparkSession)
-    tables = spark.sparkContext.broadcast(Automaton.from_file(path or vocabulary_path()))
+    tables = sent(spark, Automaton.from_file(path or vocabulary_path()))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        automaton = tables.value.ready()
+        automaton = received(tables).ready()
         for batch in batches:
             texts = [automaton.text(np.asarray(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -44,6 +44,37 @@ def test_automaton_equals_the_library():
         assert automaton.text(ids) == t
 
 
+def test_tables_are_freed_and_need_no_package(tmp_path):
+    """Workers are used again by later stages: an automaton goes with its last reference. Executors need not have the package."""
+    import os
+    import subprocess
+    import sys
+    import weakref
+
+    from pyspark import cloudpickle
+
+    data = cloudpickle.dumps(bpe.Automaton.from_file(bpe.vocabulary_path()))
+    for _ in range(2):
+        automaton = bpe.Automaton.from_file(bpe.vocabulary_path()).ready()
+        want = automaton.ids("Some words, some more words").hex()
+        gone = weakref.ref(automaton)
+        del automaton
+        assert gone() is None
+    (tmp_path / "tables").write_bytes(data)
+    script = "import pickle, sys; a = pickle.load(open('tables', 'rb')).ready(); print(a.ids('Some words, some more words').hex(), any(m.startswith('prismata') for m in sys.modules))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=100)
+    assert said.stdout.split() == [want, "False"], said.stderr
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    automaton = bpe.Automaton.from_file(bpe.vocabulary_path()).ready()
+    text = " ".join(f"word{i}" for i in range(2000))
+    assert automaton.text(automaton.ids(text)) == text
+    assert len(automaton.young) + len(automaton.old) < 60
+
+
 def test_tokens_of_all_rows(ugly, named, empty):
     from tokenizers import Tokenizer
 
