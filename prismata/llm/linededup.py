@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, prepare, quoted, table, written
+from .common import as_bytes, fresh, merged_runs, pieces, prepare, quoted, table, written
 
 #: Lines of the shortest run that counts as a repeat.
 WINDOW = 3
@@ -67,45 +67,19 @@ def repeats(docs: DataFrame, width: int = WINDOW, long_words: int | None = None)
     """doc_id, runs: the line numbers (first, last, first, last, ...) of the maximal repeated runs of each document that has any."""
     found = written(windows(docs, width, long_words), "line-fingerprints")
     shared = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared-lines")
-    near = found.join(shared, "fp").select("doc_id", F.explode("at").alias("w")).select("doc_id", "w.*")
+    near = found.join(shared.hint("merge"), "fp").select("doc_id", F.explode("at").alias("w")).select("doc_id", "w.*")
     near = written(near, "line-windows")
     first = near.groupBy("high", "low").agg(F.min(F.struct("doc_id", "top")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = near.join(written(first, "first-windows"), ["high", "low"]).where(F.struct("doc_id", "top") > F.col("first"))
+    late = near.join(written(first, "first-windows").hint("merge"), ["high", "low"]).where(F.struct("doc_id", "top") > F.col("first"))
     lists = late.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("top", "bottom"))).alias("late"))
-    return lists.select("doc_id", F.udf(_runs, "array<int>")("late").alias("runs"))
+    return lists.select("doc_id", F.expr(merged_runs("late", gap=1)).alias("runs"))
 
 
-def _runs(late):
-    """Sorted windows that touch or overlap grow into one run."""
-    out: list[int] = []
-    for top, bottom in late:
-        if out and top <= out[-1] + 1:
-            out[-1] = max(out[-1], bottom)
-        else:
-            out += [top, bottom]
-    return out
-
-
-def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """docs, with the lines of runs (doc_id, runs: first, last, first, last, ...) cut out of text, and _runs_found."""
-    joined = docs.join(runs.select(F.col("doc_id").alias("_run_doc"), F.col("runs").alias("_runs_found")), F.col("doc_id") == F.col("_run_doc"), "left")
-
-    @F.pandas_udf("string")
-    def cut(text, runs):
-        import pandas as pd
-
-        out = []
-        for x, r in zip(text, runs):
-            if x is not None and r is not None and len(r):
-                lines, keep, last = x.split("\n"), [], 0
-                for a, b in zip(r[::2], r[1::2]):
-                    keep += lines[last:a]
-                    last = b + 1
-                x = "\n".join(keep + lines[last:])
-            out.append(x)
-        return pd.Series(out, dtype=object)
-
-    return joined.select(*[cut("text", "_runs_found").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_runs_found", F.col("text").alias("_text_before"))
+def kept_lines(text: str, runs: str) -> str:
+    """SQL: the text without the lines of runs (first, last, first, last, ...; may be null)."""
+    start, end = f"if(j = 0, 0, {runs}[2 * j - 1] + 1)", f"if(2 * j = size({runs}), size(split({text}, '\\n')), get({runs}, 2 * j))"
+    left = f"flatten(transform(sequence(0, size({runs}) div 2), j -> slice(split({text}, '\\n'), {start} + 1, {end} - {start})))"
+    return f"if({runs} is null, {text}, array_join({left}, '\\n'))"
 
 
 def dedup_lines(docs: DataFrame, width: int = WINDOW, long_words: int | None = None) -> DataFrame:
@@ -117,10 +91,16 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW, long_words: int | None = N
     Repeats of fewer lines than `width` stay, unless they have `long_words` words (split at ASCII white space) or more.
     """
     taken = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    out = without_runs(quoted(docs, taken), written(repeats(docs, width, long_words), "line-runs"))
-    lost = F.expr("coalesce(aggregate(sequence(0, size(_runs_found) - 1), 0L, (s, i) -> s + if(i % 2 = 0, 1 - _runs_found[i], _runs_found[i])), 0L)")
-    lines = F.coalesce(F.length("_text_before") - F.length(F.replace("_text_before", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
-    return out.select(*[F.col(f"`{c}`") for c in taken], lines.alias("n_lines"), lost.alias("n_removed"), F.coalesce(F.size("_runs_found") / 2, F.lit(0)).cast("bigint").alias("n_runs"))
+    found = written(repeats(docs, width, long_words), "line-runs")
+    own, runs = fresh(docs, "run_doc", "runs_found")
+    docs = quoted(docs, taken)
+    out = docs.join(found.select(F.col("doc_id").alias(own), F.col("runs").alias(runs)), docs["doc_id"] == F.col(own), "left")
+    lost = F.expr(f"coalesce(aggregate(sequence(0, size({runs}) - 1), 0L, (s, i) -> s + if(i % 2 = 0, 1 - {runs}[i], {runs}[i])), 0L)")
+    lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
+    return out.select(
+        *[F.expr(kept_lines("text", runs)).alias("text") if c == "text" else F.col(f"`{c}`") for c in taken],
+        lines.alias("n_lines"), lost.alias("n_removed"), F.coalesce(F.size(runs) / 2, F.lit(0)).cast("bigint").alias("n_runs"),
+    )
 
 
 def drop_repeated_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, fp bigint, spans string, runs int, n int, keep_id string, bands string, _wanted string"
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, fp bigint, spans string, runs int, n int, keep_id string, bands string, _wanted string, run_doc string, Runs_Found int, removed_doc string"
 
 
 def ugly_rows():
@@ -16,8 +16,8 @@ def ugly_rows():
     texts += [passage[0]] * 6 + [passage[0] + " tail"] * 3
     texts += ["\n".join([line(25), passage[1], passage[2], passage[3], line(25)]) for _ in range(12)]
     texts += ["\n".join(line(12) for _ in range(turn.randint(1, 9))) for _ in range(40)]
-    rows = [(i, t, None if i % 7 == 0 else ("en", "de")[i % 2], None, len(t or ""), "k", i, "s", 1, 2, "z", "b", "w") for i, t in enumerate(texts)]
-    rows.append((None, passage[1], None, None, None, None, None, None, None, None, None, None, None))
+    rows = [(i, t, None if i % 7 == 0 else ("en", "de")[i % 2], None, len(t or ""), "k", i, "s", 1, 2, "z", "b", "w", "r", 3, None) for i, t in enumerate(texts)]
+    rows.append((None, passage[1], *[None] * 14))
     return rows + [rows[20], rows[20]]
 
 
