@@ -1,9 +1,10 @@
 """WARC archives: written from pages, read back, and assembled into one row per capture.
 
 Writing is done by Spark's text writer, whose line separator is the end of a record, so archives go
-to any store that Spark can write; each partition is one gzip file. Reading takes each file whole
-(binaryFile), so a file should stay well under 2 GB; the writer's are as large as a shuffle partition. Records are
-cut by their Content-Length, never by searching for a mark, so payloads may hold anything.
+to any store that Spark can write. Reading takes each file whole (binaryFile, 2 GB at most), gzip or plain, and unpacks
+it a few hundred kB at a time; so the writer begins a new gzip file whenever one has as many records as pages of
+average size make FILE_BYTES. Records are cut by their Content-Length, never by searching for a mark, so payloads
+may hold anything.
 
 Assembly joins request, response (or revisit) and metadata records through WARC-Concurrent-To, in
 either direction, and also where metadata names the request rather than the response.
@@ -24,6 +25,8 @@ LEAST_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n"
+#: Bytes of payloads that a file has, if its pages are of average size.
+FILE_BYTES = 64 << 20
 
 RECORDS = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload_bytes bigint, http_status int, block string, payload binary"
 
@@ -51,6 +54,7 @@ def _record(headers: list, block):
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, date: str = DATE) -> None:
     """Write a request, a response or revisit, and a metadata record for each row of pages (page_id, url, html)."""
     html = text_or_empty("html")
+    mean = pages.agg(F.avg(F.octet_length(html))).first()[0] or 0
     rows = pages.select(F.col("page_id"), F.regexp_replace("url", "[\\r\\n\\t ]+", "%20").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("bigint"))
     # Digests that come more than once, with the smallest page_id of each: combined on the map side, without html.
@@ -85,63 +89,89 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, date:
         F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(END)),
     )
     between = F.lit(END + END)
-    rows.select(F.concat(request, between, capture, between, metadata).alias("value")).write.option("lineSep", END + END).option("compression", "gzip").text(path)
+    rows.select(F.concat(request, between, capture, between, metadata).alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 2000)))).text(path)
 
 
-def parse(data: bytes):
-    """The records of an archive, plain or gzip (in one member or many): header fields and block."""
-    import zlib
-
-    pos, held, z = 0, b"", None
-
-    def more(need: int) -> bool:
-        """Unpack until `need` bytes are held; False at the end of the file."""
-        nonlocal pos, held, z
-        if data[:2] != b"\x1f\x8b":
-            held, pos = held + data[pos : pos + max(need, 1 << 20)], pos + max(need, 1 << 20)
-            return len(held) >= need
-        got = [held]
-        size = len(held)
-        while size < need and pos < len(data):
-            z = z or zlib.decompressobj(31)
-            piece = z.decompress(data[pos : pos + (1 << 18)])
-            pos = min(len(data), pos + (1 << 18))
-            if z.eof:
-                pos -= len(z.unused_data)
-                z = None
-            got.append(piece)
-            size += len(piece)
-        held = b"".join(got)
-        return size >= need
+class Unpacked:
+    """The bytes of an archive, plain or gzip (in one member or many), unpacked only as far as they are asked for."""
 
-    while True:
-        want = 1 << 16
-        while (end := held.find(b"\r\n\r\n")) < 0 or not held[:end].strip():
-            if end >= 0:  # blank lines between records
-                held = held.lstrip(b"\r\n")
+    STEP = 1 << 18
+
+    def __init__(self, data: bytes):
+        self.data, self.pos, self.held, self.at = data, 0, bytearray(), 0
+        self.packed, self.z = data[:2] == b"\x1f\x8b", None
+
+    def fill(self, need: int) -> bool:
+        """Hold `need` bytes from `at` on; False if there aren't so many."""
+        import zlib
+
+        if self.at > 1 << 20:  # what was read goes now and then, not for each record
+            del self.held[: self.at]
+            self.at = 0
+        while len(self.held) - self.at < need and (self.pos < len(self.data) or self.z and self.z.unconsumed_tail):
+            if not self.packed:
+                self.held += self.data[self.pos : self.pos + self.STEP]
+                self.pos += self.STEP
                 continue
-            if not more(len(held) + want):
-                if (end := held.find(b"\r\n\r\n")) < 0 or not held[:end].strip():
-                    if held.strip():
-                        raise ValueError("the archive ends inside a record's header")
-                    return
-                break
-        head = held[:end].lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
-        if not head[0].startswith("WARC/"):
+            self.z = self.z or zlib.decompressobj(31)
+            tail = self.z.unconsumed_tail
+            if not tail:
+                tail = self.data[self.pos : self.pos + self.STEP]
+                self.pos += len(tail)
+            self.held += self.z.decompress(tail, 4 * self.STEP)
+            if self.z.eof:
+                self.pos -= len(self.z.unused_data)
+                self.z = None
+        return len(self.held) - self.at >= need
+
+    def skip(self, letters: bytes) -> None:
+        """Go over any of these bytes."""
+        while self.fill(1) and self.held[self.at] in letters:
+            self.at += 1
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes up to the mark, which is gone over; None if there is no mark any more."""
+        seen = 0
+        while (end := self.held.find(mark, self.at + max(0, seen - len(mark)))) < 0:
+            seen = len(self.held) - self.at
+            if not self.fill(seen + 1):
+                return None
+        out = bytes(self.held[self.at : end])
+        self.at = end + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes | None:
+        if not self.fill(n):
+            return None
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += n
+        return out
+
+
+def parse(data: bytes):
+    """The records of an archive: header fields and block, one at a time."""
+    file = Unpacked(data)
+    while True:
+        file.skip(b"\r\n")
+        if not file.fill(1):
+            return
+        head = file.until(b"\r\n\r\n")
+        if head is None:
+            raise ValueError("the archive ends inside a record's header")
+        lines = head.decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
-        size = int(fields["content-length"])
-        held = held[end + 4 :]
-        if len(held) < size and not more(size):
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        block = file.take(int(fields["content-length"]))
+        if block is None:
             raise ValueError("the archive ends inside a record's block")
-        yield fields, held[:size]
-        held = held[size:].lstrip(b"\r\n")
+        yield fields, block
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records of the archives in a folder. payload_bytes and payload_digest (bare base 32) are those of
     the payload where it is there, else those that the record states. block: of metadata records."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
+    prepare(spark)  # a row is a file; a large one has a batch of its own
 
     def run(batches):
         import base64
@@ -181,23 +211,24 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield batch_of(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, RECORDS)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
 
 
-def captures(records: DataFrame) -> DataFrame:
+def captures(records: DataFrame, once: bool = True) -> DataFrame:
     """One row per response, revisit or resource: its fields, and the nested request and metadata records
     that are concurrent to it (null where there is none; of several the one of least record id).
 
-    A record that stands twice (the same id) counts once. Records without id, and those whose
+    With `once`, a record that stands twice (the same id) counts once. Records without id, and those whose
     concurrent record is missing, belong to no capture. An empty archive gives no rows.
     """
     records = records.where("record_id is not null")
-    main = records.where("type in ('response', 'revisit', 'resource')").dropDuplicates(["record_id"])
+    main = records.where("type in ('response', 'revisit', 'resource')")
+    main = main.dropDuplicates(["record_id"]) if once else main
     rest = records.where("type in ('request', 'metadata')")
     names = [c for c in records.columns if c != "payload"]
     named = rest.select(F.col("record_id").alias("id"), F.col("concurrent_to").alias("to")).where("to is not null")
     named = named.unionAll(main.where("concurrent_to is not null").select(F.col("concurrent_to").alias("id"), F.col("record_id").alias("to"))).distinct()
-    direct = named.join(main.select(F.col("record_id").alias("to")), "to").select("id", F.col("to").alias("capture"))
+    direct = named.join(main.select(F.col("record_id").alias("to")).distinct(), "to").select("id", F.col("to").alias("capture"))
     through = named.join(direct.select(F.col("id").alias("to"), "capture"), "to").select("id", "capture")
     owner = direct.unionAll(through).groupBy("id").agg(F.min("capture").alias("capture"))
     part = lambda kind: F.min(F.when(F.col("type") == kind, F.struct(*names))).alias(kind)
@@ -206,18 +237,17 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages to archives and back. Null html is empty. Rows that repeat a page_id and its html are one capture;
-    an empty table gives no rows."""
+    """Pages to archives and back. Null html is empty. Rows that repeat a page_id and its html have records of
+    the same ids, and each comes back; so do rows without page_id. An empty table gives no rows."""
     path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     pages = table(spark, sf_dir, "pages")
     write_archives(pages, path)
     records = written(read_archives(spark, path, payloads=False).drop("payload"), "records")
-    prepare(spark)  # later plans have batches of more than one row again
-    found = captures(records)
+    found = captures(records, once=False)
     page = F.regexp_extract(F.col("metadata.block"), "(?m)^page-id: *(-?[0-9]*)", 1)
     found = found.select("record_id", F.nullif(page, F.lit("")).cast(pages.schema["page_id"].dataType).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").alias("first"))
     found = written(found, "captures")
-    firsts = found.where("record_type = 'response'").select(F.col("record_id").alias("first"), F.col("page_id").alias("refers_to"))
+    firsts = found.where("record_type = 'response'").select(F.col("record_id").alias("first"), F.col("page_id").alias("refers_to")).distinct()
     return found.join(firsts, "first", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

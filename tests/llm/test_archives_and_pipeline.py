@@ -15,11 +15,16 @@ def write_table(df, folder, name):
 
 def test_archives(spark, tmp_path):
     pages = [(1, "http://a.b/c", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://a.b/\r\nc", None), (4, "", ""), (5, "http://ü.x/", "é\r\n\r\nWARC/1.1\r\n\r\n" * 3), (6, "http://a.b", "<p>x</p>"), (6, "http://a.b", "<p>x</p>")]
-    write_table(spark.createDataFrame(pages, "page_id bigint, url string, html string"), tmp_path, "pages")
-    got = {r.page_id: tuple(r)[1:] for r in warc.op2_warc(spark, str(tmp_path)).collect()}
+    pages += [(None, "http://a.b", "<p>x</p>"), (None, None, "only here"), (None, None, "only here"), (8, "http://long.x", "ab\r\n" * 3_000_000), (9, "http://long.x", "ab\r\n" * 3_000_000)]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "1 as digest", "'x' as first", "2 as bytes", "null as record_id")
+    write_table(table, tmp_path, "pages")
+    rows = [tuple(r) for r in warc.op2_warc(spark, str(tmp_path)).collect()]
+    assert len(rows) == len(pages) and rows.count(next(r for r in rows if r[0] == 6)) == 2
+    assert sorted(r[1:2] + r[3:] for r in rows if r[0] is None) == [(8, "revisit", 1), (9, "response", None), (9, "response", None)]
+    got = {r[0]: r[1:] for r in rows if r[0] is not None}
     first = {}
     want = {}
-    for i, _, html in pages:
+    for i, _, html in (p for p in pages if p[0] is not None):
         data = (html or "").encode()
         kept = first.setdefault(data, i)
         want[i] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if kept == i else "revisit", None if kept == i else kept)
@@ -28,7 +33,9 @@ def test_archives(spark, tmp_path):
     warc.write_archives(spark.read.parquet(f"{tmp_path}/pages.parquet"), path)
     rows = warc.captures(warc.read_archives(spark, path)).collect()
     assert all(r.request.type == "request" and r.metadata.type == "metadata" for r in rows)
-    assert sorted(bytes(r.payload).decode() for r in rows if r.type == "response") == sorted({h or "" for _, _, h in pages})
+    assert sorted(bytes(r.payload or b"").decode() for r in rows if r.type == "response") == sorted({h or "" for _, _, h in pages})
+    write_table(table.limit(0), tmp_path / "none", "pages")
+    assert warc.op2_warc(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_parse_members_and_broken_archives():
@@ -36,6 +43,9 @@ def test_parse_members_and_broken_archives():
     data = b"".join(gzip.compress(one % i) for i in range(3))
     assert [f["warc-record-id"] for f, _ in warc.parse(data)] == [f"<urn:x:{i}>" for i in range(3)]
     assert list(warc.parse(b"")) == []
+    many = b"".join(b"WARC/1.1\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, 5000 * i, b"ab\r\n\r" * 1000 * i) for i in range(120))
+    for data in (many, gzip.compress(many)):  # plain, and one member of several MB
+        assert [(f["warc-record-id"], len(b)) for f, b in warc.parse(data)] == [(f"<urn:x:{i}>", 5000 * i) for i in range(120)]
     with pytest.raises(ValueError):
         list(warc.parse(one % 1 + b"WARC/1.0\r\nContent-Length: 9\r\n\r\nab"))
 
