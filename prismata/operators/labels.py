@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from ..session import written
 
 
 def required(df: DataFrame, *columns: str) -> DataFrame:
@@ -106,12 +107,14 @@ def node_index(edges: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     """df with a row number from 0 in the order of key (unique)."""
-    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(key)
-    ranked = parts.withColumn("_own", F.row_number().over(own))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
-    before = sizes.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    return ranked.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("bigint")).drop("_part", "_own", "_before")
+    # Written once: two plans of the ranges would sample their bounds twice and need not agree.
+    taken = {c.lower() for c in df.columns}
+    part, own, n, before = (next(x for x in (f"{name}{'_' * i}" for i in range(1, 99)) if x.lower() not in taken) for name in ("part", "own", "size", "before"))
+    parts = written(df.repartitionByRange(key).withColumn(part, F.spark_partition_id()), "ranges")
+    ranked = parts.withColumn(own, F.row_number().over(Window.partitionBy(part).orderBy(key)))
+    sizes = parts.groupBy(part).agg(F.count("*").alias(n))  # a row per partition
+    shift = sizes.select(part, (F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias(before))
+    return ranked.join(F.broadcast(shift), part).withColumn(name, (F.col(before) + F.col(own) - 1).cast("bigint")).select(*df.columns, name)
 
 
 def last_wins(df: DataFrame, key: str, ordinal: str) -> DataFrame:
