@@ -46,3 +46,34 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     least = written(roots.groupBy("root").agg(F.min("node").alias("cluster_id")), "least")
     named = written(roots.join(least, "root").select("node", "cluster_id"), "named")
     return nodes.select("node").distinct().join(named, "node", "left").select("node", F.coalesce("cluster_id", "node").alias("cluster_id"))
+
+
+def representatives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, representative: greedy clustering of nodes (node, turn: unique, smallest first) by edges (src, dst). In the order of turn,
+    a node without an edge to an earlier representative becomes one, and stands for itself; others go to the
+    earliest that they have an edge to.
+
+    Nodes are decided in rounds: one whose earlier neighbours are all decided against is a representative, and its later
+    neighbours are not. Each round decides at least the earliest open node of each component.
+    """
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a != b")
+    both = both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    turns = nodes.select("node", "turn")
+    first, second = (turns.select(F.col("node").alias(n), F.col("turn").alias(f"{n}_turn")) for n in "ab")
+    ahead = written(both.join(first, "a").join(second, "b").where("a_turn < b_turn"), "ahead")  # a comes before b
+    open_, chosen = ahead, None
+    while not open_.isEmpty():
+        # Open nodes with an edge but no earlier open neighbour.
+        new = written(open_.select(F.col("a").alias("node")).distinct().join(open_.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), "chosen")
+        chosen = new if chosen is None else chosen.unionAll(new)
+        out = written(open_.join(new.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct(), "decided")
+        gone = new.unionAll(out)
+        # What hung on nodes that are decided against is free again, so edges go with either end.
+        open_ = written(open_.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"), "open")
+    if chosen is None:
+        return nodes.select("node", F.col("node").alias("representative"))
+    # Nodes that lost all their edges without being decided are representatives too: they have no earlier one.
+    taken = written(ahead.join(chosen.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct(), "taken")
+    stand = nodes.select("node").join(taken, "node", "left_anti")
+    late = ahead.join(stand.withColumnRenamed("node", "a"), "a", "left_semi").groupBy("b").agg(F.min(F.struct("a_turn", "a")).alias("w")).select(F.col("b").alias("node"), F.col("w.a").alias("rep"))
+    return nodes.select("node").join(late, "node", "left").select("node", F.coalesce("rep", "node").alias("representative"))

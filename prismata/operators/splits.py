@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import ancestor
 from ..functions.hashing import ticket
 from ..session import written
+from .graph import representatives
 from .labels import numbered
 
 
@@ -95,24 +97,6 @@ def fill_train(train: DataFrame, pool: DataFrame, target: int) -> DataFrame:
     return train.select("ec", "accession", F.lit(False).alias("added")).unionByName(added.withColumn("added", F.lit(True)))
 
 
-def shingle_edges(docs: DataFrame, similar: float, most: int = 50, width: int = 3) -> DataFrame:
-    """src < dst: pairs of texts (doc_id, text) with word-shingle Jaccard of `similar` or more.
-
-    Shingles that more than `most` texts have are too common to tell texts apart: they neither make candidates nor
-    count as common, as the SQL of this similarity has it (a text's size counts them). exact_edges has no such bound.
-    """
-    words = F.split("text", " ")
-    shifted = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - width + 1, F.lit(0))).alias(f"w{k}") for k in range(width)])
-    grams = F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(width)]))
-    rows = docs.select("doc_id", F.array_distinct(grams).alias("g")).where("size(g) > 0")
-    rows = written(rows.select("doc_id", F.size("g").alias("n"), F.explode("g").alias("s")).select("doc_id", "n", F.xxhash64("s").alias("h")), "shingles")
-    rare = rows.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).select("h")
-    kept = written(rows.join(written(rare, "rare-shingles"), "h"), "kept-shingles")
-    a, b = kept.select("h", F.col("doc_id").alias("src"), F.col("n").alias("na")), kept.select("h", F.col("doc_id").alias("dst"), F.col("n").alias("nb"))
-    both = a.join(b, "h").where("src < dst").groupBy("src", "dst", "na", "nb").agg(F.count("*").alias("both"))
-    return both.where(F.col("both") >= similar * (F.col("na") + F.col("nb") - F.col("both"))).select("src", "dst", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity"))
-
-
 #: Classes that meet in one bucket of a shingle are those of two chunks of about this size.
 CHUNK = 1024
 
@@ -157,20 +141,30 @@ def class_edges(classes: DataFrame, similar: float, chunk: int = CHUNK) -> DataF
     return written(both.where(F.col("both") >= similar * (F.col("na") + F.col("nb") - F.col("both"))), "class-edges")
 
 
-def exact_edges(docs: DataFrame, similar: float, width: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """src < dst, similarity: all pairs of texts (doc_id, text) with word-shingle Jaccard of `similar` or more, however
-    many texts have a shingle. Texts with fewer words than a shingle have none. As many rows as there are such pairs."""
+def shingle_edges(docs: DataFrame, similar: float, width: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """src, dst, similarity: links with the components of all pairs of texts (doc_id, text) whose word-shingle Jaccard is `similar`
+    or more, however many texts have a shingle. Texts of equal shingles link to the first of them; two such groups
+    link by their first texts, src < dst; so copies make no pairs among themselves. Texts with fewer words than a shingle have none."""
     members, classes = shingle_classes(docs, width)
-    found = class_edges(classes, similar, chunk).select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity"))
-    left, right = members.select(F.col("doc_id").alias("x"), F.col("class").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("class").alias("b"))
-    across = found.join(left, "a").join(right, "b").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "similarity")
-    return across.unionByName(left.join(right, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit(1.0).alias("similarity")))
+    found = class_edges(classes, similar, chunk).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity"))
+    return found.unionByName(members.where("doc_id != class").select(F.col("class").alias("src"), F.col("doc_id").alias("dst"), F.lit(1.0).alias("similarity")))
 
 
-def exact_links(docs: DataFrame, similar: float, width: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """src, dst: edges with the components of exact_edges; texts of equal shingles link to the first of them only."""
+def shingle_representatives(docs: DataFrame, similar: float, width: int = 3) -> DataFrame:
+    """doc_id, representative: greedy clusters of texts (doc_id, text), those of most shingles (then of smallest doc_id) first. Texts of
+    equal shingles are one; texts with fewer words than a shingle stand for themselves."""
     members, classes = shingle_classes(docs, width)
-    return class_edges(classes, similar, chunk).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(members.where("doc_id != class").select(F.col("class").alias("src"), F.col("doc_id").alias("dst")))
+    turn = F.concat(F.lpad((F.lit(1 << 30) - F.col("n")).cast("string"), 10, "0"), F.lit("|"), F.lpad(F.col("class").cast("string"), 20, "0"))
+    named = written(representatives(classes.select(F.col("class").alias("node"), turn.alias("turn")), class_edges(classes, similar).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "representatives")
+    placed = members.join(named.withColumnRenamed("node", "class"), "class").select("doc_id", "representative")
+    return docs.select("doc_id").distinct().join(placed, "doc_id", "left").select("doc_id", F.coalesce("representative", "doc_id").alias("representative"))
+
+
+def stratum(code, how: str = "top"):
+    """What folds are stratified by: the top level of a code, the full code, or nothing."""
+    if how not in ("top", "full", "none"):
+        raise ValueError("stratify by top, full or none")
+    return F.lit("all") if how == "none" else code if how == "full" else ancestor(code, 1)
 
 
 def cluster_labels(clusters: DataFrame, labels: DataFrame) -> DataFrame:
@@ -184,7 +178,7 @@ def assign_folds(histogram: DataFrame, folds: int) -> DataFrame:
     then the lower number); labels that neither fold nor cluster has cost nothing.
 
     The choice depends on all choices before it, so one task takes the clusters as a stream in order. It holds
-    only the folds' label counts and targets, and a cluster is one row of its label counts.
+    only the folds' label counts and targets, and a cluster is one row of its label counts and costs as many steps as it has labels.
     """
     total = {r.label: r.n for r in histogram.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a row per label
     target = {k: n / folds for k, n in total.items()}
@@ -195,19 +189,21 @@ def assign_folds(histogram: DataFrame, folds: int) -> DataFrame:
 
         have = [dict() for _ in range(folds)]
         sizes, goal, seen = [0] * folds, sum(total.values()) / folds, 0
+        base = [0.0] * folds  # each fold's squared distances for the labels that it has
         for batch in batches:
             out = []
             for size, counts in zip(batch["size"], batch["counts"]):
                 counts = dict(counts)
+
+                def change(f, counts=counts):
+                    own = have[f]
+                    return sum((own.get(k, 0) + n - target[k]) ** 2 - ((own[k] - target[k]) ** 2 if k in own else 0) for k, n in counts.items())
+
                 if seen < folds:
                     pick = seen
                 else:
-
-                    def cost(f, counts=counts, size=size):
-                        own = have[f]
-                        return sum((own.get(k, 0) + counts.get(k, 0) - target[k]) ** 2 for k in own.keys() | counts.keys()) + (sizes[f] + size - goal) ** 2
-
-                    pick = min(range(folds), key=lambda f: (cost(f), sizes[f], f))
+                    pick = min(range(folds), key=lambda f, size=size: (round(base[f] + change(f) + (sizes[f] + size - goal) ** 2, 6), sizes[f], f))
+                base[pick] += change(pick)
                 seen += 1
                 sizes[pick] += size
                 for k, n in counts.items():

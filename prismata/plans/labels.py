@@ -291,10 +291,10 @@ def augment_train(spark, d):
 SHINGLES = {
     "w": "SELECT doc_id, string_split(text, ' ') AS w FROM documents",
     "g": "SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS s FROM w WHERE len(w) >= 3",
-    "n": "SELECT doc_id, count(*) AS n FROM g GROUP BY 1",
-    "k": "SELECT * FROM g WHERE s IN (SELECT s FROM g GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50)",
+    "eq": "SELECT doc_id, n, min(doc_id) OVER (PARTITION BY key) AS class FROM (SELECT doc_id, count(*) AS n, string_agg(s, ' ' ORDER BY s) AS key FROM g GROUP BY 1)",
+    "k": "SELECT g.doc_id, s FROM g JOIN eq USING (doc_id) WHERE g.doc_id = class",
     "p": "SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS c FROM k a JOIN k b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2",
-    "e": "SELECT src, dst, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN n x ON x.doc_id = src JOIN n y ON y.doc_id = dst WHERE c >= 0.5 * (x.n + y.n - c)",
+    "e": "SELECT src, dst, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN eq x ON x.doc_id = src JOIN eq y ON y.doc_id = dst WHERE c >= 0.5 * (x.n + y.n - c) UNION ALL SELECT class, doc_id, 1.0 FROM eq WHERE doc_id <> class",
 }
 
 
@@ -337,37 +337,21 @@ def cluster_histogram(spark, d):
     return splits.cluster_labels(doc_clusters(spark, d), doc_labels(spark, d))
 
 
-#: The same without the bound on a shingle's texts.
-EXACT = COMPONENTS | {"k": "SELECT doc_id, s FROM g"}
-
-
-def exact_doc_clusters(spark, d):
-    docs = view(spark, d, "documents")
-    return written(graph.clusters(docs.select(F.col("doc_id").alias("node")), splits.exact_links(docs, 0.5)), "clusters")
-
-
-@query(sql("SELECT src, dst, similarity FROM e", **{k: EXACT[k] for k in SHINGLES}))
-def exact_identity_edges(spark, d):
-    return splits.exact_edges(view(spark, d, "documents"), 0.5)
-
-
-@query(sql("SELECT node, cluster_id FROM cl", **EXACT))
-def exact_identity_components(spark, d):
-    return exact_doc_clusters(spark, d)
-
-
-@query(sql("SELECT size, count(*) AS n_clusters FROM (SELECT cluster_id, count(*) AS size FROM cl GROUP BY 1) GROUP BY 1", **EXACT))
-def exact_cluster_sizes(spark, d):
-    return exact_doc_clusters(spark, d).groupBy("cluster_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_clusters"))
+@query()
+def identity_representatives(spark, d):
+    """Greedy clusters of documents: the longest first, each with those that are similar to it and to no earlier representative."""
+    return splits.shingle_representatives(view(spark, d, "documents"), 0.5)
 
 
-@query(sql("SELECT cluster_id, lang AS label, count(*) AS n FROM cl JOIN documents ON doc_id = node GROUP BY 1, 2", **EXACT))
-def exact_cluster_histogram(spark, d):
-    return splits.cluster_labels(exact_doc_clusters(spark, d), doc_labels(spark, d))
+@query(sql("SELECT cluster_id, how, label, count(*) AS n FROM (SELECT cluster_id, 'top' AS how, string_split(ec_full, '.')[1] AS label FROM lc UNION ALL SELECT cluster_id, 'full', ec_full FROM lc UNION ALL SELECT cluster_id, 'none', 'all' FROM lc) GROUP BY 1, 2, 3", "labels_long", "entries", lc=f"SELECT ec_full, cluster_id FROM labels_long JOIN ({CLUSTERS}) USING (accession)"))
+def stratified_histogram(spark, d):
+    placed = view(spark, d, "labels_long").join(cluster_lookup(spark, d), "accession")
+    each = F.array(*[F.struct(F.lit(how).alias("how"), splits.stratum(F.col("ec_full"), how).alias("label")) for how in ("top", "full", "none")])
+    return placed.select("cluster_id", F.inline(each)).groupBy("cluster_id", "how", "label").agg(F.count("*").alias("n"))
 
 
 def doc_folds(spark, d, n=3):
-    clusters = exact_doc_clusters(spark, d)
+    clusters = doc_clusters(spark, d)
     return clusters, written(splits.assign_folds(splits.cluster_labels(clusters, doc_labels(spark, d)), n), "folds")
 
 
