@@ -21,7 +21,7 @@ def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Quartiles, and whiskers at the furthest values within 1.5 times their distance."""
     q = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    rows = df.join(F.broadcast(q), key) if q.count() < 100_000 else df.join(q, key)
+    rows = df.join(q, key)
     inside = F.when(F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach), F.col(value))
     return rows.groupBy(key).agg(*[F.round(F.first("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))], F.round(F.min(inside), 6).alias("low"), F.round(F.max(inside), 6).alias("high"))
 

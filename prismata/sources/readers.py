@@ -66,10 +66,14 @@ def cached(rows: DataFrame, meta: DataFrame, now: Column, days: int) -> DataFram
 
 
 def status(lines: DataFrame) -> DataFrame:
-    """line_no, fields (a map) of `ts key=value key=value ...` lines; text without `=` is left out."""
+    """line_no, fields (a map) of `ts key=value key=value ...` lines; text without `=` is left out. A value is all behind
+    the first `=`; of a repeated key the last value holds."""
     words = F.filter(F.split(F.trim("line"), "\\s+"), lambda w: F.contains(w, F.lit("=")))
-    pairs = F.transform(words, lambda w: F.struct(F.substring_index(w, "=", 1).alias("k"), F.expr("1").cast("string").alias("_"), F.substring_index(w, "=", -1).alias("v")))
-    return lines.select("line_no", F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"], p["v"]))).alias("fields"))
+    key = lambda w: F.substring_index(w, "=", 1)
+    rows = lines.select("line_no", words.alias("w")).select("line_no", "w", F.array_distinct(F.transform("w", key)).alias("k"))
+    last = F.transform("k", lambda k: F.element_at(F.filter("w", lambda w: key(w) == k), -1))
+    values = F.zip_with(last, "k", lambda w, k: F.substring(w, F.length(k) + 2, F.length(w)))
+    return rows.select("line_no", F.map_from_arrays("k", values).alias("fields"))
 
 
 def next_link(header: Column) -> Column:
