@@ -159,8 +159,23 @@ def streaming_usage(spark, d):
 
 @query()
 def augment_views(spark, d):
-    s = view(spark, d, "sequences")
-    return s.select("accession", augment.sequence_views(3)("accession", "sequence").alias("v")).select("accession", "v.a", "v.b")
+    return augment.sequence_views(view(spark, d, "sequences").select("accession", "sequence"), "accession", "sequence", 3).select("accession", "a", "b")
+
+
+UNIFORM = "(('0x' || substr(md5(concat_ws('|', '12345', accession, i, '{side}')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@query(
+    sql(
+        "SELECT accession, i::INT AS i, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY accession)), 1e-12), 6) AS x FROM"
+        f" (SELECT accession, i, sqrt(-2 * ln(1 - {UNIFORM.format(side='r')})) * cos(2 * pi() * {UNIFORM.format(side='t')}) AS x FROM sequences CROSS JOIN (SELECT unnest(range(1, 9)) AS i))",
+        "sequences",
+    )
+)
+def synthetic_vectors(spark, d):
+    """Unit vectors for entries that have none."""
+    made = augment.synthetic_vectors(view(spark, d, "sequences").select("accession"), 8, 12345)
+    return made.select("accession", F.posexplode("vec").alias("i", "x")).select("accession", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
 
 
 @query()
