@@ -5,12 +5,16 @@ members: ec, accession. An episode has M classes with K support and Q query memb
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import ancestor
 from ..functions.hashing import ticket, uniform
-from ..functions.vectors import class_weight, dot, unit
-from .scoring import mean_vectors, projected
+from ..functions.vectors import class_weight, dot, sigmoid, unit
+from ..session import written
+from .scoring import mean_vectors, micro_macro, per_class, projected, set_metrics, top1_rate
 
 
 def episodes(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
@@ -120,15 +124,102 @@ def episode_metrics(scores: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("queries"), F.round(F.avg("ok"), 6).alias("accuracy"), F.round(F.avg("ce"), 6).alias("cross_entropy"), F.round(F.avg("bce"), 6).alias("bce"))
 
 
-def hierarchy_loss(scores: DataFrame, parents: DataFrame, weight: float = 0.5) -> DataFrame:
-    """Cross-entropy on parents (ec, parent): a parent's logit is the mean of its classes', its label their greatest;
-    episodes with fewer than two parents cost nothing."""
-    rows = scores.join(F.broadcast(parents), "ec")  # a row per class
-    coarse = rows.groupBy("episode", "accession", "own", "parent").agg(F.avg("logit").alias("z"), F.max("label").alias("y"), F.max((F.col("slot") == F.col("own")).cast("int")).alias("mine"))
-    query = Window.partitionBy("episode", "accession", "own")
-    coarse = coarse.withColumn("parts", F.count("*").over(query)).withColumn("top", F.max("z").over(query))
-    each = coarse.where("parts >= 2").groupBy("episode", "accession", "own").agg((F.max("top") + F.ln(F.sum(F.exp(F.col("z") - F.col("top")))) - F.max(F.when(F.col("mine") == 1, F.col("z")))).alias("ce"))
-    return each.agg(F.count("*").alias("queries"), F.round(F.lit(weight) * F.avg("ce"), 6).alias("loss"))
+def hierarchy_loss(samples: DataFrame, vectors: DataFrame, members: DataFrame, names: DataFrame, levels: int = 3, weight: float = 0.5, temperature: float = 0.1, multi: bool = True) -> DataFrame:
+    """episode, loss: for each of the first `levels` levels (3 at most) of the classes' codes (names: ec, code), queries are scored against
+    the normalised means of the support under the level's codes, and the mean loss of all cells counts `weight` / levels.
+    A level with fewer than two codes in the episode costs nothing. With `multi` a query has every code that one of its
+    classes in the episode has, and the loss is binary; else it has its own class's, and the loss is that of the softmax."""
+    used = min(levels, 3)
+    if used <= 0 or weight <= 0:
+        return samples.select("episode").distinct().withColumn("loss", F.lit(0.0))
+    v = projected(vectors).select("accession", "vec")
+    each = F.array(*[F.struct(F.lit(i).alias("level"), ancestor(F.col("code"), i).alias("coarse")) for i in range(1, used + 1)])
+    coarse = names.select("ec", F.inline(each))  # a few rows per class
+    placed = written(samples.join(v, "accession").join(coarse, "ec").select("episode", "role", "slot", "accession", "vec", "level", "coarse"), "coarse-samples")
+    able = placed.groupBy("episode", "level").agg(F.count_distinct("coarse").alias("n")).where("n >= 2").drop("n")
+    protos = mean_vectors(placed.where("role = 'support'").join(able, ["episode", "level"]), "episode", "level", "coarse").select("episode", "level", "coarse", unit(F.col("vec")).alias("proto"))
+    queries = placed.where("role = 'query'").select("episode", "level", "accession", "slot", "vec", F.col("coarse").alias("own"))
+    scored = queries.join(protos, ["episode", "level"]).withColumn("z", dot(F.col("vec"), F.col("proto")) / temperature)
+    if multi:
+        has = samples.select("episode", "ec").distinct().join(coarse, "ec").join(members.select("ec", "accession").distinct(), "ec").select("episode", "level", "coarse", "accession", F.lit(1).alias("y")).distinct()
+        scored = scored.join(has, ["episode", "level", "coarse", "accession"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+        cost = F.greatest(F.col("z"), F.lit(0.0)) - F.col("z") * F.col("y") + F.ln(1 + F.exp(-F.abs("z")))
+        per = scored.groupBy("episode", "level").agg(F.avg(cost).alias("c"))
+    else:
+        top = F.max("z").over(Window.partitionBy("episode", "level", "accession", "slot"))
+        one = scored.withColumn("top", top).groupBy("episode", "level", "accession", "slot").agg((F.max("top") + F.ln(F.sum(F.exp(F.col("z") - F.col("top")))) - F.max(F.when(F.col("coarse") == F.col("own"), F.col("z")))).alias("c"))
+        per = one.groupBy("episode", "level").agg(F.avg("c").alias("c"))
+    total = per.groupBy("episode").agg((F.sum("c") * weight / used).alias("loss"))
+    return samples.select("episode").distinct().join(total, "episode", "left").select("episode", F.coalesce("loss", F.lit(0.0)).alias("loss"))
+
+
+def validation_accuracy(scores: DataFrame) -> DataFrame:
+    """queries, accuracy: how often the best slot's class is one of the query's (label 1). Episodes that couldn't be drawn have no
+    rows and don't count; with no rows at all the accuracy is 0."""
+    best = Window.partitionBy("episode", "accession", "own").orderBy(F.desc("logit"), "slot")
+    first = scores.withColumn("r", F.row_number().over(best)).where("r = 1")
+    return first.agg(F.count("*").alias("queries"), F.coalesce(F.round(F.avg(F.col("label").cast("double")), 6), F.lit(0.0)).alias("accuracy"))
+
+
+def best_or_last(best: DataFrame, last: DataFrame) -> DataFrame:
+    """best, last, choice: of two projections' validation scores on the same episodes; the last one must be better by more than 1e-12."""
+    both = validation_accuracy(best).select(F.col("accuracy").alias("best")).crossJoin(validation_accuracy(last).select(F.col("accuracy").alias("last")))  # a row each
+    return both.withColumn("choice", F.when(F.col("last") > F.col("best") + 1e-12, "last").otherwise("best"))
+
+
+def evaluation(scores: DataFrame, tau: float, overrides: DataFrame | None = None) -> DataFrame:
+    """One row of metrics of episodes' scores: hits of the best slot; micro and macro (over slots) metrics of cells at the threshold (a class's
+    own, if overrides (ec, tau) have it), the best slot always taken if none reaches it; comparisons of sets. Zeros without rows."""
+    key = F.concat_ws("|", "episode", "own", "accession")
+    rows = scores.select(key.alias("accession"), F.col("slot").alias("ec"), F.col("ec").alias("name"), "logit", (F.col("label") == 1).alias("true"))
+    limit = F.lit(tau)
+    if overrides is not None:
+        rows = rows.join(overrides.select(F.col("ec").alias("name"), F.col("tau").alias("own_tau")), "name", "left")
+        limit = F.coalesce("own_tau", limit)
+    best = Window.partitionBy("accession").orderBy(F.desc("logit"), "ec")
+    over = F.max((sigmoid(F.col("logit")) >= limit).cast("int")).over(Window.partitionBy("accession"))
+    rows = rows.withColumn("rank", F.row_number().over(best)).withColumn("hit", (sigmoid(F.col("logit")) >= limit) | ((F.col("rank") == 1) & (over == 0)))
+    rows = written(rows.select("accession", "ec", "rank", "hit", "true"), "episode-decisions")
+    parts = top1_rate(rows).drop("queries").crossJoin(micro_macro(per_class(rows).withColumn("all", F.lit(1)), "all").drop("all")) if not rows.isEmpty() else None
+    if parts is None:
+        return scores.sparkSession.range(1).select(*[F.lit(0.0).alias(n) for n in ("acc_top1_hit", "micro_precision", "micro_recall", "micro_f1", "macro_precision", "macro_recall", "macro_f1")])
+    return parts.crossJoin(set_metrics(rows))  # a row each
+
+
+def redrawn(members: DataFrame, clusters: DataFrame, n_episodes: int, m: int, k: int, q: int, seed: int, attempts: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Samples of episodes with disjoint clusters, and the shortages met on the way (attempt, episode, ec, have, need).
+
+    An episode with a class of fewer than K+Q clusters is drawn again, with other classes, up to `attempts` times in all; if
+    none does, it is dropped. Attempt 0 draws what `pick_classes` and `disjoint` draw; samples have the attempt that holds.
+    """
+    size = members.join(clusters, "accession", "left").groupBy("ec").agg(F.count_distinct(F.coalesce("cluster_id", F.concat(F.lit("_na_"), "accession"))).alias("have"))
+    size = written(size, "cluster-counts")
+    open_, done, short = None, [], []
+    for attempt in range(attempts):
+        drawn = pick_classes(members, n_episodes, m, k, q, seed if not attempt else f"{seed}+{attempt}", clusters=clusters)
+        drawn = written(drawn if open_ is None else drawn.join(open_, "episode", "left_semi"), "drawn")
+        lacking = written(drawn.join(size, "ec").where(F.col("have") < k + q).select(F.lit(attempt).alias("attempt"), "episode", "ec", "have", F.lit(k + q).alias("need")), "shortages")
+        good = drawn.join(lacking.select("episode"), "episode", "left_anti")
+        done.append(disjoint(good, members, clusters, k, q, seed if not attempt else f"{seed}+{attempt}").withColumn("attempt", F.lit(attempt)))
+        short.append(lacking)
+        open_ = lacking.select("episode").distinct()
+        if lacking.isEmpty():
+            break
+    both = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return both(done), both(short)
+
+
+def shortage_report(samples: DataFrame, shortages: DataFrame, attempts: int = 10) -> DataFrame:
+    """ec, events (draws that lacked clusters), episodes, dropped (episodes that never came about) of each class that was short."""
+    never = shortages.where(F.col("attempt") == attempts - 1).select("episode").distinct().withColumn("never", F.lit(True))
+    rows = shortages.join(never, "episode", "left")
+    return rows.groupBy("ec").agg(F.count("*").alias("events"), F.count_distinct("episode").alias("episodes"), F.count_distinct(F.when(F.col("never"), F.col("episode"))).alias("dropped"))
+
+
+def single_cluster_classes(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """ec, clusters of the classes that no disjoint episode can have: those of a single cluster."""
+    size = members.join(clusters, "accession", "left").groupBy("ec").agg(F.count_distinct(F.coalesce("cluster_id", F.concat(F.lit("_na_"), "accession"))).alias("clusters"))
+    return size.where("clusters < 2")
 
 
 def disjoint_with_repeats(chosen: DataFrame, members: DataFrame, clusters: DataFrame, k: int, q: int, seed: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import sigmoid, unit
+from ..session import written
 
 #: Bytes of prototypes that are broadcast at a time; more are taken in blocks.
 BLOCK_BYTES = 64 << 20
@@ -227,22 +228,71 @@ def single_label_metrics(rows: DataFrame) -> DataFrame:
 def losses(rows: DataFrame, temperatures: list[float]) -> DataFrame:
     """Mean binary cross-entropy and squared error of all cells (logit, true), for each temperature, in one pass over
     the cells: each contributes to all of the few temperatures' sums."""
-    each = rows.select("true", F.explode(F.transform(F.array(*[F.lit(t) for t in temperatures]), lambda t: F.struct(t.alias("t"), sigmoid(F.col("logit") / t).alias("p")))).alias("z"))
-    y, p = F.col("true").cast("double"), F.greatest(F.least(F.col("z.p"), F.lit(1 - 1e-7)), F.lit(1e-7))
-    return each.groupBy(F.round("z.t", 8).alias("temperature")).agg(F.round(F.avg(-(y * F.ln(p) + (1 - y) * F.ln(1 - p))), 6).alias("bce"), F.round(F.avg((F.col("z.p") - y) ** 2), 6).alias("brier"))
+    y = F.col("true").cast("double")
+
+    def point(t):
+        p = sigmoid(F.col("logit") / t)
+        near = F.greatest(F.least(p, F.lit(1 - 1e-7)), F.lit(1e-7))
+        return F.struct(F.round(F.lit(t), 8).alias("temperature"), F.round(F.avg(-(y * F.ln(near) + (1 - y) * F.ln(1 - near))), 6).alias("bce"), F.round(F.avg((p - y) ** 2), 6).alias("brier"))
+
+    return rows.agg(F.array(*[point(t) for t in temperatures]).alias("curve")).select(F.inline("curve"))
 
 
 def tau_curve(rows: DataFrame, taus: list[float], temperature: float) -> DataFrame:
     """Micro metrics for each threshold with the best class always taken, in one pass over (accession, ec, logit, true)."""
     best = Window.partitionBy("accession").orderBy(F.desc("logit"), "ec")
     ranked = rows.withColumn("p", sigmoid(F.col("logit") / temperature)).withColumn("rank", F.row_number().over(best))
-    each = ranked.select("true", F.explode(F.transform(F.array(*[F.lit(t) for t in taus]), lambda t: F.struct(t.alias("tau"), ((F.col("p") >= t) | (F.col("rank") == 1)).alias("hit")))).alias("z"))
-    hit, true = F.col("z.hit"), F.col("true")
-    p, r, f = prf(F.count_if(hit & true), F.count_if(hit & ~true), F.count_if(~hit & true))
-    return each.groupBy(F.col("z.tau").alias("tau")).agg(F.round(p, 6).alias("micro_precision"), F.round(r, 6).alias("micro_recall"), F.round(f, 6).alias("micro_f1"))
+    true = F.col("true")
+
+    def point(t):
+        hit = (F.col("p") >= t) | (F.col("rank") == 1)
+        p, r, f = prf(F.count_if(hit & true), F.count_if(hit & ~true), F.count_if(~hit & true))
+        return F.struct(F.lit(t).alias("tau"), F.round(p, 6).alias("micro_precision"), F.round(r, 6).alias("micro_recall"), F.round(f, 6).alias("micro_f1"))
+
+    return ranked.agg(F.array(*[point(t) for t in taus]).alias("curve")).select(F.inline("curve"))
 
 
 def best_tau(curve: DataFrame, least_precision: float = 0.0, least_recall: float = 0.0) -> DataFrame:
     """The threshold of most F1 among those that meet both minima (all, if none does); the smallest on ties."""
     ok = (F.col("micro_precision") >= least_precision) & (F.col("micro_recall") >= least_recall)
     return curve.orderBy(ok.desc(), F.desc("micro_f1"), "tau").limit(1).withColumn("feasible", ok)
+
+
+def best_temperature(curve: DataFrame, method: str, base: float) -> DataFrame:
+    """The temperature of least loss (bce or brier; the smallest on ties); `none` keeps the base one."""
+    if method not in ("bce", "brier", "none"):
+        raise ValueError("choose by bce, brier or none")
+    if method == "none":
+        return curve.sparkSession.range(1).select(F.lit(float(base)).alias("temperature"))
+    return curve.agg(F.min(F.struct(method, "temperature")).alias("b")).select(F.col("b.temperature").alias("temperature"))
+
+
+def calibration(losses_: DataFrame, taus: DataFrame, method: str, base: float, shortlist: int = 0, least_precision: float = 0.0, least_recall: float = 0.0) -> DataFrame:
+    """The calibration document, one row: tau_multi, temperature, shortlist_topN, opt_temp, grid (a struct of the curve's arrays) and temperature_curve."""
+    along = lambda df, key, names: df.agg(F.array_sort(F.collect_list(F.struct(key, *names))).alias("rows")).select(F.struct(*[F.transform("rows", lambda z, n=n: z[n]).alias(n if n != "tau" else "taus") for n in (key, *names)]).alias("grid"))
+    grid = along(taus, "tau", ("micro_precision", "micro_recall", "micro_f1"))
+    curve = along(losses_, "temperature", (method,)) if method != "none" else losses_.sparkSession.range(1).select(F.lit(None).cast("struct<temperature:array<double>>").alias("grid"))
+    tau = best_tau(taus, least_precision, least_recall).select(F.col("tau").alias("tau_multi"))
+    out = tau.crossJoin(best_temperature(losses_, method, base)).crossJoin(grid).crossJoin(curve.select(F.col("grid").alias("temperature_curve")))  # a row each
+    return out.select("tau_multi", "temperature", F.lit(shortlist).alias("shortlist_topN"), F.lit(method).alias("opt_temp"), "grid", "temperature_curve")
+
+
+def overridden(own: DataFrame | None, call: DataFrame | None) -> DataFrame | None:
+    """Thresholds per class (ec, tau) of a scorer and of one call of it; the call's hold where both have one."""
+    if own is None or call is None:
+        return own if call is None else call
+    return own.join(call.select("ec"), "ec", "left_anti").select("ec", "tau").unionByName(call.select("ec", "tau"))
+
+
+def source_members(members: DataFrame, sources: DataFrame, source: str | None, default: str = "SwissProt") -> DataFrame:
+    """Members (ec, accession) whose accession is of one source (sources: accession, source; unknown ones are of the default); all of
+    them if none is asked for, or if none would be left."""
+    if not source:
+        return members
+    kept = written(members.join(sources.select("accession", "source"), "accession", "left").where(F.coalesce("source", F.lit(default)) == source).select(*members.columns), "source-members")
+    return members if kept.isEmpty() else kept
+
+
+def masked_means(tokens: DataFrame, skipped: tuple[str, ...] = ("pad", "cls", "eos")) -> DataFrame:
+    """accession, vec: the mean of the vectors (accession, kind, vec) of each entry's tokens that aren't marks."""
+    return mean_vectors(tokens.where(~F.col("kind").isin(*skipped)), "accession")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import episodes
 from ..session import written
 from ..sources.fixtures import sql, view
 from .registry import query
-from .scoring import PROTO, UNIT, V
+from .scoring import MACRO, MICRO, PROTO, UNIT, V
 
 SEED, N, M, K, Q = 7, 20, 4, 3, 5
 LONG = {"mem": "SELECT DISTINCT ec, accession FROM vec_labels WHERE split = 'test'"}
@@ -141,14 +143,115 @@ def episodic_metrics(spark, d):
     return episodes.episode_metrics(scores(spark, d))
 
 
+HIERARCHY = {
+    "hc": "SELECT ec, concat(n % 2 + 1, '.', n % 3, '.', n, '.1') AS code FROM (SELECT DISTINCT ec, substr(ec, 2)::INT AS n FROM mem)",
+    "hl": "SELECT ec, lv::INT AS level, array_to_string(string_split(code, '.')[1:lv], '.') AS coarse FROM hc CROSS JOIN (SELECT unnest(range(1, 4)) AS lv)",
+    "hs": "SELECT sm.episode, role, slot, accession, level, coarse FROM sm JOIN hl USING (ec)",
+    "hg": "SELECT episode, level FROM hs GROUP BY 1, 2 HAVING count(DISTINCT coarse) >= 2",
+    "hm": "SELECT episode, level, coarse, pos, avg(v[pos]) AS x FROM (SELECT episode, level, coarse, v, unnest(range(1, 65)) AS pos FROM hs JOIN hg USING (episode, level) JOIN u USING (accession) WHERE role = 'support') GROUP BY 1, 2, 3, 4",
+    "hp": f"SELECT episode, level, coarse, {UNIT.format(v='w')} AS p FROM (SELECT episode, level, coarse, list(x ORDER BY pos) AS w FROM hm GROUP BY 1, 2, 3)",
+    "hz": "SELECT q.episode, q.level, q.accession, q.slot, q.coarse AS own, hp.coarse, list_sum(list_transform(list_zip(u.v, hp.p), lambda z: z[1] * z[2])) / 0.1 AS z FROM (SELECT * FROM hs WHERE role = 'query') q JOIN u USING (accession) JOIN hp ON hp.episode = q.episode AND hp.level = q.level",
+    "hy": "SELECT DISTINCT c.episode, level, coarse, accession FROM (SELECT DISTINCT episode, ec FROM sm) c JOIN hl USING (ec) JOIN mem USING (ec)",
+}
+
+
+def codes(spark, d):
+    n = F.substring("ec", 2, 9).cast("int")
+    return members(spark, d).select("ec").distinct().select("ec", F.concat_ws(".", n % 2 + 1, n % 3, n, F.lit("1")).alias("code"))
+
+
 @query(
     sql(
-        "SELECT count(*) AS queries, round(0.5 * avg(ce), 6) AS loss FROM (SELECT episode, accession, own, count(*) AS parts, ln(sum(exp(z))) - max(z) FILTER (mine) AS ce FROM"
-        " (SELECT episode, accession, own, substr(ec, 2)::INT % 3 AS parent, avg(logit) AS z, bool_or(slot = own) AS mine FROM es GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) WHERE parts >= 2",
+        "SELECT episode, round(coalesce(loss, 0), 6) AS loss FROM (SELECT DISTINCT episode FROM sm) LEFT JOIN (SELECT episode, sum(c) * 0.5 / 3 AS loss FROM"
+        " (SELECT episode, level, avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) AS c FROM (SELECT hz.*, (hy.accession IS NOT NULL)::INT AS y FROM hz LEFT JOIN hy USING (episode, level, coarse, accession)) GROUP BY 1, 2) GROUP BY 1) USING (episode)",
         *V,
         **SCORES,
+        **HIERARCHY,
     )
 )
 def hierarchy_loss(spark, d):
-    parents = members(spark, d).select("ec", F.concat(F.lit("P"), F.substring("ec", 2, 9).cast("int") % 3).alias("parent")).distinct()
-    return episodes.hierarchy_loss(scores(spark, d), parents)
+    return episodes.hierarchy_loss(samples(spark, d), view(spark, d, "vectors"), members(spark, d), codes(spark, d)).withColumn("loss", F.round("loss", 6))
+
+
+@query(
+    sql(
+        "SELECT episode, round(coalesce(loss, 0), 6) AS loss FROM (SELECT DISTINCT episode FROM sm) LEFT JOIN (SELECT episode, sum(c) * 0.5 / 2 AS loss FROM"
+        " (SELECT episode, level, avg(c) AS c FROM (SELECT episode, level, accession, slot, ln(sum(exp(z))) - max(z) FILTER (coarse = own) AS c FROM hz WHERE level < 3 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) GROUP BY 1) USING (episode)",
+        *V,
+        **SCORES,
+        **HIERARCHY,
+    )
+)
+def hierarchy_loss_single(spark, d):
+    return episodes.hierarchy_loss(samples(spark, d), view(spark, d, "vectors"), members(spark, d), codes(spark, d), levels=2, multi=False).withColumn("loss", F.round("loss", 6))
+
+
+@query(sql("SELECT count(*) AS queries, coalesce(round(avg(label::DOUBLE), 6), 0) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY episode, accession, own ORDER BY logit DESC, slot) AS r FROM es) WHERE r = 1", *V, **SCORES))
+def validation_accuracy(spark, d):
+    return episodes.validation_accuracy(scores(spark, d))
+
+
+def per_k(k):
+    """The scores' common table expressions for K support members, under names of their own."""
+    own = {n: t for n, t in SCORES.items() if n not in ("mem", "u")}
+    own["ch"] = own["ch"].replace(f"n >= {K + Q}", f"n >= {k + Q}").replace(f"n >= {K})", f"n >= {k})")
+    own["sm"] = own["sm"].replace(f"r <= {K + Q}", f"r <= {k + Q}").replace(f"r <= {K} ", f"r <= {k} ")
+    return {f"{n}_{k}": re.sub(rf"\b({'|'.join(own)})\b(?!\()", rf"\1_{k}", t) for n, t in own.items()}
+
+
+def evaluated(k):
+    hit = "prob >= CASE ec WHEN 'L1' THEN 0.9 ELSE 0.6 END"
+    return {
+        f"ej_{k}": f"SELECT *, ({hit}) OR (rank = 1 AND NOT bool_or({hit}) OVER (PARTITION BY episode, accession, own)) AS h, label = 1 AS t FROM (SELECT *, 1 / (1 + exp(-logit)) AS prob, row_number() OVER (PARTITION BY episode, accession, own ORDER BY logit DESC, slot) AS rank FROM es_{k})",
+        f"ec_{k}": f"SELECT slot, count(*) FILTER (h AND t) AS tp, count(*) FILTER (h AND NOT t) AS fp, count(*) FILTER (NOT h AND t) AS fn FROM ej_{k} GROUP BY 1",
+        f"eq_{k}": f"SELECT count(*) FILTER (t) AS t, count(*) FILTER (h) AS p, count(*) FILTER (t AND h) AS i FROM ej_{k} GROUP BY episode, accession, own",
+    }
+
+
+def evaluation_sql(k):
+    return f"SELECT {k} AS k, (SELECT round(avg(t::INT), 6) FROM ej_{k} WHERE rank = 1) AS acc_top1_hit, {MICRO}, {MACRO}, (SELECT round(avg((i = t + p - i AND t + p - i > 0)::INT), 6) FROM eq_{k}) AS subset_accuracy, (SELECT round(avg(i / greatest(t + p - i, 1)), 6) FROM eq_{k}) AS jaccard, (SELECT round(avg(abs(p - t)), 6) FROM eq_{k}) AS card_mae FROM ec_{k}"
+
+
+@query(sql(f"{evaluation_sql(1)} UNION ALL {evaluation_sql(3)}", *V, mem=LONG["mem"], u=SCORES["u"], sz=SCORES["sz"], **per_k(1), **per_k(3), **evaluated(1), **evaluated(3)))
+def episodic_eval_per_k(spark, d):
+    over = spark.createDataFrame([("L1", 0.9)], "ec string, tau double")
+    parts = []
+    for k in (1, 3):
+        drawn = written(episodes.pick_classes(members(spark, d), N, M, k, Q, SEED), "episode-classes")
+        own = written(episodes.standard(drawn, members(spark, d), k, Q, SEED), "episode-samples")
+        found = episodes.evaluation(episodes.episode_scores(own, view(spark, d, "vectors"), members(spark, d), 0.1), 0.6, over)
+        names = ("acc_top1_hit", "micro_precision", "micro_recall", "micro_f1", "macro_precision", "macro_recall", "macro_f1", "subset_accuracy", "jaccard", "card_mae")
+        parts.append(found.select(F.lit(k).alias("k"), *names))
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def best_versus_last(spark, d):
+    """Two projections (the first eight numbers of a vector, and the next eight) on the same episodes."""
+    drawn = samples(spark, d)
+    one = lambda at: view(spark, d, "vectors").select("accession", F.slice("vec", at, 8).alias("vec"))
+    own = lambda at: episodes.episode_scores(drawn, one(at), members(spark, d), 0.1)
+    return episodes.best_or_last(own(1), own(9))
+
+
+def redrawn(spark, d):
+    """Half of the classes have members of a few clusters only."""
+    few = view(spark, d, "vectors").select("accession", F.when(F.col("label") < 5, F.concat(F.lit("K"), F.col("vec_id") % 3)).alias("cluster_id"))
+    return episodes.redrawn(members(spark, d), few.where("cluster_id is not null"), N, 3, 2, 4, SEED)
+
+
+@query()
+def episode_redraws(spark, d):
+    return redrawn(spark, d)[0]
+
+
+@query()
+def episode_shortages(spark, d):
+    own, short = redrawn(spark, d)
+    return episodes.shortage_report(own, short)
+
+
+@query(sql("SELECT ec, c AS clusters FROM (SELECT ec, count(DISTINCT coalesce(cluster_id, concat('_na_', accession))) AS c FROM (SELECT ec, accession FROM mem UNION ALL SELECT concat('S', vec_id % 3), 'V1' FROM vectors WHERE vec_id < 9) LEFT JOIN cl USING (accession) GROUP BY 1) WHERE c < 2", *V, **LONG, **CL))
+def single_cluster_classes(spark, d):
+    alone = view(spark, d, "vectors").where("vec_id < 9").select(F.concat(F.lit("S"), F.col("vec_id") % 3).alias("ec"), F.lit("V1").alias("accession"))
+    return episodes.single_cluster_classes(members(spark, d).unionByName(alone), clusters(spark, d))

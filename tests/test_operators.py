@@ -1,5 +1,7 @@
 """Scenarios of few-shot evaluation and sampling, and checks of sequential operators against plain Python."""
 
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -180,11 +182,63 @@ def test_early_stopping_and_training_slope():
         assert abs(near - slope[i, j]) < 1e-5
 
 
-def test_views_repeat_and_keep_their_shape():
-    a, b = augment.two_views("ACDEFGHIKLMNPQRSTVWY" * 10, augment.generator(1, "k", 0))
-    assert (a, b) == augment.two_views("ACDEFGHIKLMNPQRSTVWY" * 10, augment.generator(1, "k", 0))
-    assert augment.two_views("acd", augment.generator(1, "k", 0)) == ("ACD", "ACD")
-    assert set(a) <= set("ACDEFGHIKLMNPQRSTVWYX") and 0 < len(b) <= 200
+def slow_uniform(seed, *keys):
+    return int(hashlib.md5("|".join(map(str, (seed, *keys))).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def slow_events(n, p, draw, stop, after):
+    """Positions of events: each is met after a geometric number of others, the next one can be `after(j)` further on."""
+    at, j, out = 0, 0, []
+    while True:
+        at += min(math.floor(math.log(1 - draw("gap", j)) / math.log(1 - p)), n)
+        if at >= stop:
+            return out
+        out.append(at)
+        at, j = at + after(j), j + 1
+
+
+def slow_views(seq, key, seed):
+    seq = seq.upper()
+    if len(seq) < 8:
+        return seq, seq
+    draw = lambda step: lambda name, j: slow_uniform(seed, key, f"{step}-{name}", j)
+
+    def mask(s, p, d):
+        span = lambda j: 3 + math.floor(d("span", j) * 6)
+        for j, at in enumerate(slow_events(len(s), p, d, len(s), span)):
+            s = s[:at] + "X" * len(s[at : at + span(j)]) + s[at + span(j) :]
+        return s
+
+    def swap(s, p, d):
+        out = list(s)
+        for j, at in enumerate(slow_events(len(s), p, d, len(s) - 1, lambda _: 2)):
+            to = at + 1 if d("side", j) < 0.5 else max(0, at - 1)
+            out[at], out[to] = out[to], out[at]
+        return "".join(out)
+
+    def crop(s, d):
+        if len(s) <= 120 or d("whether", 0) >= 0.3:
+            return s
+        n = 80 + math.floor(d("size", 0) * (len(s) - 79))
+        at = math.floor(d("place", 0) * (len(s) - n + 1))
+        return s[at : at + n]
+
+    a = crop(swap(mask(seq, 0.05, draw("a-mask")), 0.015, draw("a-swap")), draw("a-crop"))
+    b = swap(seq, 0.02, draw("b-swap"))
+    b = mask(b, 0.04, draw("b-mask")) if draw("b-mask")("whether", 0) < 0.5 else b
+    return a, crop(b, draw("b-crop"))
+
+
+def test_views_equal_their_definition(spark):
+    turn = np.random.default_rng(3)
+    given = [(f"k{i}", "".join(turn.choice(list("acdefghiklmnpqrstvwy"), n))) for i, n in enumerate([0, 1, 7, 8, 9, 20, 119, 121, 300, 900] * 12)]
+    df = rows(spark, [*given, ("none", None)], "key string, seq string")
+    got = {r.key: (r.a, r.b) for r in augment.sequence_views(df, "key", "seq", 5).collect()}
+    assert got.pop("none") == (None, None)
+    assert got == {k: slow_views(s, k, 5) for k, s in given}
+    long = [(s.upper(), *got[k]) for k, s in given if len(s) == 900]
+    moved = sum(x != y for s, _, b in long if len(b) == 900 and "X" not in b for x, y in zip(s, b))
+    assert moved and any("X" in a for _, a, _ in long) and any(len(a) < 900 for _, a, _ in long)
 
 
 def test_grids():
@@ -225,3 +279,47 @@ def test_the_rest_works_without_the_llm_package():
 
     code = "import sys; sys.modules['prismata.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'flagship_top1' in q and not any(x.startswith('op') or x == 'pipeline' for x in q); e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
+
+
+def test_redraws_until_no_class_is_short(spark):
+    """A has one cluster per member, B and C are short: episodes of one class are drawn again until A comes."""
+    m = rows(spark, [(c, f"{c}{i}") for c in "ABC" for i in range(6)], "ec string, accession string")
+    k = rows(spark, [(f"{c}{i}", f"{c}{i if c == 'A' else i % 2}") for c in "ABC" for i in range(6)], "accession string, cluster_id string")
+    own, short = episodes.redrawn(m, k, 12, 1, 2, 2, 4)
+    own, short = own.collect(), short.collect()
+    assert {r.ec for r in own} == {"A"} and {r.ec for r in short} <= {"B", "C"} and all((r.have, r.need) == (2, 4) for r in short)
+    for e in {r.episode for r in own}:
+        draws = [r for r in own if r.episode == e]
+        assert len({r.cluster_id for r in draws}) == 4 and draws[0].attempt == sum(r.episode == e for r in short)
+    never = {r.episode for r in short if r.attempt == 9}
+    assert {r.episode for r in own} | never == set(range(12)) and not {r.episode for r in own} & never
+    report = episodes.shortage_report(None, rows(spark, [tuple(r) for r in short], "attempt int, episode long, ec string, have long, need int")).collect()
+    assert sum(r.events for r in report) == len(short) and all(r.dropped <= r.episodes for r in report)
+    alone = rows(spark, [("A", "a1")], "ec string, accession string")
+    assert [tuple(r) for r in episodes.single_cluster_classes(alone, k).collect()] == [("A", 1)]
+    none, lost = episodes.redrawn(m.where("ec != 'A'"), k, 2, 1, 2, 2, 4)
+    assert none.count() == 0 and lost.count() == 20 and episodes.shortage_report(none, lost).agg(F.sum("dropped")).first()[0] >= 2
+
+
+def test_best_or_last(spark):
+    score = lambda hit: rows(spark, [(0, "a", 0, s, float(s == hit), int(s == 0)) for s in (0, 1)], "episode int, accession string, own int, slot int, logit double, label int")
+    assert tuple(episodes.best_or_last(score(0), score(0)).first()) == (1.0, 1.0, "best")
+    assert tuple(episodes.best_or_last(score(1), score(0)).first()) == (0.0, 1.0, "last")
+    none = episodes.validation_accuracy(score(0).limit(0)).first()
+    assert tuple(none) == (0, 0.0) and episodes.evaluation(score(0).limit(0).withColumn("ec", F.lit("A")), 0.5).first().micro_f1 == 0
+
+
+def test_choices_of_calibration_and_sources(spark):
+    curve = rows(spark, [(0.1, 0.5, 0.3), (0.2, 0.4, 0.3), (0.3, 0.4, 0.2)], "temperature double, bce double, brier double")
+    assert [scoring.best_temperature(curve, m, 0.7).first()[0] for m in ("bce", "brier", "none")] == [0.2, 0.3, 0.7]
+    own, call = rows(spark, [("A", 0.1), ("B", 0.2)], "ec string, tau double"), rows(spark, [("B", 0.9), ("C", 0.8)], "ec string, tau double")
+    assert sorted(map(tuple, scoring.overridden(own, call).collect())) == [("A", 0.1), ("B", 0.9), ("C", 0.8)]
+    assert scoring.overridden(None, call) is call and scoring.overridden(own, None) is own
+    m, s = rows(spark, [("A", "x"), ("A", "y")], "ec string, accession string"), rows(spark, [("x", "TrEMBL")], "accession string, source string")
+    left = lambda source: sorted(r.accession for r in scoring.source_members(m, s, source).collect())
+    assert (left("SwissProt"), left("TrEMBL"), left(None), left("Other")) == (["y"], ["x"], ["x", "y"], ["x", "y"])
+
+
+def test_status_fields_and_values(spark):
+    lines = rows(spark, [(1, "t a=1 b=x=y a=2"), (2, None)], "line_no int, line string")
+    assert [r["fields"] for r in readers.status(lines).orderBy("line_no").collect()] == [{"a": "2", "b": "x=y"}, None]
