@@ -269,7 +269,13 @@ def best_temperature(curve: DataFrame, method: str, base: float) -> DataFrame:
 
 def calibration(losses_: DataFrame, taus: DataFrame, method: str, base: float, shortlist: int = 0, least_precision: float = 0.0, least_recall: float = 0.0) -> DataFrame:
     """The calibration document, one row: tau_multi, temperature, shortlist_topN, opt_temp, grid (a struct of the curve's arrays) and temperature_curve."""
-    along = lambda df, key, names: df.agg(F.array_sort(F.collect_list(F.struct(key, *names))).alias("rows")).select(F.struct(*[F.transform("rows", lambda z, n=n: z[n]).alias(n if n != "tau" else "taus") for n in (key, *names)]).alias("grid"))
+
+    def along(df, key, names):
+        """The columns of a curve as a struct of arrays, in the order of its key."""
+        pick = lambda n: lambda z: z[n]
+        rows = df.agg(F.array_sort(F.collect_list(F.struct(key, *names))).alias("rows"))
+        return rows.select(F.struct(*[F.transform("rows", pick(n)).alias("taus" if n == "tau" else n) for n in (key, *names)]).alias("grid"))
+
     grid = along(taus, "tau", ("micro_precision", "micro_recall", "micro_f1"))
     curve = along(losses_, "temperature", (method,)) if method != "none" else losses_.sparkSession.range(1).select(F.lit(None).cast("struct<temperature:array<double>>").alias("grid"))
     tau = best_tau(taus, least_precision, least_recall).select(F.col("tau").alias("tau_multi"))

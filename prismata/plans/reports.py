@@ -191,3 +191,39 @@ def train_projection(spark, d):
     w, losses = training.train(samples(spark, d), view(spark, d, "vectors"), width=16)
     best, stop = training.early_stop([-x for x in losses], 5, 1e-3)
     return spark.createDataFrame([(i, float(x), i == best, i == stop) for i, x in enumerate(losses)], "step int, loss double, best boolean, stop boolean")
+
+
+@query(sql("SELECT ec_full AS ec, count(*) AS n FROM labels_long GROUP BY 1", "labels_long"))
+def counts_csv_roundtrip(spark, d):
+    path = place(spark, "counts")
+    writers.csv(view(spark, d, "labels_long").groupBy(F.col("ec_full").alias("ec")).agg(F.count("*").alias("n")), path, "ec")
+    return spark.read.option("header", True).schema("ec string, n bigint").csv(path)
+
+
+@query(sql("SELECT accession, CASE WHEN key % 2 = 0 THEN source END AS source, CASE WHEN key % 2 = 1 THEN key END AS key FROM entries", "labels_long", "entries"))
+def append_roundtrip(spark, d):
+    """Two tables with different columns, the second appended to the first."""
+    e, first, both = view(spark, d, "entries"), place(spark, "first"), place(spark, "both")
+    e.where("key % 2 = 0").select("accession", "source").write.parquet(first)
+    writers.appended(e.where("key % 2 = 1").select("accession", "key"), first, both)
+    return spark.read.parquet(both).select("accession", "source", "key")
+
+
+@query(sql("SELECT event_id AS line_no, event_type AS phase, (user_id % 4)::VARCHAR AS cutoff, concat('a=', event_id, '_b') AS note FROM events"))
+def status_log_roundtrip(spark, d):
+    """Lines written from fields, in two turns, and read again."""
+    path = place(spark, "log")
+    fields = F.create_map(F.lit("phase"), F.col("event_type"), F.lit("cutoff"), (F.col("user_id") % 4).cast("string"), F.lit("note"), F.concat(F.lit("a="), F.col("event_id").cast("string"), F.lit(" b")))
+    e = view(spark, d, "events").select((F.col("event_id") % 2).alias("turn"), writers.status_line(F.col("event_id").cast("string"), fields).alias("line"))
+    for turn in (0, 1):
+        writers.status(e.where(F.col("turn") == turn), path)
+    back = readers.status(spark.read.text(path).select(F.substring_index("value", " ", 1).cast("bigint").alias("line_no"), F.col("value").alias("line")))
+    return back.select("line_no", F.col("fields.phase").alias("phase"), F.col("fields.cutoff").alias("cutoff"), F.col("fields.note").alias("note"))
+
+
+@query(sql("SELECT r_regionkey::INT AS place, CASE WHEN r_regionkey < 2 THEN 'a' WHEN r_regionkey = 2 THEN 'c' ELSE 'd' END AS ec FROM region"))
+def ragged_rows(spark, d):
+    """Rows that lie one after the other, cut by the number of each class; b has none."""
+    flat = view(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("at"), F.array(F.col("r_regionkey").cast("double")).alias("vec"))
+    counts = spark.createDataFrame([("a", 2), ("b", 0), ("c", 1), ("d", 2)], "ec string, n bigint")
+    return readers.ragged(flat, counts).select(F.col("vec")[0].cast("int").alias("place"), "ec")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import scoring
-from ..session import written
+from ..operators import benchmark, scoring
+from ..session import shared_dir, written
+from ..sources import readers, writers
 from ..sources.fixtures import sql, view
 from .registry import query
 
@@ -193,14 +196,13 @@ def cells(spark, d):
     return scoring.judged(scores(spark, d).select("accession", "ec", "logit"), truth(spark, d))
 
 
-@query(
-    sql(
-        "SELECT round(tt, 8) AS temperature, round(avg(-(y * ln(pc) + (1 - y) * ln(1 - pc))), 6) AS bce, round(avg((p - y) * (p - y)), 6) AS brier FROM (SELECT *, greatest(least(p, 1 - 1e-7), 1e-7) AS pc FROM"
-        " (SELECT tt, t::INT::DOUBLE AS y, 1 / (1 + exp(-logit / tt)) AS p FROM j CROSS JOIN (SELECT unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in GRID) + "]) AS tt))) GROUP BY tt",
-        *V,
-        **PROTO,
-    )
-)
+TEMPS = {
+    "tc": "SELECT round(tt, 8) AS temperature, round(avg(-(y * ln(pc) + (1 - y) * ln(1 - pc))), 6) AS bce, round(avg((p - y) * (p - y)), 6) AS brier FROM (SELECT *, greatest(least(p, 1 - 1e-7), 1e-7) AS pc FROM"
+    " (SELECT tt, t::INT::DOUBLE AS y, 1 / (1 + exp(-logit / tt)) AS p FROM j CROSS JOIN (SELECT unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in GRID) + "]) AS tt))) GROUP BY tt",
+}
+
+
+@query(sql("SELECT * FROM tc", *V, **PROTO, **TEMPS))
 def temperature_curve(spark, d):
     return scoring.losses(cells(spark, d), GRID)
 
@@ -248,3 +250,85 @@ def affine_projection(spark, d):
 @query()
 def kmeans_subprototypes(spark, d):
     return scoring.sub_prototypes(view(spark, d, "vectors"), train(spark, d), 3).select("ec", "proto_id", "train_count", F.round(vec.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query(sql("SELECT 'bce' AS method, arg_min(temperature, (bce, temperature)) AS temperature FROM tc UNION ALL SELECT 'brier', arg_min(temperature, (brier, temperature)) FROM tc UNION ALL SELECT 'none', 0.1", *V, **PROTO, **TEMPS))
+def best_temperature(spark, d):
+    curve = written(scoring.losses(cells(spark, d), GRID), "curve")
+    parts = [scoring.best_temperature(curve, m, T).select(F.lit(m).alias("method"), "temperature") for m in ("bce", "brier", "none")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query(
+    sql(
+        "SELECT (SELECT tau FROM cv ORDER BY micro_f1 DESC, tau LIMIT 1) AS tau_multi, (SELECT arg_min(temperature, (bce, temperature)) FROM tc) AS temperature, 200 AS \"shortlist_topN\", 'bce' AS opt_temp, count(*) AS n_taus, max(micro_f1) AS top_f1, (SELECT count(*) FROM tc) AS n_temperatures, (SELECT min(bce) FROM tc) AS least_loss FROM cv",
+        *V,
+        **PROTO,
+        **CURVE,
+        **TEMPS,
+    )
+)
+def calibration_document(spark, d):
+    """The calibration document, written as JSON and read again."""
+    rows = written(cells(spark, d), "cells")
+    made = scoring.calibration(written(scoring.losses(rows, GRID), "curve"), written(scoring.tau_curve(rows, TAUS, T), "taus"), "bce", T, 200)
+    path = f"{shared_dir(spark)}/calibration-{uuid.uuid4().hex}"
+    writers.documents(made, path)
+    back = readers.documents(spark, path, made.schema)
+    return back.select("tau_multi", "temperature", "shortlist_topN", "opt_temp", F.size("grid.taus").cast("bigint").alias("n_taus"), F.array_max("grid.micro_f1").alias("top_f1"), F.size("temperature_curve.temperature").cast("bigint").alias("n_temperatures"), F.array_min("temperature_curve.bce").alias("least_loss"))
+
+
+@query(sql("SELECT ec, train_count, round(list_sum(list_transform(v, lambda x: x)), 4) AS total FROM p", *V, **PROTO))
+def bank_roundtrip(spark, d):
+    path = f"{shared_dir(spark)}/bank-{uuid.uuid4().hex}"
+    writers.bank(bank(spark, d), path)
+    return readers.bank(spark, path).select("ec", "train_count", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query(sql("SELECT accession, round((0.5 + v[1] + v[2]) / greatest(sqrt((0.5 + v[1] + v[2]) * (0.5 + v[1] + v[2]) + (v[3] - 1) * (v[3] - 1)), 1e-12), 6) AS x0 FROM u", *V, **PROTO))
+def projection_roundtrip(spark, d):
+    path = f"{shared_dir(spark)}/projection-{uuid.uuid4().hex}"
+    writers.projection([[1.0, 1.0, *[0.0] * 62], [0.0, 0.0, 1.0, *[0.0] * 61]], [0.5, -1.0], path, spark)
+    u = scoring.projected(view(spark, d, "vectors"))
+    return scoring.projected(u, *readers.projection(spark, path)).select("accession", F.round(F.col("vec")[0], 6).alias("x0"))
+
+
+@query(sql("SELECT concat('T', label) AS accession, pos, round(avg(vec[pos]::DOUBLE), 6) AS x FROM (SELECT label, vec, unnest(range(1, 65))::INT AS pos FROM vectors WHERE vec_id % 4 <> 0) GROUP BY 1, 2", "vectors"))
+def masked_means(spark, d):
+    kind = F.when(F.col("vec_id") % 4 != 0, "letter").when(F.col("vec_id") % 8 == 0, "pad").otherwise("eos")
+    tokens = view(spark, d, "vectors").select(F.concat(F.lit("T"), "label").alias("accession"), kind.alias("kind"), vec.doubles(F.col("vec")).alias("vec"))
+    return scoring.masked_means(tokens).select("accession", F.posexplode("vec").alias("pos", "x")).select("accession", (F.col("pos") + 1).alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query(sql("SELECT wanted, count(*) AS n, count(DISTINCT l.accession) AS n_members FROM (SELECT unnest(['SwissProt', 'TrEMBL', 'Other']) AS wanted) w JOIN (SELECT ec, accession, CASE WHEN substr(accession, 2)::INT % 3 = 0 THEN 'TrEMBL' ELSE 'SwissProt' END AS source FROM vec_labels WHERE split = 'train') l ON wanted = source OR wanted = 'Other' GROUP BY 1", *V))
+def source_fallback(spark, d):
+    """Members of one source, unknown ones being of the default; of a source that has none, all."""
+    known = view(spark, d, "vectors").where("vec_id % 3 = 0").select("accession", F.lit("TrEMBL").alias("source"))
+    parts = [scoring.source_members(train(spark, d), known, s).agg(F.lit(s).alias("wanted"), F.count("*").alias("n"), F.count_distinct("accession").alias("n_members")) for s in ("SwissProt", "TrEMBL", "Other")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+BENCH = {
+    "bs": "SELECT c AS cutoff, f AS fold, accession, v, label, vec_id % c % 2 = f AS held FROM u CROSS JOIN (SELECT unnest([7, 11]) AS c) CROSS JOIN (SELECT unnest(range(2)) AS f)",
+    "bm": "SELECT cutoff, fold, label, pos, avg(v[pos]) AS x FROM (SELECT cutoff, fold, label, v, unnest(range(1, 65)) AS pos FROM bs WHERE NOT held) GROUP BY 1, 2, 3, 4",
+    "bp": f"SELECT cutoff, fold, label, {UNIT.format(v='w')} AS p FROM (SELECT cutoff, fold, label, list(x ORDER BY pos) AS w FROM bm GROUP BY 1, 2, 3)",
+    "bt": "SELECT b.cutoff, b.fold, accession, arg_max(bp.label, (list_sum(list_transform(list_zip(v, p), lambda z: z[1] * z[2])), -bp.label)) = any_value(b.label) AS ok FROM bs b JOIN bp ON bp.cutoff = b.cutoff AND bp.fold = b.fold WHERE held GROUP BY 1, 2, 3",
+}
+
+
+@query(sql("SELECT cutoff, fold::INT AS fold, count(*)::DOUBLE AS entities, round(avg(ok::INT), 6) AS acc_top1_hit, 0::DOUBLE AS multi_ratio FROM bt GROUP BY 1, 2", *V, **PROTO, **BENCH))
+def benchmark_run(spark, d):
+    """Two cutoffs and folds: prototypes of what isn't held out, scored on what is; records are stored and read again."""
+    v = view(spark, d, "vectors").withColumn("ec", F.concat(F.lit("L"), "label"))
+
+    def evaluate(cutoff, fold):
+        held = F.col("vec_id") % cutoff % 2 == fold
+        own = v.where(held).select("ec", "accession")
+        protos = written(scoring.prototypes(v, v.where(~held).select("ec", "accession")), "bank")
+        found = scoring.logits(scoring.cosines(v.where(held), protos))
+        return own, scoring.top1_rate(scoring.judged(scoring.decide(found, 0.5, T), own)).select("acc_top1_hit")
+
+    path = f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}"
+    benchmark.run(spark, path, (7,), 2, {"seed": 1}, evaluate)
+    rows = benchmark.run(spark, path, (7, 11), 2, {"seed": 1}, evaluate)  # goes on with what is missing
+    return rows.select("cutoff", "fold", F.col("label_stats.entities").alias("entities"), F.col("metrics.acc_top1_hit").alias("acc_top1_hit"), F.col("label_stats.multi_ratio").alias("multi_ratio"))

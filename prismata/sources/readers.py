@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import first_filled
@@ -59,6 +59,50 @@ def vector_width(vectors: DataFrame) -> int:
     return low or 0
 
 
+def matrix(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """accession, vec of a table of vectors; an error if a key or a vector is missing, a key stands twice, or widths differ."""
+    rows = spark.read.parquet(path).select("accession", "vec")
+    n, keys, distinct, vecs, low, high = rows.agg(F.count("*"), F.count("accession"), F.count_distinct("accession"), F.count("vec"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if not n == keys == distinct == vecs:
+        raise ValueError(f"{n} rows with {keys} keys ({distinct} different) and {vecs} vectors")
+    if low != high or width not in (None, low):
+        raise ValueError(f"vectors of {low} to {high} numbers")
+    return rows
+
+
+def bank(spark: SparkSession, path: str) -> DataFrame:
+    """ec, proto_id, vec, train_count of a stored bank; rows without a vector are left out."""
+    return spark.read.parquet(path).where("size(vec) > 0").select("ec", "proto_id", F.col("vec").cast("array<double>").alias("vec"), "train_count")
+
+
+def ragged(flat: DataFrame, counts: DataFrame) -> DataFrame:
+    """ec, proto_id, vec from rows that are laid one after the other (at, vec) and how many each class has (ec, n; in order of ec).
+    Classes without rows are left out. A row per class is summed."""
+    end = F.sum("n").over(Window.orderBy("ec").rowsBetween(Window.unboundedPreceding, 0))
+    own = counts.where("n > 0").withColumn("end", end).select("ec", F.posexplode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("proto_id", "at"))
+    return own.join(flat, "at").select("ec", "proto_id", "vec")
+
+
+def projection(spark: SparkSession, path: str) -> tuple[list[list[float]], list[float]]:
+    """Weights and bias of a stored projection, which has a row for each output number."""
+    rows = spark.read.parquet(path).orderBy("row").collect()
+    if [r.row for r in rows] != list(range(len(rows))):
+        raise ValueError("the projection lacks rows")
+    return [list(r.weights) for r in rows], [r.bias for r in rows]
+
+
+def config(spark: SparkSession, path: str) -> dict:
+    """Settings from a YAML file (or JSON, which YAML includes) in any store that Spark reads."""
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    try:
+        import yaml
+    except ImportError:
+        import json
+
+        return json.loads(text or "{}")
+    return yaml.safe_load(text) or {}
+
+
 def cached(rows: DataFrame, meta: DataFrame, now: Column, days: int) -> DataFrame:
     """Rows (ec, ...) whose class was fetched (ec, fetched_at) at most so many days before now; with 0 days or fewer they never expire."""
     fresh = meta if days <= 0 else meta.where(F.col("fetched_at") >= now - F.make_interval(days=F.lit(days)))

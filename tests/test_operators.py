@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prismata.functions import augment
 from prismata.functions import vectors as vec
-from prismata.operators import episodes, graph, labels, reports, scoring, splits, training
+from prismata.operators import benchmark, episodes, graph, labels, reports, scoring, settings, splits, training
 from prismata.sources import readers, writers
 
 
@@ -323,3 +323,51 @@ def test_choices_of_calibration_and_sources(spark):
 def test_status_fields_and_values(spark):
     lines = rows(spark, [(1, "t a=1 b=x=y a=2"), (2, None)], "line_no int, line string")
     assert [r["fields"] for r in readers.status(lines).orderBy("line_no").collect()] == [{"a": "2", "b": "x=y"}, None]
+
+
+def test_stored_tables_and_settings(spark, tmp_path):
+    where = lambda name: f"file://{tmp_path}/{name}"
+    v = rows(spark, [("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "accession string, vec array<float>")
+    writers.vectors(v, where("good"))
+    assert readers.matrix(spark, where("good"), 2).count() == 2
+    for name, bad in (("twice", v.unionAll(v)), ("none", rows(spark, [(None, [1.0])], v.schema)), ("wide", rows(spark, [("a", [1.0]), ("b", [1.0, 2.0])], v.schema))):
+        bad.write.parquet(where(name))
+        with pytest.raises(ValueError):
+            readers.matrix(spark, where(name))
+    with pytest.raises(ValueError):
+        readers.matrix(spark, where("good"), 3)
+    writers.projection([[1, 2], [3, 4]], [0.5, 0], where("projection"), spark)
+    assert readers.projection(spark, where("projection")) == ([[1.0, 2.0], [3.0, 4.0]], [0.5, 0.0])
+    (tmp_path / "settings.yaml").write_text("a: 1\nb:\n  - x\n")
+    assert readers.config(spark, where("settings.yaml")) == {"a": 1, "b": ["x"]}
+
+
+def test_benchmark_goes_on_where_it_was(spark, tmp_path):
+    asked = []
+
+    def evaluate(cutoff, fold):
+        asked.append((cutoff, fold))
+        if len(asked) == 3:
+            raise RuntimeError("broken off")
+        return rows(spark, [("A", "x"), ("B", "x"), ("A", "y")], "ec string, accession string"), rows(spark, [(0.5, None)], "f1 double, other double")
+
+    run = lambda settings: benchmark.run(spark, f"file://{tmp_path}/runs", (30, 50), 2, settings, evaluate).collect()
+    with pytest.raises(RuntimeError):
+        run({"seed": 1})
+    got = run({"seed": 1})
+    assert asked == [(30, 0), (30, 1), (50, 0), (50, 0), (50, 1)] and len(got) == 4
+    assert got[0].metrics == {"f1": 0.5} and got[0].label_stats == {"rows": 3.0, "entities": 2.0, "multi": 1.0, "classes": 2.0, "multi_ratio": 0.5}
+    assert len(run({"seed": 2})) == 4 and len(asked) == 9
+
+
+def test_settings_are_chosen_in_order():
+    assert settings.first_given(None, [], [3, 4], default=5) == 3 and settings.first_given(None, default=5) == 5
+    chosen = settings.scoring_settings({"tau_multi": None}, {"tau_multi": 0.5, "temperature": 2.0}, {"temperature": 3.0, "shortlist_topN": 7})
+    assert chosen == {"tau_multi": 0.5, "temperature": 2.0, "shortlist_topN": 7}
+    assert settings.scoring_settings({}, {"temperature": 2.0}, {}, use_calibration=False)["temperature"] == settings.DEFAULTS["temperature"]
+    assert (settings.similarity_cutoff(30), settings.similarity_cutoff("0.3"), settings.similarity_cutoff(1)) == (0.3, 0.3, 1.0)
+    assert settings.may_repeat(True, "val", "all") and settings.may_repeat(True, "train", "train_only") and not settings.may_repeat(True, "val", "train_only") and not settings.may_repeat(False, "train", "all")
+    same = {"threshold": 0.3, "folds": 5, "definition": "x", "seed": 1}
+    assert settings.same_splits(same, same) and not settings.same_splits({}, same) and not settings.same_splits(same | {"seed": 2}, same)
+    assert settings.unwrapped({"metrics": {"metrics": {"f1": 1}}}) == {"f1": 1}
+    assert (settings.chosen_k(5, [1, 3], [1, 3]), settings.chosen_k(None, [1, 3], [1, 3]), settings.chosen_k(None, [9], [5, 2]), settings.chosen_k(1, [], [])) == (3, 3, 2, None)
