@@ -23,10 +23,12 @@ def session(name: str = "prismata", **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share. Only where it is unset (as
-    in tests on one machine) a temporary folder is made and set for the session."""
+    """The folder of spark.checkpoint.dir, which all machines share. Where it is unset, a temporary folder is made and set
+    for the session on one machine (as in tests); on a cluster, whose machines would not share it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="prismata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
