@@ -6,12 +6,13 @@
    the rows, so no digest above the share is missed.
 3. One more aggregation counts those candidates exactly. The verified winners number 1 / share at
    most, whatever the input's size; they are broadcast and decided on the map side.
-4. The other digests, each under the share, take an ordinary shuffle.
+4. The other digests, each under the share, take an ordinary shuffle: those that come more than once are aggregated
+   and written, then joined, so that no task needs all rows of a digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frequent, quoted, table, text_or_empty, written
@@ -39,11 +40,11 @@ def exact_dedup(docs: DataFrame, share: float = SHARE) -> DataFrame:
         .where(F.col("group_size") > F.col("limit"))
         .drop("limit")
     )
-    winners = written(winners.coalesce(1), "winners")
+    winners = written(winners, "winners")
     hot = digests.join(F.broadcast(winners), "digest")
     rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    same = Window.partitionBy("digest")
-    rest = rest.select("digest", "doc_id", F.max("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size"))
+    groups = written(rest.groupBy("digest").agg(F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1"), "groups")
+    rest = rest.join(groups, "digest", "left").select("digest", "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("last")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"))
     return hot.select(rest.columns).unionAll(rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
