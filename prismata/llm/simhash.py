@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, pieces, prepare, quoted, table, written
-from .components import components
+from ..operators.graph import components
 
 #: Words of a shingle, and the bits in which linked fingerprints may differ.
 WORDS, RADIUS = 4, 4
 #: With 7 blocks a key has 27 bits or more, in 35 tables; for more than about 10^9 distinct fingerprints take 8 (32 bits, 70 tables) or 9.
 BLOCKS = 7
 CHUNK, SMALL = 4096, 8
+#: Rows that are looked at together.
+ROWS = 50_000
 
 
 def fingerprint(text: bytes, width: int = WORDS) -> int:
@@ -87,7 +89,7 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk:
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select(F.when(F.col("n") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), F.col("t").cast("int").alias("t"), "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    prepare(spark)
 
     def run(batches):
         import numpy as np
@@ -135,9 +137,19 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+        def gathered():
+            parts, size = [], 0
+            for batch in batches:
+                parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "t", "fp")])
+                size += batch.num_rows
+                if size >= ROWS:
+                    yield [np.concatenate(x) for x in zip(*parts)]
+                    parts, size = [], 0
+            if parts:
+                yield [np.concatenate(x) for x in zip(*parts)]
+
         held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)]
-        for batch in batches:
-            got = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "t", "fp")]
+        for got in gathered():
             held = [np.concatenate([x, y]) for x, y in zip(held, (got[0], got[1], got[2].view(np.uint64)))]
             whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             yield from out(*(x[:whole] for x in held))
@@ -159,14 +171,15 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, b
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     roots = components(written(links(distinct, radius, blocks, chunk), "links"))
     joined = written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
-    names = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Written first: a join with an aggregate of its own stage can't be split where many fingerprints share a root.
+    names = written(joined.groupBy("root").agg(F.min("low").alias("component_id")), "component-names")
     return prints.join(written(joined.join(names, "root").select("fp", "component_id"), "names"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each component (the smallest doc_id), all columns kept."""
     gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return quoted(docs.join(gone, "doc_id", "left_anti"), docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
