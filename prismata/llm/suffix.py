@@ -18,7 +18,10 @@ so only texts that can hold repeats are sorted:
 
 Hot anchors (such as those of a line that a third of all documents have) are found by a frequent-items
 sketch first. Each of their windows is an anchor of its own, so that equal ones are combined by
-the mappers and different ones are spread. No group of an anchor is larger than about HOT of all anchors.
+the mappers and different ones are spread. Of the other anchors, one with more than LARGE different contexts is met
+in its bucket: its contexts are passed on as they come, and their windows are compared by digest in an aggregate and a
+join, which can be split anywhere. So a task holds about HELD records, and sorts LARGE contexts of an anchor at most,
+however large the corpus is.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from .common import as_bytes, frequent, pieces, prepare, quoted, table, written
 LENGTH, GRAM = 100, 24
 #: Anchors with more than this share of all anchors, and at least so many, are hot; the sketch's error is 3.5 / TRACKED.
 HOT, LEAST_HOT, TRACKED, MOST_HOT = 5e-4, 1000, 16384, 4096
+#: Different contexts of an anchor that are sorted, and records of a bucket that are held.
+LARGE, HELD = 2000, 1 << 19
 #: Records of a bucket, buckets of a task (several small ones even out), and bytes of contexts that are sorted at a time.
 BUCKET, TOGETHER, SORTED = 50_000, 8, 1 << 19
 PART = 2 << 20
@@ -166,40 +171,53 @@ def contexts(docs: DataFrame, hot_in, buckets: int, length: int, gram: int) -> D
     return docs.mapInArrow(run, "bucket bigint, records binary, spans binary")
 
 
-FOUND = "doc_id bigint, start int, n int, anchor bigint"
+FOUND = "doc_id bigint, start int, n int, anchor bigint, large boolean"
 
 
 def compared(sent: DataFrame, buckets: int, length: int) -> DataFrame:
-    """doc_id, start, n, anchor: repeats (anchor null), and contexts whose windows are still to be compared."""
-    spark = sent.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """doc_id, start, n, anchor, large: repeats (anchor null), and contexts whose windows are still to be compared."""
+    spark = prepare(sent.sparkSession)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def batch_of(doc, start, n, anchor):
-            return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor, pa.int64()) if anchor is not None else pa.nulls(len(doc), pa.int64())], names=["doc_id", "start", "n", "anchor"])
+        def batch_of(doc, start, n, anchor, large=False):
+            return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor, pa.int64()) if anchor is not None else pa.nulls(len(doc), pa.int64()), pa.array([large] * len(doc), pa.bool_())], names=["doc_id", "start", "n", "anchor", "large"])
 
-        def out(blobs):
+        def less(blobs, large):
+            """Pass on repeats, and the contexts of anchors that have too many; the rest, and how many contexts each of its anchors has."""
             r, late = firsts(np.frombuffer(b"".join(blobs), RECORD))
             yield batch_of(*merged(late["doc"], late["start"], late["n"] + length - 1), None)
             new = np.append(True, r["h"][1:] != r["h"][:-1]) if len(r) else np.zeros(0, bool)
             size = np.diff(np.append(np.flatnonzero(new), len(r)))
-            r = r[np.repeat(size, size) > 1]
+            large.update(r["h"][new][size > LARGE].tolist())
+            many = np.isin(r["h"], np.array(sorted(large), np.uint64))
+            if many.any():
+                out = r[many]
+                yield batch_of(out["doc"], out["start"], out["n"], out["h"].copy().view(np.int64), True)
+            return r[~many], np.repeat(size, size)[~many]
+
+        def out(blobs, large):
+            r, size = yield from less(blobs, large)
+            r = r[size > 1]
             yield batch_of(r["doc"], r["start"], r["n"], r["h"].copy().view(np.int64))
 
-        at, blobs = None, []
+        at, blobs, held, large = None, [], 0, set()
         for batch in batches:
             for key, records, spans in zip(*(batch.column(c).to_pylist() for c in ("bucket", "records", "spans"))):
                 if key != at:
-                    yield from out(blobs)
-                    at, blobs = key, []
+                    yield from out(blobs, large)
+                    at, blobs, held, large = key, [], 0, set()
                 blobs.append(records)
+                held += len(records) // np.dtype(RECORD).itemsize
+                if held > HELD:
+                    rest, _ = yield from less(blobs, large)
+                    blobs, held = [rest.tobytes()], len(rest) // 2  # what is left counts half, so that it isn't gone over for each row
                 if spans:
                     s = np.frombuffer(spans, "<i8").reshape(-1, 3)
                     yield batch_of(s[:, 0], s[:, 1], s[:, 2], None)
-        yield from out(blobs)
+        yield from out(blobs, large)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // TOGETHER)
     return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
@@ -323,6 +341,30 @@ def sorted_repeats(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
     return bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id bigint, start int, n int")
 
 
+def window_repeats(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """doc_id, start, n: the windows of contexts `wanted` (doc_id, start, n) that also start earlier, each by its 128-bit digest."""
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_wanted")).withColumnRenamed("doc_id", "_wanted_doc")
+    joined = docs.join(wanted, F.col("doc_id") == F.col("_wanted_doc")).select("doc_id", "text", "_wanted")
+    prepare(docs.sparkSession)
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            for part in pieces(batch, "text", PART):
+                for doc, text, asked in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), as_bytes(part, "text"), part.column("_wanted").to_pylist()):
+                    at = sorted({i for x in asked for i in range(x["start"], min(x["start"] + x["n"], len(text) - length + 1))})
+                    d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[i : i + length]) for i in at]), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([doc] * len(at), pa.int64()), pa.array(at, pa.int32())], names=["high", "low", "doc_id", "start"])
+
+    windows = written(joined.mapInArrow(cut, "high bigint, low bigint, doc_id bigint, start int"), "windows")
+    first = written(windows.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "first-windows")
+    late = windows.join(first, ["high", "low"]).where(F.struct("doc_id", "start") > F.col("first"))
+    return late.select("doc_id", "start", F.lit(length).alias("n"))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, spans (start, bytes) of repeats in each document that has any; they may overlap."""
     docs = quoted(docs, ["doc_id", "text"])
@@ -333,8 +375,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     sent_hot = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
     found = written(compared(contexts(docs, sent_hot, buckets, length, gram), buckets, length), "contexts")
-    more = written(sorted_repeats(docs, found.where("anchor is not null"), length), "sorted")
-    spans = found.where("anchor is null").select("doc_id", "start", "n").unionAll(more)
+    more = written(sorted_repeats(docs, found.where("anchor is not null and not large"), length), "sorted")
+    spans = found.where("anchor is null").select("doc_id", "start", "n").unionAll(more).unionAll(window_repeats(docs, found.where("large"), length))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
@@ -360,11 +402,14 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts:
         for batch in batches:
             for part in pieces(batch, "text", PART):
                 rows = []
-                for text, spans in zip(as_bytes(part, "text"), part.column("spans").to_pylist()):
+                spans = part.column("spans")
+                edge = spans.offsets.to_numpy()
+                starts, sizes = (spans.values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n"))
+                for text, a, b in zip(as_bytes(part, "text"), edge.tolist(), edge[1:].tolist()):
                     removed = runs = 0
                     kept = text
-                    if spans:
-                        _, start, n = merged(np.zeros(len(spans), np.int64), np.array([x["start"] for x in spans], np.int64), np.array([x["n"] for x in spans], np.int64))
+                    if b > a:
+                        _, start, n = merged(np.zeros(b - a, np.int64), starts[a:b].astype(np.int64), sizes[a:b].astype(np.int64))
                         removed, runs = int(n.sum()), len(start)
                         ends = [0, *np.stack([start, start + n], axis=1).ravel().tolist(), len(text)]
                         kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2]))

@@ -175,9 +175,11 @@ def test_bands_are_tuned():
     assert 1 - (1 - 0.8**rows) ** bands >= paragraphs.RECALL and bands * rows <= paragraphs.HASHES
 
 
-@pytest.mark.parametrize("least_hot, length", [(1000, 100), (3, 100), (3, 40)])
-def test_suffix_repeats(ugly, named, empty, least_hot, length, monkeypatch):
+@pytest.mark.parametrize("least_hot, length, large, held", [(1000, 100, 2000, 1 << 19), (3, 100, 2000, 1 << 19), (3, 40, 2, 1 << 19), (1000, 100, 1, 20), (1000, 60, 3, 5)])
+def test_suffix_repeats(ugly, named, empty, least_hot, length, large, held, monkeypatch):
     monkeypatch.setattr(suffix, "LEAST_HOT", least_hot)
+    monkeypatch.setattr(suffix, "LARGE", large)
+    monkeypatch.setattr(suffix, "HELD", held)
     want = suffix.brute_force({k: v.encode() for k, v in named.items()}, length)
     rows = suffix.dedup_bytes(ugly, length=length).collect()
     assert len(rows) == ugly.count()
