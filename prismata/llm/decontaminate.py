@@ -28,7 +28,7 @@ from .common import as_bytes, merged_runs, pieces, prepare, quoted, received, se
 WINDOW = 13
 #: Words of a span that holds all words of a window in any order, for a proximity match.
 NEAR = 26
-SHARD_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
+SHARD_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
 #: Bytes that are part of words after lower-casing A-Z; all others separate words.
 WORD_BYTES = bytes(b for b in range(256) if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 TO_WORDS = bytes(b if b in WORD_BYTES else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
