@@ -18,17 +18,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, prepare, quoted, table
+from .common import as_bytes, pieces, prepare, quoted, received, sent, table
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (1, 2, 3, 4, 5)
-#: Bound of the training sample: about so many labelled rows of each of at most MOST_LANGUAGES languages (the most frequent),
-#: and about MOST_ROWS in all.
-PER_LANGUAGE, MOST_LANGUAGES, MOST_ROWS = 500, 200, 4000
+#: Bound of the training sample: about so many labelled rows of each language, and about MOST_ROWS in all, but never
+#: fewer than LEAST_ROWS of a language. More than MOST_LANGUAGES languages are an error, not left out.
+PER_LANGUAGE, MOST_ROWS, LEAST_ROWS, MOST_LANGUAGES = 500, 4000, 20, 1000
 EPOCHS, RATE = 8, 4.0
-#: Share of rightly named texts that may be rejected, and the confidence above which none is.
-REJECTED, CERTAIN = 0.002, 0.5
-#: Words that a worker remembers before it starts anew.
-CACHE = 300_000
+#: Share of rightly named texts that may be rejected, and the calibrated confidence from which on none is: where the chance
+#: of an error is a quarter or less.
+REJECTED, CERTAIN = 0.002, 0.75
+#: About how many bytes of words a worker remembers before it starts anew.
+CACHE_BYTES = 32 << 20
 #: A-Z to a-z; other ASCII characters separate words.
 TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -97,15 +98,17 @@ def bags(docs: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fit on rows (doc_id, lang, text). Rows without lang teach nothing."""
+    """Fit on rows (doc_id, lang, text). Rows without lang or doc_id teach nothing; rows that repeat teach as often as they stand."""
     import numpy as np
 
     rows = rows.where("lang is not null and doc_id is not null")
-    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(count) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not count:
         return Model([], np.zeros((BUCKETS, 1)), np.zeros(0), 1.0, 2.0)
     top = 1 << 30
-    per_language = min(per_language, MOST_ROWS / len(count))
+    per_language = max(min(per_language, MOST_ROWS / len(count)), LEAST_ROWS)
     share = F.create_map(*[x for k, n in count.items() for x in (F.lit(k), F.lit(int(top * min(1.0, per_language / n))))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(top)) < share[F.col("lang")])
     languages = sorted(count)
@@ -166,14 +169,14 @@ class Predictor:
         import numpy as np
 
         self.place: dict[bytes, int] = {}
-        self.rows = np.zeros((0, self.model.logits.shape[1]))
+        self.rows = np.zeros((1024, self.model.logits.shape[1]))
 
     def __call__(self, texts: list[bytes]):
         """The language, the score, and whether it is rejected, for each text."""
         import numpy as np
 
         model, place = self.model, self.place
-        if len(place) > CACHE:
+        if len(place) * (8 * self.rows.shape[1] + 120) > CACHE_BYTES:
             self.forget()
             place = self.place
         lines = [t.translate(TO_WORDS).split() for t in texts]
@@ -182,7 +185,9 @@ class Predictor:
             own = new[k : k + 20_000]
             bucket, start = subwords(own)
             place.update(zip(own, range(len(place), len(place) + len(own))))
-            self.rows = np.vstack([self.rows, np.add.reduceat(model.logits[bucket], start, axis=0)])
+            if len(place) > len(self.rows):
+                self.rows = np.vstack([self.rows, np.zeros((max(len(self.rows), len(place) - len(self.rows)), self.rows.shape[1]))])
+            self.rows[len(place) - len(own) : len(place)] = np.add.reduceat(model.logits[bucket], start, axis=0)
         sums = np.zeros((len(texts), self.rows.shape[1]))
         for i, line in enumerate(lines):
             if line:
@@ -202,12 +207,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     length are read whole. Equal texts get equal results; an empty table gives no rows. With no
     labelled rows at all every text is `und`.
     """
-    sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
+    model_in = sent(prepare(docs.sparkSession), model)
 
     def run(batches):
         import pyarrow as pa
 
-        predict = Predictor(sent.value)
+        predict = Predictor(received(model_in))
         for batch in batches:
             for part in pieces(batch, "text"):
                 names, score, rejected = predict(as_bytes(part, "text"))
@@ -218,12 +223,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with all columns, whose text is not rejected; without a shuffle."""
-    sent = prepare(docs.sparkSession).sparkContext.broadcast(model)
+    model_in = sent(prepare(docs.sparkSession), model)
 
     def run(batches):
         import pyarrow as pa
 
-        predict = Predictor(sent.value)
+        predict = Predictor(received(model_in))
         for batch in batches:
             for part in pieces(batch, "text"):
                 yield part.filter(pa.array(~predict(as_bytes(part, "text"))[2]))
