@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 
@@ -79,3 +80,62 @@ def test_quality(spark, ugly, empty):
     assert quality.score(empty, model).count() == 0
     assert {r.predicted for r in quality.score(docs, quality.train(docs, labels.where("quality = 0"))).collect()} == {0}
     assert quality.score(docs, quality.train(docs, labels.limit(0))).count() == 300
+
+
+def slow_logits(text, model):
+    """The summed logits of all n-grams of all words, letter by letter, and how many there are."""
+    total, n = np.zeros(len(model.languages)), 0
+    for word in text.translate(langid.TO_WORDS).split():
+        letters = b"<" + word + b">"
+        for size in langid.GRAMS:
+            for i in range(len(letters) - size + 1):
+                h = 0
+                for c in letters[i : i + size]:
+                    h = (h * 0x01000193 + c + 1) % (1 << 32)
+                h = (h ^ h >> 15) * 0x2C1B3C6D % (1 << 32)
+                total += model.logits[(h ^ h >> 13) % langid.BUCKETS][:-1]
+                n += 1
+    return total / max(n, 1) + model.bias
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    docs = [(i, t, k) for i, t, k in sentences(300)] + [(900, None, "en"), (901, "123 !!", "de"), (902, "", None), (903, "x" * 60_000, None), (904, sentences(1)[0][1], None), (904, sentences(1)[0][1], None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").selectExpr("*", "1 as score", "'x' as lang_pred", "'y' as rejected").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = langid.op6_langid(spark, str(tmp_path)).collect()
+    model = langid.train(spark.read.parquet(f"{tmp_path}/documents.parquet").where(~langid.held_out(5, 0)))
+    assert len(rows) == len(docs)
+    texts = {i: (t or "").encode() for i, t, _ in docs}
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if not any(c.isalpha() for c in texts[r.doc_id].decode()):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        z = slow_logits(texts[r.doc_id], model) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(r.score - p.max()) < 1e-6 and r.lang_pred in np.array(model.languages)[p > p.max() - 1e-6]
+        assert r.rejected == (r.score < model.threshold)
+
+
+def test_quality_query_against_brute_force(spark, tmp_path):
+    turn = np.random.default_rng(4)
+    docs = [(i, " ".join(turn.choice(["stone", "river", "Quiet", "market.", "a", "of"], 40)) if i % 2 else " ".join(turn.choice(["BUY!!", "now", "$$$", "click"], 30))) for i in range(240)]
+    docs += [(900, None), (901, ""), (902, "!!! ??? \n" * 20_000), (903, "stone river"), (903, "stone river")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "2 as score", "3 as predicted").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, None) for i in range(240)] + [(None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = quality.op9_quality(spark, str(tmp_path)).collect()
+    read = lambda n: spark.read.parquet(f"{tmp_path}/{n}.parquet")
+    model = quality.train(read("documents"), read("labels").where(~quality.held_out(3, 1)))
+    assert len(rows) == len(docs)
+    texts = dict(docs)
+    for r in rows:
+        text = (texts[r.doc_id] or "").encode()
+        raw = sum(model.weight[i * quality.BINS + int(np.searchsorted(e, v, "right"))] for i, (e, v) in enumerate(zip(model.edges, quality.features(text))))
+        share: dict = {}
+        for w in text.lower().split():
+            b = int(quality.word_shares([w])[0].argmax())
+            share[b] = share.get(b, 0) + 1
+        raw += sum(model.words[b] * n for b, n in share.items()) / max(1e-12, sum(n * n for n in share.values()) ** 0.5)
+        want = 1 / (1 + np.exp(-np.clip((raw - model.cut) / model.scale, -60, 60)))
+        assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    assert np.mean([r.predicted == r.doc_id % 2 for r in rows if r.held_out and r.doc_id < 240]) > 0.97
