@@ -102,19 +102,20 @@ CHUNK = 1024
 
 
 def shingle_classes(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFrame]:
-    """members (doc_id, class) of texts with a shingle, and classes (class, n, g) of texts with equal sets of shingles:
-    class is the smallest doc_id, g the shingles as an array of struct<df, h> from the rarest on, df counting classes."""
+    """members (doc_id, class, n) of texts with a shingle, and classes (class, n, g) of texts with equal sets of n shingles: class is the
+    smallest doc_id, g those shingles that other classes have too, as an array of struct<df, h> from the rarest on, df
+    counting classes. Classes that share no shingle are left out."""
     words = F.split("text", " ")
     shifted = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - width + 1, F.lit(0))).alias(f"w{k}") for k in range(width)])
     grams = F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(width)])))
     rows = docs.where("doc_id is not null").select("doc_id", grams.alias("g")).where("size(g) > 0")
     # Each shingle has as many spaces as any other, so that the joined text tells where each ends.
-    rows = written(rows.select("doc_id", F.sha2(F.concat_ws(" ", F.array_sort("g")), 256).alias("key"), F.transform("g", lambda x: F.xxhash64(x)).alias("g")), "shingle-sets")
+    rows = written(rows.select("doc_id", F.sha2(F.concat_ws(" ", F.array_sort("g")), 256).alias("key"), F.array_distinct(F.transform("g", lambda x: F.xxhash64(x))).alias("g")), "shingle-sets")
     least = written(rows.groupBy("key").agg(F.min("doc_id").alias("class")), "shingle-classes")
-    members = written(rows.select("doc_id", "key").join(least, "key").select("doc_id", "class").distinct(), "class-members")
-    sets = rows.join(least, "key").where("doc_id = class").select("class", F.size("g").alias("n"), F.explode("g").alias("h")).distinct()
+    members = written(rows.select("doc_id", "key", F.size("g").alias("n")).join(least, "key").select("doc_id", "class", "n").distinct(), "class-members")
+    sets = rows.join(least.withColumnRenamed("class", "doc_id"), ["key", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class"), F.size("g").alias("n"), F.explode("g").alias("h"))
     sets = written(sets, "class-shingles")
-    df = written(sets.groupBy("h").agg(F.count("*").cast("int").alias("df")), "shingle-counts")
+    df = written(sets.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "shared-shingles")
     classes = sets.join(df, "h").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("g"))
     return members, written(classes, "classes")
 
@@ -122,11 +123,11 @@ def shingle_classes(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFra
 def class_edges(classes: DataFrame, similar: float, chunk: int = CHUNK) -> DataFrame:
     """a < b, both, na, nb: all pairs of classes with Jaccard of `similar` or more.
 
-    Sets this similar share one of their rarest shingles, of which n - similar * n + 1 of each are looked up. A
-    shingle that many classes look up is dealt to pairs of chunks. Candidates are compared by all their shingles.
+    Sets this similar share one of their rarest shingles, of which n - similar * n + 1 of each are looked up; those that no
+    other class has are among these and need no look. A shingle that many classes look up is dealt to pairs of chunks. Candidates are compared by all their shingles.
     """
     looked = F.size("g") - F.ceil(similar * F.col("n") - 1e-6).cast("int") + 1
-    rare = written(classes.select("class", "n", F.explode(F.slice("g", 1, F.greatest(looked, F.lit(1)))).alias("s")).where("s.df > 1").select("class", "n", "s.h"), "rarest-shingles")
+    rare = written(classes.select("class", "n", F.explode(F.slice("g", 1, F.greatest(looked, F.lit(0)))).alias("s")).select("class", "n", "s.h"), "rarest-shingles")
     size = written(rare.groupBy("h").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"), "frequent-shingles")
     dealt = rare.join(size, "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(F.lit("chunk"), "class"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -155,7 +156,8 @@ def shingle_representatives(docs: DataFrame, similar: float, width: int = 3) ->
     equal shingles are one; texts with fewer words than a shingle stand for themselves."""
     members, classes = shingle_classes(docs, width)
     turn = F.concat(F.lpad((F.lit(1 << 30) - F.col("n")).cast("string"), 10, "0"), F.lit("|"), F.lpad(F.col("class").cast("string"), 20, "0"))
-    named = written(representatives(classes.select(F.col("class").alias("node"), turn.alias("turn")), class_edges(classes, similar).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "representatives")
+    nodes = members.where("doc_id = class").select(F.col("class").alias("node"), turn.alias("turn"))
+    named = written(representatives(nodes, class_edges(classes, similar).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "representatives")
     placed = members.join(named.withColumnRenamed("node", "class"), "class").select("doc_id", "representative")
     return docs.select("doc_id").distinct().join(placed, "doc_id", "left").select("doc_id", F.coalesce("representative", "doc_id").alias("representative"))
 
