@@ -14,6 +14,7 @@ from ..functions.codes import ancestor
 from ..functions.hashing import ticket, uniform
 from ..functions.vectors import class_weight, dot, sigmoid, unit
 from ..session import written
+from .labels import numbered
 from .scoring import mean_vectors, micro_macro, per_class, projected, set_metrics, top1_rate
 
 
@@ -40,30 +41,64 @@ def pick_classes(members: DataFrame, n_episodes: int, m: int, k: int, q: int, se
     return ranked.withColumn("full", full).where("full").select("episode", "ec", "slot", "n")
 
 
+def places(size, take, draw):
+    """`take` different whole numbers below `size`, by Floyd's sampling. draw(j): a number in [0, 1) for each of the steps."""
+
+    def step(got, j):
+        t = F.floor(draw(j) * (j + 1))
+        return F.concat(got, F.array(F.when(F.array_contains(got, t), j).otherwise(t)))
+
+    return F.aggregate(F.sequence(size - take, size - 1), F.array().cast("array<bigint>"), step)
+
+
+def ordered(rows: DataFrame, *keys: str) -> DataFrame:
+    """Distinct rows of the keys, numbered (at) in their order over all rows."""
+    rows = rows.select(*keys).distinct().withColumn("key", F.struct(*keys))
+    return written(numbered(rows, "key", "at").select(*keys, "at"), "places")
+
+
+def drawn(chosen: DataFrame, items: DataFrame, item: str, most: int, seed) -> DataFrame:
+    """episode, ec, slot, i (from 0), item: up to `most` different items (ec, item, at) of each chosen class, in a seeded order.
+    Places among a class's items are drawn, and only those are joined, however many items a class has."""
+    classes = items.groupBy("ec").agg(F.min("at").alias("top"), F.count("*").alias("size"))
+    found = places(F.col("size"), F.least("size", F.lit(most)), lambda j: uniform(seed, F.lit("place"), F.col("episode"), F.col("ec"), j))
+    rows = chosen.select("episode", "ec", "slot").join(classes, "ec").select("episode", "ec", "slot", "top", F.explode(found).alias("p"))
+    turn = Window.partitionBy("episode", "ec").orderBy(ticket(seed, F.lit("turn"), F.col("episode"), F.col("ec"), F.col("p")), "p")
+    rows = rows.select("episode", "ec", "slot", (F.row_number().over(turn) - 1).alias("i"), (F.col("top") + F.col("p")).alias("at"))
+    return rows.join(items.select("at", item), "at").select("episode", "ec", "slot", "i", item)
+
+
+def role(k: int):
+    return F.when(F.col("i") < k, "support").otherwise("query").alias("role")
+
+
 def standard(chosen: DataFrame, members: DataFrame, k: int, q: int, seed: int) -> DataFrame:
     """episode, ec, slot, role, accession: K support and up to Q query members, all distinct."""
-    rows = chosen.join(members.select("ec", "accession").distinct(), "ec")
-    turn = Window.partitionBy("episode", "ec").orderBy(ticket(seed, F.lit("member"), F.col("episode"), F.col("ec"), F.col("accession")), "accession")
-    rows = rows.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= k + q)
-    return rows.select("episode", "ec", "slot", F.when(F.col("r") <= k, "support").otherwise("query").alias("role"), "accession")
+    return drawn(chosen, ordered(members, "ec", "accession"), "accession", k + q, seed).select("episode", "ec", "slot", role(k), "accession")
+
+
+def in_clusters(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """ec, cluster_id, accession; a member of no cluster is one of its own."""
+    own = F.coalesce("cluster_id", F.concat(F.lit("_na_"), "accession"))
+    return members.join(clusters, "accession", "left").select("ec", own.alias("cluster_id"), "accession")
 
 
 def disjoint(chosen: DataFrame, members: DataFrame, clusters: DataFrame, k: int, q: int, seed: int) -> DataFrame:
     """Like standard, with one member of each of K+Q different clusters; classes of fewer clusters are not given."""
-    placed = members.join(clusters, "accession", "left").select("ec", "accession", F.coalesce("cluster_id", F.concat(F.lit("_na_"), "accession")).alias("cluster_id")).distinct()
-    rows = chosen.join(placed, "ec")
-    one = Window.partitionBy("episode", "ec", "cluster_id").orderBy(ticket(seed, F.lit("member"), F.col("episode"), F.col("ec"), F.col("accession")), "accession")
-    turn = Window.partitionBy("episode", "ec").orderBy(ticket(seed, F.lit("cluster"), F.col("episode"), F.col("ec"), F.col("cluster_id")), "cluster_id")
-    rows = rows.withColumn("i", F.row_number().over(one)).where("i = 1").withColumn("r", F.row_number().over(turn)).withColumn("c", F.count("*").over(Window.partitionBy("episode", "ec")))
-    rows = rows.where((F.col("c") >= k + q) & (F.col("r") <= k + q))
-    return rows.select("episode", "ec", "slot", F.when(F.col("r") <= k, "support").otherwise("query").alias("role"), "accession", "cluster_id")
+    placed = ordered(in_clusters(members, clusters), "ec", "cluster_id", "accession")
+    groups = ordered(placed, "ec", "cluster_id")
+    able = groups.groupBy("ec").agg(F.count("*").alias("c")).where(F.col("c") >= k + q).select("ec")
+    rows = drawn(chosen.join(able, "ec", "left_semi"), groups, "cluster_id", k + q, seed)
+    rows = rows.join(placed.groupBy("ec", "cluster_id").agg(F.min("at").alias("top"), F.count("*").alias("size")), ["ec", "cluster_id"])
+    one = F.floor(uniform(seed, F.lit("member"), F.col("episode"), F.col("ec"), F.col("cluster_id")) * F.col("size"))
+    rows = rows.withColumn("at", F.col("top") + one)
+    return rows.join(placed.select("at", "accession"), "at").select("episode", "ec", "slot", role(k), "accession", "cluster_id")
 
 
 def with_repeats(chosen: DataFrame, members: DataFrame, k: int, q: int, seed: int) -> DataFrame:
     """K+Q draws for each class: all members in a seeded order first, then seeded repeats. occurrence counts a member's uses in the
     episode; from the second on a view is to be made of it."""
-    turn = Window.partitionBy("episode", "ec").orderBy(ticket(seed, F.lit("member"), F.col("episode"), F.col("ec"), F.col("accession")), "accession")
-    pool = chosen.join(members.select("ec", "accession").distinct(), "ec").withColumn("i", F.row_number().over(turn) - 1).where(F.col("i") < k + q)
+    pool = drawn(chosen, ordered(members, "ec", "accession"), "accession", k + q, seed)
     draws = chosen.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k + q - 1))))
     span = F.least(F.col("n"), F.lit(k + q))
     again = F.floor(uniform(seed, F.lit("repeat"), F.col("episode"), F.col("ec"), F.col("draw")) * span)

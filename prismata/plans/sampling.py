@@ -49,8 +49,19 @@ def episode_classes(spark, d):
     return episodes.pick_classes(members(spark, d), N, M, K, Q, SEED)
 
 
+def drawn(most, source="ch", size="n"):
+    """Places drawn by Floyd's sampling, and their seeded order, in SQL."""
+    steps = f"list_transform(range({size} - least({size}, {most}), {size}), lambda j: [floor({uni(chr(39) + 'place' + chr(39), 'episode', 'ec', 'j')} * (j + 1))::BIGINT, j])"
+    places = f"list_reduce(list_prepend([]::BIGINT[], {steps}), lambda a, x: list_append(a, CASE WHEN list_contains(a, x[1]) THEN x[2] ELSE x[1] END))"
+    return f"SELECT episode, ec, slot, p, row_number() OVER (PARTITION BY episode, ec ORDER BY {tick(chr(39) + 'turn' + chr(39), 'episode', 'ec', 'p')}, p) - 1 AS i FROM (SELECT episode, ec, slot, unnest({places}) AS p FROM {source})"
+
+
 MEMBER = "'member'"
-STANDARD = CHOSEN | {"sm": f"SELECT episode, ec, slot, CASE WHEN r <= {K} THEN 'support' ELSE 'query' END AS role, accession FROM (SELECT ch.*, accession, row_number() OVER (PARTITION BY episode, ec ORDER BY {tick(MEMBER, 'episode', 'ec', 'accession')}, accession) AS r FROM ch JOIN mem USING (ec)) WHERE r <= {K + Q}"}
+STANDARD = CHOSEN | {
+    "nm": "SELECT ec, accession, row_number() OVER (PARTITION BY ec ORDER BY accession) - 1 AS p FROM mem",
+    "dw": drawn(K + Q),
+    "sm": f"SELECT episode, ec, slot, CASE WHEN i < {K} THEN 'support' ELSE 'query' END AS role, accession FROM dw JOIN nm USING (ec, p)",
+}
 
 
 def samples(spark, d):
@@ -64,12 +75,16 @@ def episode_samples(spark, d):
 
 @query(
     sql(
-        f"SELECT episode, ec, slot, CASE WHEN r <= 2 THEN 'support' ELSE 'query' END AS role, accession, cluster_id FROM (SELECT *, count(*) OVER (PARTITION BY episode, ec) AS c, row_number() OVER (PARTITION BY episode, ec ORDER BY {tick(chr(39) + 'cluster' + chr(39), 'episode', 'ec', 'cluster_id')}, cluster_id) AS r FROM"
-        f" (SELECT ch.*, accession, cluster_id, row_number() OVER (PARTITION BY episode, ec, cluster_id ORDER BY {tick(MEMBER, 'episode', 'ec', 'accession')}, accession) AS i FROM ch JOIN pl USING (ec)) WHERE i = 1) WHERE c >= 5 AND r <= 5",
+        "SELECT episode, ec, slot, CASE WHEN i < 2 THEN 'support' ELSE 'query' END AS role, accession, cluster_id FROM (SELECT dw.*, cluster_id, floor("
+        f"{uni(MEMBER, 'episode', 'ec', 'cluster_id')} * size)::BIGINT AS m FROM dw JOIN gr USING (ec, p)) JOIN nc USING (ec, cluster_id, m)",
         *V,
         **CHOSEN,
         **CL,
-        pl="SELECT ec, accession, coalesce(cluster_id, concat('_na_', accession)) AS cluster_id FROM mem JOIN cl USING (accession)",
+        pl="SELECT DISTINCT ec, accession, coalesce(cluster_id, concat('_na_', accession)) AS cluster_id FROM mem JOIN cl USING (accession)",
+        nc="SELECT *, row_number() OVER (PARTITION BY ec, cluster_id ORDER BY accession) - 1 AS m FROM pl",
+        gr="SELECT ec, cluster_id, count(*) AS size, row_number() OVER (PARTITION BY ec ORDER BY cluster_id) - 1 AS p FROM pl GROUP BY 1, 2",
+        ab="SELECT ch.*, c FROM ch JOIN (SELECT ec, count(*) AS c FROM gr GROUP BY 1) USING (ec) WHERE c >= 5",
+        dw=drawn(5, "ab", "c"),
     )
 )
 def episode_disjoint(spark, d):
@@ -77,7 +92,9 @@ def episode_disjoint(spark, d):
 
 
 REPEATS = CHOSEN | {
-    "pool": f"SELECT * FROM (SELECT ch.episode, ch.ec, accession, row_number() OVER (PARTITION BY episode, ec ORDER BY {tick(MEMBER, 'episode', 'ec', 'accession')}, accession) - 1 AS i FROM ch JOIN mem USING (ec)) WHERE i < 24",
+    "nm": STANDARD["nm"],
+    "dw": drawn(24),
+    "pool": "SELECT episode, ec, i, accession FROM dw JOIN nm USING (ec, p)",
     "dr": f"SELECT ch.*, draw, CASE WHEN draw < n THEN draw ELSE floor({uni(chr(39) + 'repeat' + chr(39), 'episode', 'ec', 'draw')} * least(n, 24))::INT END AS i FROM ch CROSS JOIN (SELECT unnest(range(24))::INT AS draw)",
     "wr": "SELECT episode, ec, slot, draw, CASE WHEN draw < 12 THEN 'support' ELSE 'query' END AS role, accession, row_number() OVER (PARTITION BY episode, accession ORDER BY slot, draw)::INT AS occurrence FROM dr JOIN pool USING (episode, ec, i)",
 }
@@ -195,7 +212,8 @@ def per_k(k):
     """The scores' common table expressions for K support members, under names of their own."""
     own = {n: t for n, t in SCORES.items() if n not in ("mem", "u")}
     own["ch"] = own["ch"].replace(f"n >= {K + Q}", f"n >= {k + Q}").replace(f"n >= {K})", f"n >= {k})")
-    own["sm"] = own["sm"].replace(f"r <= {K + Q}", f"r <= {k + Q}").replace(f"r <= {K} ", f"r <= {k} ")
+    own["dw"] = drawn(k + Q)
+    own["sm"] = own["sm"].replace(f"i < {K} ", f"i < {k} ")
     return {f"{n}_{k}": re.sub(rf"\b({'|'.join(own)})\b(?!\()", rf"\1_{k}", t) for n, t in own.items()}
 
 
