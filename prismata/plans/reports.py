@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import augment
 from ..functions import vectors as vec
-from ..operators import reports, training
-from ..session import shared_dir
+from ..operators import episodes, reports, training
+from ..session import shared_dir, written
 from ..sources import readers, writers
 from ..sources.fixtures import sql, view
 from ..streaming import counters
 from .registry import query
-from .sampling import episode_fallback, samples
+from .sampling import K, M, Q, SEED, codes, episode_fallback, members, samples
 
 
 def place(spark, name):
@@ -188,9 +188,13 @@ def vector_views(spark, d):
 
 @query()
 def train_projection(spark, d):
-    w, losses = training.train(samples(spark, d), view(spark, d, "vectors"), width=16)
-    best, stop = training.early_stop([-x for x in losses], 5, 1e-3)
-    return spark.createDataFrame([(i, float(x), i == best, i == stop) for i, x in enumerate(losses)], "step int, loss double, best boolean, stop boolean")
+    """step, loss, accuracy (where it was checked), choice. Episodes of test classes are trained on, and those of val checked."""
+    other = view(spark, d, "vec_labels").where("split = 'val'").select("ec", "accession").distinct()
+    held = episodes.standard(written(episodes.pick_classes(other, 10, M, K, Q, SEED), "validation-classes"), other, K, Q, SEED)
+    both = members(spark, d).unionByName(other)
+    got = training.train(samples(spark, d), view(spark, d, "vectors"), 16, rate=0.01, validation=held, members=both, codes=codes(spark, d), every=4)
+    seen = dict(got.checks)
+    return spark.createDataFrame([(i, x, seen.get(i), got.choice) for i, x in enumerate(got.losses, 1)], "step int, loss double, accuracy double, choice string")
 
 
 @query(sql("SELECT ec_full AS ec, count(*) AS n FROM labels_long GROUP BY 1", "labels_long"))

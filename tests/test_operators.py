@@ -182,6 +182,59 @@ def test_early_stopping_and_training_slope():
         assert abs(near - slope[i, j]) < 1e-5
 
 
+@pytest.mark.parametrize("multi", [True, False])
+def test_training_slope_with_levels(multi):
+    turn = np.random.default_rng(1)
+    w, x = turn.normal(size=(3, 5)), (turn.normal(size=(6, 5)), turn.normal(size=(4, 5)))
+    own = np.array([[1.0, 0, 1], [0, 1, 0], [0, 0, 1], [0, 0, 0]]) if multi else np.array([0, 1, 2, 2])
+    y, codes = (np.array([0, 0, 1, 1, 2, 2]), own), ["1.2.3.4", "1.2.5.1", "1.3.1.1"]  # one code at the first level
+    loss, slope = training.with_levels(w, x, y, codes, 3, 0.5)
+    coarse = np.stack([own[:, :2].max(axis=1), own[:, 2]], axis=1) if multi else np.array([0, 0, 1, 1])
+    parts = [training.loss_and_slope(w, x, y, 3)[0], 0.5 / 3 * training.loss_and_slope(w, x, (np.array([0, 0, 0, 0, 1, 1]), coarse), 2)[0], 0.5 / 3 * training.loss_and_slope(w, x, y, 3)[0]]
+    assert abs(loss - sum(parts)) < 1e-12
+    for i, j in ((0, 0), (1, 3), (2, 4)):
+        d = np.zeros_like(w)
+        d[i, j] = 1e-6
+        near = (training.with_levels(w + d, x, y, codes, 3, 0.5)[0] - training.with_levels(w - d, x, y, codes, 3, 0.5)[0]) / 2e-6
+        assert abs(near - slope[i, j]) < 1e-5
+
+
+def test_adam_steps():
+    adam, mean, square = training.Adam(0.1), 0.0, 0.0
+    for t, g in enumerate([1.0, -2.0, 0.5], 1):
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        assert abs(adam.step(g) - 0.1 * (mean / (1 - 0.9**t)) / (math.sqrt(square / (1 - 0.999**t)) + 1e-8)) < 1e-12
+
+
+def test_training_checks_and_stops(spark):
+    turn = np.random.default_rng(2)
+    centre = {c: turn.normal(size=6) for c in "ABCD"}
+    v = rows(spark, [(f"{c}{i}", (m + turn.normal(0, 0.3, 6)).tolist()) for c, m in centre.items() for i in range(8)], "accession string, vec array<double>")
+    m = members(spark, **{c: [f"{c}{i}" for i in range(8)] for c in "ABCD"})
+    draw = lambda n, seed: episodes.standard(episodes.pick_classes(m, n, 3, 2, 3, seed), m, 2, 3, seed)
+    first = training.train(draw(30, 1), v, 4, 0.01, validation=draw(5, 2), every=4, patience=2, at_once=7)
+    again = training.train(draw(30, 1), v, 4, 0.01, validation=draw(5, 2), every=4, patience=2, at_once=30)
+    assert first.losses == again.losses and first.checks == again.checks and (first.weights == again.weights).all()
+    values = [a for _, a in first.checks]
+    at, stop = training.early_stop(values, 2, 1e-3)
+    assert stop == len(values) - 1 and [n for n, _ in first.checks][:-1] == [4 * i + 4 for i in range(len(values) - 1)]
+    assert (len(first.losses) == 30) or len(values) - at == 3
+    assert training.train(draw(0, 1), v, 4).weights is None
+
+
+def test_drawn_members_are_different_and_all_come_up(spark):
+    m = members(spark, A=[f"a{i}" for i in range(9)], B=["b1", "b2"])
+    chosen = rows(spark, [(e, c, s) for e in range(200) for s, c in enumerate("AB")], "episode long, ec string, slot int")
+    got = episodes.standard(chosen, m, 2, 3, 11).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.episode, r.ec), []).append(r)
+    assert all(len({r.accession for r in x}) == len(x) == (5 if k[1] == "A" else 2) for k, x in by.items()) and len(by) == 400
+    assert all(sum(r.role == "support" for r in x) == 2 for x in by.values())
+    seen = [r.accession for r in got if r.ec == "A"]
+    assert all(80 < seen.count(f"a{i}") < 142 for i in range(9))  # 111 on average
+
+
 def slow_uniform(seed, *keys):
     return int(hashlib.md5("|".join(map(str, (seed, *keys))).encode()).hexdigest()[:13], 16) / 2**52
 
