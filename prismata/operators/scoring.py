@@ -6,6 +6,8 @@ logits (accession, ec, logit), truth (accession, ec), decisions (accession, ec,
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,123 @@ def cosines(queries: DataFrame, bank: DataFrame, block_bytes: int = BLOCK_BYTES)
     return out if out is not None else spark.createDataFrame([], "accession string, ec string, proto_id int, cos double")
 
 
+def bank_blocks(bank: DataFrame, block_bytes: int = BLOCK_BYTES):
+    """Names, limits, first rows and the matrix of blocks of whole classes of the bank (ec, limit, vec), in order of ec."""
+    import numpy as np
+
+    def packed():
+        first = [i for i, r in enumerate(block) if not i or r.ec != block[i - 1].ec]
+        return [block[i].ec for i in first], np.array([block[i].limit for i in first], float), np.array(first), np.array([r.vec for r in block], float)
+
+    block, size = [], 0
+    for r in bank.select("ec", "limit", "vec").orderBy("ec").toLocalIterator():
+        if block and size > block_bytes and r.ec != block[-1].ec:
+            yield packed()
+            block, size = [], 0
+        block.append(r)
+        size += 8 * len(r.vec) + 64
+    if block:
+        yield packed()
+
+
+def class_scorer():
+    """A function of rows of vectors, first rows and a matrix: the logit of each class, by `logits`' rule."""
+
+    def scored(x, first, matrix):
+        import numpy as np
+
+        z = x @ matrix.T
+        if len(first) == len(matrix):
+            return z
+        top = np.maximum.reduceat(z, first, axis=1)
+        size = np.diff(np.append(first, len(matrix)))
+        return top + np.log(np.add.reduceat(np.exp(z - np.repeat(top, size, axis=1)), first, axis=1))
+
+    return scored
+
+
+def promising(queries: DataFrame, bank: DataFrame, tau: float, temperature: float = 1.0, shortlist: int = 0, overrides: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """accession, ec, logit of the cells that `decide` with the same settings can take: of each block of the bank a query's best `shortlist` classes
+    (one at least, and what ties with the last of them), and without a shortlist all that reach their threshold. All other cells
+    are scored within the Arrow batch and never leave it. Blocks hold whole classes."""
+    spark = bank.sparkSession
+    queries = projected(queries).select("accession", "vec")
+    limit = F.lit(float(tau))
+    if overrides is not None:
+        bank = bank.join(overrides.select("ec", F.col("tau").alias("own_tau")), "ec", "left")
+        limit = F.coalesce("own_tau", limit)
+    logits_of = class_scorer()
+
+    def scored(block):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            ecs, limits, first, matrix = sent.value
+            names = pa.array(ecs, pa.string())
+            n = min(max(shortlist, 1), len(ecs))
+            step = max(1, 200_000 // len(matrix))
+            for batch in batches:
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    z = logits_of(np.array(part.column("vec").to_pylist(), float), first, matrix)
+                    p = 1 / (1 + np.exp(-z / temperature))
+                    keep = p >= np.partition(p, len(ecs) - n, axis=1)[:, [len(ecs) - n]] - 1e-12
+                    if not shortlist:
+                        keep |= p >= limits - 1e-9  # the exact comparison is `decide`'s
+                    who, which = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([part.column("accession").take(pa.array(who)), names.take(pa.array(which)), pa.array(z[keep])], names=["accession", "ec", "logit"])
+
+        return queries.mapInArrow(run, "accession string, ec string, logit double")
+
+    parts = [scored(block) for block in bank_blocks(bank.select("ec", limit.alias("limit"), "vec"), block_bytes)]
+    return functools.reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "accession string, ec string, logit double")
+
+
+def bank_losses(queries: DataFrame, bank: DataFrame, truth: DataFrame, temperatures: list[float], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What `losses` gives for all cells of queries and the bank's classes, from sums that each Arrow batch makes of its own cells."""
+    spark = bank.sparkSession
+    own = truth.select("accession", "ec").distinct().groupBy("accession").agg(F.collect_list("ec").alias("own"))
+    rows = projected(queries).select("accession", "vec").join(own, "accession", "left").select("vec", "own")
+    logits_of, points = class_scorer(), [float(t) for t in temperatures]
+
+    def summed(block):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            ecs, _, first, matrix = sent.value
+            at = {c: j for j, c in enumerate(ecs)}
+            step, cells = max(1, 200_000 // len(matrix)), 0
+            total = np.zeros((len(points), 2))
+            for batch in batches:
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    z = logits_of(np.array(part.column("vec").to_pylist(), float), first, matrix)
+                    y = np.zeros(z.shape)
+                    for j, mine in enumerate(part.column("own").to_pylist()):
+                        y[j, [at[c] for c in mine or () if c in at]] = 1
+                    cells += z.size
+                    for k, t in enumerate(points):
+                        p = 1 / (1 + np.exp(-z / t))
+                        near = np.clip(p, 1e-7, 1 - 1e-7)
+                        total[k] += -(y * np.log(near) + (1 - y) * np.log(1 - near)).sum(), ((p - y) ** 2).sum()
+            if cells:
+                yield pa.RecordBatch.from_arrays([pa.array(points), pa.array([cells] * len(points), pa.int64()), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["t", "cells", "bce", "brier"])
+
+        return rows.mapInArrow(run, "t double, cells bigint, bce double, brier double")
+
+    parts = [summed(block) for block in bank_blocks(bank.select("ec", F.lit(0.0).alias("limit"), "vec"), block_bytes)]
+    if not parts:
+        return spark.createDataFrame([], "temperature double, bce double, brier double")
+    mean = lambda c: F.round(F.sum(c) / F.sum("cells"), 6).alias(c)
+    return functools.reduce(DataFrame.unionAll, parts).groupBy(F.round("t", 8).alias("temperature")).agg(mean("bce"), mean("brier"))
+
+
 def logits(cos: DataFrame) -> DataFrame:
     """One logit per query and class: log-sum-exp over a class's prototypes, which is the cosine itself for a single one."""
     top = cos.groupBy("accession", "ec").agg(F.max("cos").alias("top"), F.collect_list("cos").alias("all"))
@@ -160,10 +279,16 @@ def decide(scores: DataFrame, tau, temperature: float = 1.0, shortlist: int = 0,
     return out.select("accession", "ec", "prob", "rank", F.col("_hit").alias("hit"))
 
 
-def judged(decisions: DataFrame, truth: DataFrame) -> DataFrame:
-    """decisions with `true`: whether the class is one of the query's."""
+def judged(decisions: DataFrame, truth: DataFrame, queries: DataFrame | None = None, bank: DataFrame | None = None) -> DataFrame:
+    """decisions with `true`: whether the class is one of the query's. With queries and bank, decisions may lack cells that are no hits; those
+    of them that are true are added, with nulls for what is known of scored cells."""
     own = truth.select("accession", "ec").distinct().withColumn("true", F.lit(True))
-    return decisions.join(own, ["accession", "ec"], "left").withColumn("true", F.coalesce("true", F.lit(False)))
+    if bank is None:
+        return decisions.join(own, ["accession", "ec"], "left").withColumn("true", F.coalesce("true", F.lit(False)))
+    own = own.join(bank.select("ec").distinct(), "ec", "left_semi").join(queries.select("accession").distinct(), "accession", "left_semi")
+    both = decisions.join(own, ["accession", "ec"], "full")
+    rest = [F.coalesce(c, F.lit(False)).alias(c) if c == "hit" else F.col(c) for c in decisions.columns if c not in ("accession", "ec")]
+    return both.select("accession", "ec", *rest, F.coalesce("true", F.lit(False)).alias("true"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -180,6 +305,11 @@ def per_class(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "ec").agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"))
 
 
+def all_classes(classes: DataFrame, bank: DataFrame) -> DataFrame:
+    """per_class rows of every class of the bank: zeros for those without a hit or a true cell."""
+    return bank.select("ec").distinct().join(classes, "ec", "left").na.fill(0, ["tp", "fp", "fn"])
+
+
 def micro_macro(classes: DataFrame, *keys: str) -> DataFrame:
     """Micro metrics over all cells, and macro ones as unweighted means over all classes."""
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
@@ -239,9 +369,10 @@ def losses(rows: DataFrame, temperatures: list[float]) -> DataFrame:
 
 
 def tau_curve(rows: DataFrame, taus: list[float], temperature: float) -> DataFrame:
-    """Micro metrics for each threshold with the best class always taken, in one pass over (accession, ec, logit, true)."""
+    """Micro metrics for each threshold (over 0) with the best class always taken, in one pass over (accession, ec, logit, true). Cells without
+    a logit count as under all thresholds, and cells that are neither true nor at the least threshold may be missing."""
     best = Window.partitionBy("accession").orderBy(F.desc("logit"), "ec")
-    ranked = rows.withColumn("p", sigmoid(F.col("logit") / temperature)).withColumn("rank", F.row_number().over(best))
+    ranked = rows.withColumn("p", F.coalesce(sigmoid(F.col("logit") / temperature), F.lit(0.0))).withColumn("rank", F.row_number().over(best))
     true = F.col("true")
 
     def point(t):

@@ -42,12 +42,18 @@ def scores(spark, d):
     return scoring.logits(scoring.cosines(view(spark, d, "vectors").where("split = 'test'"), bank(spark, d)))
 
 
-def decided(tau=0.85, shortlist=0, overrides=None):
-    def rows(spark, d):
-        over = overrides(spark) if overrides else None
-        return scoring.judged(scoring.decide(scores(spark, d), tau, T, shortlist, over), truth(spark, d))
+def decided(spark, d, tau=0.85, shortlist=0, overrides=None, own=None):
+    """Judged decisions: hits, best classes and true cells; the other cells are never written out."""
+    own = bank(spark, d) if own is None else own
+    asked = view(spark, d, "vectors").where("split = 'test'")
+    found = scoring.promising(asked, own, tau, T, shortlist, overrides)
+    return scoring.judged(scoring.decide(found, tau, T, shortlist, overrides), truth(spark, d), asked, own)
 
-    return rows
+
+def counted(spark, d, *settings):
+    """Hits, false hits and misses of each class of the bank."""
+    own = bank(spark, d)
+    return scoring.all_classes(scoring.per_class(decided(spark, d, *settings, own=own)), own)
 
 
 def hits(tau="0.85", shortlist=None):
@@ -69,7 +75,7 @@ MACRO = f"round(avg({r('tp', 'tp + fp')}), 6) AS macro_precision, round(avg({r('
 
 @query(sql("SELECT t.ec, count(*) AS queries, count(*) FILTER (j.t) AS top1_hits, round(count(*) FILTER (j.t) / count(*), 6) AS top1_rate FROM truth t JOIN j ON j.accession = t.accession AND j.rank = 1 GROUP BY 1", *V, **PROTO))
 def flagship_top1(spark, d):
-    first = decided()(spark, d).where("rank = 1").select("accession", "true")
+    first = decided(spark, d).where("rank = 1").select("accession", "true")
     return truth(spark, d).join(first, "accession").groupBy("ec").agg(F.count("*").alias("queries"), F.count_if("true").alias("top1_hits"), F.round(F.count_if("true") / F.count("*"), 6).alias("top1_rate"))
 
 
@@ -106,25 +112,23 @@ def logsumexp_logits(spark, d):
 
 @query(sql(f"SELECT {MICRO}, {MACRO} FROM c", *V, **PROTO, d=hits(), **CLASSES))
 def eval_threshold(spark, d):
-    return scoring.micro_macro(scoring.per_class(decided()(spark, d)))
+    return scoring.micro_macro(counted(spark, d))
 
 
 @query(sql(f"SELECT {MICRO}, {MACRO} FROM c", *V, **PROTO, d=hits("0.6", 2), **CLASSES))
 def eval_shortlist(spark, d):
-    return scoring.micro_macro(scoring.per_class(decided(0.6, 2)(spark, d)))
+    return scoring.micro_macro(counted(spark, d, 0.6, 2))
 
 
 @query(sql(f"SELECT {MICRO}, {MACRO} FROM c", *V, **PROTO, d=hits("CASE ec WHEN 'L1' THEN 0.9 WHEN 'L2' THEN 0.7 ELSE 0.85 END"), **CLASSES))
 def eval_per_class_tau(spark, d):
-    def own(spark):
-        return spark.createDataFrame([("L1", 0.9), ("L2", 0.7)], "ec string, tau double")
-
-    return scoring.micro_macro(scoring.per_class(decided(0.85, 0, own)(spark, d)))
+    own = spark.createDataFrame([("L1", 0.9), ("L2", 0.7)], "ec string, tau double")
+    return scoring.micro_macro(counted(spark, d, 0.85, 0, own))
 
 
 @query(sql(f"SELECT bucket, {MICRO}, round(avg({r('2 * tp', '2 * tp + fp + fn')}), 6) AS macro_f1 FROM (SELECT c.*, CASE WHEN train_count <= 5 THEN 'tail' WHEN train_count <= 25 THEN 'medium' ELSE 'head' END AS bucket FROM c JOIN p USING (ec)) GROUP BY 1", *V, **PROTO, d=hits(), **CLASSES))
 def eval_buckets(spark, d):
-    return scoring.buckets(scoring.per_class(decided()(spark, d)), bank(spark, d))
+    return scoring.buckets(counted(spark, d), bank(spark, d))
 
 
 SETS = {
@@ -148,12 +152,12 @@ SETS = {
     )
 )
 def eval_set_metrics(spark, d):
-    return scoring.set_metrics(decided()(spark, d))
+    return scoring.set_metrics(decided(spark, d))
 
 
 @query(sql("SELECT count(*) FILTER (rank = 1) AS queries, round(avg(t::INT) FILTER (rank = 1), 6) AS acc_top1_hit FROM j", *V, **PROTO))
 def eval_top1(spark, d):
-    return scoring.top1_rate(decided()(spark, d))
+    return scoring.top1_rate(decided(spark, d))
 
 
 ASKED = "SELECT accession, CASE WHEN accession LIKE '%3' THEN 'L77' ELSE ec END AS ec FROM truth UNION ALL SELECT concat('W', doc_id), 'L1' FROM documents WHERE source = 'src1'"
@@ -184,7 +188,7 @@ def eval_coverage(spark, d):
     )
 )
 def single_label_macro(spark, d):
-    first = decided()(spark, d).where("rank = 1").select("accession", F.col("ec").alias("pred_ec"))
+    first = decided(spark, d).where("rank = 1").select("accession", F.col("ec").alias("pred_ec"))
     return scoring.single_label_metrics(view(spark, d, "vectors").select("accession", F.concat(F.lit("L"), "label").alias("true_ec")).join(first, "accession"))
 
 
@@ -192,8 +196,18 @@ GRID = vec.temperature_grid(T)
 TAUS = vec.steps(0.60, 0.95, 0.01)
 
 
+def tests(spark, d):
+    return view(spark, d, "vectors").where("split = 'test'")
+
+
 def cells(spark, d):
-    return scoring.judged(scores(spark, d).select("accession", "ec", "logit"), truth(spark, d))
+    """True cells, and those that reach the least threshold or are a query's best."""
+    own = bank(spark, d)
+    return scoring.judged(scoring.promising(tests(spark, d), own, min(TAUS), T), truth(spark, d), tests(spark, d), own)
+
+
+def curve(spark, d):
+    return scoring.bank_losses(tests(spark, d), bank(spark, d), truth(spark, d), GRID)
 
 
 TEMPS = {
@@ -204,7 +218,7 @@ TEMPS = {
 
 @query(sql("SELECT * FROM tc", *V, **PROTO, **TEMPS))
 def temperature_curve(spark, d):
-    return scoring.losses(cells(spark, d), GRID)
+    return curve(spark, d)
 
 
 CURVE = {
@@ -254,8 +268,8 @@ def kmeans_subprototypes(spark, d):
 
 @query(sql("SELECT 'bce' AS method, arg_min(temperature, (bce, temperature)) AS temperature FROM tc UNION ALL SELECT 'brier', arg_min(temperature, (brier, temperature)) FROM tc UNION ALL SELECT 'none', 0.1", *V, **PROTO, **TEMPS))
 def best_temperature(spark, d):
-    curve = written(scoring.losses(cells(spark, d), GRID), "curve")
-    parts = [scoring.best_temperature(curve, m, T).select(F.lit(m).alias("method"), "temperature") for m in ("bce", "brier", "none")]
+    losses = written(curve(spark, d), "curve")
+    parts = [scoring.best_temperature(losses, m, T).select(F.lit(m).alias("method"), "temperature") for m in ("bce", "brier", "none")]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
@@ -271,7 +285,7 @@ def best_temperature(spark, d):
 def calibration_document(spark, d):
     """The calibration document, written as JSON and read again."""
     rows = written(cells(spark, d), "cells")
-    made = scoring.calibration(written(scoring.losses(rows, GRID), "curve"), written(scoring.tau_curve(rows, TAUS, T), "taus"), "bce", T, 200)
+    made = scoring.calibration(written(curve(spark, d), "curve"), written(scoring.tau_curve(rows, TAUS, T), "taus"), "bce", T, 200)
     path = f"{shared_dir(spark)}/calibration-{uuid.uuid4().hex}"
     writers.documents(made, path)
     back = readers.documents(spark, path, made.schema)
@@ -325,7 +339,7 @@ def benchmark_run(spark, d):
         held = F.col("vec_id") % cutoff % 2 == fold
         own = v.where(held).select("ec", "accession")
         protos = written(scoring.prototypes(v, v.where(~held).select("ec", "accession")), "bank")
-        found = scoring.logits(scoring.cosines(v.where(held), protos))
+        found = scoring.promising(v.where(held), protos, 0.5, T)
         return own, scoring.top1_rate(scoring.judged(scoring.decide(found, 0.5, T), own)).select("acc_top1_hit")
 
     path = f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}"

@@ -424,3 +424,38 @@ def test_settings_are_chosen_in_order():
     assert settings.same_splits(same, same) and not settings.same_splits({}, same) and not settings.same_splits(same | {"seed": 2}, same)
     assert settings.unwrapped({"metrics": {"metrics": {"f1": 1}}}) == {"f1": 1}
     assert (settings.chosen_k(5, [1, 3], [1, 3]), settings.chosen_k(None, [1, 3], [1, 3]), settings.chosen_k(None, [9], [5, 2]), settings.chosen_k(1, [], [])) == (3, 3, 2, None)
+
+
+@pytest.mark.parametrize("tau, shortlist, temperature", [(0.5, 0, 0.1), (0.5, 3, 0.1), (0.99, 0, 0.5), (0.5, 2, 0.001), (0.0, 0, 1.0)])
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_promising_cells_decide_like_all_cells(spark, tau, shortlist, temperature, block):
+    turn = np.random.default_rng(4)
+    v = rows(spark, [(f"q{i}", turn.normal(size=4).tolist()) for i in range(15)], "accession string, vec array<double>")
+    protos = [(f"c{i % 7}", i, scoring_unit(turn.normal(size=4))) for i in range(11)]
+    bank = rows(spark, [*protos, ("d1", 0, protos[0][2]), ("d2", 0, protos[0][2])], "ec string, proto_id int, vec array<double>")  # d1 and d2 tie
+    over = rows(spark, [("c1", 0.2), ("d2", 0.9)], "ec string, tau double")
+    truth = rows(spark, [(f"q{i}", f"c{i % 9}") for i in range(18)], "accession string, ec string")
+    asked = (tau, temperature, shortlist, over)
+    every = scoring.judged(scoring.decide(scoring.logits(scoring.cosines(v, bank)), *asked), truth)
+    few = scoring.judged(scoring.decide(scoring.promising(v, bank, *asked, block_bytes=block), *asked), truth, v, bank)
+    plain = lambda df: sorted((r.accession, r.ec, r.hit, r.true) for r in df.where(F.col("hit") | F.col("true")).collect())
+    assert plain(every) == plain(few)
+    a, b = (scoring.micro_macro(c).first() for c in (scoring.per_class(every), scoring.all_classes(scoring.per_class(few), bank)))
+    assert a == b
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_losses_within_batches(spark, block):
+    turn = np.random.default_rng(5)
+    v = rows(spark, [(f"q{i}", turn.normal(size=4).tolist()) for i in range(9)], "accession string, vec array<double>")
+    bank = rows(spark, [(f"c{i % 4}", i, scoring_unit(turn.normal(size=4))) for i in range(6)], "ec string, proto_id int, vec array<double>")
+    truth = rows(spark, [(f"q{i}", f"c{i % 5}") for i in range(7)], "accession string, ec string")
+    every = scoring.losses(scoring.judged(scoring.logits(scoring.cosines(v, bank)), truth), [0.1, 1.0])
+    both = [sorted(map(tuple, df.collect())) for df in (every, scoring.bank_losses(v, bank, truth, [0.1, 1.0], block))]
+    assert np.allclose(both[0], both[1], atol=2e-6)
+    none = bank.where("false")
+    assert scoring.bank_losses(v, none, truth, [0.1]).count() == 0 and scoring.promising(v, none, 0.5).count() == 0
+
+
+def scoring_unit(x):
+    return (x / np.linalg.norm(x)).tolist()
