@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, filter_audit, langid, linededup, paragraphs, phrases, quality, simhash, suffix, warc
+from . import bpe, decontaminate, embeddings, exact_dedup, filter_audit, langid, linededup, paragraphs, phrases, quality, simhash, suffix, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_linededup": linededup.op10_linededup,
     "op10_linededup_long": linededup.op10_linededup_long,
+    "op11_vectors": embeddings.op11_vectors,
     "op12_phrases": phrases.op12_phrases,
     "op13_filter_audit": filter_audit.op13_filter_audit,
     "op4_proximity": decontaminate.op4_proximity,
@@ -26,6 +27,7 @@ SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op10_linededup": linededup.SQL,
     "op10_linededup_long": linededup.LONG_SQL,
+    "op11_vectors": embeddings.SQL,
     "op12_phrases": phrases.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }
