@@ -368,21 +368,6 @@ def losses(rows: DataFrame, temperatures: list[float]) -> DataFrame:
     return rows.agg(F.array(*[point(t) for t in temperatures]).alias("curve")).select(F.inline("curve"))
 
 
-def tau_curve(rows: DataFrame, taus: list[float], temperature: float) -> DataFrame:
-    """Micro metrics for each threshold (over 0) with the best class always taken, in one pass over (accession, ec, logit, true). Cells without
-    a logit count as under all thresholds, and cells that are neither true nor at the least threshold may be missing."""
-    best = Window.partitionBy("accession").orderBy(F.desc("logit"), "ec")
-    ranked = rows.withColumn("p", F.coalesce(sigmoid(F.col("logit") / temperature), F.lit(0.0))).withColumn("rank", F.row_number().over(best))
-    true = F.col("true")
-
-    def point(t):
-        hit = (F.col("p") >= t) | (F.col("rank") == 1)
-        p, r, f = prf(F.count_if(hit & true), F.count_if(hit & ~true), F.count_if(~hit & true))
-        return F.struct(F.lit(t).alias("tau"), F.round(p, 6).alias("micro_precision"), F.round(r, 6).alias("micro_recall"), F.round(f, 6).alias("micro_f1"))
-
-    return ranked.agg(F.array(*[point(t) for t in taus]).alias("curve")).select(F.inline("curve"))
-
-
 def best_tau(curve: DataFrame, least_precision: float = 0.0, least_recall: float = 0.0) -> DataFrame:
     """The threshold of most F1 among those that meet both minima (all, if none does); the smallest on ties."""
     ok = (F.col("micro_precision") >= least_precision) & (F.col("micro_recall") >= least_recall)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import benchmark, scoring
+from ..operators import benchmark, calibrate, scoring
 from ..session import shared_dir, written
 from ..sources import readers, writers
 from ..sources.fixtures import sql, view
@@ -200,10 +200,12 @@ def tests(spark, d):
     return view(spark, d, "vectors").where("split = 'test'")
 
 
-def cells(spark, d):
-    """True cells, and those that reach the least threshold or are a query's best."""
-    own = bank(spark, d)
-    return scoring.judged(scoring.promising(tests(spark, d), own, min(TAUS), T), truth(spark, d), tests(spark, d), own)
+def bins(spark, d):
+    return calibrate.score_bins(tests(spark, d), bank(spark, d), truth(spark, d), TAUS, T)
+
+
+def taus(spark, d):
+    return calibrate.tau_curve(*bins(spark, d), TAUS)
 
 
 def curve(spark, d):
@@ -229,12 +231,57 @@ CURVE = {
 
 @query(sql("SELECT * FROM cv", *V, **PROTO, **CURVE))
 def tau_grid(spark, d):
-    return scoring.tau_curve(cells(spark, d), TAUS, T)
+    return taus(spark, d)
 
 
 @query(sql("SELECT *, micro_precision >= 0.12 AND micro_recall >= 0.2 AS feasible FROM cv ORDER BY feasible DESC, micro_f1 DESC, tau LIMIT 1", *V, **PROTO, **CURVE))
 def best_tau(spark, d):
-    return scoring.best_tau(scoring.tau_curve(cells(spark, d), TAUS, T), 0.12, 0.2)
+    return scoring.best_tau(taus(spark, d), 0.12, 0.2)
+
+
+#: Per-class thresholds in SQL: each class's counts at each threshold, and the one that it prefers.
+CLASS_TAUS = {
+    "ct": "SELECT ec, tau, count(*) FILTER (prob >= tau AND t) AS tp, count(*) FILTER (prob >= tau AND NOT t) AS fp, count(*) FILTER (prob < tau AND t) AS fn FROM j CROSS JOIN (SELECT unnest([" + ", ".join(f"{t!r}::DOUBLE" for t in TAUS) + "]) AS tau) GROUP BY 1, 2",
+}
+OWN_TAU = {
+    "max_f1": "arg_min(tau, (-" + r("2 * tp", "2 * tp + fp + fn") + ", tau))",
+    "precision_at": "min(tau) FILTER (tp + fp > 0 AND " + r("tp", "tp + fp") + " >= {target})",
+    "recall_at": "max(tau) FILTER (" + r("tp", "tp + fn") + " >= {target})",
+}
+
+
+def chosen(mode, target, shrink, least):
+    own = OWN_TAU[mode].format(target=target)
+    return f"SELECT ec, n AS positives, round(CASE WHEN n >= {least} AND own IS NOT NULL THEN (n * own + {shrink} * 0.7) / (n + {shrink}) ELSE 0.7 END, 6) AS tau FROM (SELECT ec, max(tp + fn) AS n, {own} AS own FROM ct GROUP BY 1)"
+
+
+def own_taus(spark, d, mode, target, shrink, least):
+    return calibrate.class_thresholds(bins(spark, d)[0], TAUS, mode, 0.7, target, shrink, least)
+
+
+@query(sql(chosen("max_f1", 0, "4.0", 3), *V, **PROTO, **CLASS_TAUS))
+def class_thresholds_f1(spark, d):
+    return own_taus(spark, d, "max_f1", 0, 4.0, 3)
+
+
+@query(sql(chosen("precision_at", 0.15, "0.0", 1), *V, **PROTO, **CLASS_TAUS))
+def class_thresholds_precision(spark, d):
+    return own_taus(spark, d, "precision_at", 0.15, 0.0, 1)
+
+
+@query(sql(chosen("recall_at", 0.4, "2.0", 2), *V, **PROTO, **CLASS_TAUS))
+def class_thresholds_recall(spark, d):
+    return own_taus(spark, d, "recall_at", 0.4, 2.0, 2)
+
+
+TUNED = "(SELECT tau FROM w WHERE w.ec = j.ec)"
+
+
+@query(sql("SELECT ec, tp, fp, fn FROM c", *V, **PROTO, **CLASS_TAUS, w=chosen("max_f1", 0, "4.0", 3), d=hits(TUNED), **CLASSES))
+def eval_tuned_thresholds(spark, d):
+    """Decisions by thresholds that were tuned for each class."""
+    own = written(own_taus(spark, d, "max_f1", 0, 4.0, 3).select("ec", "tau"), "class-thresholds")
+    return counted(spark, d, 0.7, 0, own).select("ec", "tp", "fp", "fn")
 
 
 @query(sql("SELECT ec, (sum(n) OVER (ORDER BY ec ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS start, n::BIGINT AS n FROM (SELECT ec, max(n) AS n FROM m GROUP BY 1)", *V, **PROTO))
@@ -284,8 +331,7 @@ def best_temperature(spark, d):
 )
 def calibration_document(spark, d):
     """The calibration document, written as JSON and read again."""
-    rows = written(cells(spark, d), "cells")
-    made = scoring.calibration(written(curve(spark, d), "curve"), written(scoring.tau_curve(rows, TAUS, T), "taus"), "bce", T, 200)
+    made = scoring.calibration(written(curve(spark, d), "curve"), written(taus(spark, d), "taus"), "bce", T, 200)
     path = f"{shared_dir(spark)}/calibration-{uuid.uuid4().hex}"
     writers.documents(made, path)
     back = readers.documents(spark, path, made.schema)
