@@ -4,9 +4,10 @@
    word of a shard. A piece's end skips a number, so that words on both sides of it are not adjacent.
 2. A list's length is its phrase's count in the shard; Spark sums them. Phrases that come LEAST times or more are numbered,
    and only their lists are carried on.
-3. Longer phrases come level by level: lists of a shard meet, and the occurrences of each phrase are
-   merge-joined by position with those that start at the next word. An occurrence at p and one at p + 1 are one of
-   the phrase with one word more, since all parts of a frequent phrase are frequent.
+3. Longer phrases come level by level: within a shard the occurrences of each phrase are merge-joined by position with those
+   that start at the next word. An occurrence at p and one at p + 1 are one of the phrase with one word
+   more, since all parts of a frequent phrase are frequent. Positions stay with their shard: what is shuffled are the lengths of
+   lists, packed by buckets of phrases, and which of them are frequent comes back.
 4. Candidates are joined with the counts of their parts, those inside a longer one of much the same count go, and the rest is ranked.
 
 Nothing is broadcast but what Spark finds small, and no task holds more than a shard.
@@ -19,6 +20,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.labels import numbered
 from ..session import discard
 from .common import as_bytes, pieces, prepare, quoted, table, written
 
@@ -26,7 +28,7 @@ from .common import as_bytes, pieces, prepare, quoted, table, written
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A candidate goes if a longer one that holds it has at least this percentage of its count.
 COVERED = 80
-#: Bytes of text in a shard. A longer text is a shard of its own.
+#: Bytes of text in a shard; a longer text is cut at the end of a piece.
 SHARD_BYTES = 16 << 20
 #: What ends a piece, besides the end of a text.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -34,13 +36,11 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 RANKS = 64
 
 
-def position_lists(at, first):
-    """An Arrow array of lists of increasing positions (list i is at[first[i]:first[i + 1]]), each as base-128 numbers: the first position, then steps."""
+def packed(value):
+    """Whole numbers from 0 as base-128 digits (an array of bytes), and where each ends."""
     import numpy as np
-    import pyarrow as pa
 
-    value = np.diff(at, prepend=0).astype(np.uint64)
-    value[first[:-1]] = at[first[:-1]]
+    value = np.asarray(value).astype(np.uint64)
     size = np.ones(len(value), np.int64)
     for k in range(1, 9):
         size += value >> np.uint64(7 * k) > 0
@@ -50,23 +50,48 @@ def position_lists(at, first):
         has = size > k
         more = (size[has] > k + 1).astype(np.uint8) << 7
         out[end[:-1][has] + k] = ((value[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(end[first].astype(np.int64)), pa.py_buffer(out)])
+    return out, end
 
 
-def positions(lists, counts):
-    """The positions of lists written by `position_lists` (bytes), one list after another; counts: their lengths."""
+def numbers(data: bytes):
+    """What `packed` wrote."""
     import numpy as np
 
-    data = np.frombuffer(b"".join(lists), np.uint8)
+    data = np.frombuffer(data, np.uint8)
     if not len(data):
         return np.zeros(0, np.int64)
     last = np.flatnonzero(data < 128)
     start = np.append(0, last[:-1] + 1)
     within = np.arange(len(data)) - np.repeat(start, last - start + 1)
-    value = np.add.reduceat((data & 127).astype(np.int64) << (7 * within), start)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * within), start)
+
+
+def steps(at, first):
+    """Lists of increasing numbers (list i is at[first[i]:first[i + 1]]) as their first number, then the steps between them."""
+    import numpy as np
+
+    out = np.diff(at, prepend=0)
+    out[first[:-1]] = at[first[:-1]]
+    return out
+
+
+def position_lists(at, first):
+    """An Arrow array of lists of increasing positions, each packed by itself."""
+    import numpy as np
+    import pyarrow as pa
+
+    out, end = packed(steps(at, first))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(end[first].astype(np.int64)), pa.py_buffer(out)])
+
+
+def positions(lists, counts):
+    """The positions of packed lists (bytes), one list after another; counts: their lengths."""
+    import numpy as np
+
+    value = numbers(b"".join(lists))
     total = np.cumsum(value)
     first = np.append(0, np.cumsum(counts)[:-1])
-    return total - np.repeat(total[first] - value[first], counts)
+    return total - np.repeat(total[first] - value[first], counts) if len(value) else value
 
 
 def runs(key):
@@ -149,46 +174,184 @@ def word_lists(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return rows.mapInArrow(run, "shard bigint, lang string, word string, n bigint, at binary")
 
 
-def extended(lists: DataFrame) -> DataFrame:
-    """shard, left, last, n, at: lists of phrases with one word more. lists: shard, id, last (the phrase's last word), n, at of phrases of one
-    length. What starts at p and what starts at p + 1 are merge-joined within the shard."""
+def by_key(batches, name):
+    """(key, rows) of runs of equal keys in sorted batches: rows is a list of batches."""
+    import numpy as np
+
+    key, held = None, []
+    for batch in batches:
+        own = batch.column(name).to_numpy()
+        edge = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for a, b in zip(edge, edge[1:]):
+            if a < b and own[a] != key:
+                if held:
+                    yield key, held
+                key, held = int(own[a]), []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield key, held
+
+
+LISTS = "shard bigint, id binary, last binary, n binary, at binary"
+
+
+def shard_rows(lists: DataFrame) -> DataFrame:
+    """A row for each shard: packed numbers of its lists, in order: id, last word, length n, and all positions. lists: shard, id, n, at."""
     prepare(lists.sparkSession)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def joined(shard, rows):
-            if not rows:
-                return
-            ids, lasts, n = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("id", "last", "n"))
-            at = positions([x for r in rows for x in r.column("at").to_pylist()], n)
-            which = np.repeat(np.arange(len(n)), n)
-            order = np.argsort(at)
-            at, which = at[order], which[order]
-            hit = np.flatnonzero(at[1:] == at[:-1] + 1)
-            word, code = np.unique(lasts, return_inverse=True)
-            order, first = runs(which[hit] * len(word) + code[which[hit + 1]])
-            hit = hit[order]
-            packed, lead = position_lists(at[hit], first), hit[first[:-1]]
-            left, last, n = ids[which[lead]], lasts[which[lead + 1]], np.diff(first)
-            for i in range(0, len(n), 50_000):
-                part = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(n[part]), pa.int64()), pa.array(left[part]), pa.array(last[part]), pa.array(n[part]), packed[part].cast(pa.binary())], names=["shard", "left", "last", "n", "at"])
+        for shard, rows in by_key(batches, "shard"):
+            ids, n = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("id", "n"))
+            order = np.argsort(ids)
+            lists = [x for r in rows for x in r.column("at").to_pylist()]
+            at = b"".join([lists[i] for i in order.tolist()])
+            ids = packed(ids[order])[0].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), *[pa.array([x], pa.binary()) for x in (ids, ids, packed(n[order])[0].tobytes(), at)]], names=["shard", "id", "last", "n", "at"])
 
-        shard, held = None, []
-        for batch in batches:
-            own = batch.column("shard").to_numpy()
-            edge = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-            for a, b in zip(edge, edge[1:]):
-                if a < b and own[a] != shard:
-                    yield from joined(shard, held)
-                    shard, held = int(own[a]), []
-                held.append(batch.slice(a, b - a))
-        yield from joined(shard, held)
+    rows = lists.select("shard", "id", "n", "at").repartition("shard").sortWithinPartitions("shard")
+    return rows.mapInArrow(run, LISTS)
+
+
+class Lists:
+    """The lists of a shard's phrases of one length, in order of id."""
+
+    def __init__(self, id, last, n, at):
+        self.id, self.last, self.n, self.at = id, last, n, at
+
+    @staticmethod
+    def read(row):
+        n = numbers(row["n"])
+        return Lists(numbers(row["id"]), numbers(row["last"]), n, positions([row["at"]], n))
+
+    def columns(self):
+        import numpy as np
+
+        first = np.append(0, np.cumsum(self.n))
+        return [packed(x)[0].tobytes() for x in (self.id, self.last, self.n, steps(self.at, first))]
+
+    def longer(self, buckets: int):
+        """Phrases with one word more, ordered by bucket: left (id), last, n and bucket of each, their positions and where each one's start.
+        What starts at p and what starts at p + 1 are merge-joined."""
+        import numpy as np
+
+        which = np.repeat(np.arange(len(self.n)), self.n)
+        order = np.argsort(self.at)
+        at, which = self.at[order], which[order]
+        hit = np.flatnonzero(at[1:] == at[:-1] + 1)
+        word, code = np.unique(self.last, return_inverse=True)
+        order, first = runs(which[hit] * len(word) + code[which[hit + 1]])
+        at, lead = at[hit[order]], hit[order][first[:-1]]
+        left, last, n = self.id[which[lead]], self.last[which[lead + 1]], np.diff(first)
+        mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        turn = np.argsort(bucket, kind="stable")
+        start = np.append(0, np.cumsum(n[turn]))
+        at = at[np.repeat(first[:-1][turn] - start[:-1], n[turn]) + np.arange(len(at))]
+        return left[turn], last[turn], n[turn], bucket[turn], at, start
+
+    def kept(self, buckets: int, rows):
+        """The lists of longer phrases that the rows (bucket, keep, ids of `frequent_longer`) name."""
+        import numpy as np
 
-    rows = lists.select("shard", "id", "last", "n", "at").repartition("shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(run, "shard bigint, left bigint, last bigint, n bigint, at binary")
+        left, last, n, bucket, at, start = self.longer(buckets)
+        place, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b, keep, own in rows:
+            place.append(np.searchsorted(bucket, b) + np.cumsum(numbers(keep)))
+            ids.append(numbers(own))
+        place, ids = np.concatenate(place), np.concatenate(ids)
+        order = np.argsort(ids)
+        place, ids = place[order], ids[order]
+        end = np.append(0, np.cumsum(n[place]))
+        at = at[np.repeat(start[place] - end[:-1], n[place]) + np.arange(end[-1])]
+        return Lists(ids, last[place], n[place], at)
+
+
+def counted_longer(shards: DataFrame, frequent: DataFrame | None, before: int, buckets: int) -> DataFrame:
+    """shard, and either a shard's lists (id, last, n, at) of the phrases that `frequent` (shard, bucket, keep, ids of `frequent_longer`) keeps, dealt to
+    `before` buckets; or a bucket and the packed (left, last, n) of the shard's phrases with one word more in it. Without `frequent` the shards' own lists are taken, and not repeated."""
+    prepare(shards.sparkSession)
+    marked = frequent is not None
+    kinds = {"shard": "bigint", "bucket": "int", "id": "binary", "last": "binary", "n": "binary", "at": "binary", "left": "binary"}
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+
+        def row(shard, lists, own):
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([shard, None, *lists.columns(), None], types)], names=list(kinds))
+            left, last, n, bucket, _, _ = lists.longer(buckets)
+            first = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
+            (a, a_end), (b, b_end), (c, c_end) = packed(steps(left, first)), packed(last), packed(n)
+            cut = lambda data, end: pa.array([data[i:j].tobytes() for i, j in zip(end[first[:-1]].tolist(), end[first[1:]].tolist())], pa.binary())
+            k = len(first) - 1
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * k, pa.int64()), pa.array(bucket[first[:-1]], pa.int32()), pa.nulls(k, pa.binary()), cut(b, b_end), cut(c, c_end), pa.nulls(k, pa.binary()), cut(a, a_end)], names=list(kinds))
+
+        if not marked:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    yield from row(r["shard"], Lists.read(r), False)
+            return
+        for shard, rows in by_key(batches, "shard"):
+            rows = [r for batch in rows for r in batch.to_pylist()]
+            own = [r for r in rows if r["bucket"] is None]
+            marks = [(r["bucket"], r["keep"], r["ids"]) for r in rows if r["bucket"] is not None]
+            if own and marks:
+                yield from row(shard, Lists.read(own[0]).kept(before, marks), True)
+
+    if marked:
+        shards = shards.unionByName(frequent.select("shard", "bucket", "keep", "ids"), allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard")
+    return shards.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
+
+
+def frequent_longer(counts: DataFrame, buckets: int, least: int) -> DataFrame:
+    """From rows (shard, bucket, left, last, n) of `counted_longer`: left, last, f and id of each phrase that comes `least` times or more, and for each shard
+    and bucket which of its phrases those are (keep: packed steps between their places; ids). A bucket holds its phrases' counts of all shards."""
+    prepare(counts.sparkSession)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["shard", "bucket", "keep", "ids", "left", "last", "f", "id"]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        for bucket, rows in by_key(batches, "bucket"):
+            rows = [r for batch in rows for r in batch.select(["shard", "left", "last", "n"]).to_pylist()]
+            each = [numbers(r["n"]) for r in rows]
+            size = np.array([len(x) for x in each])
+            n, last = np.concatenate(each), numbers(b"".join([r["last"] for r in rows]))
+            left = positions([r["left"] for r in rows], size)
+            order = np.lexsort((last, left))
+            new = np.append(True, (left[order][1:] != left[order][:-1]) | (last[order][1:] != last[order][:-1]))
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(n[order], first)
+            many = total >= least
+            number = np.where(many, np.cumsum(many) * buckets + bucket, 0)  # over 0, and of this bucket only
+            lead = order[first[many]]
+            k = len(lead)
+            if not k:
+                continue
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(k, t) for t in types[:4]], pa.array(left[lead]), pa.array(last[lead]), pa.array(total[many]), pa.array(number[many])], names=names)
+            own = np.zeros(len(n), np.int64)
+            own[order] = number[np.cumsum(new) - 1]
+            end = np.cumsum(size)
+            marks = []
+            for r, a, b in zip(rows, end - size, end):
+                place = np.flatnonzero(own[a:b])
+                if len(place):
+                    marks.append((r["shard"], bucket, packed(np.diff(place, prepend=0))[0].tobytes(), packed(own[a:b][place])[0].tobytes()))
+            m = len(marks)
+            yield pa.RecordBatch.from_arrays([*[pa.array(list(x), t) for x, t in zip(zip(*marks), types)], *[pa.nulls(m, t) for t in types[4:]]], names=names)
+
+    rows = counts.where("bucket is not null").select("bucket", "shard", "left", "last", "n").repartition("bucket").sortWithinPartitions("bucket", "shard")
+    return rows.mapInArrow(run, "shard bigint, bucket int, keep binary, ids binary, left bigint, last bigint, f bigint, id bigint")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -197,20 +360,24 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     lists = written(word_lists(docs, shard_bytes), "word-lists")
     totals = written(lists.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
     found = lists.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = written(found.withColumn("id", F.monotonically_increasing_id()), "words")
+    words = written(numbered(found.withColumn("key", F.concat_ws("\t", "lang", "phrase")), "key", "id").drop("key"), "words")
     level, out = words, [words.select("lang", F.lit(1).alias("size"), "phrase", "f")]
-    carried = lists.join(words.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).withColumn("last", F.col("id"))
+    shards = written(shard_rows(lists.join(words.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"])), "shards")
+    discard(lists)
+    buckets = max(16, shards.count())  # as many as shards: a bucket then holds about as much as a shard
+    frequent = None
     for size in range(2, longest + 1):
-        old, lists = lists, written(extended(carried), f"lists-{size}")
-        discard(old)
-        counts = lists.groupBy("left", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        counts = written(counts.withColumn("id", F.monotonically_increasing_id()), f"counts-{size}")
-        carried = lists.join(counts.select("left", "last", "id"), ["left", "last"])
-        named = counts.join(level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head")), "left")
+        old = shards
+        if frequent is None:
+            counts = counted_longer(shards, None, buckets, buckets)
+        else:
+            counts = written(counted_longer(shards, frequent.where("shard is not null"), buckets, buckets), f"counts-{size}")
+            shards = counts.where("bucket is null").select(*old.columns)
+        frequent = written(frequent_longer(counts, buckets, least), f"frequent-{size}")
+        named = frequent.where("shard is null").select("left", "last", "f", "id").join(level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head")), "left")
         named = named.join(words.select(F.col("id").alias("last"), F.col("phrase").alias("tail")), "last")
         level = written(named.select("id", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"phrases-{size}")
         out.append(level.select("lang", F.lit(size).alias("size"), "phrase", "f"))
-    discard(lists)
     return functools.reduce(DataFrame.unionAll, out), totals
 
 
