@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import ancestor
 from ..functions.hashing import ticket
 from ..session import written
-from .graph import representatives
+from .graph import components, representatives
 from .labels import numbered
 
 
@@ -120,34 +120,85 @@ def shingle_classes(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFra
     return members, written(classes, "classes")
 
 
-def class_edges(classes: DataFrame, similar: float, chunk: int = CHUNK) -> DataFrame:
-    """a < b, both, na, nb: all pairs of classes with Jaccard of `similar` or more.
+#: Rounds in which a shingle's classes are compared with one of them only, and how many pairs of classes a row they begin at.
+ROUNDS, PAIRS = 4, 4
+
+
+def rarest_shingles(classes: DataFrame, similar: float) -> DataFrame:
+    """h, class, n, p: the shingles by which classes are looked up, with their places among the class's n shingles, the rarest first; written.
 
     Sets this similar share one of their rarest shingles, of which n - similar * n + 1 of each are looked up; those that no
-    other class has are among these and need no look. A shingle that many classes look up is dealt to pairs of chunks. Candidates are compared by all their shingles.
-    """
+    other class has are among these and need no look."""
     looked = F.size("g") - F.ceil(similar * F.col("n") - 1e-6).cast("int") + 1
-    rare = written(classes.select("class", "n", F.explode(F.slice("g", 1, F.greatest(looked, F.lit(0)))).alias("s")).select("class", "n", "s.h"), "rarest-shingles")
-    size = written(rare.groupBy("h").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"), "frequent-shingles")
-    dealt = rare.join(size, "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(F.lit("chunk"), "class"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = written(dealt.select("h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "n"), "dealt-shingles")
-    left, right = (dealt.select("h", "low", "high", F.col("own").alias(f"own_{x}"), F.col("class").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    # Two of one chunk meet in the chunk's own bucket only.
-    met = left.join(right, ["h", "low", "high"]).where("a < b and (own_a != own_b or low = high)")
-    pairs = written(met.where(F.least("na", "nb") >= similar * F.greatest("na", "nb")).select("a", "b").distinct(), "candidates")
+    found = classes.select("class", "n", F.size("g").alias("shared"), F.posexplode(F.slice("g", 1, F.greatest(looked, F.lit(0)))).alias("i", "s"))
+    return written(found.select(F.col("s.h").alias("h"), "class", "n", (F.col("n") - F.col("shared") + F.col("i")).alias("p")), "rarest-shingles")
+
+
+def can_be_similar(similar: float):
+    """Whether the sizes of two sets allow the similarity, and if the shared shingle is the first that they share also what stands after it."""
+    na, nb = F.col("na"), F.col("nb")
+    after = 1 + F.least(na - F.col("pa"), nb - F.col("pb")) - 1
+    return (F.least(na, nb) >= similar * F.greatest(na, nb)) & (after >= similar / (1 + similar) * (na + nb) - 1e-6)
+
+
+def verified_edges(pairs: DataFrame, classes: DataFrame, similar: float) -> DataFrame:
+    """a < b, both, na, nb of the pairs (a, b) that are similar; written."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     sets = classes.select("class", "n", F.transform("g", lambda x: x["h"]).alias("g"))
     first, second = (sets.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
     both = pairs.join(first, "a").join(second, "b").select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), "na", "nb")
     return written(both.where(F.col("both") >= similar * (F.col("na") + F.col("nb") - F.col("both"))), "class-edges")
 
 
-def shingle_edges(docs: DataFrame, similar: float, width: int = 3, chunk: int = CHUNK) -> DataFrame:
+def bucket_pairs(rare: DataFrame, similar: float, chunk: int) -> DataFrame:
+    """a, b: pairs of classes that share a looked-up shingle and can be similar; with a column comp, only those of two components. A shingle
+    that many classes look up is dealt to pairs of chunks."""
+    size = written(rare.groupBy("h").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"), "frequent-shingles")
+    dealt = rare.join(size, "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(F.lit("chunk"), "class"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    extra = ["comp"] if "comp" in rare.columns else []
+    dealt = written(dealt.select("h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "n", "p", *extra), "dealt-shingles")
+    left, right = (dealt.select("h", "low", "high", F.col("own").alias(f"own_{x}"), F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"), *[F.col(c).alias(f"{c}_{x}") for c in extra]) for x in "ab")
+    # Two of one chunk meet in the chunk's own bucket only.
+    met = left.join(right, ["h", "low", "high"]).where("a < b and (own_a != own_b or low = high)" + (" and comp_a != comp_b" if extra else ""))
+    return met.where(can_be_similar(similar)).select("a", "b")
+
+
+def class_edges(classes: DataFrame, similar: float, chunk: int = CHUNK) -> DataFrame:
+    """a < b, both, na, nb: all pairs of classes with Jaccard of `similar` or more. Candidates are compared by all their shingles. As many near
+    copies make as many rows as they have pairs; see `connecting_edges`."""
+    return verified_edges(bucket_pairs(rarest_shingles(classes, similar), similar, chunk), classes, similar)
+
+
+def connecting_edges(classes: DataFrame, similar: float, chunk: int = CHUNK, pairs: int = PAIRS) -> DataFrame:
+    """Of `class_edges` some with the same components. While shingles have more than `pairs` pairs for each class that looks them up, a round
+    compares each class with one leader of the shingle that isn't of its component yet, so that copies of a text find to each
+    other by as many comparisons as they are; at last all pairs are compared that are still of two components."""
+    rare = rarest_shingles(classes, similar)
+    found, comp = None, None
+    for turn in range(ROUNDS):
+        rows = rare.withColumn("comp", F.col("class")) if comp is None else rare.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        each = rows.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inner"))
+        asked, left = each.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inner")) / 2), F.lit(0))).first()
+        if left <= pairs * asked:
+            break
+        rank = F.struct(F.xxhash64(F.lit(turn), "comp"), "comp", F.xxhash64(F.lit(turn), "class"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+        lead = written(rows.groupBy("h").agg(F.min(rank).alias("r"), F.count("*").alias("m")).where("m > 1").select("h", F.col("r.comp").alias("led"), "r.b", "r.nb", "r.pb"), "leaders")
+        met = rows.join(lead, "h").where("comp != led").withColumnsRenamed({"n": "na", "p": "pa"}).where(can_be_similar(similar))
+        new = verified_edges(met.select(F.col("class").alias("a"), "b"), classes, similar)
+        found = new if found is None else found.unionAll(new)
+        comp = written(components(found.select("a", "b")).select(F.col("node").alias("class"), F.col("root").alias("comp")), "class-components")
+    rest = verified_edges(bucket_pairs(rows if comp is not None else rare, similar, chunk), classes, similar)
+    return rest if found is None else found.unionAll(rest)
+
+
+def shingle_edges(docs: DataFrame, similar: float, width: int = 3, chunk: int = CHUNK, connecting: bool = False) -> DataFrame:
     """src, dst, similarity: links with the components of all pairs of texts (doc_id, text) whose word-shingle Jaccard is `similar`
     or more, however many texts have a shingle. Texts of equal shingles link to the first of them; two such groups
-    link by their first texts, src < dst; so copies make no pairs among themselves. Texts with fewer words than a shingle have none."""
+    link by their first texts, src < dst; so copies make no pairs among themselves. Texts with fewer words than a shingle have none.
+    All links between such groups are given, or with `connecting` only as many as keep the components."""
     members, classes = shingle_classes(docs, width)
-    found = class_edges(classes, similar, chunk).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity"))
+    found = (connecting_edges if connecting else class_edges)(classes, similar, chunk).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity"))
     return found.unionByName(members.where("doc_id != class").select(F.col("class").alias("src"), F.col("doc_id").alias("dst"), F.lit(1.0).alias("similarity")))
 
 

@@ -298,8 +298,8 @@ SHINGLES = {
 }
 
 
-def edges(spark, d):
-    return splits.shingle_edges(view(spark, d, "documents"), 0.5)
+def edges(spark, d, connecting=False):
+    return splits.shingle_edges(view(spark, d, "documents"), 0.5, connecting=connecting)
 
 
 @query(sql("SELECT src, dst, similarity FROM e", **SHINGLES))
@@ -315,7 +315,7 @@ COMPONENTS = SHINGLES | {
 
 
 def doc_clusters(spark, d):
-    return written(graph.clusters(view(spark, d, "documents").select(F.col("doc_id").alias("node")), edges(spark, d)), "clusters")
+    return written(graph.clusters(view(spark, d, "documents").select(F.col("doc_id").alias("node")), edges(spark, d, True)), "clusters")
 
 
 @query(sql("SELECT node, cluster_id FROM cl", **COMPONENTS))

@@ -51,7 +51,24 @@ def test_edges_have_no_bound(spark, similar, chunk):
     nodes = docs.select(docs.doc_id.alias("node"))
     clusters = lambda e: {r.node: r.cluster_id for r in graph.clusters(nodes, e).collect()}
     assert clusters(splits.shingle_edges(docs, similar, chunk=chunk)) == clusters(spark.createDataFrame(list(pairs), "src long, dst long"))
-    assert splits.shingle_edges(docs.limit(0), similar).count() == 0
+    few = splits.shingle_edges(docs, similar, chunk=chunk, connecting=True)
+    assert clusters(few) == clusters(spark.createDataFrame(list(pairs), "src long, dst long"))
+    assert {(r.src, r.dst): r.similarity for r in few.collect()}.items() <= {k: pytest.approx(v) for k, v in want.items()}.items()
+    assert splits.shingle_edges(docs.limit(0), similar).count() == splits.shingle_edges(docs.limit(0), similar, connecting=True).count() == 0
+
+
+def test_near_copies_make_few_links(spark):
+    """Copies of a text with words of their own: links grow with the copies, and not with their pairs."""
+    turn = random.Random(7)
+    line = lambda n: " ".join(f"{turn.choice('abcdefgh')}{turn.randrange(300)}" for _ in range(n))
+    bodies = [line(60) for _ in range(3)]
+    named = [(i, f"{line(3)} {bodies[i % 3]} {line(i % 5)}") for i in range(2400)]
+    docs = spark.createDataFrame(named, "doc_id long, text string").repartition(4)
+    members, classes = splits.shingle_classes(docs)
+    found = splits.connecting_edges(classes, 0.7)
+    assert found.count() < 4 * len(named)
+    roots = {r.node: r.root for r in graph.components(found.select("a", "b")).collect()}
+    assert len(roots) == len(named) and all(len({roots[i] for i, _ in named if i % 3 == k}) == 1 for k in range(3)) and len(set(roots.values())) == 3
 
 
 def test_copies_stay_in_one_fold(spark, tmp_path, monkeypatch):
