@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import labels, more, reports, sampling, scoring, sequences  # noqa: E402, F401
+from . import labels, more, reports, sampling, scoring, sequences, similar  # noqa: E402, F401
