@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, written  # noqa: F401
@@ -45,6 +45,41 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def own_key(column: str = "text"):
+    """A hash of a row's text. A doc_id and this key tell rows of different texts apart, also where they share a doc_id or have none."""
+    return F.xxhash64(text_or_empty(column))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and own (see `own_key`) of every row of docs."""
+    return quoted(docs, ["doc_id", "text"]).select("doc_id", "text", own_key().alias("own"))
+
+
+def row_order(*more: str):
+    """What orders rows: by doc_id, those without one last, then by their key."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own", *more)
+
+
+def matched_rows(docs: DataFrame, rows: DataFrame, how: str, *values: str) -> DataFrame:
+    """docs joined by doc_id (null or not) and text with rows (doc_id, own): its own columns and, unless how is a semi or anti join, the
+    values under the names that follow; the names must not be docs' own."""
+    doc, own, key = fresh(docs, "row_doc", "row_own", "text_own")
+    right = rows.select(F.col("doc_id").alias(doc), F.col("own").alias(own), *values)
+    left = docs.withColumn(key, own_key())
+    return left.join(right, F.col("`doc_id`").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(own)), how).drop(doc, own, key)
+
+
+def joined_runs(rows: DataFrame, *keys: str, gap: int = 0, name: str = "runs") -> DataFrame:
+    """For each group of rows (keys, top, bottom) one row with its runs as a flat array top, bottom, top, bottom, ... in order; what overlaps or is at
+    most `gap` apart is one run."""
+    turn = Window.partitionBy(*keys).orderBy("top", "bottom")
+    before = F.max("bottom").over(turn.rowsBetween(Window.unboundedPreceding, -1))
+    run = rows.select(*keys, "top", "bottom", F.coalesce(F.col("top") > before + gap, F.lit(True)).cast("int").alias("new"))
+    run = run.withColumn("run", F.sum("new").over(turn.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "run").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"))
+    lists = run.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("top", "bottom"))).alias("r"))  # as many as a text has
+    return lists.select(*keys, F.expr("flatten(transform(r, x -> array(x.top, x.bottom)))").alias(name))
+
+
 def quoted(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns; whatever other columns are called doesn't matter."""
     return df.select(*[F.col(f"`{n}`") for n in names])

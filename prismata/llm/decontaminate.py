@@ -22,7 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, merged_runs, pieces, prepare, quoted, received, sent, table, written
+from .common import as_bytes, keyed, matched_rows, merged_runs, pieces, prepare, quoted, received, sent, table, written
 
 #: Words of a window.
 WINDOW = 13
@@ -34,7 +34,7 @@ WORD_BYTES = bytes(b for b in range(256) if 48 <= b <= 57 or 97 <= b <= 122 or b
 TO_WORDS = bytes(b if b in WORD_BYTES else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 #: shard: the first 31 bits are the task that made it; row i of the shard is document shard << 24 | i of the index.
-INDEX = "shard bigint, ids array<bigint>, first array<int>, n_words array<int>, terms array<bigint>, starts array<int>, positions array<int>"
+INDEX = "shard bigint, ids array<bigint>, owns array<bigint>, first array<int>, n_words array<int>, terms array<bigint>, starts array<int>, positions array<int>"
 MATCHES = "row bigint, items array<bigint>, spans array<int>"
 
 
@@ -116,11 +116,11 @@ def build_index(docs: DataFrame) -> DataFrame:
                 by = np.argsort(rank[term], kind="stable")
                 starts = np.cumsum(np.bincount(term, minlength=len(number))[order]) if len(number) else np.zeros(0, np.int64)
                 starts = np.append(0, starts)[:-1] if len(number) else starts
-                row = ((shard, pa.int64()), (part.column("doc_id").cast(pa.int64()).to_pylist(), longs), (first, ints), (count, ints), (hashes[order].view(np.int64), longs), (starts, ints), (at[by], ints))
-                yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, (int, list)) else x.astype(np.int64 if t == longs else np.int32)], t) for x, t in row], names=["shard", "ids", "first", "n_words", "terms", "starts", "positions"])
+                row = ((shard, pa.int64()), (part.column("doc_id").cast(pa.int64()).to_pylist(), longs), (part.column("own").to_pylist(), longs), (first, ints), (count, ints), (hashes[order].view(np.int64), longs), (starts, ints), (at[by], ints))
+                yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, (int, list)) else x.astype(np.int64 if t == longs else np.int32)], t) for x, t in row], names=["shard", "ids", "owns", "first", "n_words", "terms", "starts", "positions"])
                 shard += 1
 
-    return quoted(docs, ["doc_id", "text"]).mapInArrow(run, INDEX)
+    return keyed(docs).mapInArrow(run, INDEX)
 
 
 class Shard:
@@ -241,7 +241,7 @@ def search(index: DataFrame, phrases_in) -> DataFrame:
                     names=["row", "items", "spans"],
                 )
 
-    return index.select(*[x.split()[0] for x in INDEX.split(", ") if x != "ids array<bigint>"]).mapInArrow(run, MATCHES)
+    return index.select(*[x.split()[0] for x in INDEX.split(", ") if x.split()[0] not in ("ids", "owns")]).mapInArrow(run, MATCHES)
 
 
 def near_search(index: DataFrame, phrases_in, width: int = NEAR) -> DataFrame:
@@ -258,14 +258,14 @@ def near_search(index: DataFrame, phrases_in, width: int = NEAR) -> DataFrame:
                 docs = sorted(items)
                 yield pa.RecordBatch.from_arrays([pa.array([shard.shard << 24 | d for d in docs], pa.int64()), pa.array([sorted(items[d]) for d in docs], pa.list_(pa.int64()))], names=["row", "items"])
 
-    return index.select(*[x.split()[0] for x in INDEX.split(", ") if x != "ids array<bigint>"]).mapInArrow(run, "row bigint, items array<bigint>")
+    return index.select(*[x.split()[0] for x in INDEX.split(", ") if x.split()[0] not in ("ids", "owns")]).mapInArrow(run, "row bigint, items array<bigint>")
 
 
 def indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The written index, and its documents (row, doc_id, n_words), one for each row of docs."""
+    """The written index, and its documents (row, doc_id, own, n_words), one for each row of docs."""
     index = written(build_index(docs), "postings")
-    rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "n_words")).alias("i", "d"))
-    return index, rows.select((F.shiftleft("shard", 24) + F.col("i")).alias("row"), F.col("d.ids").alias("doc_id"), F.col("d.n_words").cast("bigint").alias("n_words"))
+    rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "owns", "n_words")).alias("i", "d"))
+    return index, rows.select((F.shiftleft("shard", 24) + F.col("i")).alias("row"), F.col("d.ids").alias("doc_id"), F.col("d.owns").alias("own"), F.col("d.n_words").cast("bigint").alias("n_words"))
 
 
 def matched(index: DataFrame, benchmark: DataFrame, find, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -279,6 +279,17 @@ def matched(index: DataFrame, benchmark: DataFrame, find, window: int = WINDOW,
     return out
 
 
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What `contamination` returns, and own (see `own_key`)."""
+    index, rows = indexed(docs)
+    hits = matched(index, benchmark, search, window, block_bytes).groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("s"))
+    ends = "array_sort(transform(sequence(0, size(s) div 2 - 1), i -> struct(s[2 * i] as top, s[2 * i + 1] as bottom)))"
+    hits = hits.select("row", "items", F.expr(ends).alias("ends")).select("row", "items", F.expr(merged_runs("ends")).alias("spans"))
+    out = rows.join(hits, "row", "left").withColumn("n_hit", F.expr("coalesce(aggregate(spans, 0L, (s, x) -> x - s), 0L)"))  # end - (start - (end - ...))
+    items, spans = F.coalesce("items", F.array().cast("array<bigint>")), F.coalesce("spans", F.array().cast("array<int>"))
+    return out.select("doc_id", "own", "n_words", "n_hit", items.alias("items"), spans.alias("spans"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, items (sorted array of item_id), spans, contaminated.
 
@@ -289,13 +300,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     texts all count. Rows that repeat a doc_id, or have none, are judged each by its own text. Empty tables give
     no rows, or no hits. However many blocks the benchmark makes, the rows are the same.
     """
-    index, rows = indexed(docs)
-    hits = matched(index, benchmark, search, window, block_bytes).groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("s"))
-    ends = "array_sort(transform(sequence(0, size(s) div 2 - 1), i -> struct(s[2 * i] as top, s[2 * i + 1] as bottom)))"
-    hits = hits.select("row", "items", F.expr(ends).alias("ends")).select("row", "items", F.expr(merged_runs("ends")).alias("spans"))
-    out = rows.join(hits, "row", "left").withColumn("n_hit", F.expr("coalesce(aggregate(spans, 0L, (s, x) -> x - s), 0L)"))  # end - (start - (end - ...))
-    items, spans = F.coalesce("items", F.array().cast("array<bigint>")), F.coalesce("spans", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_words", "n_hit", items.alias("items"), spans.alias("spans"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return judged(docs, benchmark, window, block_bytes).drop("own")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int = NEAR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -308,9 +313,9 @@ def proximity(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated documents, all columns kept. A doc_id goes with all its rows; rows without one stay."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return quoted(docs.join(bad, "doc_id", "left_anti"), docs.columns)
+    """docs without the contaminated documents, all columns kept. Each row goes or stays by its own text, also where rows share a doc_id or have none."""
+    bad = written(judged(docs, benchmark).where("contaminated").select("doc_id", "own").distinct(), "contaminated")
+    return matched_rows(docs, bad, "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

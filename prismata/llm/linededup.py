@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fresh, merged_runs, pieces, prepare, quoted, table, written
+from .common import as_bytes, fresh, joined_runs, keyed, matched_rows, pieces, prepare, quoted, row_order, table, written
 
 #: Lines of the shortest run that counts as a repeat.
 WINDOW = 3
@@ -29,7 +29,7 @@ LONG_WORDS = 50
 
 
 def windows(docs: DataFrame, width: int = WINDOW, long_words: int | None = None) -> DataFrame:
-    """doc_id, fp, at: fingerprints, each with the windows that chose it (high, low: digest; top, bottom: line numbers)."""
+    """doc_id, own, fp, at: fingerprints of each row, each with the windows that chose it (high, low: digest; top, bottom: line numbers)."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -41,9 +41,9 @@ def windows(docs: DataFrame, width: int = WINDOW, long_words: int | None = None)
         for batch in batches:
             for part in pieces(batch, "text"):
                 ids, prints, at = [], [], []
-                for doc, text in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), as_bytes(part, "text")):
+                for doc, text in enumerate(as_bytes(part, "text")):
                     line = [(i, x) for i, x in enumerate(map(bytes.strip, text.split(b"\n"))) if x]
-                    if doc is None or len(line) < (width if long_words is None else 1):
+                    if len(line) < (width if long_words is None else 1):
                         continue
                     h = np.array([xxhash.xxh64_intdigest(x) for _, x in line], np.uint64)
                     total = None if long_words is None else np.cumsum([0] + [len(x.split()) for _, x in line])
@@ -58,47 +58,49 @@ def windows(docs: DataFrame, width: int = WINDOW, long_words: int | None = None)
                     ids += [doc] * len(own)
                     prints += h[list(own)].view(np.int64).tolist()
                     at += [[dict(zip(("high", "low", "top", "bottom"), w)) for w in x] for x in own.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(at, kind)], names=["doc_id", "fp", "at"])
+                ids = pa.array(ids, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()).take(ids), part.column("own").take(ids), pa.array(prints, pa.int64()), pa.array(at, kind)], names=["doc_id", "own", "fp", "at"])
 
-    return quoted(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id bigint, fp bigint, at array<struct<high:bigint,low:bigint,top:int,bottom:int>>")
+    return keyed(docs).mapInArrow(run, "doc_id bigint, own bigint, fp bigint, at array<struct<high:bigint,low:bigint,top:int,bottom:int>>")
 
 
 def repeats(docs: DataFrame, width: int = WINDOW, long_words: int | None = None) -> DataFrame:
-    """doc_id, runs: the line numbers (first, last, first, last, ...) of the maximal repeated runs of each document that has any."""
+    """doc_id, own, runs: the line numbers (first, last, first, last, ...) of the maximal repeated runs of each row that has any."""
     found = written(windows(docs, width, long_words), "line-fingerprints")
     shared = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "shared-lines")
-    near = found.join(shared.hint("merge"), "fp").select("doc_id", F.explode("at").alias("w")).select("doc_id", "w.*")
+    near = found.join(shared.hint("merge"), "fp").select("doc_id", "own", F.explode("at").alias("w")).select("doc_id", "own", "w.*").distinct()
     near = written(near, "line-windows")
-    first = near.groupBy("high", "low").agg(F.min(F.struct("doc_id", "top")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = near.join(written(first, "first-windows").hint("merge"), ["high", "low"]).where(F.struct("doc_id", "top") > F.col("first"))
-    lists = late.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("top", "bottom"))).alias("late"))
-    return lists.select("doc_id", F.expr(merged_runs("late", gap=1)).alias("runs"))
+    first = near.groupBy("high", "low").agg(F.min(row_order("top")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = near.join(written(first, "first-windows").hint("merge"), ["high", "low"]).where(row_order("top") > F.col("first"))
+    return joined_runs(late, "doc_id", "own", gap=1)
 
 
-def kept_lines(text: str, runs: str) -> str:
-    """SQL: the text without the lines of runs (first, last, first, last, ...; may be null)."""
-    start, end = f"if(j = 0, 0, {runs}[2 * j - 1] + 1)", f"if(2 * j = size({runs}), size(split({text}, '\\n')), get({runs}, 2 * j))"
-    left = f"flatten(transform(sequence(0, size({runs}) div 2), j -> slice(split({text}, '\\n'), {start} + 1, {end} - {start})))"
-    return f"if({runs} is null, {text}, array_join({left}, '\\n'))"
+def kept_lines(lines: str, runs: str) -> str:
+    """SQL: the lines (an array) but for those of runs (first, last, first, last, ...), joined again."""
+    start, end = f"if(j = 0, 0, {runs}[2 * j - 1] + 1)", f"if(2 * j = size({runs}), size({lines}), get({runs}, 2 * j))"
+    left = f"flatten(transform(sequence(0, size({runs}) div 2), j -> slice({lines}, {start} + 1, {end} - {start})))"
+    return f"array_join({left}, '\\n')"
 
 
 def dedup_lines(docs: DataFrame, width: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """docs with repeated runs deleted from text, plus n_lines, n_removed, n_runs (which replace columns of these names).
 
     A document that loses all its lines keeps its row with an empty text; null stays null. Lines are compared
-    without white space around them; blank lines never count, but go with a run that spans them. Rows that
-    repeat a doc_id count as one document and are treated alike; rows without doc_id are left as they are.
+    without white space around them; blank lines never count, but go with a run that spans them. Rows of different texts that share a doc_id
+    are documents of their own, in the order of their hashes, and so are rows without doc_id, which come last; rows
+    that repeat a doc_id and its text count as one document and are treated alike.
     Repeats of fewer lines than `width` stay, unless they have `long_words` words (split at ASCII white space) or more.
     """
     taken = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     found = written(repeats(docs, width, long_words), "line-runs")
-    own, runs = fresh(docs, "run_doc", "runs_found")
-    docs = quoted(docs, taken)
-    out = docs.join(found.select(F.col("doc_id").alias(own), F.col("runs").alias(runs)), docs["doc_id"] == F.col(own), "left")
+    runs, cut = fresh(docs, "runs_found", "cut_lines")
+    out = matched_rows(quoted(docs, taken), found.withColumnRenamed("runs", runs), "left", runs)
+    # Split in a column of its own: within the lambda below it would be split for each run.
+    out = out.withColumn(cut, F.expr(f"if({runs} is null, null, split(text, '\\n'))"))
     lost = F.expr(f"coalesce(aggregate(sequence(0, size({runs}) - 1), 0L, (s, i) -> s + if(i % 2 = 0, 1 - {runs}[i], {runs}[i])), 0L)")
     lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
     return out.select(
-        *[F.expr(kept_lines("text", runs)).alias("text") if c == "text" else F.col(f"`{c}`") for c in taken],
+        *[F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.expr(kept_lines(cut, runs))).alias("text") if c == "text" else F.col(f"`{c}`") for c in taken],
         lines.alias("n_lines"), lost.alias("n_removed"), F.coalesce(F.size(runs) / 2, F.lit(0)).cast("bigint").alias("n_runs"),
     )
 

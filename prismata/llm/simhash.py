@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, prepare, quoted, table, written
+from .common import as_bytes, keyed, matched_rows, pieces, prepare, row_order, table, written
 from ..operators.graph import components
 
 #: Words of a shingle, and the bits in which linked fingerprints may differ.
@@ -52,7 +52,7 @@ def fingerprint(text: bytes, width: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """doc_id, fp (bigint) of every row of docs."""
+    """doc_id, own (see `own_key`), fp (bigint) of every row of docs."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -60,9 +60,9 @@ def fingerprints(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
         for batch in batches:
             for part in pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([fingerprint(x, width) for x in as_bytes(part, "text")], pa.int64())], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array([fingerprint(x, width) for x in as_bytes(part, "text")], pa.int64())], names=["doc_id", "own", "fp"])
 
-    return quoted(docs, ["doc_id", "text"]).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return keyed(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, own bigint, fp bigint")
 
 
 def masks(blocks: int, radius: int) -> list[int]:
@@ -159,6 +159,14 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
+def rooted(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of docs' rows (doc_id, own, fp), and of each fingerprint its component: fp, low (smallest doc_id), root. Both are written."""
+    prints = written(fingerprints(docs, width), "fingerprints")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    roots = components(written(links(distinct, radius, blocks, chunk), "links"))
+    return prints, written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fp, component_id (the smallest doc_id that links reach).
 
@@ -167,19 +175,21 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS, b
     fingerprints are linked. Rows that repeat a doc_id stay; a null doc_id is never a component's id
     unless the component has no other. An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, width), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = components(written(links(distinct, radius, blocks, chunk), "links"))
-    joined = written(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
+    prints, joined = rooted(docs, width, radius, blocks, chunk)
     # Written first: a join with an aggregate of its own stage can't be split where many fingerprints share a root.
     names = written(joined.groupBy("root").agg(F.min("low").alias("component_id")), "component-names")
     return prints.join(written(joined.join(names, "root").select("fp", "component_id"), "names"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component (the smallest doc_id), all columns kept."""
-    gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id")
-    return quoted(docs.join(gone, "doc_id", "left_anti"), docs.columns)
+    """docs with one document of each component, all columns kept: that of the smallest doc_id, and of rows of different texts
+    that share it the one with the smallest hash. Rows without a doc_id take part, after all others. Rows that repeat the doc_id and the text
+    of the one that stays are the same document, and stay."""
+    prints, roots = rooted(docs)
+    rows = prints.select("doc_id", "own", "fp").distinct().join(roots.select("fp", "root"), "fp")
+    first = written(rows.groupBy("root").agg(F.min(row_order()).alias("first")), "kept-rows")
+    gone = written(rows.join(first, "root").where(row_order() != F.col("first")).select("doc_id", "own"), "dropped-rows")
+    return matched_rows(docs, gone, "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,3 +198,59 @@ def test_suffix_array_is_sorted():
         data = text.tobytes()
         keys = [data[i:].ljust(n, b"\0") for i in order]
         assert sorted(order.tolist()) == list(range(n)) and keys == sorted(keys)
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    """Rows of different texts under one doc_id, or without any."""
+    turn = np.random.default_rng(12)
+    words = np.array(["".join(turn.choice(list("abcdefghijklmnop"), 6)) for _ in range(900)])
+    line = lambda n=30: " ".join(turn.choice(words, n))
+    a, b, c, d = ("\n".join(line() for _ in range(6)) for _ in range(4))
+    rows = [(1, a), (2, b), (2, a), (3, b), (3, "\n".join([line(), c, line()])), (4, c), (4, line()), (None, d), (None, c + "\n" + line()), (5, d), (None, line())]
+    return spark.createDataFrame([*rows, rows[3]], "doc_id bigint, text string"), [*rows, rows[3]]
+
+
+def kept_once(rows, left, unit):
+    """Each unit of the texts is left exactly once."""
+    before = {x for _, t in rows for x in unit(t)}
+    after = collections.Counter(x for _, t in set(left) for x in unit(t))
+    return set(after) == before and max(after.values()) == 1
+
+
+def test_near_duplicates_lose_no_text_where_doc_ids_repeat(shared):
+    docs, rows = shared
+    left = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+    prints = {t: slow_fingerprint(t) for _, t in rows}
+    near = lambda x, y: (prints[x] ^ prints[y]).bit_count() <= 4
+    assert all(any(near(t, k) for _, k in left) for _, t in rows) and set(left) <= set(rows)
+    assert not any(near(x, y) for i, (_, x) in enumerate(sorted(set(left), key=str)) for _, y in sorted(set(left), key=str)[:i])
+    assert {(1, rows[0][1]), (2, rows[1][1]), (5, rows[9][1])} <= set(left)
+
+
+def test_lines_are_not_lost_where_doc_ids_repeat(shared):
+    docs, rows = shared
+    left = [tuple(r) for r in linededup.drop_repeated_lines(docs).collect()]
+    assert len(left) == len(rows)
+    assert kept_once(rows, left, lambda t: [x for x in t.split("\n") if x])
+
+
+def test_paragraphs_are_not_lost_where_doc_ids_repeat(shared):
+    docs, rows = shared
+    left = [tuple(r) for r in paragraphs.dedup_paragraphs(docs).collect()]
+    assert len(left) == len(rows)
+    assert {w for _, t in left for w in t.split()} == {w for _, t in rows for w in t.split()}
+    assert {t for i, t in rows if i is None} <= {t for i, t in left if i is None}
+
+
+def test_many_runs_in_one_text(spark):
+    """Cutting takes time by the length of a text, not by its length times its runs."""
+    import time
+
+    one = [f"line {i} of the first text" for i in range(9000)]
+    many = "\n".join(f"{x}\nown {i}" if i % 3 == 2 else x for i, x in enumerate(one))
+    docs = spark.createDataFrame([(1, "\n".join(one)), (2, many)], "doc_id bigint, text string")
+    linededup.drop_repeated_lines(docs.limit(1)).collect()
+    began = time.time()
+    left = {r.doc_id: r.text for r in linededup.drop_repeated_lines(docs).collect()}
+    assert left[2] == "\n".join(f"own {i}" for i in range(2, 9000, 3)) and time.time() - began < 60

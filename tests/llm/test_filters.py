@@ -139,3 +139,11 @@ def test_quality_query_against_brute_force(spark, tmp_path):
         assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.5)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
     assert np.mean([r.predicted == r.doc_id % 2 for r in rows if r.held_out and r.doc_id < 240]) > 0.97
+
+
+def test_clean_rows_stay_where_doc_ids_repeat(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, passage), (1, "clean words here"), (2, "clean words here"), (None, passage), (None, "more clean words"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = decontaminate.decontaminate(docs, spark.createDataFrame([(7, passage)], "item_id bigint, text string")).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
