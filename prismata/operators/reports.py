@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from .quantiles import exact_quantiles
+
 
 def over_folds(metrics: DataFrame) -> DataFrame:
     """cutoff, metric, n, mean, std (sample, 0 for one fold), ci95 of (cutoff, fold, metric, value); NaN doesn't count."""
@@ -19,9 +22,9 @@ def described(metrics: DataFrame) -> DataFrame:
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Quartiles, and whiskers at the furthest values within 1.5 times their distance."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = written(exact_quantiles(df, key, value, [0.25, 0.5, 0.75]), "quartiles")
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    rows = df.join(q, key)
+    rows = df.join(q, key, "left")
     inside = F.when(F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach), F.col(value))
     return rows.groupBy(key).agg(*[F.round(F.first("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))], F.round(F.min(inside), 6).alias("low"), F.round(F.max(inside), 6).alias("high"))
 
@@ -33,7 +36,7 @@ def series(summary: DataFrame, metric: str) -> DataFrame:
     return summary.select("cutoff").distinct().join(own, "cutoff", "left").select("cutoff", F.coalesce("mean", nan).alias("mean"), F.coalesce("ci95", nan).alias("ci95"))
 
 
-def trend(df: DataFrame, key: str, order: str, value: str, slack: float = 1e-9) -> DataFrame:
+def trend(df: DataFrame, key: str, order: str, value: str, slack: float = 0.0) -> DataFrame:
     """How the value goes along `order`: increases, decreases, stable or varies."""
     step = F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(order))
     s = df.withColumn("_step", step).groupBy(key).agg(F.coalesce(F.bool_or(F.col("_step") > slack), F.lit(False)).alias("up"), F.coalesce(F.bool_or(F.col("_step") < -slack), F.lit(False)).alias("down"))

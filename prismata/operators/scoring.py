@@ -40,39 +40,6 @@ def prototypes(vectors: DataFrame, members: DataFrame) -> DataFrame:
     return mean_vectors(rows, "ec").join(size, "ec").select("ec", F.lit(0).alias("proto_id"), unit(F.col("vec")).alias("vec"), "train_count")
 
 
-def sub_prototypes(vectors: DataFrame, members: DataFrame, k: int, sample: int = 20_000, seed: int = 0, rounds: int = 25) -> DataFrame:
-    """k centroids for each class with k members or more, else its mean. Centroids are fitted on at most `sample` members
-    of a class (chosen by hash), which bounds what one task holds."""
-    rows = members.join(projected(vectors).select("accession", "vec"), "accession")
-    size = rows.groupBy("ec").agg(F.count("*").cast("int").alias("train_count"))
-    taken = rows.join(size, "ec").where(F.pmod(F.xxhash64("accession", F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.least(F.lit(1.0), sample / F.col("train_count")))
-
-    def fit(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("accession")
-        x = np.array(pdf["vec"].tolist(), float)
-        if len(x) < k:
-            centre = x.mean(axis=0, keepdims=True)
-        else:
-            turn = np.random.default_rng(seed)
-            centre = x[[turn.integers(len(x))]]
-            while len(centre) < k:  # k-means++ start
-                far = ((x[:, None] - centre[None]) ** 2).sum(axis=2).min(axis=1)
-                centre = np.vstack([centre, x[turn.choice(len(x), p=far / far.sum()) if far.sum() > 0 else 0]])
-            for _ in range(rounds):
-                near = ((x[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
-                new = np.stack([x[near == j].mean(axis=0) if (near == j).any() else centre[j] for j in range(k)])
-                if np.allclose(new, centre):
-                    break
-                centre = new
-        centre = centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({"ec": pdf["ec"].iloc[0], "proto_id": np.arange(len(centre), dtype="int32"), "vec": list(centre), "train_count": pdf["train_count"].iloc[0]})
-
-    return taken.select("ec", "accession", "vec", "train_count").groupBy("ec").applyInPandas(fit, "ec string, proto_id int, vec array<double>, train_count int")
-
-
 def cosines(queries: DataFrame, bank: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """accession, ec, proto_id, cos for all queries and prototypes. Blocks of the bank of bounded size are multiplied
     with Arrow batches of queries, so each block reads the queries once and nothing is shuffled."""

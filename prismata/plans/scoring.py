@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import benchmark, calibrate, scoring
+from ..operators import benchmark, calibrate, kmeans, scoring
 from ..session import shared_dir, written
 from ..sources import readers, writers
 from ..sources.fixtures import sql, view
@@ -310,7 +310,7 @@ def affine_projection(spark, d):
 
 @query()
 def kmeans_subprototypes(spark, d):
-    return scoring.sub_prototypes(view(spark, d, "vectors"), train(spark, d), 3).select("ec", "proto_id", "train_count", F.round(vec.norm(F.col("vec")), 6).alias("norm"))
+    return kmeans.sub_prototypes(view(spark, d, "vectors"), train(spark, d), 3).select("ec", "proto_id", "train_count", F.round(vec.norm(F.col("vec")), 6).alias("norm"))
 
 
 @query(sql("SELECT 'bce' AS method, arg_min(temperature, (bce, temperature)) AS temperature FROM tc UNION ALL SELECT 'brier', arg_min(temperature, (brier, temperature)) FROM tc UNION ALL SELECT 'none', 0.1", *V, **PROTO, **TEMPS))

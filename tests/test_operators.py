@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prismata.functions import augment
 from prismata.functions import vectors as vec
-from prismata.operators import benchmark, episodes, graph, labels, reports, scoring, settings, splits, training
+from prismata.operators import benchmark, episodes, graph, kmeans, labels, reports, scoring, settings, splits, training
 from prismata.sources import readers, writers
 
 
@@ -50,7 +50,7 @@ def test_prototypes_of_multi_label_members(spark):
     bank = {r.ec: r for r in scoring.prototypes(v, m).collect()}
     assert {k: r.train_count for k, r in bank.items()} == {"A": 2, "B": 2}
     assert all(abs(np.linalg.norm(r.vec) - 1) < 1e-9 for r in bank.values())
-    two = scoring.sub_prototypes(v, m, 2).collect()
+    two = kmeans.sub_prototypes(v, m, 2).collect()
     assert sorted((r.ec, r.proto_id) for r in two) == [("A", 0), ("A", 1), ("B", 0), ("B", 1)]
     assert all(abs(np.linalg.norm(r.vec) - 1) < 1e-9 for r in two)
 
