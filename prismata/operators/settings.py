@@ -18,8 +18,8 @@ def first_given(*values, default=None):
 
 
 def scoring_settings(arguments: dict, calibration: dict | None, config: dict, use_calibration: bool = True) -> dict:
-    """Arguments, then calibration (if used), then config, then defaults."""
-    tuned = (calibration or {}) if use_calibration else {}
+    """Arguments, then calibration (if used; it has no say on the shortlist), then config, then defaults."""
+    tuned = {k: v for k, v in (calibration or {}).items() if k != "shortlist_topN"} if use_calibration else {}
     return {k: first_given(arguments.get(k), tuned.get(k), config.get(k), default=d) for k, d in DEFAULTS.items()}
 
 
