@@ -47,3 +47,14 @@ def temperature_grid(t: float, points: int = 25) -> list[float]:
 def steps(start: float, stop: float, step: float) -> list[float]:
     """From start to stop, both included, rounded to ten decimals."""
     return [round(start + i * step, 10) for i in range(int((stop - start) / step + 1e-9) + 1)]
+
+
+def temperatures(t: Column, points: int = 25) -> Column:
+    """`temperature_grid` of a column, as an array (equal values stay)."""
+    low, high = F.greatest(F.lit(0.01), t / 10), F.least(F.lit(100.0), t * 10)
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: low * F.pow(high / low, i / F.lit(float(points - 1))))
+
+
+def points(start: Column, stop: Column, step: float) -> Column:
+    """`steps` between two columns, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.floor((stop - start) / step + 1e-9).cast("int")), lambda i: F.round(start + i * F.lit(float(step)), 10))

@@ -14,7 +14,7 @@ from ..functions.codes import ancestor
 from ..functions.hashing import ticket, uniform
 from ..functions.vectors import class_weight, dot, sigmoid, unit
 from ..session import written
-from .labels import numbered
+from .labels import numbered, ranged
 from .scoring import mean_vectors, micro_macro, per_class, projected, set_metrics, top1_rate
 
 
@@ -22,23 +22,69 @@ def episodes(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
     return spark.range(start, start + n).withColumnRenamed("id", "episode")
 
 
-def pick_classes(members: DataFrame, n_episodes: int, m: int, k: int, q: int, seed: int, boost: bool = True, tail: bool = True, clusters: DataFrame | None = None) -> DataFrame:
+#: Up to so many times as many classes as are drawn, all of them are given keys; of more, classes are drawn by their weights.
+FEW = 4
+#: Weights are whole numbers of this part.
+PART = 1_000_000
+
+
+def keyed_classes(each: DataFrame, classes: DataFrame, take: int, seed, boost: bool) -> DataFrame:
+    """episode, ec, n, turn (from 0): the `take` classes (ec, n; a few) of least exponential keys, for each episode."""
+    weight = class_weight(F.col("n")) if boost else F.lit(1.0)
+    key = -F.ln(1 - uniform(seed, F.lit("class"), F.col("episode"), F.col("ec"))) / weight
+    first = Window.partitionBy("episode").orderBy(F.round(key, 9), "ec")
+    rows = each.crossJoin(classes.select("ec", "n"))  # FEW classes for each one that is drawn
+    return rows.withColumn("turn", F.row_number().over(first) - 1).where(F.col("turn") < take).select("episode", "ec", "n", "turn")
+
+
+def drawn_classes(each: DataFrame, classes: DataFrame, take: int, seed, boost: bool) -> DataFrame:
+    """The same for many classes: draws with repeats by cumulative weights, of which the first `take` different ones count, which is
+    drawing without repeats. Draws look their class up in the cell of the weights that they fall into, and only classes that are drawn are joined."""
+    weight = F.greatest(F.round(class_weight(F.col("n")) * PART).cast("bigint"), F.lit(1)) if boost else F.lit(1).cast("bigint")
+    rows = written(ranged(classes.select("ec", "n").withColumn("w", weight), "ec", F.col("w"), "high", True), "class-weights")
+    total, count = rows.agg(F.sum("w"), F.count("*")).first()
+    width = -(-total // count)  # as many cells as classes
+    cell = lambda x: F.floor(x / width)
+    cells = rows.select("ec", "n", (F.col("high") - F.col("w")).alias("low"), "high")
+    cells = written(cells.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1)))), "weight-cells")
+    start, size, found, open_ = 0, 2 * take, None, each
+    while True:
+        draws = open_.withColumn("i", F.explode(F.sequence(F.lit(start), F.lit(start + size - 1))))
+        draws = draws.withColumn("x", F.floor(uniform(seed, F.lit("draw"), F.col("episode"), F.col("i")) * total)).withColumn("cell", cell(F.col("x")))
+        new = draws.join(cells, "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).select("episode", "i", "ec", "n")
+        if found is not None:
+            new = new.unionByName(found)
+        found = written(new.groupBy("episode", "ec", "n").agg(F.min("i").alias("i")), "drawn-classes")
+        # Episodes whose draws gave too few different classes go on with further draws.
+        enough = found.groupBy("episode").agg(F.count("*").alias("k")).where(F.col("k") >= take)
+        open_ = written(each.join(enough, "episode", "left_anti"), "open-episodes")
+        if open_.isEmpty():
+            break
+        start, size = start + size, 2 * size
+    turn = F.row_number().over(Window.partitionBy("episode").orderBy("i")) - 1
+    return found.withColumn("turn", turn).where(F.col("turn") < take).select("episode", "ec", "n", "turn")
+
+
+def pick_classes(members: DataFrame, n_episodes: int, m: int, k: int, q: int, seed: int, boost: bool = True, tail: bool = True, clusters: DataFrame | None = None, few: int = FEW) -> DataFrame:
     """episode, ec, slot (from 0), n: classes of K+Q members or more first, then (with `tail`) those of K or more.
-    With `boost` rare classes are likelier: weighted sampling without replacement by exponential keys. With clusters
-    (accession, cluster_id), classes of fewer than two clusters are left out. An episode with fewer than M classes is not given.
+    With `boost` rare classes are likelier: weighted sampling without replacement, by exponential keys of up to few * M classes and by
+    draws among more. With clusters (accession, cluster_id), classes of fewer than two clusters are left out. An episode with fewer than M classes is not given.
     """
     sizes = members.groupBy("ec").agg(F.count_distinct("accession").alias("n"))
     if clusters is not None:
         many = members.join(clusters, "accession", "left").groupBy("ec").agg(F.count_distinct(F.coalesce("cluster_id", F.concat(F.lit("_na_"), "accession"))).alias("c"))
         sizes = sizes.join(many.where("c >= 2").select("ec"), "ec", "left_semi")
-    able = sizes.where(F.col("n") >= (k if tail else k + q)).withColumn("tier", F.when(F.col("n") >= k + q, 0).otherwise(1))
-    each = episodes(members.sparkSession, n_episodes).crossJoin(F.broadcast(able))  # a row per class
-    weight = class_weight(F.col("n")) if boost else F.lit(1.0)
-    key = -F.ln(1 - uniform(seed, F.lit("class"), F.col("episode"), F.col("ec"))) / weight
-    first = Window.partitionBy("episode").orderBy("tier", F.round(key, 9), "ec")
-    ranked = each.withColumn("slot", F.row_number().over(first) - 1).where(F.col("slot") < m)
-    full = F.count("*").over(Window.partitionBy("episode")) == m
-    return ranked.withColumn("full", full).where("full").select("episode", "ec", "slot", "n")
+    able = written(sizes.where(F.col("n") >= (k if tail else k + q)).withColumn("tier", F.when(F.col("n") >= k + q, 0).otherwise(1)), "class-tiers")
+    counts = {r.tier: r.n for r in able.groupBy("tier").agg(F.count("*").alias("n")).collect()}
+    each = episodes(members.sparkSession, n_episodes if sum(counts.values()) >= m else 0)
+    out, have = None, 0
+    for tier in sorted(counts):
+        take = min(m - have, counts[tier])
+        if take > 0:
+            choose = keyed_classes if counts[tier] <= few * m else drawn_classes
+            part = choose(each, able.where(F.col("tier") == tier), take, seed, boost).select("episode", "ec", (F.col("turn") + have).alias("slot"), "n")
+            out, have = part if out is None else out.unionAll(part), have + take
+    return out if out is not None else members.sparkSession.createDataFrame([], f"episode bigint, ec {members.schema['ec'].dataType.simpleString()}, slot int, n bigint")
 
 
 def places(size, take, draw):

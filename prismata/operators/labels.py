@@ -105,16 +105,23 @@ def node_index(edges: DataFrame) -> DataFrame:
     return numbered(nodes, "node", "idx")
 
 
-def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with a row number from 0 in the order of key (unique)."""
+def ranged(df: DataFrame, key: str, amount, name: str, inclusive: bool) -> DataFrame:
+    """df with the sum (bigint) of an amount over all rows up to each one in the order of key (unique), its own included or not. Rows are
+    range-partitioned, summed in their partition, and moved on by the sums of the partitions before."""
     # Written once: two plans of the ranges would sample their bounds twice and need not agree.
     taken = {c.lower() for c in df.columns}
     part, own, n, before = (next(x for x in (f"{name}{'_' * i}" for i in range(1, 99)) if x.lower() not in taken) for name in ("part", "own", "size", "before"))
-    parts = written(df.repartitionByRange(key).withColumn(part, F.spark_partition_id()), "ranges")
-    ranked = parts.withColumn(own, F.row_number().over(Window.partitionBy(part).orderBy(key)))
-    sizes = parts.groupBy(part).agg(F.count("*").alias(n))  # a row per partition
+    parts = written(df.repartitionByRange(key).withColumn(part, F.spark_partition_id()).withColumn(n, amount), "ranges")
+    summed = parts.withColumn(own, F.sum(n).over(Window.partitionBy(part).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = parts.groupBy(part).agg(F.sum(n).alias(n))  # a row per partition
     shift = sizes.select(part, (F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias(before))
-    return ranked.join(F.broadcast(shift), part).withColumn(name, (F.col(before) + F.col(own) - 1).cast("bigint")).select(*df.columns, name)
+    total = F.col(before) + F.col(own) - (F.lit(0) if inclusive else F.col(n))
+    return summed.join(F.broadcast(shift), part).withColumn(name, total.cast("bigint")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with a row number from 0 in the order of key (unique)."""
+    return ranged(df, key, F.lit(1), name, False)
 
 
 def last_wins(df: DataFrame, key: str, ordinal: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 DEFAULTS = {"tau_multi": 0.35, "temperature": 0.07, "shortlist_topN": 0}
 
@@ -54,6 +55,7 @@ def chosen_k(asked: int | None, configured: list[int], available: list[int]) ->
     return min(available, default=None)
 
 
-def numeric_keys(text: str) -> list[int]:
-    """The keys of a JSON object that are whole numbers, in order."""
-    return sorted(int(k) for k in json.loads(text) if k.isdigit())
+def numeric_keys(document: Column) -> Column:
+    """The keys of a JSON object (text) that are whole numbers, as an array in order."""
+    keys = F.map_keys(F.from_json(document, "map<string,string>"))
+    return F.array_sort(F.transform(F.filter(keys, lambda k: k.rlike("^[0-9]+$")), lambda k: k.cast("int")))

@@ -19,14 +19,18 @@ def class_weights(spark, d):
     return view(spark, d, "labels_long").groupBy(F.col("ec_full").alias("ec")).agg(F.round(vec.class_weight(F.count("*")), 9).alias("weight"))
 
 
-@query(sql("SELECT i::INT AS i, round(0.05 * pow(5.0 / 0.05, i / 24.0), 9) AS t FROM range(25) r(i)"))
+@query(sql("SELECT metric, cutoff, fold, i::INT AS i, round(low * pow(high / low, i / 24.0::DOUBLE), 9) AS t FROM (SELECT *, greatest(0.01::DOUBLE, value / 10) AS low, least(100::DOUBLE, value * 10) AS high FROM fold_metrics WHERE value > 0), (SELECT unnest(range(25)) AS i)", "fold_metrics"))
 def temperature_points(spark, d):
-    return spark.createDataFrame(list(enumerate(vec.temperature_grid(0.5))), "i int, t double").withColumn("t", F.round("t", 9))
+    """The grid of temperatures around each measured value."""
+    rows = view(spark, d, "fold_metrics").where("value > 0")
+    return rows.select("metric", "cutoff", "fold", F.posexplode(vec.temperatures(F.col("value"))).alias("i", "t")).withColumn("t", F.round("t", 9))
 
 
-@query(sql("SELECT i::INT AS i, round(0.6::DOUBLE + i * 0.01::DOUBLE, 10) AS tau FROM range(36) r(i)"))
+@query(sql("SELECT metric, i::INT AS i, round(low + i * 0.01::DOUBLE, 10) AS tau FROM (SELECT metric, low, unnest(range(floor((high - low) / 0.01::DOUBLE + 1e-9)::INT + 1)) AS i FROM (SELECT metric, round(min(value), 2) AS low, round(max(value), 2) AS high FROM fold_metrics GROUP BY 1))", "fold_metrics"))
 def tau_points(spark, d):
-    return spark.createDataFrame(list(enumerate(vec.steps(0.60, 0.95, 0.01))), "i int, tau double")
+    """Thresholds from the least to the largest value of each metric."""
+    ends = view(spark, d, "fold_metrics").groupBy("metric").agg(F.round(F.min("value"), 2).alias("low"), F.round(F.max("value"), 2).alias("high"))
+    return ends.select("metric", F.posexplode(vec.points(F.col("low"), F.col("high"), 0.01)).alias("i", "tau"))
 
 
 @query(sql("SELECT key % 2 = 0 AS even, count(*) AS entities, count(*) FILTER (k > 1) AS multi, round(count(*) FILTER (k > 1) / count(*), 6) AS ratio FROM (SELECT accession, cast(substr(accession, 2) AS bigint) AS key, count(DISTINCT ec) AS k FROM x GROUP BY 1) GROUP BY 1", "entries", x=EXPLODED))
@@ -69,10 +73,14 @@ def url_parts(spark, d):
     return view(spark, d, "documents").select("doc_id", F.url_encode(F.concat_ws(" ", "lang", "source")).alias("encoded"))
 
 
-@query(sql("SELECT 1 AS position, 30 AS threshold UNION ALL SELECT 2, 70 UNION ALL SELECT 3, 100"))
+@query(sql("SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY cutoff)::INT AS position, cutoff::INT AS threshold FROM (SELECT DISTINCT metric, cutoff FROM fold_metrics)", "fold_metrics"))
 def threshold_keys(spark, d):
-    found = settings.numeric_keys('{"70": {}, "30": {}, "config": {}, "100": {}}')
-    return spark.createDataFrame(list(enumerate(found, 1)), "position int, threshold int")
+    """The thresholds among the keys of each metric's summary document, in order."""
+    means = view(spark, d, "fold_metrics").groupBy("metric", "cutoff").agg(F.avg("value").alias("mean"))
+    entry = F.struct(F.col("cutoff").cast("string").alias("key"), F.col("mean").cast("string").alias("value"))
+    rest = F.array(F.struct(F.lit("config").alias("key"), F.lit("x").alias("value")))
+    made = means.groupBy("metric").agg(F.to_json(F.map_from_entries(F.concat(F.collect_list(entry), rest))).alias("summary"))
+    return made.select("metric", F.posexplode(settings.numeric_keys(F.col("summary"))).alias("position", "threshold")).withColumn("position", F.col("position") + 1)
 
 
 STOP = """aggregate(v, struct(cast(double('-inf') as double) AS best, -1 AS at, 0 AS wait, 0 AS i, -1 AS stop),

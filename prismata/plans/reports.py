@@ -74,10 +74,12 @@ def json_roundtrip(spark, d):
     return spark.read.schema("cutoff int, fold int, metric string, value double").json(path)
 
 
-@query(sql("SELECT * FROM (VALUES ('sp|P1|X_Y a', 'P1'), ('plain text', 'plain'), ('a||b', 'a||b'), ('x|y', 'y')) t(header, id)"))
+@query(sql("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'D' || doc_id WHEN 1 THEN 'D' || doc_id WHEN 2 THEN 'D||' || doc_id ELSE doc_id::VARCHAR END AS id FROM documents"))
 def header_ids(spark, d):
-    rows = spark.createDataFrame([("sp|P1|X_Y a",), ("plain text",), ("a||b",), ("x|y",)], "header string")
-    return rows.select("header", readers.header_id(F.col("header")).alias("id"))
+    """Headers of all usual forms, and their identifiers."""
+    kind, name = F.col("doc_id") % 4, F.concat(F.lit("D"), "doc_id")
+    header = F.when(kind == 0, F.concat(F.lit("sp|"), name, F.lit("|X_Y "), "lang")).when(kind == 1, F.concat_ws(" ", name, "lang", "source")).when(kind == 2, F.concat(F.lit("D||"), "doc_id", F.lit(" x"))).otherwise(F.concat(F.lit("x|"), "doc_id"))
+    return view(spark, d, "documents").select("doc_id", readers.header_id(header).alias("id"))
 
 
 @query(sql("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS next_url FROM pages"))

@@ -49,6 +49,21 @@ def episode_classes(spark, d):
     return episodes.pick_classes(members(spark, d), N, M, K, Q, SEED)
 
 
+MANY = {
+    "sz": "SELECT ec_full AS ec, count(DISTINCT accession) AS n FROM labels_long GROUP BY 1 HAVING count(DISTINCT accession) >= 2",
+    "cu": "SELECT ec, n, sum(w) OVER (ORDER BY ec ROWS UNBOUNDED PRECEDING)::BIGINT AS high, w FROM (SELECT *, greatest(round(1000000 / ln(1 + n))::BIGINT, 1) AS w FROM sz)",
+    "dr": f"SELECT episode, i, floor({uni(chr(39) + 'draw' + chr(39), 'episode', 'i')} * (SELECT max(high) FROM cu))::BIGINT AS x FROM (SELECT unnest(range(50)) AS episode), (SELECT unnest(range(400)) AS i)",
+    "fi": "SELECT episode, ec, n, min(i) AS i FROM dr JOIN cu ON x >= high - w AND x < high GROUP BY 1, 2, 3",
+}
+
+
+@query(sql("SELECT episode, ec, (row_number() OVER (PARTITION BY episode ORDER BY i) - 1)::INT AS slot, n FROM fi QUALIFY slot < 6", "labels_long", **MANY))
+def episode_classes_drawn(spark, d):
+    """Episodes among many classes: what is drawn by cumulative weights is all that is joined."""
+    rows = view(spark, d, "labels_long").select(F.col("ec_full").alias("ec"), "accession")
+    return episodes.pick_classes(rows, 50, 6, 2, 0, SEED)
+
+
 def drawn(most, source="ch", size="n"):
     """Places drawn by Floyd's sampling, and their seeded order, in SQL."""
     steps = f"list_transform(range({size} - least({size}, {most}), {size}), lambda j: [floor({uni(chr(39) + 'place' + chr(39), 'episode', 'ec', 'j')} * (j + 1))::BIGINT, j])"
