@@ -75,7 +75,7 @@ def partial_counts(df: DataFrame, column: str = "ec") -> DataFrame:
 
 def pivot_counts(df: DataFrame, rows: str, columns: str) -> DataFrame:
     """Counts of all pairs of row and column values, with zeros, in long form; wide(...) makes the matrix."""
-    axis = df.select(rows).distinct().crossJoin(F.broadcast(df.select(columns).distinct()))
+    axis = df.select(rows).distinct().crossJoin(df.select(columns).distinct())  # the table that is asked for has a cell for each pair
     seen = df.groupBy(rows, columns).agg(F.count("*").alias("n"))
     return axis.join(seen, [rows, columns], "left").select(rows, columns, F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -235,7 +235,7 @@ def decide(scores: DataFrame, tau, temperature: float = 1.0, shortlist: int = 0,
     out = scores.withColumn("prob", sigmoid(F.col("logit") / temperature)).withColumn("rank", F.row_number().over(best))
     limit: Column = F.lit(tau) if not isinstance(tau, Column) else tau
     if overrides is not None:
-        out = out.join(F.broadcast(overrides.select("ec", F.col("tau").alias("_tau"))), "ec", "left")  # a row per class at most
+        out = out.join(overrides.select("ec", F.col("tau").alias("_tau")), "ec", "left")
         limit = F.coalesce("_tau", limit)
     hit = F.col("prob") >= limit
     if shortlist > 0:

@@ -156,7 +156,7 @@ def cache_ttl(spark, d):
 @query(sql("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"))
 def streaming_usage(spark, d):
     rows = spark.readStream.schema(view(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").format("parquet").load(f"{d}/events.parquet*")
-    return counters.run_once(counters.usage(rows), f"usage_{uuid.uuid4().hex}", place(spark, "stream"))
+    return counters.run_once(counters.usage(rows), place(spark, "stream"), "start", "event_type")
 
 
 @query()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vec
-from ..operators import benchmark, calibrate, kmeans, scoring
+from ..operators import benchmark, calibrate, kmeans, labels, scoring
 from ..session import shared_dir, written
 from ..sources import readers, writers
 from ..sources.fixtures import sql, view
@@ -286,11 +286,9 @@ def eval_tuned_thresholds(spark, d):
 
 @query(sql("SELECT ec, (sum(n) OVER (ORDER BY ec ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS start, n::BIGINT AS n FROM (SELECT ec, max(n) AS n FROM m GROUP BY 1)", *V, **PROTO))
 def ragged_offsets(spark, d):
-    """Where each class's rows start when all are laid one after the other; a row per class is summed."""
-    from pyspark.sql import Window
-
+    """Where each class's rows start when all are laid one after the other."""
     n = train(spark, d).groupBy("ec").agg(F.count("*").alias("n"))
-    return n.select("ec", (F.sum("n").over(Window.orderBy("ec").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"), "n")
+    return labels.ranged(n, "ec", F.col("n"), "start", False)
 
 
 @query(sql("SELECT accession, round(sqrt(list_sum(list_transform(v, lambda z: z * z))), 6) AS norm, round(v[1], 6) AS head FROM u", *V, **PROTO))

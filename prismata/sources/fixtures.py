@@ -6,6 +6,8 @@ by `dialect`. Views may use tables and views that stand before them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -60,11 +62,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     tables = [t for t in TABLES if any(f" {t} " in f"{VIEWS[v]} ".replace("\n", " ") or VIEWS[v].rstrip().endswith(f" {t}") for v in needed([name]))]
-    # Spark fills in {table} with the DataFrame itself; view names are common table expressions.
+    # Spark fills in {table} with the DataFrame itself, so that no view of the caller's is touched; view names are common table expressions.
     ctes = ", ".join(f"{v} AS ({VIEWS[v].format(**SPARK)})" for v in needed([name]))
-    for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"WITH {ctes} SELECT * FROM {name}")
+    ctes = re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", r"\1 {\2}", ctes)
+    return spark.sql(f"WITH {ctes} SELECT * FROM {name}", **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
 def sql(body: str, *views: str, **ctes: str) -> str:

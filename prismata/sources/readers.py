@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import first_filled
+from ..operators.labels import ranged
 
 
 def tsv(spark: SparkSession, path: str, columns: str | None = None) -> DataFrame:
@@ -77,9 +78,8 @@ def bank(spark: SparkSession, path: str) -> DataFrame:
 
 def ragged(flat: DataFrame, counts: DataFrame) -> DataFrame:
     """ec, proto_id, vec from rows that are laid one after the other (at, vec) and how many each class has (ec, n; in order of ec).
-    Classes without rows are left out. A row per class is summed."""
-    end = F.sum("n").over(Window.orderBy("ec").rowsBetween(Window.unboundedPreceding, 0))
-    own = counts.where("n > 0").withColumn("end", end).select("ec", F.posexplode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("proto_id", "at"))
+    Classes without rows are left out."""
+    own = ranged(counts.where("n > 0"), "ec", F.col("n"), "end", True).select("ec", F.posexplode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("proto_id", "at"))
     return own.join(flat, "at").select("ec", "proto_id", "vec")
 
 
