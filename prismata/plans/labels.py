@@ -355,12 +355,30 @@ def doc_folds(spark, d, n=3):
     return clusters, written(splits.assign_folds(splits.cluster_labels(clusters, doc_labels(spark, d)), n), "folds")
 
 
-@query()
+#: Folds in SQL: clusters in order, each going where it costs least, as steps of a recursion that carries the folds' counts.
+FOLDS = COMPONENTS | {
+    "hist": "SELECT cluster_id, lang AS label, count(*) AS n FROM cl JOIN documents ON doc_id = node GROUP BY 1, 2",
+    "tg": "SELECT list(t ORDER BY label) AS t, list(label ORDER BY label) AS l, sum(t) AS goal FROM (SELECT label, sum(n) / 3.0::DOUBLE AS t FROM hist GROUP BY 1)",
+    "cv": "SELECT c.cluster_id, list(coalesce(n, 0)::DOUBLE ORDER BY c.label) AS v, sum(n)::DOUBLE AS size FROM (SELECT cluster_id, label FROM (SELECT DISTINCT cluster_id FROM hist), (SELECT DISTINCT label FROM hist)) c LEFT JOIN hist USING (cluster_id, label) GROUP BY 1",
+    "o": "SELECT *, row_number() OVER (ORDER BY size DESC, cluster_id) - 1 AS i FROM cv",
+    "st": "SELECT -1::BIGINT AS i, NULL::BIGINT AS cluster_id, NULL::INT AS fold, list_transform([1, 2, 3], lambda f: list_transform(l, lambda x: 0.0::DOUBLE)) AS h, [0.0, 0.0, 0.0]::DOUBLE[] AS s FROM tg"
+    " UNION ALL SELECT i, cluster_id, p - 1, list_transform([1, 2, 3], lambda f: CASE WHEN f = p THEN list_transform(list_zip(h[f], v), lambda z: z[1] + z[2]) ELSE h[f] END), list_transform([1, 2, 3], lambda f: s[f] + CASE WHEN f = p THEN size ELSE 0 END)"
+    " FROM (SELECT o.i, o.cluster_id, o.v, o.size, st.h, st.s, CASE WHEN o.i < 3 THEN (o.i + 1)::INT ELSE list_sort(list_transform([1, 2, 3], lambda f: {'c': round(list_sum(list_transform(list_zip(st.h[f], o.v, tg.t), lambda z: CASE WHEN z[1] > 0 OR z[2] > 0 THEN (z[1] + z[2] - z[3]) * (z[1] + z[2] - z[3]) ELSE 0 END))"
+    " + (st.s[f] + o.size - tg.goal) * (st.s[f] + o.size - tg.goal), 6), 's': st.s[f], 'f': f}))[1].f::INT END AS p FROM st JOIN o ON o.i = st.i + 1, tg)",
+}
+PLACED = FOLDS | {
+    "pl": "SELECT doc_id AS accession, concat_ws('.', lang, source) AS ec, fold FROM documents JOIN cl ON node = doc_id JOIN st ON st.cluster_id = cl.cluster_id",
+    "rs": "SELECT f, ec, accession FROM pl, (SELECT unnest([0, 1, 2]) AS f) WHERE fold <> f",
+    "ks": f"SELECT f, ec, row_number() OVER (PARTITION BY f ORDER BY {turn('ec')}, ec) - 1 AS i, count(*) OVER (PARTITION BY f) AS n FROM (SELECT f, ec FROM rs GROUP BY 1, 2 HAVING count(*) >= 3)",
+}
+
+
+@query(sql("SELECT cluster_id, fold FROM st WHERE i >= 0", **FOLDS))
 def fold_assignment(spark, d):
     return doc_folds(spark, d)[1]
 
 
-@query()
+@query(sql("SELECT f::INT AS fold, CASE WHEN i < CASE WHEN n < 2 THEN 0 ELSE greatest(1, round_even(0.1 * n, 0)) END THEN 'val' ELSE 'train' END AS split, ec, accession FROM rs JOIN ks USING (f, ec) UNION ALL SELECT fold, 'test', ec, accession FROM pl", **PLACED))
 def fold_splits(spark, d):
     clusters, folds = doc_folds(spark, d)
     m = view(spark, d, "documents").select(F.col("doc_id").alias("accession"), F.concat_ws(".", "lang", "source").alias("ec"))
@@ -368,7 +386,13 @@ def fold_splits(spark, d):
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query()
+@query(
+    sql(
+        "SELECT fold, count(*) AS n_clusters_test, sum(k)::BIGINT AS n_seqs_test, (sum(count(*)) OVER () - count(*))::BIGINT AS n_clusters_train, (sum(sum(k)) OVER () - sum(k))::BIGINT AS n_seqs_train"
+        " FROM (SELECT cluster_id, count(*) AS k FROM cl GROUP BY 1) JOIN st USING (cluster_id) GROUP BY 1",
+        **FOLDS,
+    )
+)
 def fold_counts(spark, d):
     clusters, folds = doc_folds(spark, d)
     return splits.fold_counts(clusters, folds, 3)
