@@ -257,16 +257,22 @@ def top_up_input(spark, d):
     return own, pool, own.groupBy("ec").agg(F.count_distinct("accession").alias("n"))
 
 
-@query()
-def topup_selection(spark, d):
-    own, pool, counts = top_up_input(spark, d)
-    return splits.top_up(counts, pool, own.select("accession"), target=20, cap=5)
-
-
 TOP_UP = {
     "a": "SELECT l.accession, l.ec_full AS ec, e.source FROM labels_long l JOIN entries e USING (accession)",
     "c": "SELECT ec, count(DISTINCT accession) AS n FROM a WHERE source = 'SwissProt' GROUP BY 1",
 }
+#: Classes choose in turn, as steps of a recursion that carries what is taken.
+CHOICES = TOP_UP | {
+    "cand": "SELECT c.ec, least(20 - any_value(n), 5) AS need, list(DISTINCT accession ORDER BY accession) AS v, row_number() OVER (ORDER BY any_value(n), c.ec) AS i FROM c JOIN a ON a.ec = c.ec AND a.source = 'TrEMBL' WHERE n < 20 AND accession NOT IN (SELECT accession FROM a WHERE source = 'SwissProt') GROUP BY c.ec",
+    "st": "SELECT 0::BIGINT AS i, NULL::VARCHAR AS ec, []::VARCHAR[] AS mine, []::VARCHAR[] AS taken"
+    " UNION ALL SELECT i, ec, m, list_concat(taken, m) FROM (SELECT cand.i, cand.ec, st.taken, list_slice(list_filter(cand.v, lambda x: NOT list_contains(st.taken, x)), 1, cand.need) AS m FROM st JOIN cand ON cand.i = st.i + 1)",
+}
+
+
+@query(sql("SELECT ec, unnest(mine) AS accession FROM st", "labels_long", "entries", **CHOICES))
+def topup_selection(spark, d):
+    own, pool, counts = top_up_input(spark, d)
+    return splits.top_up(counts, pool, own.select("accession"), target=20, cap=5)
 
 
 @query(sql("SELECT count(*) AS classes, count(*) FILTER (n < 20) AS below, coalesce(sum(greatest(20 - n, 0)), 0)::BIGINT AS missing FROM c", "labels_long", "entries", **TOP_UP))
@@ -337,7 +343,17 @@ def cluster_histogram(spark, d):
     return splits.cluster_labels(doc_clusters(spark, d), doc_labels(spark, d))
 
 
-@query()
+#: Classes of equal shingles in order, each a representative or with the first one that it is similar to, as steps of a recursion.
+GREEDY = SHINGLES | {
+    "ce": "SELECT src, dst FROM p JOIN eq x ON x.doc_id = src JOIN eq y ON y.doc_id = dst WHERE c >= 0.5 * (x.n + y.n - c)",
+    "nb": "SELECT a, list(b) AS near FROM (SELECT src AS a, dst AS b FROM ce UNION ALL SELECT dst, src FROM ce) GROUP BY 1",
+    "ord": "SELECT class, coalesce(near, []) AS near, row_number() OVER (ORDER BY n DESC, class) AS i FROM (SELECT class, n FROM eq WHERE doc_id = class) LEFT JOIN nb ON a = class",
+    "st": "SELECT 0::BIGINT AS i, NULL::BIGINT AS class, NULL::BIGINT AS rep, []::BIGINT[] AS reps"
+    " UNION ALL SELECT i, class, coalesce(r, class), CASE WHEN r IS NULL THEN list_append(reps, class) ELSE reps END FROM (SELECT ord.i, ord.class, st.reps, list_filter(st.reps, lambda y: list_contains(ord.near, y))[1] AS r FROM st JOIN ord ON ord.i = st.i + 1)",
+}
+
+
+@query(sql("SELECT DISTINCT d.doc_id, coalesce(rep, d.doc_id) AS representative FROM documents d LEFT JOIN eq ON eq.doc_id = d.doc_id LEFT JOIN st ON st.class = eq.class", **GREEDY))
 def identity_representatives(spark, d):
     """Greedy clusters of documents: the longest first, each with those that are similar to it and to no earlier representative."""
     return splits.shingle_representatives(view(spark, d, "documents"), 0.5)
