@@ -100,9 +100,9 @@ def identity_folds(spark: SparkSession, path: str, clusters: DataFrame, members:
     kind = clusters.schema["cluster_id"].dataType.simpleString()
     found = load_folds(spark, path, wanted, kind)
     if found is None:
-        labels = members.select(F.col("accession").alias("node"), splits.stratum(F.col("ec"), config["stratify"]).alias("label"))
+        labels = members.select(F.col("accession").alias("node"), splits.stratum(F.col("ec"), config["stratify"]).alias("label")).distinct()  # an entry counts once for each label
         histogram = written(splits.cluster_labels(clusters, labels), "cluster-labels")
-        save_folds(written(splits.assign_folds(histogram, config["folds"]), "folds"), histogram, path, {**config, **wanted})
+        save_folds(written(splits.assign_folds(histogram, config["folds"], clusters.groupBy("cluster_id").agg(F.count("*").alias("size"))), "folds"), histogram, path, {**config, **wanted})
         found = load_folds(spark, path, wanted, kind)
     return found
 

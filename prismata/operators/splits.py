@@ -225,8 +225,8 @@ def cluster_labels(clusters: DataFrame, labels: DataFrame) -> DataFrame:
     return clusters.join(labels, "node").groupBy("cluster_id", "label").agg(F.count("*").alias("n"))
 
 
-def assign_folds(histogram: DataFrame, folds: int) -> DataFrame:
-    """cluster_id, fold: clusters in order of size (largest first, then id). The first ones open the folds; each other
+def assign_folds(histogram: DataFrame, folds: int, sizes: DataFrame | None = None) -> DataFrame:
+    """cluster_id, fold: clusters (histogram: cluster_id, label, n; sizes: cluster_id, size, else the sum of the label counts) in order of size (largest first, then id). The first ones open the folds; each other
     one goes where the squared distance of label counts and size from their targets is least (then the smaller fold,
     then the lower number); labels that neither fold nor cluster has cost nothing.
 
@@ -236,17 +236,21 @@ def assign_folds(histogram: DataFrame, folds: int) -> DataFrame:
     total = {r.label: r.n for r in histogram.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a row per label
     target = {k: n / folds for k, n in total.items()}
     rows = histogram.groupBy("cluster_id").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"))
+    everything = sum(total.values())
+    if sizes is not None:
+        rows = sizes.select("cluster_id", "size").join(rows.drop("size"), "cluster_id", "left").select("cluster_id", "size", "counts")
+        everything = sizes.agg(F.sum("size")).first()[0] or 0
 
     def run(batches):
         import pandas as pd
 
         have = [dict() for _ in range(folds)]
-        sizes, goal, seen = [0] * folds, sum(total.values()) / folds, 0
+        held, goal, seen = [0] * folds, everything / folds, 0
         base = [0.0] * folds  # each fold's squared distances for the labels that it has
         for batch in batches:
             out = []
             for size, counts in zip(batch["size"], batch["counts"]):
-                counts = dict(counts)
+                counts = dict(counts or ())
 
                 def change(f, counts=counts):
                     own = have[f]
@@ -255,10 +259,10 @@ def assign_folds(histogram: DataFrame, folds: int) -> DataFrame:
                 if seen < folds:
                     pick = seen
                 else:
-                    pick = min(range(folds), key=lambda f, size=size: (round(base[f] + change(f) + (sizes[f] + size - goal) ** 2, 6), sizes[f], f))
+                    pick = min(range(folds), key=lambda f, size=size: (round(base[f] + change(f) + (held[f] + size - goal) ** 2, 6), held[f], f))
                 base[pick] += change(pick)
                 seen += 1
-                sizes[pick] += size
+                held[pick] += size
                 for k, n in counts.items():
                     have[pick][k] = have[pick].get(k, 0) + n
                 out.append(pick)

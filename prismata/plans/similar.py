@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import graph, similar
-from ..session import written
+from ..operators import benchmark, graph, similar
+from ..session import shared_dir
 from ..sources.fixtures import sql, view
 from .registry import query
 
@@ -25,12 +27,20 @@ def vector_edges(spark, d):
 @query(sql("SELECT node, min(r) AS cluster_id FROM reach GROUP BY 1", "vectors", **NEAR))
 def vector_components(spark, d):
     """Clusters of vectors, by as many links as connect them; cells are small here, so that some are left out by their angles."""
+    return clusters(view(spark, d, "vectors"), T, cells=8)
+
+
+def clusters(vectors, t, **how):
+    links = similar.vector_edges(vectors, t, spanning=True, **how)
+    return graph.clusters(vectors.select(F.col("accession").alias("node")), links)
+
+
+@query()
+def identity_benchmark(spark, d):
+    """The benchmark over folds of similar vectors: prototypes, calibration and scores for each fold, from stored folds and records."""
     v = view(spark, d, "vectors")
-    ids = written(v.select("accession", F.monotonically_increasing_id().alias("id")), "vector-ids")
-    found = similar.vector_edges(v, T, cells=8, spanning=True)
-    a, b = (ids.select(F.col("accession").alias(x), F.col("id").alias(f"{x}_id")) for x in ("src", "dst"))
-    roots = written(graph.components(found.join(a, "src").join(b, "dst").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))), "roots")
-    named = ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("accession", F.coalesce("root", "id").alias("root"))
-    named = written(named, "rooted")
-    least = written(named.groupBy("root").agg(F.min("accession").alias("cluster_id")), "least")
-    return named.join(least, "root").select(F.col("accession").alias("node"), "cluster_id")
+    members = view(spark, d, "vec_labels").select("ec", "accession").distinct()
+    config = {"cutoffs": [100 * T], "folds": 2, "temperature": 0.1, "stratify": "full", "taus": [0.5, 0.6, 0.7, 0.8, 0.9], "per_class": {"mode": "max_f1", "shrink": 5.0}}
+    found = benchmark.identity_benchmark(spark, f"{shared_dir(spark)}/identity-benchmark-{uuid.uuid4().hex}", v, members, lambda t: clusters(v, t), config)
+    value = lambda name: F.round(F.col("metrics")[name], 4).alias(name)
+    return found.select("cutoff", "fold", F.col("label_stats.entities").alias("entities"), *map(value, ("tau_multi", "micro_f1", "macro_f1", "acc_top1_hit", "coverage")))
