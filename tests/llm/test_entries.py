@@ -115,5 +115,22 @@ def test_op10(spark, tables, name):
         assert (r.n_lines, r.n_removed, r.n_runs, r.kept_sha256) == (n, lost, int(kept != t), sha(kept))
 
 
+def test_op12(spark, tables):
+    from tests.llm.test_vectors_phrases_audit import brute_collocations
+
+    want = brute_collocations([(t.decode(), "en" if i % 2 else None) for i, t in [*tables[1].items(), (11, tables[1][11])]], 30, 2000)
+    assert sorted(map(tuple, queries.QUERIES["op12_phrases"](spark, tables[0]).collect())) == want
+    assert queries.QUERIES["op12_phrases"](spark, f"{tables[0]}/none").count() == 0
+
+
+def test_op13(spark, tables):
+    from tests.llm.test_vectors_phrases_audit import brute_audit
+
+    rows = [(i, t.decode(), "en" if i % 2 else None) for i, t in [*tables[1].items(), (11, tables[1][11])]]
+    want = brute_audit(rows, {i for i in tables[1] if i % 2}, set())
+    assert sorted(map(tuple, queries.QUERIES["op13_filter_audit"](spark, tables[0]).collect())) == want
+    assert queries.QUERIES["op13_filter_audit"](spark, f"{tables[0]}/none").count() == 0
+
+
 def test_base32():
     assert base64.b32encode(hashlib.sha1(b"").digest()).decode() == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
