@@ -94,7 +94,8 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW, long_words: int | None = N
     taken = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
     found = written(repeats(docs, width, long_words), "line-runs")
     runs, cut = fresh(docs, "runs_found", "cut_lines")
-    out = matched_rows(quoted(docs, taken), found.withColumnRenamed("runs", runs), "left", runs)
+    # Runs grow with the corpus, so the plan is that of a large one at any size: rows meet by hash, and texts are not sorted.
+    out = matched_rows(quoted(docs, taken), found.withColumnRenamed("runs", runs).hint("shuffle_hash"), "left", runs)
     # Split in a column of its own: within the lambda below it would be split for each run.
     out = out.withColumn(cut, F.expr(f"if({runs} is null, null, split(text, '\\n'))"))
     lost = F.expr(f"coalesce(aggregate(sequence(0, size({runs}) - 1), 0L, (s, i) -> s + if(i % 2 = 0, 1 - {runs}[i], {runs}[i])), 0L)")
