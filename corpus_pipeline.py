@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over the documents table, each written and read again."""
+"""The corpus pipeline: five stages over the documents table, each written and read again.
+
+Null, empty and blank texts have no letters, so the first stage drops them; the later ones take them as empty. Nulls in other columns are kept, and
+columns that documents has besides its own pass through whatever they are called. Rows of different texts that share a
+doc_id, or have none, are documents of their own; rows that repeat doc_id and text go or stay together. Ties are broken by the text's
+hash. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
