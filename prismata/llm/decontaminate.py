@@ -29,12 +29,16 @@ WINDOW = 13
 #: Words of a span that holds all words of a window in any order, for a proximity match.
 NEAR = 26
 SHARD_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
+#: Shards of a Parquet row group, which is what writers and readers hold at a time; windows and candidates that a search looks at together.
+GROUP, WINDOWS, CANDIDATES = 2, 1 << 15, 1 << 18
 #: Bytes that are part of words after lower-casing A-Z; all others separate words.
 WORD_BYTES = bytes(b for b in range(256) if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 TO_WORDS = bytes(b if b in WORD_BYTES else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
-#: shard: the first 31 bits are the task that made it; row i of the shard is document shard << 24 | i of the index.
-INDEX = "shard bigint, ids array<bigint>, owns array<bigint>, first array<int>, n_words array<int>, terms array<bigint>, starts array<int>, positions array<int>"
+#: shard: the first 31 bits are the task that made it; row i of the shard is document shard << 24 | i of the index. terms are packed hashes of 8 bytes, starts
+#: and positions packed numbers of 4: as arrays they would take many times the room in the JVM.
+INDEX = "shard bigint, ids array<bigint>, owns array<bigint>, first array<int>, n_words array<int>, terms binary, starts binary, positions binary"
+SEARCHED = ["shard", "first", "n_words", "terms", "starts", "positions"]
 MATCHES = "row bigint, items array<bigint>, spans array<int>"
 
 
@@ -116,8 +120,9 @@ def build_index(docs: DataFrame) -> DataFrame:
                 by = np.argsort(rank[term], kind="stable")
                 starts = np.cumsum(np.bincount(term, minlength=len(number))[order]) if len(number) else np.zeros(0, np.int64)
                 starts = np.append(0, starts)[:-1] if len(number) else starts
-                row = ((shard, pa.int64()), (part.column("doc_id").cast(pa.int64()).to_pylist(), longs), (part.column("own").to_pylist(), longs), (first, ints), (count, ints), (hashes[order].view(np.int64), longs), (starts, ints), (at[by], ints))
-                yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, (int, list)) else x.astype(np.int64 if t == longs else np.int32)], t) for x, t in row], names=["shard", "ids", "owns", "first", "n_words", "terms", "starts", "positions"])
+                arrays = [[shard], [part.column("doc_id").cast(pa.int64()).to_pylist()], [part.column("own").to_pylist()], [first.astype(np.int32)], [count.astype(np.int32)]]
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in (hashes[order], starts.astype(np.int32), at[by].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays, (pa.int64(), longs, longs, ints, ints)), *packed], names=["shard", "ids", "owns", "first", "n_words", "terms", "starts", "positions"])
                 shard += 1
 
     return keyed(docs).mapInArrow(run, INDEX)
@@ -130,11 +135,12 @@ class Shard:
         import numpy as np
 
         take = lambda name: row.column(name)[i].values.to_numpy(zero_copy_only=False)
+        packed = lambda name, kind: np.frombuffer(row.column(name)[i].as_buffer(), kind)
         self.shard = row.column("shard")[i].as_py()
         self.first, self.n_words = take("first").astype(np.int64), take("n_words").astype(np.int64)
         self.size = int(self.first[-1] + self.n_words[-1] + 1) if len(self.first) else 0
-        terms, positions = take("terms").view(np.uint64), take("positions")
-        starts = np.append(take("starts"), len(positions)).astype(np.int64)
+        terms, positions = packed("terms", np.uint64), packed("positions", np.int32)
+        starts = np.append(packed("starts", np.int32), len(positions)).astype(np.int64)
         at = np.minimum(np.searchsorted(terms, hashes), max(0, len(terms) - 1))
         there = terms[at] == hashes if len(terms) else np.zeros(len(hashes), bool)
         self.count = np.where(there, starts[at + 1] - starts[at], 0) if len(terms) else np.zeros(len(hashes), np.int64)
@@ -143,28 +149,33 @@ class Shard:
         self.positions = positions[np.repeat(starts[at] if len(terms) else self.place, self.count) + inner].astype(np.int64)
         self.keys = np.repeat(np.arange(len(hashes)), self.count) * self.size + self.positions
 
-    def rarest(self, terms):
-        """(window, offset): the windows whose terms all stand here, and their offsets from the rarest term on; and their candidates
-        as (row of these, position) of each posting of the rarest."""
+    def rarest(self, terms, windows: int = WINDOWS, candidates: int = CANDIDATES):
+        """Pieces of the windows whose terms all stand here: their numbers, their offsets from the rarest term on, and their candidates
+        as (row of these, position) of each posting of the rarest. A piece has at most `windows` windows, and `candidates` candidates or one window's."""
         import numpy as np
 
-        if not len(terms):
-            return np.zeros(0, np.int64), terms, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        often = np.where(terms < 0, np.iinfo(np.int64).max, self.count[np.maximum(terms, 0)])
-        live = np.flatnonzero(often.min(axis=1) > 0)
-        order = np.argsort(often[live], axis=1, kind="stable")
-        lead = terms[live, order[:, 0]]
-        row = np.repeat(np.arange(len(live)), self.count[lead])
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(self.count[lead]) - self.count[lead], self.count[lead])
-        return live, order, row, self.positions[self.place[lead[row]] + inner]
+        for a in range(0, len(terms), windows):
+            part = terms[a : a + windows]
+            often = np.where(part < 0, np.iinfo(np.int64).max, self.count[np.maximum(part, 0)])
+            live = np.flatnonzero(often.min(axis=1) > 0)
+            order = np.argsort(often[live], axis=1, kind="stable")
+            lead = part[live, order[:, 0]]
+            total = np.cumsum(self.count[lead])
+            low = 0
+            while low < len(live):
+                high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + candidates, "right")))
+                size = self.count[lead[low:high]]
+                row = np.repeat(np.arange(high - low), size)
+                inner = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                yield live[low:high] + a, order[low:high], row, self.positions[self.place[lead[low:high]][row] + inner]
+                low = high
 
     def phrases(self, phrases: Phrases):
         """(window, start) of every exact occurrence."""
         import numpy as np
 
-        terms = phrases.terms
-        live, order, row, start = self.rarest(terms)
-        if len(row):
+        terms, windows, starts = phrases.terms, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for live, order, row, start in self.rarest(terms):
             start = start - order[row, 0]
             for k in range(1, terms.shape[1]):
                 offset = order[row, k]
@@ -174,33 +185,32 @@ class Shard:
                 found = (self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key) & (at >= 0) & (at < self.size)
                 keep = (term < 0) | found
                 row, start = row[keep], start[keep]
-        return live[row], start
+            windows.append(live[row])
+            starts.append(start)
+        return np.concatenate(windows), np.concatenate(starts)
 
     def near(self, phrases: Phrases, width: int):
         """(window, document) where a span of at most `width` words of the document holds all terms of the window, in any order."""
         import numpy as np
 
-        terms = phrases.terms
-        live, order, row, at = self.rarest(terms)
-        if not len(row):
-            return live, live
-        doc = np.searchsorted(self.first, at, "right") - 1
-        low, high = np.maximum(at - width + 1, self.first[doc]), np.minimum(at + width, self.first[doc] + self.n_words[doc])
-        for k in range(1, terms.shape[1]):  # all other terms must have a posting within reach
-            term = terms[live[row], order[row, k]].astype(np.int64)
-            base = np.maximum(term, 0) * self.size
-            keep = (term < 0) | (np.searchsorted(self.keys, base + low) < np.searchsorted(self.keys, base + high))
-            row, at, doc, low, high = row[keep], at[keep], doc[keep], low[keep], high[keep]
-        found = []
-        for r, d, a, b in zip(row.tolist(), doc.tolist(), low.tolist(), high.tolist()):
-            own = [int(t) for t in set(terms[live[r]].tolist()) if t >= 0]
-            post = [self.positions[self.place[t] : self.place[t] + self.count[t]] for t in own]
-            post = [x[np.searchsorted(x, a) : np.searchsorted(x, b)] for x in post]
-            start = np.concatenate(post)  # a shortest span starts at a posting
-            last = np.max([np.append(x, 1 << 40)[np.searchsorted(x, start)] for x in post], axis=0)
-            if (last < start + width).any():
-                found.append((int(live[r]), d))
-        return tuple(np.array(x, np.int64) for x in zip(*sorted(set(found)))) if found else (live[:0], live[:0])
+        terms, found = phrases.terms, set()
+        for live, order, row, at in self.rarest(terms):
+            doc = np.searchsorted(self.first, at, "right") - 1
+            low, high = np.maximum(at - width + 1, self.first[doc]), np.minimum(at + width, self.first[doc] + self.n_words[doc])
+            for k in range(1, terms.shape[1]):  # all other terms must have a posting within reach
+                term = terms[live[row], order[row, k]].astype(np.int64)
+                base = np.maximum(term, 0) * self.size
+                keep = (term < 0) | (np.searchsorted(self.keys, base + low) < np.searchsorted(self.keys, base + high))
+                row, at, doc, low, high = row[keep], at[keep], doc[keep], low[keep], high[keep]
+            for r, d, a, b in zip(row.tolist(), doc.tolist(), low.tolist(), high.tolist()):
+                own = [int(t) for t in set(terms[live[r]].tolist()) if t >= 0]
+                post = [self.positions[self.place[t] : self.place[t] + self.count[t]] for t in own]
+                post = [x[np.searchsorted(x, a) : np.searchsorted(x, b)] for x in post]
+                start = np.concatenate(post)  # a shortest span starts at a posting
+                last = np.max([np.append(x, 1 << 40)[np.searchsorted(x, start)] for x in post], axis=0)
+                if (last < start + width).any():
+                    found.add((int(live[r]), d))
+        return tuple(np.array(x, np.int64) for x in zip(*sorted(found))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _per_document(phrases: Phrases, window, doc) -> dict[int, set]:
@@ -241,7 +251,7 @@ def search(index: DataFrame, phrases_in) -> DataFrame:
                     names=["row", "items", "spans"],
                 )
 
-    return index.select(*[x.split()[0] for x in INDEX.split(", ") if x.split()[0] not in ("ids", "owns")]).mapInArrow(run, MATCHES)
+    return index.select(*SEARCHED).mapInArrow(run, MATCHES)
 
 
 def near_search(index: DataFrame, phrases_in, width: int = NEAR) -> DataFrame:
@@ -258,12 +268,12 @@ def near_search(index: DataFrame, phrases_in, width: int = NEAR) -> DataFrame:
                 docs = sorted(items)
                 yield pa.RecordBatch.from_arrays([pa.array([shard.shard << 24 | d for d in docs], pa.int64()), pa.array([sorted(items[d]) for d in docs], pa.list_(pa.int64()))], names=["row", "items"])
 
-    return index.select(*[x.split()[0] for x in INDEX.split(", ") if x.split()[0] not in ("ids", "owns")]).mapInArrow(run, "row bigint, items array<bigint>")
+    return index.select(*SEARCHED).mapInArrow(run, "row bigint, items array<bigint>")
 
 
 def indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The written index, and its documents (row, doc_id, own, n_words), one for each row of docs."""
-    index = written(build_index(docs), "postings")
+    index = written(build_index(docs), "postings", **{"parquet.block.row.count.limit": GROUP})
     rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "owns", "n_words")).alias("i", "d"))
     return index, rows.select((F.shiftleft("shard", 24) + F.col("i")).alias("row"), F.col("d.ids").alias("doc_id"), F.col("d.owns").alias("own"), F.col("d.n_words").cast("bigint").alias("n_words"))
 
