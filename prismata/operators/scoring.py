@@ -87,8 +87,8 @@ def cosines(queries: DataFrame, bank: DataFrame, block_bytes: int = BLOCK_BYTES)
     return out if out is not None else spark.createDataFrame([], "accession string, ec string, proto_id int, cos double")
 
 
-def bank_blocks(bank: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """Names, limits, first rows and the matrix of blocks of whole classes of the bank (ec, limit, vec), in order of ec."""
+def bank_blocks(bank: DataFrame, block_bytes: int = BLOCK_BYTES, whole: bool = True):
+    """Names, limits, first rows and the matrix of blocks of classes (`whole` ones, if so asked) of the bank (ec, limit, vec), in order of ec."""
     import numpy as np
 
     def packed():
@@ -97,7 +97,7 @@ def bank_blocks(bank: DataFrame, block_bytes: int = BLOCK_BYTES):
 
     block, size = [], 0
     for r in bank.select("ec", "limit", "vec").orderBy("ec").toLocalIterator():
-        if block and size > block_bytes and r.ec != block[-1].ec:
+        if block and size > block_bytes and not (whole and r.ec == block[-1].ec):
             yield packed()
             block, size = [], 0
         block.append(r)
@@ -210,6 +210,40 @@ def logits(cos: DataFrame) -> DataFrame:
     return top.select("accession", "ec", F.when(F.size("all") == 1, F.col("top")).otherwise(F.col("top") + F.ln(F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))).alias("logit"))
 
 
+def class_logits(queries: DataFrame, bank: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """What `logits` gives for `cosines`, from each class's sum of exp that an Arrow batch makes for its queries: a row for each query, class and block of the bank
+    is all that is shuffled, however many prototypes a class has. A class may go on from block to block. Cosines are 1 at most, so sums need no scaling."""
+    spark = bank.sparkSession
+    queries = projected(queries).select("accession", "vec")
+
+    def scored(block):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            ecs, first, matrix = sent.value
+            size = np.diff(np.append(first, len(matrix)))
+            step = max(1, 200_000 // len(matrix))
+            for batch in batches:
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    cos = np.array(part.column("vec").to_pylist(), float) @ matrix.T
+                    top, total = np.maximum.reduceat(cos, first, axis=1), np.add.reduceat(np.exp(cos), first, axis=1)
+                    who, which = np.repeat(np.arange(len(cos)), len(ecs)), np.tile(np.arange(len(ecs)), len(cos))
+                    columns = [part.column("accession").take(pa.array(who)), pa.array(ecs, pa.string()).take(pa.array(which)), pa.array(size[which]), pa.array(top.ravel()), pa.array(total.ravel())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["accession", "ec", "n", "top", "total"])
+
+        return queries.mapInArrow(run, "accession string, ec string, n bigint, top double, total double")
+
+    parts = [scored((ecs, first, matrix)) for ecs, _, first, matrix in bank_blocks(bank.select("ec", F.lit(0.0).alias("limit"), "vec"), block_bytes, whole=False)]
+    if not parts:
+        return spark.createDataFrame([], "accession string, ec string, logit double")
+    sums = functools.reduce(DataFrame.unionAll, parts).groupBy("accession", "ec").agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.sum("total").alias("total"))
+    return sums.select("accession", "ec", F.when(F.col("n") == 1, F.col("top")).otherwise(F.ln("total")).alias("logit"))
+
+
 def answerable(queries: DataFrame, truth: DataFrame, vectors: DataFrame, bank: DataFrame) -> DataFrame:
     """accession, has_vector, n_labels (known to the bank) of each query."""
     known = truth.join(bank.select("ec").distinct(), "ec", "left_semi").groupBy("accession").agg(F.count_distinct("ec").alias("n"))

@@ -39,7 +39,7 @@ def bank(spark, d):
 
 
 def scores(spark, d):
-    return scoring.logits(scoring.cosines(view(spark, d, "vectors").where("split = 'test'"), bank(spark, d)))
+    return scoring.class_logits(view(spark, d, "vectors").where("split = 'test'"), bank(spark, d))
 
 
 def decided(spark, d, tau=0.85, shortlist=0, overrides=None, own=None):
@@ -107,7 +107,7 @@ def logits(spark, d):
 def logsumexp_logits(spark, d):
     v = view(spark, d, "vectors")
     many = scoring.projected(v.where("split = 'val'")).select(F.concat(F.lit("L"), F.col("label") % 5).alias("ec"), F.col("vec_id").cast("int").alias("proto_id"), "vec")
-    return scoring.logits(scoring.cosines(v.where("split = 'test'"), many)).withColumn("logit", F.round("logit", 6))
+    return scoring.class_logits(v.where("split = 'test'"), many).withColumn("logit", F.round("logit", 6))
 
 
 @query(sql(f"SELECT {MICRO}, {MACRO} FROM c", *V, **PROTO, d=hits(), **CLASSES))
