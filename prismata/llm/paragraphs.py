@@ -4,6 +4,7 @@ Passages repeat inside lines and across them, so paragraphs are cut by content:
 document's first word and at each word where the hash of three words is less than those of the SPREAD words
 before it and not more than those of the SPREAD words after it. Equal passages have equal paragraphs, wherever they
 stand; two paragraphs of one document start more than SPREAD words apart, so they overlap but are never similar by that.
+Such starts leave gaps. The query leaves none: paragraphs fill them (`covered`), and `windows` compares every window for equality.
 
 1. Mappers make each paragraph's digest and the keys of its MinHash bands from whole texts, and send packed
    records (key, digest, place) to the key's bucket; of equal paragraphs of a batch only the first is sent.
@@ -111,8 +112,25 @@ def shingled(word, width: int = WORDS):
     return mixed(h)
 
 
-def starts(word, count):
-    """The words at which paragraphs start."""
+def covered(at, count):
+    """Starts `at` with more of them, so that each word of a text of LENGTH words is in a paragraph. A text's last paragraph ends with it, in the place of one
+    that starts up to SPREAD words before; between starts over LENGTH words apart others are spread evenly. As starts stay at least
+    SPREAD words apart, texts of up to LENGTH + SPREAD words have one paragraph, from their first word on."""
+    import numpy as np
+
+    first = np.cumsum(count) - count
+    some = count > LENGTH + SPREAD
+    last, text = (first + count - LENGTH)[some], np.repeat(np.arange(len(count)), count)
+    end = np.where(some, first + count - LENGTH, len(text))[text[at]]  # of the start's text
+    at = np.union1d(at[at + SPREAD < end], last)
+    gap = np.where(text[at[1:]] == text[at[:-1]], at[1:] - at[:-1], 0) if len(at) else at
+    more = np.maximum(gap - 1, 0) // LENGTH
+    turn = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    return np.union1d(at, np.repeat(at[:-1], more) + np.repeat(gap, more) * turn // np.repeat(more + 1, more))
+
+
+def starts(word, count, every: bool = False):
+    """The words at which paragraphs start; with `every` as many more as leave no word out (see `covered`)."""
     import numpy as np
 
     first = np.cumsum(count) - count
@@ -123,7 +141,8 @@ def starts(word, count):
     wide = np.concatenate([np.full(SPREAD, np.iinfo(np.uint64).max), g, np.full(SPREAD, np.iinfo(np.uint64).max)])
     low = sliding(wide, SPREAD)
     chosen = (g < low[: len(g)]) & (g <= low[SPREAD + 1 : SPREAD + 1 + len(g)]) & (at - lead >= SPREAD) | (at == lead)
-    return np.flatnonzero(chosen & (at + LENGTH <= end))
+    found = np.flatnonzero(chosen & (at + LENGTH <= end))
+    return covered(found, count) if every else found
 
 
 def digests(word, at):
@@ -136,12 +155,12 @@ def digests(word, at):
     return mixed(pid)
 
 
-def paragraphs(texts: list[bytes], bands: int, rows: int):
+def paragraphs(texts: list[bytes], bands: int, rows: int, every: bool = False):
     """text number, first byte, bytes, digest and band keys of each paragraph of the texts."""
     import numpy as np
 
     word, start, end, count, base = hashed_words(texts)
-    at = starts(word, count)
+    at = starts(word, count, every)
     text = np.repeat(np.arange(len(texts)), count)
     if not len(at):
         z = np.zeros(0, np.int64)
@@ -180,8 +199,8 @@ def firsts(r):
     return first, late[apart], more
 
 
-def sent_records(docs: DataFrame, bands: int, rows: int, buckets: int) -> DataFrame:
-    """bucket, records, late: packed records for each bucket, and of each batch the paragraphs that repeat an earlier one of it."""
+def sent_records(docs: DataFrame, bands: int, rows: int, buckets: int, every: bool = False) -> DataFrame:
+    """bucket, records, late: packed records for each bucket, and of each batch the paragraphs that repeat an earlier one of it (none with `every`)."""
 
     def run(batches):
         import numpy as np
@@ -190,7 +209,7 @@ def sent_records(docs: DataFrame, bands: int, rows: int, buckets: int) -> DataFr
         for batch in batches:
             for part in pieces(batch.filter(batch.column("doc_id").is_valid()), "text", PART):
                 ids, owns = (part.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("doc_id", "own"))
-                text, start, n, pid, keys = paragraphs(as_bytes(part, "text"), bands, rows)
+                text, start, n, pid, keys = paragraphs(as_bytes(part, "text"), bands, rows, every)
                 whole = np.zeros(len(pid), RECORD)
                 whole["pid"], whole["doc"], whole["own"], whole["start"], whole["n"] = pid, ids[text], owns[text], start, n
                 one, late, more = firsts(whole)  # by digest alone: the key is 0
@@ -204,13 +223,13 @@ def sent_records(docs: DataFrame, bands: int, rows: int, buckets: int) -> DataFr
                 edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(r) else np.zeros(0, np.int64)
                 blobs = [r[a:b].tobytes() for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(r)])]
                 own = [*bucket[edge].tolist(), int(ids[0]) % buckets if len(ids) else 0]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([*blobs, b""], pa.binary()), pa.array([*[b""] * len(blobs), late.tobytes()], pa.binary())], names=["bucket", "records", "late"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([*blobs, b""], pa.binary()), pa.array([*[b""] * len(blobs), b"" if every else late.tobytes()], pa.binary())], names=["bucket", "records", "late"])
 
     return docs.mapInArrow(run, "bucket bigint, records binary, late binary")
 
 
-def classed(sent: DataFrame, buckets: int) -> DataFrame:
-    """pid, key, doc_id, own, start, n: paragraphs that stand more than once (key null), and the first of each class of a key that more classes share."""
+def classed(sent: DataFrame, buckets: int, every: bool = False) -> DataFrame:
+    """pid, key, doc_id, own, start, n: paragraphs that stand more than once (key null; none with `every`), and the first of each class of a key that more classes share."""
     spark = prepare(sent.sparkSession)
 
     def run(batches):
@@ -226,8 +245,9 @@ def classed(sent: DataFrame, buckets: int) -> DataFrame:
             first, late, more = firsts(np.frombuffer(b"".join(blobs), RECORD))
             if not len(first):
                 return
-            yield batch_of(late[late["key"] % np.uint64(BANDS) == 0], False)  # equal ones share all their keys
-            yield batch_of(first[more & (first["key"] % np.uint64(BANDS) == 0)], False)
+            if not every:
+                yield batch_of(late[late["key"] % np.uint64(BANDS) == 0], False)  # equal ones share all their keys
+                yield batch_of(first[more & (first["key"] % np.uint64(BANDS) == 0)], False)
             new = np.append(True, first["key"][1:] != first["key"][:-1])
             size = np.diff(np.append(np.flatnonzero(new), len(first)))
             yield batch_of(first[np.repeat(size, size) > 1], True)
@@ -348,7 +368,7 @@ def verified(members: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
 
 
-def repeated(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
+def repeated(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK, every: bool = False) -> DataFrame:
     """doc_id, own (see `own_key`), removed (runs of bytes: first, end, first, end, ...), kept_in (the documents where their components stay), for each
     row that loses paragraphs.
 
@@ -357,13 +377,18 @@ def repeated(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> D
     of smallest doc_id and place stays; all others go. Null and empty texts, and those of fewer than LENGTH words,
     have no paragraphs; rows without doc_id are left alone. Rows of different texts that share a doc_id are documents of
     their own, in the order of their hashes; rows that repeat a doc_id and its text count as one.
+
+    With `every` no position is left out: of equal windows of LENGTH words, wherever they start, all but the first go (`windows.repeated_windows`),
+    and the paragraphs that are compared for similarity hold every word of a text (but up to SPREAD last ones of a text of one paragraph).
     """
+    from .windows import repeated_windows
+
     docs = keyed(docs)
     spark = prepare(docs.sparkSession)
     bands, rows = tuned(similar)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size * bands // (100 * BUCKET))  # a paragraph starts every 100 bytes or so
-    found = written(classed(sent_records(docs, bands, rows, buckets), buckets), "paragraphs")
+    found = written(classed(sent_records(docs, bands, rows, buckets, every), buckets, every), "paragraphs")
     classes = written(found.groupBy("pid").agg(F.min(F.struct("doc_id", "own", "start", "n")).alias("first")), "classes")
     shared = found.where("key is not null").select("key", "pid").distinct()
     shared = written(shared, "shared-bands")
@@ -375,18 +400,21 @@ def repeated(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> D
     # Written first: a join with an aggregate of its own stage can't be split where many classes share a root.
     stays = written(named.groupBy("root").agg(F.min("first").alias("stays")), "stays")
     named = written(named.join(stays, "root").select("pid", "stays"), "named")
-    places = found.select("pid", "doc_id", "own", "start", "n").distinct()
+    # Equal paragraphs are among the windows, so that with `every` only the first of each class is left.
+    places = classes.select("pid", "first.doc_id", "first.own", "first.start", "first.n") if every else found.select("pid", "doc_id", "own", "start", "n").distinct()
     gone = places.join(named, "pid").where(F.struct("doc_id", "own", "start") != F.struct("stays.doc_id", "stays.own", "stays.start"))
     gone = written(gone.select("doc_id", "own", F.col("start").alias("top"), (F.col("start") + F.col("n")).alias("bottom"), F.col("stays.doc_id").alias("stays")), "removed-paragraphs")
+    if every:
+        gone = gone.unionByName(repeated_windows(docs))
     kept = gone.groupBy("doc_id", "own").agg(F.array_sort(F.collect_set("stays")).alias("kept_in"))
     return joined_runs(gone, "doc_id", "own", name="removed").join(kept, ["doc_id", "own"])
 
 
-def dedup_paragraphs(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def dedup_paragraphs(docs: DataFrame, similar: float = SIMILAR, every: bool = False) -> DataFrame:
     """docs, all columns kept, with the bytes that `repeated` names cut out of text. Runs begin and end with words, so
     no character is split; the white space around them stays."""
     (runs,) = fresh(docs, "removed_runs")
-    gone = written(repeated(docs, similar), "removed").withColumnRenamed("removed", runs)
+    gone = written(repeated(docs, similar, every=every), "removed").withColumnRenamed("removed", runs)
     joined = matched_rows(docs, gone, "left", runs)
     part = f"substring(cast(text as binary), if(j = 0, 0, {runs}[2 * j - 1]) + 1, if(2 * j = size({runs}), octet_length(text), get({runs}, 2 * j)) - if(j = 0, 0, {runs}[2 * j - 1]))"
     kept = f"if({runs} is null, text, array_join(transform(sequence(0, size({runs}) div 2), j -> cast({part} as string)), ''))"
@@ -394,9 +422,9 @@ def dedup_paragraphs(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_removed (bytes in removed runs), n_bytes, removed (the runs: first byte, end, ...), kept_in."""
+    """Per document: n_removed (bytes in removed runs), n_bytes, removed (the runs: first byte, end, ...), kept_in. Every window of LENGTH words is looked at."""
     docs = table(spark, sf_dir, "documents")
-    gone = written(repeated(docs), "removed")
+    gone = written(repeated(docs, every=True), "removed")
     lost = F.expr("coalesce(aggregate(removed, 0L, (s, x) -> x - s), 0L)")  # end - (first - (end - (first - ...)))
     ids = docs.select("doc_id", own_key().alias("own"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
     return ids.join(gone, ["doc_id", "own"], "left").select("doc_id", lost.alias("n_removed"), "n_bytes", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))
