@@ -5,9 +5,11 @@ learned by the logistic loss on the pair's feature differences, so that the bett
 higher. The cut between good and bad is a quantile of the labelled rows' scores, chosen for
 balanced accuracy; scores are mapped so that the cut is 0.5.
 
-Features are shares and ratios of whole texts, cut into bins at the sample's quantiles, and the shares of hashed words.
-The sample is bounded: about PER_CLASS labelled rows of each class, whose features (not texts) reach the driver, some
-5 kB a row.
+Features are shares and ratios of whole texts, cut into bins at their quantiles, and the shares of hashed words.
+
+All labelled rows teach. Their features are dealt to blocks of about BLOCK rows, of which each is one packed row. In an epoch every block learns on from the
+model as it is, by pairs in which each of its rows stands TURNS times or more, and the blocks' models are averaged. Quantiles, counts
+and the cut are of all rows as well. The driver gets bin edges, sums of weights and counts, but no row.
 """
 
 from __future__ import annotations
@@ -17,12 +19,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, prepare, quoted, received, sent, table
+from ..operators.quantiles import exact_quantiles
+from .common import as_bytes, own_key, pieces, prepare, quoted, received, sent, table, written
 from .langid import TO_WORDS, held_out
 
-#: Bound of the training sample: about so many labelled rows of each class.
-PER_CLASS = 4000
-PAIRS, EPOCHS, RATE, SHRINK, BINS = 60_000, 6, 0.2, 1e-4, 12
+#: Rows of a block on average, and the fewest of a class: rows of a class that has fewer go to more blocks than one.
+BLOCK, FEWEST = 8192, 32
+#: How often a row of the larger class of a block is in a pair, in an epoch, and the fewest pairs of all blocks.
+TURNS, PAIRS = 15, 60_000
+EPOCHS, RATE, SHRINK, BINS = 6, 0.2, 1e-4, 12
+#: Cuts that are compared at once.
+CUTS = 4097
+#: Weights are summed as whole numbers of this part, so that sums don't depend on their order.
+UNIT = 2.0**-48
 #: Buckets of hashed words (a power of two), and the texts that are looked at together.
 WORD_BUCKETS, TOGETHER = 1024, 500
 NAMES = ("length", "words", "word_size", "upper", "mark", "symbol", "digit", "distinct", "repeat", "top", "short", "line_size", "line_repeat", "sentence", "wide")
@@ -101,10 +110,11 @@ class Model:
 
 
 def featured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """docs' columns `keep`, the array of features, and the shares of words."""
+    """docs' columns `keep`, the array of features, and the buckets of words that aren't 0 with their shares, packed."""
     prepare(docs.sparkSession)
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
@@ -112,60 +122,180 @@ def featured(docs: DataFrame, keep: list[str]) -> DataFrame:
                 texts = as_bytes(part, "text")
                 for k in range(0, len(texts), TOGETHER):
                     own = texts[k : k + TOGETHER]
-                    shares = list(word_shares(own).astype("float32"))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c).slice(k, TOGETHER) for c in keep), pa.array([features(x) for x in own], pa.list_(pa.float64())), pa.array(shares, pa.list_(pa.float32()))], names=[*keep, "features", "shares"])
+                    shares = word_shares(own).astype(np.float32)
+                    at = [np.flatnonzero(x) for x in shares]
+                    packed = [pa.array([i.astype(np.uint16).tobytes() for i in at], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(shares, at)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).slice(k, TOGETHER) for c in keep), pa.array([features(x) for x in own], pa.list_(pa.float64())), *packed], names=[*keep, "features", "at", "share"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return quoted(docs, [*keep, "text"]).mapInArrow(run, f"{kinds}, features array<double>, shares array<float>")
+    return quoted(docs, [*keep, "text"]).mapInArrow(run, f"{kinds}, features array<double>, at binary, share binary")
+
+
+def dealt(rows: DataFrame, count: dict[int, int], blocks: int) -> DataFrame:
+    """block, and what its rows have: y (quality, and 2 more where another block has the row too), features, number of buckets, at, share; all packed."""
+    copies = {q: 1 if blocks == 1 else -(-FEWEST * blocks // n) for q, n in count.items()}
+    most = F.when(F.col("quality") == 1, F.lit(copies[1])).otherwise(F.lit(copies[0]))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), most - 1))).withColumn("block", F.pmod(F.xxhash64("doc_id", "own", "quality", "copy"), F.lit(blocks)).cast("bigint"))
+    rows = rows.select("block", "doc_id", "own", (F.col("quality") + F.when(F.col("copy") > 0, 2).otherwise(0)).cast("int").alias("y"), "copy", "features", "at", "share")
+    names = ["block", "y", "features", "n", "at", "share"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(block, held):
+            y, x, at, share = (np.concatenate(held[0]), np.concatenate(held[1]), *([b for part in held[i] for b in part] for i in (2, 3)))
+            blobs = [y.astype(np.int8).tobytes(), x.tobytes(), np.array([len(b) // 2 for b in at], np.int32).tobytes(), b"".join(at), b"".join(share)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=names)
+
+        own, held = None, None
+        for batch in batches:
+            block = batch.column("block").to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(block)]):
+                if block[a] != own:
+                    if held:
+                        yield out(own, held)
+                    own, held = int(block[a]), ([], [], [], [])
+                part = batch.slice(a, b - a)
+                values = part.column("y").to_numpy(zero_copy_only=False), part.column("features").flatten().to_numpy(zero_copy_only=False), part.column("at").to_pylist(), part.column("share").to_pylist()
+                for column, value in zip(held, values):
+                    column.append(value)
+        if held:
+            yield out(own, held)
+
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    met = rows.repartition(tasks, "block").sortWithinPartitions("block", "doc_id", "own", "y", "copy")
+    return met.mapInArrow(run, "block bigint, " + ", ".join(f"{c} binary" for c in names[1:]))
+
+
+def unpacked(y, x, n, at, share):
+    """y, features and shares of a block's rows."""
+    import numpy as np
+
+    y, n = np.frombuffer(y, np.int8).astype(np.int64), np.frombuffer(n, np.int32)
+    shares = np.zeros((len(y), WORD_BUCKETS), np.float32)
+    shares[np.repeat(np.arange(len(y)), n), np.frombuffer(at, np.uint16)] = np.frombuffer(share, np.float32)
+    return y, np.frombuffer(x, np.float64).reshape(len(y), len(NAMES)), shares
+
+
+def taught(model: Model, place, shares, good, bad, pairs: int, rate: float, turn):
+    """The model's weights and words after so many pairs; every row of good and bad is in a pair, as often as the others of its class but for one time."""
+    import numpy as np
+
+    weight, words = model.weight.copy(), model.words.copy()
+    a, b = (np.concatenate([turn.permutation(x) for _ in range(-(-pairs // len(x)))])[:pairs] for x in (good, bad))
+    for k in range(0, pairs, 200):
+        up, down = place[a[k : k + 200]], place[b[k : k + 200]]
+        apart = shares[a[k : k + 200]] - shares[b[k : k + 200]]
+        miss = 1 / (1 + np.exp(weight[up].sum(axis=1) - weight[down].sum(axis=1) + apart @ words))  # the loss's slope
+        words += rate * (miss @ apart) / 20 - rate * SHRINK * words
+        step = np.bincount(up.ravel(), np.repeat(miss, up.shape[1]), len(weight)) - np.bincount(down.ravel(), np.repeat(miss, down.shape[1]), len(weight))
+        weight += rate * step / 20 - rate * SHRINK * weight
+    return weight, words
+
+
+def epoch_of(table: DataFrame, model: Model, epoch: int, blocks: int, rows: int, seed: int) -> Model:
+    """The average of what the blocks make of the model in an epoch, each by its number of rows."""
+    import numpy as np
+
+    spark = table.sparkSession
+    model_in, rate = sent(spark, model), RATE * (1 - epoch / EPOCHS)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for block, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                y, x, shares = unpacked(*blobs)
+                good, bad = np.flatnonzero(y % 2 == 1), np.flatnonzero(y % 2 == 0)
+                if len(good) and len(bad):
+                    now = received(model_in)
+                    got = taught(now, now.bins(x), shares, good, bad, max(TURNS * max(len(good), len(bad)), PAIRS // blocks), rate, np.random.default_rng([seed, epoch, block]))
+                    v = np.concatenate([*got, [1.0]]) * (len(y) / rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(np.rint(v / UNIT).astype(np.int64))], names=["i", "v"])
+
+    got = sorted(table.mapInArrow(run, "i int, v bigint").groupBy("i").agg(F.sum("v").alias("v")).collect())  # a row for each weight
+    model_in.unpersist()
+    v = np.array([r.v for r in got], float)
+    v = v[:-1] / v[-1]
+    return Model(model.edges, v[: len(model.weight)], v[len(model.weight) :])
+
+
+def scored(table: DataFrame, model: Model) -> DataFrame:
+    """y and raw of each row of the blocks, once."""
+    model_in = sent(table.sparkSession, model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                y, x, shares = unpacked(*blobs)
+                once = y < 2
+                yield pa.RecordBatch.from_arrays([pa.array(y[once].astype("int32")), pa.array(received(model_in).raw(x[once], shares[once]))], names=["y", "raw"])
+
+    return table.mapInArrow(run, "y int, raw double")
+
+
+def placed_cut(rows: DataFrame, count: dict[int, int]) -> tuple[float, float]:
+    """The quantile of all rows (y, raw) that is fairest to both classes, in the middle of its neighbours, and the deviation of raw. It is found among CUTS values
+    over the whole range, and then among as many around the best of them."""
+    import numpy as np
+
+    raw = F.col("raw")
+    low, high, apart = rows.agg(F.min(raw), F.max(raw), F.stddev_pop(raw)).first()
+
+    def counted(cuts):
+        """How many rows of each class are below each cut."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            n = np.zeros((2, len(cuts) + 1), np.int64)
+            for batch in batches:
+                y, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "raw"))
+                np.add.at(n, (y, np.searchsorted(cuts, x, "right")), 1)
+            i = np.flatnonzero(n.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(n.ravel()[i])], names=["i", "n"])
+
+        n = np.zeros(2 * (len(cuts) + 1), np.int64)
+        for r in rows.mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
+            n[r.i] = r.n
+        return np.cumsum(n.reshape(2, -1), axis=1)[:, :-1]
+
+    for _ in range(2):
+        cuts = np.linspace(low, high, CUTS)
+        below = counted(cuts)
+        fair = 0.5 * (1 - below[1] / count[1]) + 0.5 * below[0] / count[0]
+        near = -abs(below.sum(axis=0) - count[0])  # to the share of bad rows
+        best = max(range(CUTS), key=lambda k: (fair[k], near[k]))
+        cut, low, high = float(cuts[best]), float(cuts[max(0, best - 1)]), float(cuts[min(CUTS - 1, best + 1)])
+    least, most = rows.agg(F.max(F.when(raw < cut, raw)), F.min(F.when(raw >= cut, raw))).first()
+    return cut if least is None or most is None else (least + most) / 2, apart
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 11) -> Model:
-    """Fit on docs (doc_id, text) that labels (doc_id, quality) mark. Rows of null quality teach nothing."""
+def train(docs: DataFrame, labels: DataFrame, seed: int = 11, block: int = BLOCK) -> Model:
+    """Fit on all rows of docs (doc_id, text) that labels (doc_id, quality) mark. Rows of null quality teach nothing."""
     import numpy as np
 
-    labels = quoted(labels, ["doc_id", "quality"]).where("quality in (0, 1) and doc_id is not null")
-    count = {r.quality: r.n for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    top = 1 << 30
-    share = F.when(F.col("quality") == 1, F.lit(int(top * min(1.0, per_class / count.get(1, 1))))).otherwise(F.lit(int(top * min(1.0, per_class / count.get(0, 1)))))
-    sample = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(top)) < share).dropDuplicates()  # about 2 * per_class rows
-    got = featured(quoted(docs, ["doc_id", "text"]).join(F.broadcast(sample), "doc_id"), ["doc_id", "quality"]).toPandas().sort_values(["doc_id", "quality"], kind="stable")
-    y = got["quality"].to_numpy(np.int64)
-    x = np.array(got["features"].tolist(), float).reshape(len(got), len(NAMES))
-    shares = np.array(got["shares"].tolist(), np.float32).reshape(len(got), WORD_BUCKETS)
-    del got
-    if len(set(y.tolist())) < 2:  # nothing to compare: all texts get the class that there is, or 1
-        one = float(y[0]) if len(y) else 1.0
+    labels = quoted(labels, ["doc_id", "quality"]).where("quality in (0, 1) and doc_id is not null").dropDuplicates()
+    # One plan at any size: as many labels as documents are not to be sent to all tasks.
+    marked = quoted(docs, ["doc_id", "text"]).join(labels.hint("merge"), "doc_id").select("doc_id", "quality", own_key().alias("own"), "text")
+    rows = written(featured(marked, ["doc_id", "quality", "own"]), "labelled-features")
+    count = {int(r.quality): r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if len(count) < 2:  # nothing to compare: all texts get the class that there is, or 1
+        one = float(next(iter(count), 1))
         return Model([np.zeros(0)] * len(NAMES), np.zeros(len(NAMES) * BINS), np.zeros(WORD_BUCKETS), cut=1.0 - 2 * one)
-    edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) for i in range(len(NAMES))]
-    model = Model(edges, np.zeros(len(NAMES) * BINS), np.zeros(WORD_BUCKETS))
-    place = model.bins(x)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    turn = np.random.default_rng(seed)
-    weight = model.weight
+    inner = np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    edges = {r.i: np.unique(r.q) for r in exact_quantiles(rows.select(F.posexplode("features").alias("i", "x")), "i", "x", inner).collect()}
+    model = Model([edges[i] for i in range(len(NAMES))], np.zeros(len(NAMES) * BINS), np.zeros(WORD_BUCKETS))
+    blocks = max(1, sum(count.values()) // block)
+    packed = written(dealt(rows, count, blocks), "labelled-blocks")
     for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        a, b = turn.choice(good, PAIRS), turn.choice(bad, PAIRS)
-        for k in range(0, PAIRS, 200):
-            up, down = place[a[k : k + 200]], place[b[k : k + 200]]
-            apart = shares[a[k : k + 200]] - shares[b[k : k + 200]]
-            miss = 1 / (1 + np.exp(weight[up].sum(axis=1) - weight[down].sum(axis=1) + apart @ model.words))  # the loss's slope
-            model.words += rate * (miss @ apart) / 20 - rate * SHRINK * model.words
-            step = np.bincount(up.ravel(), np.repeat(miss, up.shape[1]), len(weight)) - np.bincount(down.ravel(), np.repeat(miss, down.shape[1]), len(weight))
-            weight += rate * step / 20 - rate * SHRINK * weight
-    raw = model.raw(x, shares)
-    # A quantile of the scores as they would be if the classes had their true shares.
-    share1 = count[1] / (count[1] + count[0])
-    mass = np.where(y == 1, share1 / len(good), (1 - share1) / len(bad))
-    order = np.argsort(raw, kind="stable")
-    at = np.cumsum(mass[order])
-    best = (-1.0, 0.0, 0.0)  # fairness, nearness to the share of bad rows, cut
-    for q in np.linspace(0.002, 0.998, 499):
-        cut = float(raw[order[min(len(order) - 1, int(np.searchsorted(at, q)))]])
-        fair = 0.5 * (raw[good] >= cut).mean() + 0.5 * (raw[bad] < cut).mean()
-        best = max(best, (float(fair), -abs(q - (1 - share1)), cut))
-    below, above = raw[raw < best[2]], raw[raw >= best[2]]
-    model.cut = (float(below.max()) + best[2]) / 2 if len(below) and len(above) else best[2]
-    model.scale = float(max(1e-6, raw.std() / 2))
+        model = epoch_of(packed, model, epoch, blocks, sum(count.values()), seed)
+    model.cut, apart = placed_cut(written(scored(packed, model), "labelled-scores"), count)
+    model.scale = float(max(1e-6, apart / 2))
     return model
 
 
