@@ -44,3 +44,33 @@ def test_tasks_get_packed_shingles(spark):
     found = shingles.sized(docs, 3)
     assert set(found.columns) == {"doc_id", "key", "n"} and {r.n for r in found.collect()} == {398}
     assert splits.shingle_classes(docs)[1].count() == 0
+
+
+def test_room_of_a_shingle_does_not_grow_with_the_buckets():
+    """Hashes and classes that are sent together take as much in 64 buckets as in one."""
+    import numpy as np
+
+    _, _, unpacked, dealt = shingles.tools(3)
+    turn = np.random.default_rng(1)
+    h, c = np.sort(turn.integers(0, 1 << 64, 1 << 18, np.uint64)), turn.integers(0, 60_000, 1 << 18).astype(np.uint64)
+    room = {}
+    for buckets in (1, 64):
+        to, blobs = dealt(((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), h, c)
+        assert to == list(range(buckets))
+        assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*(unpacked(b, 2) for b in blobs)), (h, c)))
+        room[buckets] = sum(map(len, blobs)) / len(h)
+    assert room[64] < 9.5 and room[64] < 1.05 * room[1]
+
+
+def test_classes_that_share_too_few_are_left_out(spark, monkeypatch):
+    """Only what can be in a pair is written, and shingles have small numbers; ids may be negative."""
+    monkeypatch.setattr(shingles, "GRAMS", 64)
+    turn = random.Random(4)
+    line = lambda n: " ".join(str(turn.random()) for _ in range(n))
+    body, often = line(40), line(6)
+    rows = [(i, f"{body} {line(3)}") for i in range(-10, 10)] + [(i, f"{line(40)} {often}") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    every, some = (splits.shingle_classes(docs, similar=x)[1].collect() for x in (0.0, 0.5))
+    assert {r["class"] for r in every} == {i for i, _ in rows} and {r["class"] for r in some} == set(range(-10, 10))
+    assert sorted(some) == sorted(r for r in every if r["class"] < 10)
+    assert all(0 <= x.h < 10_000 for r in every for x in r.g)
