@@ -113,7 +113,7 @@ def shingle_classes(docs: DataFrame, width: int = 3, similar: float = 0.0) -> tu
     # One set for each class: a doc_id can have more texts.
     firsts = rows.join(least.withColumnRenamed("class", "doc_id"), ["key", "doc_id"]).groupBy(F.col("doc_id").alias("class")).agg(F.min(F.struct("key", "n")).alias("s"))
     firsts = written(firsts.select("class", "s.key", "s.n"), "class-keys")
-    return members, written(shingles.shared(docs, firsts, width, total, similar), "classes")
+    return members, written(shingles.shared(docs, firsts, width, total, shingles.repeated(rows), similar), "classes")
 
 
 #: Rounds in which a shingle's classes are compared with one of them only, and how many pairs of classes a row they begin at.
@@ -121,13 +121,13 @@ ROUNDS, PAIRS = 4, 4
 
 
 def rarest_shingles(classes: DataFrame, similar: float) -> DataFrame:
-    """h, class, n, p: the shingles by which classes are looked up, with their places among the class's n shingles, the rarest first; written.
+    """h, df, class, n, p: the shingles by which classes are looked up, with how many classes have them and their places among the class's n shingles, the rarest first; written.
 
     Sets this similar share one of their rarest shingles, of which n - similar * n + 1 of each are looked up; those that no
     other class has are among these and need no look."""
     looked = F.size("g") - F.ceil(similar * F.col("n") - 1e-6).cast("int") + 1
     found = classes.select("class", "n", F.size("g").alias("shared"), F.posexplode(F.slice("g", 1, F.greatest(looked, F.lit(0)))).alias("i", "s"))
-    return written(found.select(F.col("s.h").alias("h"), "class", "n", (F.col("n") - F.col("shared") + F.col("i")).alias("p")), "rarest-shingles")
+    return written(found.select(F.col("s.h").alias("h"), F.col("s.df").alias("df"), "class", "n", (F.col("n") - F.col("shared") + F.col("i")).alias("p")), "rarest-shingles")
 
 
 def can_be_similar(similar: float):
@@ -161,6 +161,12 @@ def bucket_pairs(rare: DataFrame, similar: float, chunk: int) -> DataFrame:
     return met.where(can_be_similar(similar)).select("a", "b")
 
 
+def few_pairs(rare: DataFrame, similar: float) -> DataFrame:
+    """a, b: as `bucket_pairs`, of shingles that few classes have."""
+    left, right = (rare.select("h", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+    return left.join(right, "h").where("a < b").where(can_be_similar(similar)).select("a", "b")
+
+
 def class_edges(classes: DataFrame, similar: float, chunk: int = CHUNK) -> DataFrame:
     """a < b, both, na, nb: all pairs of classes with Jaccard of `similar` or more. Candidates are compared by all their shingles. As many near
     copies make as many rows as they have pairs; see `connecting_edges`."""
@@ -168,24 +174,29 @@ def class_edges(classes: DataFrame, similar: float, chunk: int = CHUNK) -> DataF
 
 
 def connecting_edges(classes: DataFrame, similar: float, chunk: int = CHUNK, pairs: int = PAIRS) -> DataFrame:
-    """Of `class_edges` some with the same components. While shingles have more than `pairs` pairs for each class that looks them up, a round
-    compares each class with one leader of the shingle that isn't of its component yet, so that copies of a text find to each
-    other by as many comparisons as they are; at last all pairs are compared that are still of two components."""
+    """Of `class_edges` some with the same components. Shingles of so few classes that they have `pairs` pairs for each at most are looked up once, and all their
+    pairs are compared. While the others have more than `pairs` pairs for each class that looks up a shingle, a round compares each class with one leader
+    of the shingle that isn't of its component yet, so that copies of a text find to each other by as many comparisons as they are; at last all
+    pairs are compared that are still of two components."""
     rare = rarest_shingles(classes, similar)
-    found, comp = None, None
+    few = F.col("df") <= 2 * pairs + 1
+    often, open_, every = rare.where(~few), few_pairs(rare.where(few), similar), rare.count()
+    rows, found, comp = often, None, None
     for turn in range(ROUNDS):
-        rows = rare.withColumn("comp", F.col("class")) if comp is None else rare.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        rows = often.withColumn("comp", F.col("class")) if comp is None else often.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
         each = rows.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inner"))
-        asked, left = each.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inner")) / 2), F.lit(0))).first()
-        if left <= pairs * asked:
+        left = each.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("inner")) / 2), F.lit(0))).first()[0]
+        if left <= pairs * every:
             break
         rank = F.struct(F.hash(F.lit(turn), "comp"), "comp", F.hash(F.lit(turn), "class"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
         lead = written(rows.groupBy("h").agg(F.min(rank).alias("r"), F.count("*").alias("m")).where("m > 1").select("h", F.col("r.comp").alias("led"), "r.b", "r.nb", "r.pb"), "leaders")
-        met = rows.join(lead, "h").where("comp != led").withColumnsRenamed({"n": "na", "p": "pa"}).where(can_be_similar(similar))
-        new = verified_edges(met.select(F.col("class").alias("a"), "b"), classes, similar)
+        met = rows.join(lead, "h").where("comp != led").withColumnsRenamed({"n": "na", "p": "pa"}).where(can_be_similar(similar)).select(F.col("class").alias("a"), "b")
+        new = verified_edges(met if open_ is None else met.unionAll(open_), classes, similar)
+        open_ = None
         found = new if found is None else found.unionAll(new)
         comp = written(components(found.select("a", "b")).select(F.col("node").alias("class"), F.col("root").alias("comp")), "class-components")
-    rest = verified_edges(bucket_pairs(rows if comp is not None else rare, similar, chunk), classes, similar)
+    last = bucket_pairs(rows, similar, chunk)
+    rest = verified_edges(last if open_ is None else last.unionAll(open_), classes, similar)
     return rest if found is None else found.unionAll(rest)
 
 
